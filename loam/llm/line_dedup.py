@@ -15,8 +15,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import written
+from .shared import sent_if_small, written
 
 #: Lines with fewer words are not judged: one word is too much of them.
 MIN_WORDS = 5
@@ -32,12 +33,34 @@ def _n_words(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _lines(docs: DataFrame, text: str, min_words: int) -> DataFrame:
+class Places:
+    """Lines as places that can be compared: a document's id, then the line's number from 0.
+
+    Where all ids lie within 2 ** 36 of each other a place is packed into one long, which Spark
+    aggregates in hash maps; else it is a struct."""
+
+    def __init__(self, ids: DataFrame):
+        low, high = ids.agg(F.min("_id"), F.max("_id")).first()
+        whole = isinstance(ids.schema["_id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        self.low, self.packed = low, whole and low is not None and high - low < 1 << 36
+
+    def place(self, d: Column, n: Column) -> Column:
+        return F.shiftleft(d.cast("long") - self.low, 27) + n if self.packed else F.struct(d.alias("d"), n.alias("n"))
+
+    def document(self, place: Column) -> Column:
+        return F.shiftright(place, 27) + self.low if self.packed else place["d"]
+
+    def number(self, place: Column) -> Column:
+        return place.bitwiseAND((1 << 27) - 1).cast("int") if self.packed else place["n"]
+
+
+def _lines(docs: DataFrame, text: str, min_words: int, places: Places) -> DataFrame:
+    """(p, line) of the lines that are judged."""
     lines = docs.where("_id is not null").select("_id", F.posexplode(F.split(F.col(text), "\n")).alias("n", "line"))
-    return lines.where(_n_words(F.col("line")) >= min_words)
+    return lines.where(_n_words(F.col("line")) >= min_words).select(places.place(F.col("_id"), F.col("n")).alias("p"), "line")
 
 
-def _ends(line: Column) -> Column:
+def _ends(line: Column) -> list[Column]:
     """Keys of the first and last h words, for h of the line and, at a power of two, of a line one word shorter."""
     n = _n_words(line)
     h = F.pow(F.lit(2.0), F.floor(F.log2(n / 2))).cast("int")
@@ -45,14 +68,14 @@ def _ends(line: Column) -> Column:
     for size, there in ((h, F.lit(True)), ((h / 2).cast("int"), (h * 2 == n) & (n > 3))):
         for side, sign in ((0, 1), (1, -1)):
             keys.append(F.when(there, F.xxhash64(F.lit(side), size, F.call_function("substring_index", line, F.lit(" "), size * sign))))
-    return F.filter(F.array(*keys), lambda k: k.isNotNull())
+    return keys
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(key, at, d, n) for each variant of (d, n, line); at: the deleted word's place, -1 for the line itself.
+    """(key, at, p) for each variant of (p, line); at: the deleted word's place, -1 for the line itself.
 
     The key is a polynomial hash modulo two bases, so that all variants of a line cost one pass."""
-    words = lines.select("d", "n", F.split("line", " ").alias("w"))
+    words = lines.select("p", F.split("line", " ").alias("w"))
     code = F.transform("w", lambda w: F.pmod(F.xxhash64(w), F.lit(_P)))
     last = lambda a: F.element_at(a, -1)
 
@@ -62,8 +85,8 @@ def _variants(lines: DataFrame) -> DataFrame:
             "code", start, lambda s, c: F.struct(F.array_append(s["sum"], (last(s["sum"]) * base + c) % _P).alias("sum"), F.array_append(s["power"], last(s["power"]) * base % _P).alias("power"))
         )
 
-    made = words.select("d", "n", F.size("w").alias("m"), code.alias("code")).select("d", "n", "m", *(sums(b).alias(f"s{k}") for k, b in enumerate(_BASES)))
-    each = made.select("d", "n", "m", "s0", "s1", F.explode(F.sequence(F.lit(0), F.col("m"))).alias("i"))
+    made = words.select("p", F.size("w").alias("m"), code.alias("code")).select("p", "m", *(sums(b).alias(f"s{k}") for k, b in enumerate(_BASES)))
+    each = made.select("p", "m", "s0", "s1", F.explode(F.sequence(F.lit(0), F.col("m"))).alias("i"))
 
     def key(s: str) -> Column:
         total = F.element_at(F.col(s)["sum"], F.col("m") + 1)
@@ -73,7 +96,7 @@ def _variants(lines: DataFrame) -> DataFrame:
         return F.when(F.col("i") == F.col("m"), total).otherwise(F.pmod(rest + total, F.lit(_P)))
 
     whole = F.col("i") == F.col("m")
-    return each.select((key("s0") * F.lit(1 << 31) + key("s1")).alias("key"), F.when(whole, -1).otherwise(F.col("i")).alias("at"), "d", "n")
+    return each.select((key("s0") * F.lit(1 << 31) + key("s1")).alias("key"), F.when(whole, -1).otherwise(F.col("i")).alias("at"), "p")
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -95,36 +118,39 @@ def find_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     the same places, so none of them is earlier; rows of null id or text are left alone.
     """
     own = docs.select(F.col(doc_id).alias("_id"), text)
-    lines = _lines(own, text, min_words)
+    places = Places(own)
+    lines = _lines(own, text, min_words, places)
     h1, h2 = _hashes(F.col("line"))
-    folded = lines.groupBy(h1.alias("h1"), h2.alias("h2")).agg(F.min(F.struct("_id", "n")).alias("first"), F.max(F.struct("_id", "n")).alias("last"), F.first(_ends(F.col("line"))).alias("ends"))
-    folded = written(folded.select("h1", "h2", F.col("first._id").alias("d"), F.col("first.n").alias("n"), (F.col("first") < F.col("last")).alias("copied"), "ends"), "lines")
-
-    ends = folded.select("d", "n", F.explode("ends").alias("end"))
-    shared = ends.groupBy("end").agg(F.count("*").alias("c")).where("c > 1").select("end")
-    near = ends.join(shared, "end").select("d", "n").distinct()
-    places = near.groupBy(F.col("d").alias("_id")).agg(F.collect_list("n").alias("ns"))
-    split = own.join(places, "_id").select("_id", "ns", F.split(F.col(text), "\n").alias("all"))
-    texts = split.select(F.col("_id").alias("d"), F.explode("ns").alias("n"), "all").select("d", "n", F.get("all", F.col("n")).alias("line"))
-    texts = written(texts.where(F.col("line").isNotNull()), "near-lines")
+    names = [f"end{k}" for k in range(4)]
+    hashed = lines.select("p", h1.alias("h1"), h2.alias("h2"), *(k.alias(c) for c, k in zip(names, _ends(F.col("line")), strict=True)))
+    folded = hashed.groupBy("h1", "h2").agg(F.min("p").alias("p"), F.max("p").alias("last"), *(F.first(c).alias(c) for c in names))
+    folded = written(folded.select("h1", "h2", "p", (F.col("p") < F.col("last")).alias("copied"), *names), "lines")
+
+    ends = folded.select("h1", F.explode(F.array(*names)).alias("end")).where("end is not null")
+    shared = written(ends.groupBy("end").agg(F.count("*").alias("c")).where("c > 1").select("end"), "ends")
+    near = written(ends.join(sent_if_small(shared, 40), "end").select("h1").distinct(), "near")
+    # one copy of each line is enough, but its text is only found beside its copies
+    alike = lines.withColumn("h1", h1).join(sent_if_small(near, 40), "h1").groupBy("line").agg(F.min("p").alias("p"))
+    texts = written(alike, "near-lines")
 
     variants = _variants(texts)
-    by_place = variants.groupBy("key", "at").agg(F.min(F.struct("d", "n")).alias("low"), F.max(F.struct("d", "n")).alias("high"))
-    whole = F.when(F.col("at") == -1, F.col("low"))
-    by_key = by_place.groupBy("key").agg(F.min("low").alias("any_low"), F.max("high").alias("any_high"), F.min(whole).alias("whole_low")).where("any_low < any_high")
-    best = by_place.join(by_key, "key").select("key", "at", F.when(F.col("at") == -1, F.col("any_low")).otherwise(F.least("low", "whole_low")).alias("best"))
-    pairs = variants.join(best, ["key", "at"]).where(F.col("best") < F.struct("d", "n"))
-    earliest = pairs.groupBy("d", "n").agg(F.min("best").alias("best"))
-    words = texts.select("d", "n", F.split("line", " ").alias("w"))
-    other = words.select(F.col("d").alias("best_d"), F.col("n").alias("best_n"), F.col("w").alias("best_w"))
-    checked = earliest.select("d", "n", F.col("best.d").alias("best_d"), F.col("best.n").alias("best_n")).join(words, ["d", "n"]).join(other, ["best_d", "best_n"])
-    later = checked.where(_one_edit(F.col("w"), F.col("best_w"))).select("d", "n", F.lit(True).alias("later")).distinct()
+    whole = F.when(F.col("at") == -1, F.col("p"))
+    by_key = variants.groupBy("key").agg(F.min("p").alias("any_low"), F.max("p").alias("any_high"), F.min(whole).alias("whole_low")).where("any_low < any_high")
+    by_key = written(by_key.select("key", "any_low", "whole_low"), "variants")
+    met = written(variants.join(sent_if_small(by_key, 60), "key"), "met")
+    by_place = met.groupBy("key", "at").agg(F.min("p").alias("low"))
+    best = F.when(F.col("at") == -1, F.col("any_low")).otherwise(F.least("low", "whole_low"))
+    pairs = met.join(by_place, ["key", "at"]).withColumn("best", best).where("best < p")
+    earliest = pairs.groupBy("p").agg(F.min("best").alias("best"))
+    words = texts.select("p", F.split("line", " ").alias("w"))
+    checked = earliest.join(words, "p").join(words.select(F.col("p").alias("best"), F.col("w").alias("best_w")), "best")
+    later = checked.where(_one_edit(F.col("w"), F.col("best_w"))).select("p", F.lit(True).alias("later")).distinct()
 
     # of a line that goes, every copy goes; of one that stays, all but the first
-    gone = folded.join(later, ["d", "n"], "left").where("copied or later")
-    every = lines.select("_id", F.col("n").alias("k"), h1.alias("h1"), h2.alias("h2"))
-    removed = every.join(gone.select("h1", "h2", "d", "n", "later"), ["h1", "h2"]).where("later or _id > d or (_id = d and k > n)")
-    return removed.groupBy(F.col("_id").alias(doc_id)).agg(F.array_sort(F.collect_set("k")).alias("removed"))
+    gone = folded.join(later, "p", "left").where("copied or later").select("h1", "h2", F.col("p").alias("first"), "later")
+    every = lines.select("p", h1.alias("h1"), h2.alias("h2"))
+    removed = every.join(gone, ["h1", "h2"]).where("later or p > first")
+    return removed.groupBy(places.document(F.col("p")).alias(doc_id)).agg(F.array_sort(F.collect_set(places.number(F.col("p")))).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -29,6 +29,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that are sent to all tasks, at most.
+BROADCAST_BYTES = 32 << 20
+
+
+def sent_if_small(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, marked for a broadcast join if all its rows of row_bytes fit into the limit.
+
+    The rows are counted.  A larger table is left as it is, and is joined by a shuffle."""
+    return F.broadcast(table) if table.count() * row_bytes <= limit else table
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of every node of the undirected edges (a, b); component: the least node of it.
 
