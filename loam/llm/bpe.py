@@ -289,16 +289,20 @@ def decode(df: DataFrame, path: str, *, ids: str = "ids", text: str = "decoded")
     return df.select(keep).mapInArrow(run, df.select(keep).schema.add(text, "string"))
 
 
-def round_trip(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, *, text: str = "text", ids: str | None = None) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256: each text encoded, and its ids decoded again.
 
+    With `ids`, the token ids themselves are a column of this name.
+
     The digests are of the ids as little-endian unsigned 32-bit integers and of the decoded text in
     UTF-8.  Nulls, repeats and empty tables as in encode().
     """
 
     def make(texts: list[str]) -> list[list]:
         own = codec(path)
-        ids = own.encode(texts)
-        return [[len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(own.decode(x)).hexdigest() for x in ids]]
+        coded = own.encode(texts)
+        made = [[len(x) // 4 for x in coded], [hashlib.sha256(x).hexdigest() for x in coded], [hashlib.sha256(own.decode(x)).hexdigest() for x in coded]]
+        return [*made, [np.frombuffer(x, "<u4").astype(np.int32) for x in coded]] if ids else made
 
-    return _columns(docs, make, text, [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())])
+    names = [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
+    return _columns(docs, make, text, [*names, (ids, "array<int>", pa.list_(pa.int32()))] if ids else names)
