@@ -1,11 +1,776 @@
-"""The engine's queries over the driver's tables, and their SQL."""
+"""The engine's queries over the driver's tables, and the same in SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import js
+from ..operators import commits as C
+from ..operators import graph as G
+from ..operators import history as H
+from ..operators import modules as M
+from ..operators import scope as S
+from ..operators import text as X
+from ..operators import views as V
+from ..session import table, written
+from ..sources import tables as T
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+#: Line items have small orders: limits at which pairs are left.
+LIMITS = H.CouplingLimits(max_files=5, min_degree=5)
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[name or f.__name__] = f
+        if sql:
+            _sql[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+# -- history
+
+_CF = "cf AS (SELECT DISTINCT l_orderkey AS sha, l_partkey AS path FROM lineitem), small AS (SELECT cf.* FROM cf JOIN (SELECT sha FROM cf GROUP BY sha HAVING count(*) <= 5) USING (sha))"
+_SHARED = f"{_CF}, ch AS (SELECT path, count(*) AS changes FROM small GROUP BY path), sh AS (SELECT a.path AS file_a, b.path AS file_b, count(*) AS shared_changes FROM small a JOIN small b ON a.sha = b.sha AND a.path < b.path GROUP BY 1, 2)"
+_DEGREE = "floor(200.0 * shared_changes / (a.changes + b.changes) * 10 + 0.5) / 10"
+_COUPLED = f"{_SHARED}, cp AS (SELECT file_a, file_b, shared_changes, a.changes AS changes_a, b.changes AS changes_b, CAST({_DEGREE} AS DOUBLE) AS degree FROM sh JOIN ch a ON a.path = file_a JOIN ch b ON b.path = file_b WHERE shared_changes >= 2 AND a.changes >= 3 AND b.changes >= 3)"
+
+
+@query("SELECT l_partkey AS path, count(*) AS changes FROM lineitem GROUP BY 1")
+def agg_churn(spark, sf):
+    return H.churn(T.commit_files(spark, sf))
+
+
+@query("SELECT DISTINCT l_orderkey AS sha, l_partkey AS path FROM lineitem")
+def set_distinct_paths(spark, sf):
+    return T.commit_files(spark, sf).distinct()
+
+
+@query(f"WITH {_CF} SELECT sha, count(*) AS n_files FROM small GROUP BY sha")
+def flt_commit_size(spark, sf):
+    return H.small_commits(T.commit_files(spark, sf), 5).select("sha", F.size("paths").cast("long").alias("n_files"))
+
+
+@query(f"WITH {_SHARED} SELECT * FROM ch")
+def agg_changes(spark, sf):
+    return H.changes(H.small_commits(T.commit_files(spark, sf), 5))
+
+
+@query(f"WITH {_SHARED} SELECT * FROM sh WHERE shared_changes >= 2")
+def agg_shared(spark, sf):
+    return H.shared(H.small_commits(T.commit_files(spark, sf), 5), 2)
+
+
+@query(f"WITH {_CF} SELECT a.path AS file_a, b.path AS file_b, count(*) AS commits FROM small a JOIN small b ON a.sha = b.sha AND a.path < b.path GROUP BY 1, 2")
+def join_coupling_self(spark, sf):
+    return H.pairs(H.small_commits(T.commit_files(spark, sf), 5)).groupBy("file_a", "file_b").agg(F.count("*").alias("commits"))
+
+
+@query(f"WITH {_SHARED} SELECT sh.*, a.changes AS changes_a, b.changes AS changes_b FROM sh JOIN ch a ON a.path = file_a JOIN ch b ON b.path = file_b WHERE shared_changes >= 2")
+def join_coupling_counts(spark, sf):
+    small = H.small_commits(T.commit_files(spark, sf), 5)
+    return H.with_counts(H.shared(small, 2), H.changes(small)).select("file_a", "file_b", "shared_changes", "changes_a", "changes_b")
+
+
+@query(f"WITH {_COUPLED} SELECT * FROM cp WHERE degree >= 5")
+def agg_coupling(spark, sf):
+    return H.coupling(T.commit_files(spark, sf), LIMITS)
+
+
+@query(f"WITH {_COUPLED} SELECT * FROM cp WHERE degree >= 10")
+def flt_thresholds(spark, sf):
+    return H.coupling(T.commit_files(spark, sf), H.CouplingLimits(max_files=5, min_degree=10))
+
+
+@query(f"WITH {_COUPLED} SELECT * FROM cp WHERE degree >= 5 AND file_a IN (SELECT p_partkey FROM part WHERE p_size > 25) AND file_b IN (SELECT p_partkey FROM part WHERE p_size > 25)")
+def semi_present(spark, sf):
+    files = table(spark, sf, "part").where("p_size > 25").select(F.col("p_partkey").alias("path"))
+    return H.coupling(T.commit_files(spark, sf), LIMITS, files)
+
+
+@query(f"WITH {_COUPLED} SELECT * FROM cp WHERE degree >= 5 ORDER BY degree DESC, shared_changes DESC, file_a, file_b LIMIT 500")
+def topk_coupling(spark, sf):
+    return H.top_coupling(T.commit_files(spark, sf), LIMITS)
+
+
+# -- text metrics
+
+_FILES = "f AS (SELECT doc_id AS seq, source || '/' || lang || '/' || doc_id || '.ts' AS path, sha1(text) AS blob, text AS content FROM documents)"
+_PADDED = "p AS (SELECT doc_id AS path, l AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, n_chars FROM documents) x, LATERAL (SELECT repeat(' ', CAST(n_chars % 9 AS INT)) || t AS l) y)"
+
+
+def _padded(spark, sf):
+    """Documents have no indented lines: a number of blanks is put before each."""
+    docs = table(spark, sf, "documents")
+    pad = F.repeat(F.lit(" "), (F.col("n_chars") % 9).cast("int"))
+    return docs.select(F.col("doc_id").alias("path"), F.array_join(F.transform(js.lines(F.col("text")), lambda s: F.concat(pad, s)), "\n").alias("content"))
+
+
+_INDENT = f"{_PADDED}, ic AS (SELECT path, CAST(sum(CASE WHEN length(ltrim(line)) > 0 THEN 1 + (length(line) - length(ltrim(line))) // 2 ELSE 0 END) AS BIGINT) AS complexity FROM p GROUP BY path)"
+
+
+@query(f"WITH {_INDENT} SELECT * FROM ic")
+def prj_indent_complexity(spark, sf):
+    return _padded(spark, sf).select("path", X.indent_complexity(F.col("content")).alias("complexity"))
+
+
+@query(f"WITH {_FILES} SELECT path, len(string_split(content, chr(10))) AS loc FROM f")
+def prj_loc(spark, sf):
+    return T.files(spark, sf).select("path", X.loc(F.col("content")).cast("long").alias("loc"))
+
+
+_LINES = f"{_FILES}, l AS (SELECT path, k, trim(regexp_replace(line, '[ \\t]+', ' ', 'g')) AS line FROM (SELECT path, generate_subscripts(string_split(content, chr(10)), 1) AS k, unnest(string_split(content, chr(10))) AS line FROM f)), sig AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY k) AS i, line FROM l WHERE length(line) > 3)"
+_PRINTS = f"{_LINES}, w AS (SELECT path, i, count(*) OVER fr AS n, string_agg(line, chr(10)) OVER fr AS joined FROM sig WINDOW fr AS (PARTITION BY path ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)), pr AS (SELECT path, i, substr(sha1(joined), 1, 16) AS print FROM w WHERE n = 6)"
+
+
+@query(f"WITH {_LINES} SELECT path, count(*) AS n_lines FROM sig GROUP BY path")
+def flt_significant_line(spark, sf):
+    return T.files(spark, sf).select("path", F.size(X.significant_lines(F.col("content"))).cast("long").alias("n_lines")).where("n_lines > 0")
+
+
+@query(f"WITH {_PRINTS} SELECT path, i - 1 AS at, print FROM pr")
+def prj_fingerprint(spark, sf):
+    return X.fingerprints(T.files(spark, sf)).select("path", F.posexplode("prints").alias("at", "print")).withColumn("at", F.col("at").cast("long"))
+
+
+@query(f"WITH {_PRINTS} SELECT path, count(*) AS windows FROM pr GROUP BY path")
+def win_clone_frame(spark, sf):
+    return X.fingerprints(T.files(spark, sf)).select("path", F.size("prints").cast("long").alias("windows")).where("windows > 0")
+
+
+@query(f"""WITH {_PRINTS}, again AS (SELECT print FROM pr GROUP BY print HAVING count(*) > 1), hit AS (SELECT path, i FROM pr WHERE print IN (SELECT print FROM again)),
+m AS (SELECT path, count(DISTINCT i + o) AS n FROM hit, range(6) r(o) GROUP BY path), t AS (SELECT f.path, count(sig.i) AS lines FROM f LEFT JOIN sig ON sig.path = f.path GROUP BY f.path)
+SELECT t.path, coalesce(m.n, 0) AS duplicated_lines, lines AS fp_lines, CAST(CASE WHEN lines > 0 THEN floor(coalesce(m.n, 0) / lines * 1000 + 0.5) / 1000 ELSE 0 END AS DOUBLE) AS duplication FROM t LEFT JOIN m ON m.path = t.path""")
+def agg_duplication(spark, sf):
+    d = X.duplication(X.fingerprints(T.files(spark, sf)))
+    return d.select("path", F.col("duplicated_lines").cast("long").alias("duplicated_lines"), F.col("fp_lines").cast("long").alias("fp_lines"), "duplication")
+
+
+@query("SELECT sha256(string_agg(path || chr(0) || blob || chr(10), '' ORDER BY path || chr(0) || blob || chr(10))) AS digest FROM (SELECT source || '/' || lang || '/' || doc_id || '.ts' AS path, sha1(text) AS blob FROM documents)")
+def agg_files_digest(spark, sf):
+    return X.files_digest(T.files(spark, sf))
+
+
+_HOT = f"{_INDENT}, cn AS (SELECT l_partkey AS path, count(*) AS changes FROM lineitem GROUP BY 1), h AS (SELECT ic.path, changes, complexity, changes * complexity AS score FROM ic JOIN cn ON cn.path = ic.path)"
+
+
+def _hotspots(spark, sf):
+    complexity = _padded(spark, sf).select("path", X.indent_complexity(F.col("content")).alias("complexity"))
+    return H.hotspots(complexity, H.churn(T.commit_files(spark, sf)))
+
+
+@query(f"WITH {_HOT} SELECT * FROM h")
+def join_hotspots(spark, sf):
+    return _hotspots(spark, sf)
+
+
+@query(f"WITH {_HOT} SELECT * FROM h ORDER BY score DESC, path LIMIT 48")
+def topk_hotspots(spark, sf):
+    return _hotspots(spark, sf).orderBy(F.desc("score"), "path").limit(48)
+
+
+@query(f"WITH {_HOT} SELECT path, score FROM h", name="agg_hotspots")
+def agg_hotspots(spark, sf):
+    return _hotspots(spark, sf).select("path", "score")
+
+
+@query(f"WITH {_HOT} SELECT * FROM h WHERE score > 0")
+def flt_positive_score(spark, sf):
+    return _hotspots(spark, sf).where("score > 0")
+
+
+@query(f"WITH {_HOT} SELECT h.*, d.loc FROM h LEFT JOIN (SELECT doc_id AS path, len(string_split(text, chr(10))) AS loc FROM documents WHERE doc_id % 3 > 0) d ON d.path = h.path WHERE score > 0")
+def join_hotspot_loc(spark, sf):
+    docs = table(spark, sf, "documents").where("doc_id % 3 > 0")
+    metrics = docs.select(F.col("doc_id").alias("path"), F.col("doc_id").alias("seq"), X.loc(F.col("text")).cast("long").alias("loc"))
+    return H.with_loc(_hotspots(spark, sf), metrics)
+
+
+_SCALE = f"{_HOT}, q AS (SELECT quantile_cont(score, [0.2, 0.4, 0.6, 0.8]) AS q, min(score) AS lo, max(score) AS hi FROM h), s AS (SELECT CAST(lo AS DOUBLE) AS low, CAST(hi AS DOUBLE) AS high, round(q[1], 6) AS q20, round(q[2], 6) AS q40, round(q[3], 6) AS q60, round(q[4], 6) AS q80 FROM q)"
+
+
+def _scale(spark, sf):
+    s = V.heat_scale(_hotspots(spark, sf), "score")
+    return s.select("low", "high", *(F.round(c, 6).alias(c) for c in ("q20", "q40", "q60", "q80")))
+
+
+@query(f"WITH {_SCALE} SELECT * FROM s")
+def agg_heat_scale(spark, sf):
+    return _scale(spark, sf)
+
+
+@query(f"WITH {_SCALE} SELECT h.*, CASE WHEN score <= q20 THEN 1 WHEN score <= q40 THEN 2 WHEN score <= q60 THEN 3 WHEN score <= q80 THEN 4 ELSE 5 END AS level FROM h, s")
+def win_heat_level(spark, sf):
+    return V.heat_levels(_hotspots(spark, sf), "score", _scale(spark, sf))
+
+
+@query(f"WITH {_SCALE} SELECT 1 AS level, low, q20 AS high FROM s UNION ALL SELECT 2, q20, q40 FROM s UNION ALL SELECT 3, q40, q60 FROM s UNION ALL SELECT 4, q60, q80 FROM s UNION ALL SELECT 5, q80, high FROM s")
+def win_heat_bands(spark, sf):
+    return V.heat_bands(_scale(spark, sf))
+
+
+@query(f"WITH {_HOT} SELECT path, score, CASE WHEN m > 0 THEN CAST(score AS DOUBLE) / m ELSE 0 END AS ratio FROM (SELECT path, score, max(score) OVER () AS m FROM h) ORDER BY score DESC, path LIMIT 8")
+def win_ratio_to_max(spark, sf):
+    return V.ratio_to_max(_hotspots(spark, sf).select("path", "score"), "score", 8, "path")
+
+
+# -- commits
+
+_MSG = f"c AS (SELECT o_orderkey AS sha, o_custkey AS author, o_orderdate AS ts, {T.MESSAGE} AS message FROM orders)"
+_HDR = r"^(\w+)(?:\(([^)]+)\))?(!)?:\s([^\n\r]+)$"
+_PARSED = f"""{_MSG}, hd AS (SELECT *, split_part(message, chr(10), 1) AS first FROM c),
+pc AS (SELECT sha, author, ts, message, nullif(regexp_extract(first, '{_HDR}', 1), '') AS type, nullif(regexp_extract(first, '{_HDR}', 2), '') AS scope,
+ CASE WHEN regexp_matches(first, '{_HDR}') THEN regexp_extract(first, '{_HDR}', 3) = '!' OR contains(message, 'BREAKING CHANGE:') ELSE false END AS breaking,
+ CASE WHEN regexp_matches(first, '{_HDR}') THEN regexp_extract(first, '{_HDR}', 4) ELSE first END AS subject, regexp_matches(first, '{_HDR}') AS valid FROM hd)"""
+
+
+def _parsed(spark, sf):
+    return C.parse_commits(T.commits(spark, sf))
+
+
+@query(f"WITH {_PARSED} SELECT sha, type, scope, breaking, subject, valid FROM pc")
+def prj_parse_commit(spark, sf):
+    return _parsed(spark, sf).select("sha", "type", "scope", "breaking", "subject", "valid")
+
+
+@query(f"WITH {_PARSED} SELECT sha, type, scope, CASE WHEN valid THEN subject END AS subject FROM pc")
+def prj_header(spark, sf):
+    fields = C.header_fields(F.col("message"))
+    return T.commits(spark, sf).select("sha", *(fields[k].alias(k) for k in ("type", "scope", "subject")))
+
+
+@query(f"WITH {_MSG} SELECT sha, array_to_string(regexp_extract_all(message, '#(\\d+)', 1), ',') AS issues, CASE WHEN contains(message, 'Co-authored-by:') THEN 'dev ' || author END AS coauthors FROM c")
+def prj_tags(spark, sf):
+    t = T.commits(spark, sf).select("sha", C.tags(F.col("message")).alias("t"))
+    return t.select("sha", F.coalesce(F.array_join(F.col("t")["issues"], ","), F.lit("")).alias("issues"), F.array_join(F.col("t")["coauthors"], ",").alias("coauthors"))
+
+
+@query(f"WITH {_PARSED} SELECT count(*) AS total, count(*) FILTER (valid) AS valid, count(*) FILTER (NOT valid) AS invalid, count(*) FILTER (valid) / count(*) AS valid_rate, count(*) FILTER (breaking) AS breaking FROM pc")
+def agg_commit_totals(spark, sf):
+    return C.totals(_parsed(spark, sf))
+
+
+def _bucket_sql(field: str) -> str:
+    return f"""WITH {_PARSED}, g AS (SELECT {field} AS name, count(*) AS count, count(*) FILTER (breaking) AS breaking FROM pc GROUP BY 1)
+SELECT name, count, count / sum(count) OVER () AS share, breaking, CAST(row_number() OVER (ORDER BY count DESC, name IS NULL, name) AS INTEGER) AS position FROM g"""
+
+
+@query(_bucket_sql("type"))
+def agg_type_buckets(spark, sf):
+    return C.buckets(_parsed(spark, sf), "type")
+
+
+@query(_bucket_sql("scope"))
+def agg_scope_buckets(spark, sf):
+    return C.buckets(_parsed(spark, sf), "scope")
+
+
+@query(_bucket_sql("coalesce(type, 'other')"))
+def agg_type_rows_web(spark, sf):
+    return C.type_rows(_parsed(spark, sf))
+
+
+@query(_bucket_sql("scope").replace("name, count, count / sum(count) OVER () AS share, breaking, CAST", "name, CAST"), name="sort_buckets")
+def sort_buckets(spark, sf):
+    return C.buckets(_parsed(spark, sf), "scope").select("name", "position")
+
+
+@query(f"WITH {_PARSED}, g AS (SELECT type AS name, count(*) AS n FROM pc GROUP BY 1) SELECT name, n / sum(n) OVER () AS share FROM g")
+def win_share_of_total(spark, sf):
+    return C.buckets(_parsed(spark, sf), "type").select("name", "share")
+
+
+_WEEKS = "w AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS week, count(*) AS n FROM orders WHERE {0} GROUP BY 1), s AS (SELECT CAST(unnest(generate_series(min(week), max(week), INTERVAL 7 DAY)) AS DATE) AS week FROM w)"
+
+
+@query(f"WITH {_WEEKS.format('o_orderkey % 997 = 0')} SELECT CAST(s.week AS VARCHAR) AS week, coalesce(w.n, 0) AS commits FROM s LEFT JOIN w ON w.week = s.week")
+def agg_weekly(spark, sf):
+    """Only some orders are commits here, so that there are weeks without any."""
+    return C.weekly(T.commits(spark, sf).where("sha % 997 = 0")).withColumn("week", F.col("week").cast("string"))
+
+
+@query(f"WITH {_WEEKS.format('true')} SELECT CAST(s.week AS VARCHAR) AS week, coalesce(w.n, 0) AS commits FROM s LEFT JOIN w ON w.week = s.week", name="agg_weekly_all")
+def agg_weekly_all(spark, sf):
+    return C.weekly(T.commits(spark, sf)).withColumn("week", F.col("week").cast("string"))
+
+
+@query("SELECT o_orderkey AS sha FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 500")
+def limit_history(spark, sf):
+    return C.limit_history(T.commits(spark, sf), 500).select("sha")
+
+
+@query("SELECT o_orderkey AS sha, o_orderdate AS ts FROM orders WHERE o_orderkey % 5 > 0")
+def flt_valid_date(spark, sf):
+    date = F.when(F.col("sha") % 5 == 0, F.lit("no date")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return C.valid_dates(T.commits(spark, sf).select("sha", date.alias("date")), "date").select("sha", "ts")
+
+
+@query(f"WITH {_PARSED}, b AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS n FROM pc WHERE breaking GROUP BY 1), s AS (SELECT CAST(unnest(generate_series(min(week), max(week), INTERVAL 7 DAY)) AS DATE) AS week FROM b) SELECT CAST(s.week AS VARCHAR) AS week, coalesce(n, 0) AS breaking FROM s LEFT JOIN b ON b.week = s.week")
+def ext_breaking_timeline(spark, sf):
+    return C.breaking_timeline(_parsed(spark, sf)).withColumn("week", F.col("week").cast("string"))
+
+
+_TOUCH = "t AS (SELECT l_partkey AS path, o_custkey % 50 AS author, o_orderdate AS ts FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
+
+
+def _touches(spark, sf):
+    commits = T.commits(spark, sf).select("sha", (F.col("author") % 50).alias("author"), "ts")
+    return T.commit_files(spark, sf).join(commits, "sha")
+
+
+@query(f"WITH {_TOUCH}, e AS (SELECT path, author, count(*) AS n FROM t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n DESC, author) AS k, sum(n) OVER (PARTITION BY path) AS total, count(*) OVER (PARTITION BY path) AS authors FROM e) SELECT path, author AS owner, n AS owner_commits, CAST(total AS BIGINT) AS commits, authors, n / total AS share FROM r WHERE k = 1")
+def ext_ownership(spark, sf):
+    return C.ownership(_touches(spark, sf))
+
+
+@query(f"WITH {_TOUCH}, e AS (SELECT path, author, count(*) AS n FROM t GROUP BY 1, 2), r AS (SELECT path, row_number() OVER w AS k, sum(n) OVER (PARTITION BY path ORDER BY n DESC, author ROWS UNBOUNDED PRECEDING) AS run, sum(n) OVER (PARTITION BY path) AS total FROM e WINDOW w AS (PARTITION BY path ORDER BY n DESC, author)) SELECT path, CAST(min(k) AS INTEGER) AS bus_factor FROM r WHERE run >= total * 0.5 GROUP BY path")
+def ext_bus_factor(spark, sf):
+    return C.bus_factor(_touches(spark, sf))
+
+
+@query(f"WITH {_TOUCH} SELECT path, max(ts) AS last_change, CAST(date_diff('day', CAST(max(ts) AS DATE), DATE '2002-01-01') AS INTEGER) AS age_days FROM t GROUP BY path")
+def ext_code_age(spark, sf):
+    return C.code_age(_touches(spark, sf), F.lit("2002-01-01").cast("date"))
+
+
+# -- graphs
+
+_EDGES = "ev AS (SELECT user_id AS a, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS b FROM events WHERE value > 200), e AS (SELECT DISTINCT a, b FROM ev WHERE b IS NOT NULL AND a <> b), n AS (SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey < 140)"
+_CYCLES = f"{_EDGES}, tc AS (SELECT a, b FROM e UNION SELECT tc.a, e.b FROM tc JOIN e ON tc.b = e.a), sc AS (SELECT x.a AS node, min(x.b) AS component FROM tc x JOIN tc y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(*) > 1)"
+
+
+def _edges(spark, sf):
+    return T.edges(spark, sf)
+
+
+def _nodes(spark, sf):
+    """Some users are nodes; the others are only ends of edges."""
+    return table(spark, sf, "customer").where("c_custkey < 140").select(F.col("c_custkey").alias("id")).distinct()
+
+
+def _cycles(spark, sf):
+    return G.scc(_edges(spark, sf))
+
+
+@query(f'WITH {_EDGES} SELECT a AS "from", b AS "to", \'import\' AS kind FROM e')
+def graph_edges(spark, sf):
+    return G.import_edges(_edges(spark, sf))
+
+
+@query(f"WITH RECURSIVE {_CYCLES} SELECT component, node FROM sc")
+def graph_scc(spark, sf):
+    return _cycles(spark, sf)
+
+
+@query(f"WITH RECURSIVE {_CYCLES}, g AS (SELECT component, count(*) AS size FROM sc GROUP BY 1) SELECT component, size, CAST(row_number() OVER (ORDER BY size DESC, component) AS INTEGER) AS position FROM g")
+def sort_cycles(spark, sf):
+    from pyspark.sql import Window
+
+    sizes = _cycles(spark, sf).groupBy("component").agg(F.count("*").alias("size"))
+    return sizes.withColumn("position", F.row_number().over(Window.orderBy(F.desc("size"), "component")))
+
+
+@query(f"WITH RECURSIVE {_CYCLES}, g AS (SELECT component, row_number() OVER (ORDER BY count(*) DESC, component) AS number FROM sc GROUP BY 1) SELECT node, CAST(number AS INTEGER) AS number FROM sc JOIN g USING (component)")
+def win_cycle_number(spark, sf):
+    ordered = G.ordered_cycles(_cycles(spark, sf), _edges(spark, sf))
+    return ordered.select(F.explode("nodes").alias("node"), F.col("position").alias("number"))
+
+
+@query()
+def graph_cycle_path(spark, sf):
+    return G.ordered_cycles(_cycles(spark, sf), _edges(spark, sf))
+
+
+@query(f"WITH {_EDGES} SELECT n.id, (SELECT count(*) FROM e WHERE b = n.id) AS fan_in, (SELECT count(*) FROM e WHERE a = n.id) AS fan_out FROM n")
+def agg_degrees(spark, sf):
+    return G.degrees(_nodes(spark, sf), _edges(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {_CYCLES}, i AS (SELECT b AS id, count(*) AS c FROM e GROUP BY 1 ORDER BY c DESC, id LIMIT 1), o AS (SELECT a AS id, count(*) AS c FROM e GROUP BY 1 ORDER BY c DESC, id LIMIT 1)
+SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(DISTINCT component) FROM sc) AS cycles, (SELECT count(DISTINCT node) FROM sc) AS cycle_nodes,
+ (SELECT id FROM i) AS max_fan_in, (SELECT c FROM i) AS max_fan_in_count, (SELECT id FROM o) AS max_fan_out, (SELECT c FROM o) AS max_fan_out_count""")
+def agg_graph_summary(spark, sf):
+    return G.summary(_nodes(spark, sf), _edges(spark, sf), _cycles(spark, sf))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT id AS node FROM n WHERE id < 4 UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT node FROM r")
+def graph_reachable(spark, sf):
+    return G.reachable(_edges(spark, sf), _nodes(spark, sf).where("id < 4").select(F.col("id").alias("node")))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT id AS node FROM n WHERE id < 4 UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT id AS path FROM n WHERE id NOT IN (SELECT node FROM r)")
+def anti_unreachable(spark, sf):
+    nodes = _nodes(spark, sf)
+    return G.unreachable(nodes.select(F.col("id").alias("path")), _edges(spark, sf), nodes.where("id < 4").select(F.col("id").alias("node")))
+
+
+@query(f"WITH {_EDGES}, ends AS (SELECT a AS id FROM e UNION SELECT b FROM e) SELECT id, id AS label, 'package' AS kind FROM ends WHERE id NOT IN (SELECT id FROM n)")
+def anti_package_nodes(spark, sf):
+    return G.package_nodes(_nodes(spark, sf), _edges(spark, sf))
+
+
+@query(f"WITH {_EDGES} SELECT DISTINCT x AS node FROM (SELECT a AS x FROM e WHERE a = 7 OR b = 7 UNION SELECT b FROM e WHERE a = 7 OR b = 7)")
+def graph_neighbourhood(spark, sf):
+    return G.neighbourhood(_edges(spark, sf), 7)
+
+
+_FOCUS = f"{_CYCLES}, d AS (SELECT n.id, (SELECT count(*) FROM e WHERE b = n.id OR a = n.id) AS degree, n.id IN (SELECT node FROM sc) AS in_cycle FROM n), fo AS (SELECT * FROM d ORDER BY in_cycle DESC, degree DESC, id LIMIT 40)"
+
+
+@query(f"WITH RECURSIVE {_FOCUS} SELECT id, in_cycle, degree FROM fo")
+def topk_focus(spark, sf):
+    return G.focus(_nodes(spark, sf), _edges(spark, sf), _cycles(spark, sf), 40)
+
+
+@query(f'WITH RECURSIVE {_FOCUS} SELECT a AS "from", b AS "to" FROM e WHERE a IN (SELECT id FROM fo) AND b IN (SELECT id FROM fo)')
+def semi_known_edges(spark, sf):
+    edges = _edges(spark, sf)
+    return G.known_edges(edges, G.focus(_nodes(spark, sf), edges, _cycles(spark, sf), 40))
+
+
+@query(f"""WITH RECURSIVE {_CYCLES} SELECT a AS "from", b AS "to", CASE WHEN x.component = y.component THEN 'cycle' WHEN a NOT IN (SELECT id FROM n) OR b NOT IN (SELECT id FROM n) THEN 'package' ELSE 'local' END AS class
+FROM e LEFT JOIN sc x ON x.node = a LEFT JOIN sc y ON y.node = b""")
+def join_cycle_membership(spark, sf):
+    edges, nodes = _edges(spark, sf), _nodes(spark, sf)
+    return G.edge_classes(edges, G.package_nodes(nodes, edges), _cycles(spark, sf))
+
+
+_COLLAPSED = f"{_EDGES}, m AS (SELECT CASE WHEN a % 10 < 3 THEN -1 - a // 50 ELSE a END AS x, CASE WHEN b % 10 < 3 THEN -1 - b // 50 ELSE b END AS y, CASE WHEN a % 2 = 0 THEN 1 ELSE a % 5 END AS w, a % 2 = 0 AS bare FROM e)"
+
+
+@query(f"""WITH {_COLLAPSED} SELECT x AS "from", y AS "to", 'import' AS kind, CASE WHEN count(*) > 1 THEN CAST(sum(w) AS BIGINT) WHEN bool_or(bare) THEN NULL ELSE CAST(max(w) AS BIGINT) END AS weight FROM m WHERE x <> y GROUP BY 1, 2""")
+def agg_collapse_edges(spark, sf):
+    edges = _edges(spark, sf).withColumns({"kind": F.lit("import"), "weight": F.when(F.col("from") % 2 == 1, F.col("from") % 5)})
+    ids = edges.select(F.explode(F.array("from", "to")).alias("node")).distinct()
+    inside = ids.where("node % 10 < 3").select("node", (-1 - F.floor(F.col("node") / 50)).alias("folder"))
+    return G.collapse(edges, inside)
+
+
+@query(f"WITH {_COLLAPSED} SELECT x AS \"from\", y AS \"to\", count(*) AS n FROM m WHERE x <> y GROUP BY 1, 2")
+def graph_collapse(spark, sf):
+    edges = _edges(spark, sf).withColumns({"kind": F.lit("import"), "weight": F.lit(None).cast("long")})
+    ids = edges.select(F.explode(F.array("from", "to")).alias("node")).distinct()
+    inside = ids.where("node % 10 < 3").select("node", (-1 - F.floor(F.col("node") / 50)).alias("folder"))
+    return G.collapse(edges, inside).select("from", "to", F.coalesce("weight", F.lit(1)).cast("long").alias("n"))
+
+
+_DAG = f"{_EDGES}, dag AS (SELECT a, b FROM e WHERE a < b), rk AS (SELECT id, 0 AS rank FROM (SELECT a AS id FROM dag UNION SELECT b FROM dag) UNION SELECT dag.b, rk.rank + 1 FROM rk JOIN dag ON dag.a = rk.id)"
+
+
+@query(f"WITH RECURSIVE {_DAG} SELECT id, CAST(max(rank) AS INTEGER) AS rank FROM rk GROUP BY id")
+def graph_longest_path_rank(spark, sf):
+    edges = _edges(spark, sf).where("`from` < `to`")
+    nodes = edges.select(F.explode(F.array("from", "to")).alias("id")).distinct()
+    return G.ranks(nodes, edges)
+
+
+@query()
+def graph_back_edges(spark, sf):
+    return G.back_edges(_edges(spark, sf))
+
+
+_TWO = f"{_EDGES}, g1 AS (SELECT 0 AS seq, a, b, 'import' AS kind FROM e WHERE a % 2 = 0 UNION ALL SELECT 1, a, b, 'import' FROM e WHERE a % 3 = 0), gn AS (SELECT 0 AS seq, id, 'l' || id AS label FROM n WHERE id % 2 = 0 UNION ALL SELECT 1, id, 'r' || id FROM n WHERE id % 3 = 0)"
+
+
+def _two(spark, sf):
+    edges, nodes = _edges(spark, sf), _nodes(spark, sf)
+    side = lambda seq, k: edges.where(F.col("from") % k == 0).select(F.lit(seq).alias("seq"), "from", "to", F.lit("import").alias("kind"), F.lit(None).cast("long").alias("weight"))
+    node = lambda seq, k, mark: nodes.where(F.col("id") % k == 0).select(F.lit(seq).alias("seq"), "id", F.concat(F.lit(mark), F.col("id").cast("string")).alias("label"), F.lit("file").alias("kind"), F.lit(None).cast("long").alias("loc"))
+    return G.merge(node(0, 2, "l").unionByName(node(1, 3, "r")), side(0, 2).unionByName(side(1, 3)))
+
+
+@query(f"WITH {_TWO} SELECT id, min_by(label, seq) AS label FROM gn GROUP BY id")
+def set_merge_graphs(spark, sf):
+    return _two(spark, sf)[0].select("id", "label")
+
+
+@query(f"WITH {_TWO}, me AS (SELECT DISTINCT a, b FROM g1), mn AS (SELECT DISTINCT id FROM gn) SELECT (SELECT count(*) FROM mn) AS nodes, (SELECT count(*) FROM me) AS edges, (SELECT count(*) FROM (SELECT a AS id FROM me UNION SELECT b FROM me) x WHERE id NOT IN (SELECT id FROM mn)) AS packages")
+def set_cross_language(spark, sf):
+    nodes, edges = _two(spark, sf)
+    packages = G.package_nodes(nodes, edges)
+    return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(packages.agg(F.count("*").alias("packages")))
+
+
+_NAMES = f"{_EDGES}, ex AS (SELECT DISTINCT b AS path, 'n' || (a % 6) AS name, a AS line FROM e), st AS (SELECT a AS path, b AS t FROM e WHERE a % 4 = 0), us AS (SELECT DISTINCT b AS path, 'n' || (a % 4) AS name FROM e WHERE a % 3 = 0), co AS (SELECT DISTINCT a AS path FROM e WHERE a % 17 = 0)"
+_USED = f"{_NAMES}, wh AS (SELECT path FROM co UNION SELECT st.t FROM wh JOIN st ON st.path = wh.path), dm AS (SELECT path, name FROM us UNION SELECT st.t, dm.name FROM dm JOIN st ON st.path = dm.path WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.path = dm.path AND ex.name = dm.name)), used AS (SELECT DISTINCT path, name FROM ex WHERE (path, name) IN (SELECT path, name FROM dm) OR path IN (SELECT path FROM wh))"
+
+
+def _names(spark, sf):
+    e = _edges(spark, sf)
+    name = lambda k: F.concat(F.lit("n"), (F.col("from") % k).cast("string")).alias("name")
+    exports = e.select(F.col("to").alias("path"), name(6), F.col("from").alias("line"), F.col("from").alias("pos")).distinct()
+    stars = e.where(F.col("from") % 4 == 0).select(F.col("from").alias("path"), "to")
+    uses = e.where(F.col("from") % 3 == 0).select("to", name(4))
+    consumed = e.where(F.col("from") % 17 == 0).select(F.col("from").alias("path")).distinct()
+    return exports, G.used_names(exports, uses, stars, consumed)
+
+
+@query(f"WITH RECURSIVE {_USED} SELECT path, name FROM used")
+def graph_name_demand(spark, sf):
+    return _names(spark, sf)[1]
+
+
+@query(f"WITH RECURSIVE {_USED} SELECT path, name, min(line) AS line FROM ex WHERE (path, name) NOT IN (SELECT path, name FROM used) AND path % 10 > 0 GROUP BY 1, 2")
+def anti_unreferenced(spark, sf):
+    exports, used = _names(spark, sf)
+    skipped = exports.where("path % 10 = 0").select("path").distinct()
+    return G.unreferenced(exports, used, skipped)
+
+
+@query(f"WITH {_NAMES} SELECT path, name, min(line) AS line FROM ex GROUP BY 1, 2")
+def win_first_per_name(spark, sf):
+    exports, _ = _names(spark, sf)
+    return exports.groupBy("path", "name").agg(F.min_by("line", "pos").alias("line"))
+
+
+_DEAD = f"{_USED}, dead AS (SELECT path, name AS symbol, min(line) AS line, 'unreferenced-export' AS reason FROM ex WHERE (path, name) NOT IN (SELECT path, name FROM used) GROUP BY 1, 2 UNION ALL SELECT id, NULL, NULL, 'unreachable-file' FROM n WHERE id > 130)"
+
+
+def _dead(spark, sf):
+    exports, used = _names(spark, sf)
+    names = G.unreferenced(exports, used, exports.select("path").limit(0)).select("path", F.col("name").alias("symbol"), "line", F.lit("unreferenced-export").alias("reason"))
+    gone = _nodes(spark, sf).where("id > 130").select(F.col("id").alias("path"), F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("long").alias("line"), F.lit("unreachable-file").alias("reason"))
+    return names.unionByName(gone)
+
+
+@query(f"WITH RECURSIVE {_DEAD} SELECT count(*) AS findings, count(DISTINCT path) AS files FROM dead")
+def agg_dead_code_count(spark, sf):
+    return V.dead_code_count(_dead(spark, sf))
+
+
+@query(f"WITH RECURSIVE {_DEAD} SELECT reason, count(*) AS findings FROM dead GROUP BY 1")
+def agg_dead_code_by_reason(spark, sf):
+    return V.dead_code_by_reason(_dead(spark, sf))
+
+
+@query(f"WITH RECURSIVE {_DEAD} SELECT path, coalesce(symbol, '') AS symbol, coalesce(line, 0) AS line, reason FROM dead ORDER BY path, coalesce(line, 0), coalesce(symbol, '')")
+def sort_dead_code(spark, sf):
+    return V.sorted_findings(_dead(spark, sf)).select("path", F.coalesce("symbol", F.lit("")).alias("symbol"), F.coalesce("line", F.lit(0)).alias("line"), "reason")
+
+
+@query(f"WITH RECURSIVE {_CYCLES} SELECT id FROM n WHERE id NOT IN (SELECT node FROM sc)")
+def set_except(spark, sf):
+    return _nodes(spark, sf).exceptAll(_cycles(spark, sf).select("node").distinct())
+
+
+# -- scope and paths
+
+
+@query(f"WITH {_FILES} SELECT path FROM f WHERE regexp_matches(path, '^src1[^/]*/(en|fr)/[^/]*7[^/]*(/.*)?$')")
+def flt_glob(spark, sf):
+    return T.files(spark, sf).where(S.matches_any(F.col("path"), ["src1*/en/*7*", "./src1*/fr/*7*/"])).select("path")
+
+
+@query(f"WITH {_FILES} SELECT path FROM f WHERE (starts_with(path, 'src2/') OR regexp_matches(path, '/de/')) AND NOT regexp_matches(path, '[^/]*3\\.ts$')")
+def flt_scope(spark, sf):
+    return T.files(spark, sf).where(S.in_scope(F.col("path"), ["src2", "**/de/**"], ["**/*3.ts"])).select("path")
+
+
+_ODD_PATHS = "o AS (SELECT doc_id, source || '/' || CASE doc_id % 6 WHEN 0 THEN lang || '.test.ts' WHEN 1 THEN '__tests__/' || lang || '.tsx' WHEN 2 THEN 'vite.config.mjs' WHEN 3 THEN '.' || lang WHEN 4 THEN 'package.json' ELSE lang || '.d.ts' END AS path FROM documents)"
+
+
+def _odd_paths(spark, sf):
+    docs = table(spark, sf, "documents")
+    name = F.expr("CASE doc_id % 6 WHEN 0 THEN lang || '.test.ts' WHEN 1 THEN '__tests__/' || lang || '.tsx' WHEN 2 THEN 'vite.config.mjs' WHEN 3 THEN '.' || lang WHEN 4 THEN 'package.json' ELSE lang || '.d.ts' END")
+    return docs.select("doc_id", F.concat_ws("/", "source", name).alias("path"))
+
+
+@query(f"WITH {_ODD_PATHS} SELECT doc_id FROM o WHERE doc_id % 6 IN (0, 1, 5)")
+def flt_extension(spark, sf):
+    return _odd_paths(spark, sf).where(S.has_extension(F.col("path"), ["ts", "tsx"])).select("doc_id")
+
+
+@query(f"WITH {_ODD_PATHS} SELECT doc_id FROM o WHERE doc_id % 6 IN (0, 1, 2)")
+def flt_entry_regex(spark, sf):
+    return _odd_paths(spark, sf).where(F.col("path").rlike(S.TEST_FILE) | F.col("path").rlike(S.TOOL_CONFIG)).select("doc_id")
+
+
+@query(f"WITH {_ODD_PATHS} SELECT doc_id FROM o WHERE doc_id % 6 = 4")
+def flt_manifest_path(spark, sf):
+    return _odd_paths(spark, sf).where(S.is_manifest(F.col("path"))).select("doc_id")
+
+
+@query(f"WITH {_FILES} SELECT path FROM f WHERE starts_with(path, 'src1/') OR starts_with(path, 'src3/en/')")
+def flt_within_roots(spark, sf):
+    return T.files(spark, sf).where(S.within(F.col("path"), ["src1", "src3/en"])).select("path")
+
+
+@query("SELECT DISTINCT lang AS name FROM documents WHERE lang IN ('en', 'fr')")
+def flt_allowlist(spark, sf):
+    return table(spark, sf, "documents").select(F.col("lang").alias("name")).where(F.col("lang").isin(*S.allowed(["de", "en", "fr"], ["fr", "en"]))).distinct()
+
+
+@query("SELECT DISTINCT lang AS name FROM documents WHERE lang NOT IN ('en', 'fr')")
+def anti_missing_plugins(spark, sf):
+    named = table(spark, sf, "documents").select(F.col("lang").alias("name")).distinct()
+    return S.missing_names(named, named.where("name IN ('en', 'fr')"))
+
+
+@query(f"WITH {_FILES} SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, regexp_extract(path, '[^/]*$') AS name FROM f")
+def prj_container(spark, sf):
+    return T.files(spark, sf).select("path", js.dir_name(F.col("path")).alias("folder"), js.file_name(F.col("path")).alias("name"))
+
+
+@query(f"WITH {_FILES} SELECT path, split_part(path, '/', 1) AS folder FROM f UNION ALL SELECT path, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM f")
+def prj_ancestors(spark, sf):
+    return T.files(spark, sf).select("path", F.explode(js.ancestors(F.col("path"))).alias("folder"))
+
+
+_FOLDERS = f"{_FILES}, an AS (SELECT path, length(content) AS w, seq, split_part(path, '/', 1) AS folder FROM f UNION ALL SELECT path, length(content), seq, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM f)"
+
+
+def _sized(spark, sf):
+    return T.files(spark, sf).select("path", "seq", F.length("content").cast("long").alias("w"))
+
+
+@query(f"WITH {_FOLDERS} SELECT folder, CAST(sum(w) AS BIGINT) AS size, count(*) AS files FROM an GROUP BY 1")
+def agg_folder_sizes(spark, sf):
+    return V.folder_sizes(_sized(spark, sf), "w")
+
+
+@query(f"WITH {_FOLDERS} SELECT folder, CAST(sum(w) AS BIGINT) AS size FROM an GROUP BY 1 ORDER BY size DESC, folder LIMIT 20")
+def sort_folders(spark, sf):
+    return V.folder_sizes(_sized(spark, sf), "w").select("folder", "size").orderBy(F.desc("size"), "folder").limit(20)
+
+
+@query(f"WITH {_FOLDERS} SELECT folder, bool_or(seq % 40 = 0) AS knotted FROM an GROUP BY 1")
+def agg_folder_knotted(spark, sf):
+    files = _sized(spark, sf)
+    return V.knotted_folders(files, files.where("seq % 40 = 0").select(F.col("path").alias("node")))
+
+
+@query(f"WITH {_FILES} SELECT path AS node, CASE WHEN starts_with(path, 'src1/') THEN 'src1' ELSE split_part(path, '/', 1) || '/en' END AS folder FROM f WHERE starts_with(path, 'src1/') OR contains(path, '/en/')")
+def join_collapse(spark, sf):
+    files = T.files(spark, sf)
+    folded = files.select(F.explode(js.ancestors(F.col("path"))).alias("folder")).where("folder = 'src1' OR folder LIKE '%/en'").distinct()
+    return V.folded_into(files, folded)
+
+
+@query(f"WITH {_FILES} SELECT path, CASE WHEN contains(path, '/en/') THEN split_part(path, '/', 1) || '/en' WHEN starts_with(path, 'src1/') THEN 'src1' ELSE '' END AS folder FROM f")
+def join_nearest_prefix(spark, sf):
+    files = T.files(spark, sf)
+    own = files.select(F.explode(F.concat(F.array(F.lit("")), js.ancestors(F.col("path")))).alias("folder")).where("folder = '' OR folder = 'src1' OR folder LIKE '%/en'").distinct()
+    return M.nearest_folder(files, own)
+
+
+_SPECS = "sp AS (SELECT DISTINCT CASE doc_id % 5 WHEN 0 THEN '@' || lang || '/' || source || '/x' WHEN 1 THEN lang || '/sub/' || source WHEN 2 THEN './' || source WHEN 3 THEN 'node:fs' ELSE 'path' END AS spec FROM documents)"
+
+
+def _specs(spark, sf):
+    spec = F.expr("CASE doc_id % 5 WHEN 0 THEN '@' || lang || '/' || source || '/x' WHEN 1 THEN lang || '/sub/' || source WHEN 2 THEN './' || source WHEN 3 THEN 'node:fs' ELSE 'path' END")
+    return table(spark, sf, "documents").select(spec.alias("spec")).distinct()
+
+
+@query(f"WITH {_SPECS} SELECT spec, CASE WHEN starts_with(spec, '@') THEN split_part(spec, '/', 1) || '/' || split_part(spec, '/', 2) WHEN starts_with(spec, '.') OR spec IN ('node:fs', 'path') THEN NULL ELSE split_part(spec, '/', 1) END AS package FROM sp")
+def prj_package_name(spark, sf):
+    return _specs(spark, sf).select("spec", M.package_name(F.col("spec")).alias("package"))
+
+
+@query(f"WITH {_SPECS}, pk AS (SELECT DISTINCT lang AS name FROM documents UNION SELECT 'en/sub' UNION SELECT '@fr/src1') SELECT spec, max_by(name, length(name)) AS name FROM sp JOIN pk ON spec = name OR starts_with(spec, name || '/') GROUP BY spec")
+def join_longest_name(spark, sf):
+    docs = table(spark, sf, "documents")
+    names = docs.select(F.col("lang").alias("name")).distinct().union(spark.createDataFrame([("en/sub",), ("@fr/src1",)], "name string"))
+    return M.longest_name(_specs(spark, sf), names)
+
+
+@query(f"WITH {_FILES}, b AS (SELECT seq, source || '/' || lang || '/' || CASE WHEN seq % 2 = 0 THEN CAST(seq AS VARCHAR) ELSE seq || '.js' END AS base FROM f JOIN documents ON doc_id = seq) SELECT b.seq AS id, f.path FROM b JOIN f ON f.path = base || '.ts' OR f.path = replace(base, '.js', '.ts')")
+def join_first_match(spark, sf):
+    docs = table(spark, sf, "documents")
+    base = F.concat_ws("/", "source", "lang", F.expr("CASE WHEN doc_id % 2 = 0 THEN cast(doc_id AS string) ELSE cast(doc_id AS string) || '.js' END"))
+    return M.first_match(docs.select(F.col("doc_id").alias("id"), F.lit(0).alias("rank"), base.alias("base")), T.files(spark, sf))
+
+
+@query(f"WITH {_FILES} SELECT f.path, '../' || d.lang || '/' || d.doc_id AS spec, d.source || '/' || d.lang || '/' || d.doc_id || '.ts' AS \"to\" FROM f JOIN documents d ON d.doc_id = f.seq")
+def join_resolve(spark, sf):
+    docs = table(spark, sf, "documents")
+    imports = docs.select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".ts"))).alias("path"), F.concat(F.lit("../"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("spec"))
+    return M.resolve(imports, T.files(spark, sf))
+
+
+@query(f"WITH {_SPECS} SELECT spec, '@en/*' AS pattern, 'src/' || substr(spec, 5) AS target, 0 AS rank FROM sp WHERE starts_with(spec, '@en/') AND NOT starts_with(spec, '@en/src1') UNION ALL SELECT spec, '@en/src1*', 'one/' || substr(spec, 9), 0 FROM sp WHERE starts_with(spec, '@en/src1') UNION ALL SELECT spec, '@en/src1*', 'two/' || substr(spec, 9) || '/y', 1 FROM sp WHERE starts_with(spec, '@en/src1')")
+def join_alias_pattern(spark, sf):
+    aliases = spark.createDataFrame([("@en/*", 0, ["src/*"]), ("@en/src1*", 1, ["one/*", "two/*/y"])], "pattern string, seq int, targets array<string>")
+    return M.alias_target(_specs(spark, sf), aliases)
+
+
+@query(f"WITH {_FILES} SELECT count(*) AS n, 'x' AS k FROM (SELECT path FROM f WHERE seq % 2 = 0)")
+def prj_candidate_paths(spark, sf):
+    """Every path is among its own candidates with and without its extension."""
+    files = T.files(spark, sf).where("seq % 2 = 0")
+    each = files.select("path", F.explode(M.candidate_paths(F.regexp_replace("path", r"\.ts\z", ""))).alias("c"))
+    return each.where("c = path").agg(F.count("*").alias("n")).withColumn("k", F.lit("x"))
+
+
+_DEPS = "dp AS (SELECT DISTINCT source AS folder, CASE doc_id % 3 WHEN 0 THEN '@types/' || lang WHEN 1 THEN lang ELSE source END AS name FROM documents), im AS (SELECT DISTINCT source AS folder, lang AS name FROM documents WHERE doc_id % 4 = 1)"
+
+
+@query(f"WITH {_DEPS} SELECT folder, name FROM dp WHERE NOT starts_with(name, '@types/') AND (folder, name) NOT IN (SELECT folder, name FROM im)")
+def anti_unused_dep(spark, sf):
+    docs = table(spark, sf, "documents")
+    dependencies = docs.select(F.col("source").alias("folder"), F.expr("CASE doc_id % 3 WHEN 0 THEN '@types/' || lang WHEN 1 THEN lang ELSE source END").alias("name")).distinct()
+    imports = docs.where("doc_id % 4 = 1").select(F.col("source").alias("folder"), F.concat("lang", F.lit("/deep")).alias("spec"))
+    return M.unused_dependencies(dependencies, imports)
+
+
+@query(f"WITH {_ODD_PATHS} SELECT DISTINCT path FROM o WHERE doc_id % 6 IN (0, 1, 2) OR doc_id % 30 = 3")
+def set_entries_union(spark, sf):
+    own = _odd_paths(spark, sf)
+    return M.entries(own, own.where("doc_id % 30 = 3").select("path").distinct())
+
+
+# -- cache and display
+
+
+@query("SELECT doc_id AS seq FROM documents WHERE sha1(text) NOT IN (SELECT sha1(text) FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL)")
+def join_cache(spark, sf):
+    files = T.files(spark, sf)
+    return V.cache_misses(files, files.where("seq % 2 = 0").select("blob").distinct()).select("seq")
+
+
+@query("SELECT count(*) FILTER (h) AS hits, count(*) FILTER (NOT h) AS misses FROM (SELECT sha1(text) IN (SELECT sha1(text) FROM documents WHERE doc_id % 2 = 0) AS h FROM documents)")
+def agg_cache_delta(spark, sf):
+    files = T.files(spark, sf)
+    return V.cache_delta(files, files.where("seq % 2 = 0").select("blob").distinct())
+
+
+@query("SELECT min(o_orderkey) AS id, CAST(o_orderdate AS VARCHAR) AS finished_at FROM orders GROUP BY o_orderdate ORDER BY o_orderdate DESC LIMIT 8")
+def topk_recent_runs(spark, sf):
+    runs = T.commits(spark, sf).select(F.col("sha").alias("id"), F.col("ts").alias("finished_at"))
+    return V.recent_runs(runs).select("id", F.date_format("finished_at", "yyyy-MM-dd HH:mm:ss").alias("finished_at"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'detached' ELSE lang END || ' @ ' || substr(sha1(text), 1, 8) AS shown FROM documents")
+def prj_run_display(spark, sf):
+    docs = table(spark, sf, "documents")
+    return docs.select(F.col("doc_id").alias("id"), V.run_display(F.when(F.col("doc_id") % 3 > 0, F.col("lang")), F.sha1("text")).alias("shown"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN n_chars >= 1000 THEN regexp_replace(printf('%.1f', floor(n_chars / 1000 * 10 + 0.5) / 10), '\\.0$', '') || 'k' ELSE CAST(n_chars AS VARCHAR) END AS chars FROM documents")
+def prj_format_number(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), js.compact_number(F.col("n_chars")).alias("chars"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN n_chars < 1000 THEN n_chars || ' ms' WHEN n_chars < 60000 THEN printf('%.1f', floor(n_chars / 1000 * 10 + 0.5) / 10) || ' s' ELSE CAST(n_chars // 60000 AS VARCHAR) || ' m ' || CAST((n_chars // 1000) % 60 AS VARCHAR) || ' s' END AS shown FROM documents")
+def prj_format_duration(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), js.duration(F.col("n_chars")).alias("shown"))
+
+
+@query(f"WITH RECURSIVE {_CYCLES} SELECT (SELECT count(*) FROM orders) AS commits, (SELECT count(*) FROM documents) AS files, (SELECT count(DISTINCT component) FROM sc) AS cycles, (SELECT count(*) FROM e) AS edges")
+def agg_overview_cards(spark, sf):
+    one = T.commits(spark, sf).agg(F.count("*").alias("commits")).crossJoin(T.files(spark, sf).agg(F.count("*").alias("files")))
+    return one.crossJoin(_cycles(spark, sf).agg(F.count_distinct("component").alias("cycles"))).crossJoin(_edges(spark, sf).agg(F.count("*").alias("edges")))
