@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from loam.llm import bpe, classifier, contamination, line_dedup, ngram_join
 from loam.llm.queries import tokenizer_path
-from loam.llm.shared import sent_if_small, written
-from loam.session import ship, table
+from loam.llm.shared import sent_if_small
+from loam.session import ship, table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import sent_if_small, written
+from ..functions.js import let
+from ..session import written
+from .shared import sent_if_small
 
 #: Lines with fewer words are not judged: one word is too much of them.
 MIN_WORDS = 5
@@ -159,15 +161,18 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     Every row stays, with an empty text if all its lines went; a null text stays null, with no
     lines.  Columns of docs named n_lines, n_removed or removed are replaced.
     """
-    base = docs.drop("n_lines", "n_removed", "removed", "_all")
+    base = docs.drop("n_lines", "n_removed", "removed")
     found = find_removed(base, doc_id=doc_id, text=text, min_words=min_words)
-    joined = base.join(found, doc_id, "left").withColumn("_all", F.split(F.col(text), "\n"))
-    size = F.coalesce(F.size("_all"), F.lit(0))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("removed"))
-    kept = F.array_join(F.transform(left, lambda k: F.get(F.col("_all"), k)), "\n")
+    joined = base.join(found, doc_id, "left")
+    lines = F.split(F.col(text), "\n")
+
+    def rest(own: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("removed"))
+        return F.array_join(F.transform(left, lambda k: F.get(own, k)), "\n")
+
     out = joined.withColumns({
-        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(size).cast("long"),
+        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).cast("long"),
         "n_removed": F.coalesce(F.size("removed"), F.lit(0)).cast("long"),
-        text: F.when(F.col("removed").isNull(), F.col(text)).otherwise(kept),
+        text: F.when(F.col("removed").isNull(), F.col(text)).otherwise(let(lines, rest)),
     })
     return out.select(*base.columns, "n_lines", "n_removed")

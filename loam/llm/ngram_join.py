@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .shared import components, written
+from ..session import written
+from .shared import components
 
 WORDS = 3
 PERCENT = 90

@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, written
+from ..session import written
+from .shared import components
 
 #: Rules that become one expression of the plan; longer lists are joined by host suffix.
 INLINE_RULES = 200
