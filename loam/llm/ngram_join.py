@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from . import words as W
 from ..session import written
-from .shared import components
+from .shared import components, sent_if_small
 
 WORDS = 3
 PERCENT = 90
@@ -250,8 +250,8 @@ def find_links(docs: DataFrame, sets: DataFrame, *, doc_id: str, text: str, word
     copies = usable.join(firsts, ["f1", "f2", "n_shingles"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
     keyed = usable.select("id", "keys").join(firsts.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("keys").alias("key"))
-    lists = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("leader")).where("c > 1").select("key", "leader")
-    members = written(keyed.join(lists, "key").select("leader", "id").distinct(), "members")
+    lists = written(keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("leader")).where("c > 1").select("key", "leader"), "lists")
+    members = written(keyed.join(sent_if_small(lists, 40), "key").select("leader", "id").distinct(), "members")
     per_leader = members.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = members.join(per_leader.where("blocks > 1"), "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -259,7 +259,8 @@ def find_links(docs: DataFrame, sets: DataFrame, *, doc_id: str, text: str, word
     pairs_of = lambda x: F.transform(every, lambda o: F.struct(F.least(x, o).alias("i"), F.greatest(x, o).alias("j")))
     tasks = F.when(F.col("id") == F.col("leader"), F.array_distinct(F.flatten(F.transform(every, pairs_of)))).otherwise(pairs_of(own))
     one = F.transform(tasks, lambda t: F.struct(F.col("leader").alias("leader"), t["i"].alias("i"), t["j"].alias("j"), own.alias("block")))
-    by_doc = dealt.select("id", one.alias("tasks")).groupBy("id").agg(F.flatten(F.collect_list("tasks")).alias("tasks"))
+    by_doc = written(dealt.select("id", one.alias("tasks")).groupBy("id").agg(F.flatten(F.collect_list("tasks")).alias("tasks")), "tasks")
+    by_doc = sent_if_small(by_doc, 48, rows=by_doc.agg(F.sum(F.size("tasks") + 1)).first()[0] or 0)
     texts = docs.select(F.col(doc_id).alias("id"), text).join(by_doc, "id")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,11 +12,12 @@ from ..session import written
 BROADCAST_BYTES = 32 << 20
 
 
-def sent_if_small(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+def sent_if_small(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES, rows: int | None = None) -> DataFrame:
     """A written table, marked for a broadcast join if all its rows of row_bytes fit into the limit.
 
-    The rows are counted.  A larger table is left as it is, and is joined by a shuffle."""
-    return F.broadcast(table) if table.count() * row_bytes <= limit else table
+    The rows are counted, unless the number is known.  A larger table is left as it is, and is joined
+    by a shuffle."""
+    return F.broadcast(table) if (table.count() if rows is None else rows) * row_bytes <= limit else table
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -211,4 +211,4 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             left = pa.array(W.gather_words(w, ~covered), pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(w.counts), pa.array(removed), left], names=[*keep, "n_words", "n_removed", kept])
 
-    return joined.select(*keep, "places").mapInArrow(run, base.schema.add("n_words", "long").add("n_removed", "long").add(kept, "string"))
+    return joined.select(*keep, "places").mapInArrow(run, joined.select(keep).schema.add("n_words", "long").add("n_removed", "long").add(kept, "string"))
