@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loam.llm import bpe, chat, classifier, contamination, line_dedup, ngram_join, quality_rules, shared, substring_dedup, tokens, urls
+from loam.llm import automaton, bpe, chat, classifier, contamination, line_dedup, ngram_join, quality_rules, shared, substring_dedup, tokens, urls
 
 from .fixtures import as_dict, documents, texts
 
@@ -369,6 +369,23 @@ def test_substring_dedup_of_many_flushes(spark, monkeypatch):
     assert got == [(0, 300, 0), (1, 301, 230), (2, 300, 300), (2, 300, 300)]
 
 
+@pytest.mark.parametrize("shard_words", [100_000, 40])
+def test_suffix_automata_of_a_reference(spark, shard_words):
+    rng = random.Random(11)
+    reference = [" ".join(rng.choice("abc") for _ in range(n)) for n in (3, 30, 30, 50, 80)] + [None, ""]
+    rows = [None, ""] + [" ".join([rng.choice("abc") for _ in range(10)] + (reference[rng.randrange(5)].split(" ") * 2)[k : k + 35] + ["z"]) for k in range(30)]
+    docs = documents(spark, rows)
+    got = as_dict(automaton.remove_referenced(docs, spark.createDataFrame([(x,) for x in reference], "text string"), min_words=8, shard_words=shard_words))
+    grams = {tuple(w[k : k + 8]) for x in reference if x for w in [x.split(" ")] for k in range(len(w) - 7)}
+    for r in docs.collect():
+        w, gone = WORD.findall(r["text"] or ""), set()
+        for k in range(len(w) - 7):
+            if tuple(w[k : k + 8]) in grams:
+                gone.update(range(k, k + 8))
+        own = got[r["doc_id"]]
+        assert (own["n_words"], own["n_removed"], own["kept"]) == (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+
+
 # -- all
 
 
