@@ -29,6 +29,7 @@ WINDOW = 20
 HELD = 1 << 20
 
 _DEALT = T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("hashes", "docs", "places"))])
+_PACKED = T.StructType([f for f in _DEALT.fields if f.name != "hashes"])
 _FOUND = T.StructType([T.StructField("_id", T.LongType()), T.StructField("places", T.ArrayType(T.IntegerType()))])
 
 
@@ -98,15 +99,18 @@ class Dealer:
         )
 
 
-def _by_document(d: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(d, kind="stable")
-    d, p = d[order], p[order]
-    cut = np.concatenate([[0], np.flatnonzero(d[1:] != d[:-1]) + 1, [len(d)]]) if len(d) else np.zeros(1, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(d[cut[:-1]] if len(d) else [], pa.int64()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(p, pa.int32()))], names=_FOUND.names)
+def _packed(bucket: np.ndarray, d: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+    """Occurrences as one row for each bucket, by document and place."""
+    order = np.lexsort((p, d, bucket))
+    bucket, d, p = bucket[order], d[order], p[order].astype(np.int32)
+    cut = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+    spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+    columns = [pa.array(bucket[cut[:-1]] if spans else [], pa.int32()), pa.array([d[x:y].tobytes() for x, y in spans], pa.binary()), pa.array([p[x:y].tobytes() for x, y in spans], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=_PACKED.names)
 
 
-def _meet(dealt: DataFrame, all_copies: bool) -> DataFrame:
-    """(_id, places) of the occurrences that have a copy (all_copies), or an earlier copy; several rows for a document."""
+def _meet(dealt: DataFrame, all_copies: bool, buckets: int) -> DataFrame:
+    """Packed occurrences that have a copy (all_copies), or an earlier copy, dealt by document."""
 
     def settle(h: np.ndarray, d: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((p, d, h))
@@ -117,34 +121,54 @@ def _meet(dealt: DataFrame, all_copies: bool) -> DataFrame:
         found = (d != d[first]) | (p != p[first])
         if all_copies:
             found |= np.bincount(first[found], minlength=len(h))[first] > 0
-        return _by_document(d[found], p[found])
+        return _packed(d[found] % buckets, d[found], p[found])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in batches:
             for bucket, h, d, p in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                d, p = np.frombuffer(d, np.int64), np.frombuffer(p, np.int32)
-                if bucket < 0:
-                    yield _by_document(d, p)
+                if bucket < 0:  # settled already, and dealt by document
+                    yield pa.RecordBatch.from_arrays([pa.array([-1 - bucket], pa.int32()), pa.array([d], pa.binary()), pa.array([p], pa.binary())], names=_PACKED.names)
                     continue
                 if bucket != now and held:
                     yield settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
                     held = []
                 now = bucket
-                held.append((np.frombuffer(h, np.uint64), d, p))
+                held.append((np.frombuffer(h, np.uint64), np.frombuffer(d, np.int64), np.frombuffer(p, np.int32)))
         if held:
             yield settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _PACKED)
 
 
-def _gathered(found: DataFrame) -> DataFrame:
-    return found.groupBy("_id").agg(F.flatten(F.collect_list("places")).alias("places"))
+def _gathered(packed: DataFrame) -> DataFrame:
+    """(_id, places) with one row for each document."""
+
+    def rows(held: list) -> pa.RecordBatch:
+        d, p = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((p, d))
+        d, p = d[order], p[order]
+        cut = np.concatenate([[0], np.flatnonzero(d[1:] != d[:-1]) + 1, [len(d)]]) if len(d) else np.zeros(1, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(d[cut[:-1]] if len(d) else [], pa.int64()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(p, pa.int32()))], names=_FOUND.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            for bucket, d, p in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if bucket != now and held:
+                    yield rows(held)
+                    held = []
+                now = bucket
+                held.append((np.frombuffer(d, np.int64), np.frombuffer(p, np.int32)))
+        if held:
+            yield rows(held)
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
 
 
 def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(_id, places): the words at which the windows start that also start earlier; no row for other documents."""
-    own = docs.select(F.col(doc_id).cast("long").alias("_id"), text).where("_id is not null")
+    own = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), text)
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def deal_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +200,9 @@ def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 yield dealer.deal(all_copies=False)
         yield dealer.deal(all_copies=False)
 
-    shared = _gathered(_meet(own.mapInArrow(deal_anchors, _DEALT), all_copies=True))
+    shared = _gathered(_meet(own.mapInArrow(deal_anchors, _DEALT), True, buckets))
     windows = own.join(shared, "_id").select("_id", text, "places").mapInArrow(deal_windows, _DEALT)
-    return _gathered(_meet(windows, all_copies=False))
+    return _gathered(_meet(windows, False, buckets))
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", kept: str = "kept", window: int = WINDOW) -> DataFrame:
@@ -191,9 +215,13 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     replaced.
     """
     base = docs.drop("n_words", "n_removed", kept, "_id", "places")
-    own = base.withColumn("_id", F.col(doc_id).cast("long"))
-    joined = own.join(find_repeats(base, doc_id=doc_id, text=text, window=window), "_id", "left")
-    keep = base.columns
+    keep, kind = base.columns, docs.schema[doc_id].dataType
+    # the side of the join is the one of find_repeats(), column for column where docs has no others, so
+    # that Spark shuffles the texts once for both
+    own = base.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), *(c for c in keep if c != doc_id))
+    found = own.join(find_repeats(base, doc_id=doc_id, text=text, window=window), "_id", "left")
+    found = found.select(*(F.col("_id").cast(kind).alias(c) if c == doc_id else F.col(c) for c in keep), "places")
+    joined = found.unionByName(base.where(F.col(doc_id).isNull()).withColumn("places", F.lit(None).cast("array<int>")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.chunks(batches, text):
