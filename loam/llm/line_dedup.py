@@ -135,10 +135,10 @@ def find_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     alike = lines.withColumn("h1", h1).join(sent_if_small(near, 40), "h1").groupBy("line").agg(F.min("p").alias("p"))
     texts = written(alike, "near-lines")
 
-    variants = _variants(texts)
+    variants = written(_variants(texts), "variants")  # read twice, made once
     whole = F.when(F.col("at") == -1, F.col("p"))
     by_key = variants.groupBy("key").agg(F.min("p").alias("any_low"), F.max("p").alias("any_high"), F.min(whole).alias("whole_low")).where("any_low < any_high")
-    by_key = written(by_key.select("key", "any_low", "whole_low"), "variants")
+    by_key = written(by_key.select("key", "any_low", "whole_low"), "shared-variants")
     met = written(variants.join(sent_if_small(by_key, 60), "key"), "met")
     by_place = met.groupBy("key", "at").agg(F.min("p").alias("low"))
     best = F.when(F.col("at") == -1, F.col("any_low")).otherwise(F.least("low", "whole_low"))
