@@ -96,7 +96,72 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": CHAT_SQL, "op3_url_filters": URL_SQL}
+    return {
+        "op1_ngram_jaccard": JACCARD_SQL, "op2_chat_formatting": CHAT_SQL, "op3_url_filters": URL_SQL, "op4_quality_rules": RULES_SQL,
+        "op9_decontamination": CONTAMINATION_SQL, "op10_substring_dedup": PASSAGES_SQL,
+    }
+
+
+_SPACED = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
+_LOW = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+JACCARD_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SPACED.format(_LOW.format("text"))} AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM d WHERE len(ws) >= 3) x
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND 2
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, a AS m FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.m, d.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(m) AS m FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id
+"""
+
+RULES_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_SPACED.format("text")} AS ws FROM documents),
+w AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM d),
+g AS (SELECT doc_id, i, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before, string_agg(word, ' ') OVER fr AS win, count(*) OVER fr AS n FROM w
+  WINDOW fr AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+t AS (SELECT doc_id, i, word, before, CASE WHEN n = 8 AND count(*) OVER (PARTITION BY doc_id, win) > 1 THEN 1 ELSE 0 END AS twice FROM g),
+c AS (SELECT doc_id, i, word, before, max(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS hit FROM t),
+cw AS (SELECT doc_id, count(*) AS n_words, CAST(sum(length(word)) AS BIGINT) AS word_chars, CAST(sum(hit) AS BIGINT) AS n_repeat_words, count(*) FILTER (word = before) AS n_stutter FROM c GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) x WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+a AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_stutter, 0) AS n_stutter, coalesce(n_lines, 0) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals
+  FROM d LEFT JOIN cw ON cw.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 20 * greatest(n_words, 1) OR 100 * n_capitals > 40 * greatest(word_chars, 1) OR 100 * n_stutter > 20 * greatest(n_words, 1)
+    OR (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines) OR word_chars > 25 * greatest(n_words, 1) OR word_chars < 2 * n_words) AS kept
+FROM a
+"""
+
+_ALNUM = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+CONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, {_ALNUM.format(_LOW.format("text"))} AS ws FROM documents),
+b AS (SELECT item_id, {_ALNUM.format(_LOW.format("text"))} AS ws FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(13, len(ws)) AS size, array_to_string(ws[i:i + least(13, len(ws)) - 1], ' ') AS win
+  FROM (SELECT item_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 12))) AS i FROM b WHERE len(ws) > 0) x),
+w AS (SELECT doc_id, size, i, array_to_string(ws[i:i + size - 1], ' ') AS win
+  FROM (SELECT doc_id, size, ws, unnest(generate_series(1, len(ws) - size + 1)) AS i FROM d, (SELECT DISTINCT size FROM p) s WHERE len(ws) >= size) x),
+h AS (SELECT w.doc_id, w.i, w.size, p.item_id FROM w JOIN p ON p.win = w.win AND p.size = w.size),
+k AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + size - 1)) AS place FROM (SELECT DISTINCT doc_id, i, size FROM h) y) x GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) x GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""
+
+PASSAGES_SQL = f"""
+WITH w AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM (SELECT doc_id, {_SPACED.format("text")} AS ws FROM documents) x),
+g AS (SELECT doc_id, i, string_agg(word, ' ') OVER fr AS win, count(*) OVER fr AS n FROM w WINDOW fr AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM g WHERE n = 20),
+c AS (SELECT w.doc_id, w.i, w.word, max(CASE WHEN f.k > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM w LEFT JOIN f ON f.doc_id = w.doc_id AND f.i = w.i),
+s AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '') AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id
+"""
 
 
 CHAT_SQL = r"""
