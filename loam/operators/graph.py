@@ -101,7 +101,7 @@ def _scc_small(edges: DataFrame) -> DataFrame:
         for a, b in zip(rows["from"].tolist(), rows["to"].tolist(), strict=True):
             after.setdefault(a, []).append(b)
         found = [(min(g), n) for g in _tarjan(after) for n in g]
-        return pd.DataFrame(found, columns=["component", "node"])
+        return pd.DataFrame(found, columns=["component", "node"], dtype=object)
 
     return _one_task(edges, walk, f"component {kind}, node {kind}")
 
@@ -200,9 +200,40 @@ def ordered_cycles(cycles: DataFrame, edges: DataFrame) -> DataFrame:
 # -- reachability
 
 
-def reachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
-    """(node): what can be reached from the entries, themselves included.  Only new nodes are carried on."""
-    frontier = written(entries.select("node").distinct(), "reach")
+def _is_small(*tables: DataFrame, limit: int = SMALL_EDGES) -> bool:
+    return all(t.limit(limit + 1).count() <= limit for t in tables)
+
+
+def _reach_small(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    kind = edges.schema["from"].dataType.simpleString()
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        after: dict = {}
+        for a, b in zip(rows["a"].tolist(), rows["b"].tolist(), strict=True):
+            if a:
+                after.setdefault(a[0], []).append(b[0])
+        seen = dict.fromkeys(b[0] for a, b in zip(rows["a"].tolist(), rows["b"].tolist(), strict=True) if not a)
+        queue = list(seen)
+        for node in queue:
+            for other in after.get(node, ()):
+                if other not in seen:
+                    seen[other] = None
+                    queue.append(other)
+        return pd.DataFrame({"node": pd.Series(queue, dtype=object)})
+
+    # one-element arrays keep ids as they are where a side is missing
+    both = edges.select(F.array("from").alias("a"), F.array("to").alias("b")).union(entries.select(F.lit(None).cast(f"array<{kind}>"), F.array("node")))
+    return _one_task(both, lambda rows: walk(rows.assign(a=[list(x) if x is not None else None for x in rows["a"]])), f"node {kind}")
+
+
+def reachable(edges: DataFrame, entries: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
+    """(node): what can be reached from the entries, themselves included.
+
+    Beyond small_edges, in rounds that carry only new nodes on."""
+    edges, entries = edges.select("from", "to").distinct(), entries.select("node").distinct()
+    if _is_small(edges, entries, limit=small_edges):
+        return _reach_small(edges, entries)
+    frontier = written(entries, "reach")
     seen = frontier
     while not frontier.isEmpty():
         step = edges.join(frontier.select(F.col("node").alias("from")), "from").select(F.col("to").alias("node")).distinct()
@@ -226,7 +257,7 @@ def used_names(exports: DataFrame, uses: DataFrame, stars: DataFrame, consumed:
     demand for a name that a file doesn't declare goes on to what it passes on."""
     star_edges = stars.select(F.col("path").alias("from"), "to").distinct()
     whole = reachable(star_edges, consumed.select(F.col("path").alias("node")).distinct())
-    declared = exports.select("path", "name").distinct()
+    declared = written(exports.select("path", "name").distinct(), "declared")
     all_of = declared.join(whole.withColumnRenamed("node", "path"), "path", "left_semi")
     frontier = written(uses.select(F.col("to").alias("path"), "name").distinct(), "demand")
     seen = frontier
@@ -332,7 +363,7 @@ def back_edges(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
                 else:
                     state[node] = 2
                     work.pop()
-        return pd.DataFrame(found, columns=["from", "to"])
+        return pd.DataFrame(found, columns=["from", "to"], dtype=object)
 
     return _one_task(edges.select("from", "to"), walk, f"`from` {kind}, `to` {kind}")
 

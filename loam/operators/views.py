@@ -88,3 +88,23 @@ def cache_delta(files: DataFrame, cached: DataFrame) -> DataFrame:
     """One row: hits and misses of the files' contents."""
     marked = files.join(cached.select("blob", F.lit(1).alias("_hit")).distinct(), "blob", "left")
     return marked.agg(F.count("_hit").alias("hits"), F.count_if(F.col("_hit").isNull()).alias("misses"))
+
+
+def compressed_folders(files: DataFrame) -> DataFrame:
+    """(folder, parent, name): folders with a file of their own or several subfolders; chains between them are joined in the name."""
+    folders = files.select(F.explode(js.ancestors(F.col("path"))).alias("folder")).distinct()
+    children = folders.groupBy(js.dir_name(F.col("folder")).alias("folder")).agg(F.count("*").alias("subfolders"))
+    leaves = files.select(js.dir_name(F.col("path")).alias("folder")).distinct().withColumn("own", F.lit(True))
+    kept = folders.join(children, "folder", "left").join(leaves, "folder", "left").where("own OR coalesce(subfolders, 0) <> 1").select("folder")
+    above = kept.select("folder", F.explode(F.concat(F.array(F.lit("")), js.ancestors(F.col("folder")))).alias("parent"))
+    near = above.join(kept.select(F.col("folder").alias("parent")).union(kept.sparkSession.createDataFrame([("",)], "parent string")), "parent", "left_semi").groupBy("folder").agg(F.max_by("parent", F.length("parent")).alias("parent"))
+    cut = F.when(F.col("parent") == "", 1).otherwise(F.length("parent") + 2)
+    return near.select("folder", "parent", F.substring(F.col("folder"), cut, F.length("folder")).alias("name"))
+
+
+def open_rows(files: DataFrame, opened: DataFrame) -> DataFrame:
+    """(path, depth): files and folders that a tree shows with some folders open; sorted by path they are in its order."""
+    items = files.select("path").union(files.select(F.explode(js.ancestors(F.col("path"))))).distinct()
+    each = items.select("path", F.explode_outer(js.ancestors(F.col("path"))).alias("folder"))
+    shown = each.join(opened.select("folder", F.lit(1).alias("_open")).distinct(), "folder", "left")
+    return shown.groupBy("path").agg(F.count("folder").alias("depth"), F.count("_open").alias("_n")).where("depth = _n").select("path", "depth")

@@ -774,3 +774,120 @@ def prj_format_duration(spark, sf):
 def agg_overview_cards(spark, sf):
     one = T.commits(spark, sf).agg(F.count("*").alias("commits")).crossJoin(T.files(spark, sf).agg(F.count("*").alias("files")))
     return one.crossJoin(_cycles(spark, sf).agg(F.count_distinct("component").alias("cycles"))).crossJoin(_edges(spark, sf).agg(F.count("*").alias("edges")))
+
+
+# -- sources, trees and gates
+
+
+def _code(spark, sf):
+    """A small module made from each document's columns."""
+    docs = table(spark, sf, "documents")
+    text = F.concat(
+        F.lit("import d, { "), "lang", F.lit(", type T as U } from './"), "source", F.lit("'\n/* import x from 'no'\n*/ export const "), "source", F.lit(" = a && b ? 1 : 2 // if\nif (x?.y) { f('|| && ?') }\n"),
+        F.when(F.col("doc_id") % 2 == 0, F.lit("export * from './all'\n")).otherwise("const z = require(\"z\")\n"),
+    )
+    return docs.select("doc_id", text.alias("content"))
+
+
+@query("SELECT doc_id, 4 AS complexity FROM documents")
+def prj_cyclomatic(spark, sf):
+    from ..operators import source as Z
+
+    return _code(spark, sf).select("doc_id", Z.cyclomatic(F.col("content")).alias("complexity"))
+
+
+@query("SELECT doc_id, './' || source AS spec, 'default,' || lang || ',T' AS names, false AS namespace FROM documents UNION ALL SELECT doc_id, 'z', '', true FROM documents WHERE doc_id % 2 = 1")
+def prj_imports(spark, sf):
+    from ..operators import source as Z
+
+    each = _code(spark, sf).select("doc_id", F.explode(Z.imports(Z.blank_comments(F.col("content")))).alias("i"))
+    return each.select("doc_id", "i.spec", F.array_join("i.names", ",").alias("names"), "i.namespace")
+
+
+@query("SELECT doc_id, './all' AS spec FROM documents WHERE doc_id % 2 = 0")
+def prj_stars(spark, sf):
+    from ..operators import source as Z
+
+    return _code(spark, sf).select("doc_id", F.explode(Z.stars(Z.blank_comments(F.col("content")))).alias("spec"))
+
+
+@query("SELECT doc_id, source AS name, 1 AS line FROM documents")
+def prj_exports(spark, sf):
+    """The comment before the export is taken out first, so that it begins its line."""
+    from ..operators import source as Z
+
+    code = F.regexp_replace(_plain_code(), r"\A\s+", "")
+    return _code(spark, sf).select("doc_id", F.explode(Z.exports(code)).alias("e")).select("doc_id", "e.name", "e.line")
+
+
+def _plain_code():
+    from ..operators import source as Z
+
+    return F.regexp_extract(Z.blank_comments(F.col("content")), r"\n\s*\n\s*(export const[^\n]*)", 1)
+
+
+@query("SELECT doc_id, length('import d, { ' || lang || ', type T as U } from ./' || source || 'export const ' || source || ' = a && b ? 1 : 2 if (x?.y) { f(|| && ?) }') AS n FROM documents WHERE doc_id % 2 = 0")
+def prj_blank_comments(spark, sf):
+    """What is left of the first lines without comments, quotes and the last statement, its blanks collapsed."""
+    from ..operators import source as Z
+
+    left = F.regexp_replace(F.regexp_replace(Z.blank_comments(F.col("content")), r"export \* from '[^']*'", ""), "'", "")
+    squeezed = js.trim(F.regexp_replace(left, r"\s+", " "))
+    return _code(spark, sf).where("doc_id % 2 = 0").select("doc_id", (F.length(squeezed) - 1).cast("long").alias("n"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'src/' || lang || '.ts' ELSE 'src/' || lang || '/index.ts' END AS path FROM documents")
+def graph_entry_resolve(spark, sf):
+    docs = table(spark, sf, "documents")
+    names = docs.select("lang").distinct()
+    built = names.select(F.concat(F.lit("src/"), "lang", F.lit(".ts")).alias("path")).union(names.select(F.concat(F.lit("src/"), "lang", F.lit("/index.ts"))))
+    values = docs.select(F.col("doc_id").alias("id"), F.lit("").alias("folder"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("./dist/"), "lang", F.lit(".js"))).otherwise(F.concat(F.lit("lib/"), "lang", F.lit("/index.d.ts"))).alias("value"))
+    return M.first_match(M.entry_candidates(values), built)
+
+
+@query(f"WITH {_FILES}, fo AS (SELECT DISTINCT split_part(path, '/', 1) AS folder FROM f UNION SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM f), ch AS (SELECT split_part(folder, '/', 1) AS folder, count(*) AS n FROM fo WHERE contains(folder, '/') GROUP BY 1) SELECT fo.folder, CASE WHEN contains(fo.folder, '/') AND ch.n > 1 THEN split_part(fo.folder, '/', 1) ELSE '' END AS parent, CASE WHEN contains(fo.folder, '/') AND ch.n > 1 THEN split_part(fo.folder, '/', 2) ELSE fo.folder END AS name FROM fo JOIN ch ON ch.folder = split_part(fo.folder, '/', 1) WHERE contains(fo.folder, '/') OR ch.n > 1")
+def tree_compress(spark, sf):
+    return V.compressed_folders(T.files(spark, sf))
+
+
+@query(f"WITH {_FILES}, it AS (SELECT DISTINCT split_part(path, '/', 1) AS path, 0 AS depth FROM f UNION SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2), 1 FROM f WHERE starts_with(path, 'src1') UNION SELECT path, 2 FROM f WHERE starts_with(path, 'src1') AND contains(path, '/en/')) SELECT path, depth FROM it")
+def tree_rows(spark, sf):
+    files = T.files(spark, sf)
+    opened = files.select(F.explode(js.ancestors(F.col("path"))).alias("folder")).where("folder LIKE 'src1%' AND (folder NOT LIKE '%/%' OR folder LIKE '%/en')").distinct()
+    return V.open_rows(files, opened)
+
+
+@query(f"WITH {_FILES} SELECT 'src1* -> **/de' AS rule, path, 'imports lib/de/x.ts' AS message, 'error' AS severity FROM f WHERE starts_with(path, 'src1') UNION ALL SELECT '**/fr -> lib', path, 'imports lib/de/x.ts', 'warning' FROM f WHERE contains(path, '/fr/')")
+def ext_architecture_rules(spark, sf):
+    from ..operators.gates import ArchitectureRule, violations
+
+    edges = T.files(spark, sf).select(F.col("path").alias("from"), F.lit("lib/de/x.ts").alias("to"))
+    return violations(edges, [ArchitectureRule("src1*", "**/de"), ArchitectureRule("**/fr", "lib", enforced=False)])
+
+
+_COMPARED = "b AS (SELECT l_partkey AS path, count(*) AS n FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1), a AS (SELECT l_partkey AS path, count(*) AS n FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1), c AS (SELECT coalesce(a.path, b.path) AS path, coalesce(b.n, 0) AS before, coalesce(a.n, 0) AS after, coalesce(a.n, 0) - coalesce(b.n, 0) AS change FROM a FULL OUTER JOIN b ON a.path = b.path)"
+
+
+def _compared(spark, sf):
+    from ..operators.gates import compare
+
+    touches = T.commit_files(spark, sf)
+    return compare(H.churn(touches.where("sha % 2 = 0")), H.churn(touches.where("sha % 3 = 0")), "path", "changes")
+
+
+@query(f"WITH {_COMPARED} SELECT * FROM c")
+def ext_compare_runs(spark, sf):
+    return _compared(spark, sf)
+
+
+@query(f"WITH {_COMPARED} SELECT * FROM c WHERE change > 0 AND (before = 0 OR 100 * change > 20 * before)")
+def ext_hotspot_gate(spark, sf):
+    from ..operators.gates import regressions
+
+    return regressions(_compared(spark, sf), 20)
+
+
+@query(f"WITH {_ODD_PATHS} SELECT doc_id FROM o WHERE doc_id % 6 = 4 AND doc_id % 4 = 0")
+def flt_tsconfig_path(spark, sf):
+    path = F.when(F.col("doc_id") % 4 == 0, F.regexp_replace("path", r"package\.json\z", "tsconfig.app.json")).otherwise(F.concat(F.lit("node_modules/"), F.regexp_replace("path", r"package\.json\z", "tsconfig.json")))
+    return _odd_paths(spark, sf).where(S.is_config(path)).select("doc_id")

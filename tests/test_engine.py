@@ -147,6 +147,13 @@ def test_distributed_scc_equals_tarjan(spark, seed):
     assert sorted(map(tuple, G.scc(edges, small_edges=0).collect())) == sorted(map(tuple, G.scc(edges).collect()))
 
 
+def test_distributed_reachability_equals_one_walk(spark):
+    rng = random.Random(3)
+    edges = spark.createDataFrame([(rng.randrange(60), rng.randrange(60)) for _ in range(70)], "`from` long, `to` long")
+    entries = spark.createDataFrame([(1,), (2,), (99,)], "node long")
+    assert sorted(G.reachable(edges, entries, small_edges=0).collect()) == sorted(G.reachable(edges, entries).collect())
+
+
 def test_cycle_paths(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "x"), ("c", "x")], "`from` string, `to` string")
     got = [(r["nodes"], r["path"]) for r in G.ordered_cycles(G.scc(edges), edges).orderBy("position").collect()]
