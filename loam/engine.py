@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,11 @@ class Report:
         for name, df in self.tables.items():
             df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
+    def to_json(self, rows: int = 1000) -> str:
+        """The report as one JSON object, with the first rows of each table; write() is for whole tables."""
+        head = {"rev": self.rev, "branch": self.branch}
+        return json.dumps(head | {name: [json.loads(r) for r in df.limit(rows).toJSON().collect()] for name, df in self.tables.items()})
+
     def to_text(self, rows: int = 15) -> str:
         """The first rows of each table as a terminal shows them."""
         parts = [f"{self.branch or 'detached'} @ {self.rev[:8]}"]

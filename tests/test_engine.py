@@ -1,6 +1,7 @@
 """The catalog against SQL at the smallest scale, the git source end to end, and small cases."""
 
 import glob
+import json
 import os
 import random
 import subprocess
@@ -211,6 +212,7 @@ def test_analyze(spark, repository):
     totals = report["commit_totals"].first()
     assert (totals["total"], totals["valid"], totals["invalid"]) == (4, 3, 1)
     assert "coupling" in report.to_text()
+    assert json.loads(report.to_json())["types"][0]["name"] == "feat"
     with pytest.raises(S.MissingNames):
         engine.analyze(spark, engine.Options(repository, metrics=("none",)))
 
