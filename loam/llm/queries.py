@@ -20,7 +20,7 @@ def tokenizer_path(name: str) -> str:
 URL_RULES = tuple(
     urls.Rule(verdict, text)
     for verdict, text in (
-        ("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"),
+        ("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"),
     )
 )
 
@@ -184,7 +184,7 @@ WITH u AS (
     coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages
 ), r(verdict, host, path) AS (
-  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
 ), f AS (
   SELECT u.page_id, u.host, u.path, r.host || r.path AS rule, r.verdict,
     row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) AS k
