@@ -24,8 +24,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand earlier up to one word; one of which nothing is left goes."""
-    left = line_dedup.dedup_lines(docs).where(F.col("text").isNull() | (F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    """Documents without lines that stand earlier up to one word (short lines: one character); one of which nothing is left goes."""
+    left = line_dedup.dedup_lines(docs, short_lines=True).where(F.col("text").isNull() | (F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

@@ -1,8 +1,9 @@
 """Line deduplication by a deletion-neighbourhood join, with DataFrame functions only.
 
 The unit of editing is a word (a field between spaces) and the edit bound is 1: two lines are the
-same if one word inserted, deleted or replaced makes them equal.  Every line emits the hash of each
-variant with one word deleted, and of itself.  Equal hashes meet: two lines that give one variant by
+same if one word inserted, deleted or replaced makes them equal.  Lines of few words, among them those
+without spaces, are edited by characters, if asked for.  Every line emits the hash of each variant with
+one unit deleted, and of itself.  Equal hashes meet: two lines that give one variant by
 deleting at one place differ in that word, a line that equals the other's variant lacks one word.  The
 pair with the earliest such line is verified on its texts, and the later line goes.
 
@@ -21,8 +22,10 @@ from ..functions.js import let
 from ..session import written
 from .shared import sent_if_small
 
-#: Lines with fewer words are not judged: one word is too much of them.
+#: Lines with fewer words are not edited by words: one word is too much of them.
 MIN_WORDS = 5
+#: Lines with fewer characters are not edited by characters; only their exact copies go.
+MIN_CHARS = 5
 _P = 2147483647
 _BASES = (1000003, 998244353 % _P)
 
@@ -56,28 +59,40 @@ class Places:
         return place.bitwiseAND((1 << 27) - 1).cast("int") if self.packed else place["n"]
 
 
-def _lines(docs: DataFrame, text: str, min_words: int, places: Places) -> DataFrame:
+def _lines(docs: DataFrame, text: str, min_words: int, places: Places, short_lines: bool) -> DataFrame:
     """(p, line) of the lines that are judged."""
     lines = docs.where("_id is not null").select("_id", F.posexplode(F.split(F.col(text), "\n")).alias("n", "line"))
-    return lines.where(_n_words(F.col("line")) >= min_words).select(places.place(F.col("_id"), F.col("n")).alias("p"), "line")
+    judged = F.col("line").rlike(r"[^\x20\x09-\x0D]") if short_lines else _n_words(F.col("line")) >= min_words
+    return lines.where(judged).select(places.place(F.col("_id"), F.col("n")).alias("p"), "line")
 
 
-def _ends(line: Column) -> list[Column]:
-    """Keys of the first and last h words, for h of the line and, at a power of two, of a line one word shorter."""
-    n = _n_words(line)
+def _units(line: Column, min_words: int) -> Column:
+    """The words of a line, or the characters of one of few words, each behind a space, which no word has."""
+    characters = F.transform(F.split(line, ""), lambda c: F.concat(F.lit(" "), c))
+    return F.when(_n_words(line) >= min_words, F.split(line, " ")).otherwise(characters)
+
+
+def _ends(line: Column, min_words: int) -> list[Column]:
+    """Keys of the first and last h units, for h of the line and, at a power of two, of a line one unit shorter.
+
+    Of lines too short for an edit they are null."""
+    by_word = _n_words(line) >= min_words
+    n = F.when(by_word, _n_words(line)).when(F.length(line) >= MIN_CHARS, F.length(line))
     h = F.pow(F.lit(2.0), F.floor(F.log2(n / 2))).cast("int")
     keys = []
     for size, there in ((h, F.lit(True)), ((h / 2).cast("int"), (h * 2 == n) & (n > 3))):
         for side, sign in ((0, 1), (1, -1)):
-            keys.append(F.when(there, F.xxhash64(F.lit(side), size, F.call_function("substring_index", line, F.lit(" "), size * sign))))
+            characters = F.right(line, size) if side else F.left(line, size)
+            end = F.when(by_word, F.call_function("substring_index", line, F.lit(" "), size * sign)).otherwise(characters)
+            keys.append(F.when(there & n.isNotNull(), F.xxhash64(F.lit(side), size, end)))
     return keys
 
 
-def _variants(lines: DataFrame) -> DataFrame:
-    """(key, at, p) for each variant of (p, line); at: the deleted word's place, -1 for the line itself.
+def _variants(lines: DataFrame, min_words: int) -> DataFrame:
+    """(key, at, p) for each variant of (p, line); at: the deleted unit's place, -1 for the line itself.
 
     The key is a polynomial hash modulo two bases, so that all variants of a line cost one pass."""
-    words = lines.select("p", F.split("line", " ").alias("w"))
+    words = lines.select("p", _units(F.col("line"), min_words).alias("w"))
     code = F.transform("w", lambda w: F.pmod(F.xxhash64(w), F.lit(_P)))
     last = lambda a: F.element_at(a, -1)
 
@@ -102,7 +117,7 @@ def _variants(lines: DataFrame) -> DataFrame:
 
 
 def _one_edit(a: Column, b: Column) -> Column:
-    """Whether two arrays of words are at most one edit apart."""
+    """Whether two arrays of units are at most one edit apart."""
     shorter, longer = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
     low, high = F.size(shorter), F.size(longer)
     differ = F.zip_with(shorter, longer, lambda x, y: ~x.eqNullSafe(y))
@@ -112,19 +127,22 @@ def _one_edit(a: Column, b: Column) -> Column:
     return (high - low <= 1) & ((k >= low) | (tail(longer, k + 1, high) == F.when(high == low, tail(shorter, k + 1, low)).otherwise(tail(shorter, k, low))))
 
 
-def find_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def find_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
     """(doc_id, removed): places, from 0, of the lines that go from each document; no row for the others.
 
     A line goes if a line within the edit bound stands earlier: in a document of smaller id, or above it
     in the same one.  Whether the earlier line goes itself doesn't matter.  Rows that share an id have
     the same places, so none of them is earlier; rows of null id or text are left alone.
+
+    Lines under min_words stay, unless short_lines: then exact copies of every line that isn't blank go,
+    and lines under min_words also if they are one character (of MIN_CHARS at least) from an earlier one.
     """
     own = docs.select(F.col(doc_id).alias("_id"), text)
     places = Places(own)
-    lines = _lines(own, text, min_words, places)
+    lines = _lines(own, text, min_words, places, short_lines)
     h1, h2 = _hashes(F.col("line"))
     names = [f"end{k}" for k in range(4)]
-    hashed = lines.select("p", h1.alias("h1"), h2.alias("h2"), *(k.alias(c) for c, k in zip(names, _ends(F.col("line")), strict=True)))
+    hashed = lines.select("p", h1.alias("h1"), h2.alias("h2"), *(k.alias(c) for c, k in zip(names, _ends(F.col("line"), min_words), strict=True)))
     folded = hashed.groupBy("h1", "h2").agg(F.min("p").alias("p"), F.max("p").alias("last"), *(F.first(c).alias(c) for c in names))
     folded = written(folded.select("h1", "h2", "p", (F.col("p") < F.col("last")).alias("copied"), *names), "lines")
 
@@ -135,7 +153,7 @@ def find_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     alike = lines.withColumn("h1", h1).join(sent_if_small(near, 40), "h1").groupBy("line").agg(F.min("p").alias("p"))
     texts = written(alike, "near-lines")
 
-    variants = written(_variants(texts), "variants")  # read twice, made once
+    variants = written(_variants(texts, min_words), "variants")  # read twice, made once
     whole = F.when(F.col("at") == -1, F.col("p"))
     by_key = variants.groupBy("key").agg(F.min("p").alias("any_low"), F.max("p").alias("any_high"), F.min(whole).alias("whole_low")).where("any_low < any_high")
     by_key = written(by_key.select("key", "any_low", "whole_low"), "shared-variants")
@@ -144,7 +162,7 @@ def find_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     best = F.when(F.col("at") == -1, F.col("any_low")).otherwise(F.least("low", "whole_low"))
     pairs = met.join(by_place, ["key", "at"]).withColumn("best", best).where("best < p")
     earliest = pairs.groupBy("p").agg(F.min("best").alias("best"))
-    words = texts.select("p", F.split("line", " ").alias("w"))
+    words = texts.select("p", _units(F.col("line"), min_words).alias("w"))
     checked = earliest.join(words, "p").join(words.select(F.col("p").alias("best"), F.col("w").alias("best_w")), "best")
     later = checked.where(_one_edit(F.col("w"), F.col("best_w"))).select("p", F.lit(True).alias("later")).distinct()
 
@@ -155,14 +173,14 @@ def find_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return removed.groupBy(places.document(F.col("p")).alias(doc_id)).agg(F.array_sort(F.collect_set(places.number(F.col("p")))).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
     """docs with the lines of find_removed() taken out of `text`, and n_lines and n_removed.
 
     Every row stays, with an empty text if all its lines went; a null text stays null, with no
     lines.  Columns of docs named n_lines, n_removed or removed are replaced.
     """
     base = docs.drop("n_lines", "n_removed", "removed")
-    found = find_removed(base, doc_id=doc_id, text=text, min_words=min_words)
+    found = find_removed(base, doc_id=doc_id, text=text, min_words=min_words, short_lines=short_lines)
     joined = base.join(found, doc_id, "left")
     lines = F.split(F.col(text), "\n")
 

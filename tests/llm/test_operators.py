@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loam.llm import automaton, bpe, chat, classifier, contamination, line_dedup, ngram_join, quality_rules, shared, substring_dedup, tokens, urls
+from loam.llm import automaton, bpe, chat, classifier, contamination, line_dedup, ngram_join, quality_rules, queries, shared, substring_dedup, tokens, urls
 
 from .fixtures import as_dict, documents, texts
 
@@ -274,6 +274,53 @@ def test_line_dedup_repeated_rows_and_null_ids(spark):
     assert got == [(0, line, 0), (1, line, 0), (1, line, 0), (2, "", 1)]
 
 
+def removed_of_all_lines(rows):
+    """Lines that an earlier line equals, or is one word or (under 5 words) one character away from."""
+
+    def near(a, b):
+        if min(len(a), len(b)) < 5 or abs(len(a) - len(b)) > 1:
+            return False
+        k = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        return a[k + (len(a) >= len(b)) :] == b[k + (len(b) >= len(a)) :]
+
+    lines = sorted((i, n, x) for i, t in rows if t is not None and i is not None for n, x in enumerate(t.split("\n")) if WORD.search(x))
+    seen, firsts, out = {}, {True: [], False: []}, defaultdict(set)
+    for i, n, x in lines:
+        w = x.split(" ")
+        worded = len(w) >= 5
+        units = w if worded else list(x)
+        if x not in seen:
+            seen[x] = next((o[0] for o in firsts[worded] if near(units, o[1])), None)
+            firsts[worded].append(((i, n), units))
+            first = seen[x]
+        else:
+            first = (-1, -1)  # an exact copy
+        if first is not None and first != (i, n):
+            out[i].add(n)
+    return dict(out)
+
+
+def test_line_dedup_of_all_lines(spark):
+    rng = random.Random(5)
+    url = "https://example.org/" + "abcdefghij" * 30
+    rows = texts() + [f"{url}\nAll rights reserved.\n\n \na\tb\tc\td\te\tf\nok\n日本語の文章です", f"{url}\nAll rights reserved\n\n \na\tb\tc\td\te\tf\nok\n日本語の😀章です", f"x{url[:99]}{url[100:]}\nno\na b c d e\nabcde\nabcd"]
+    for _ in range(30):
+        rows.append("\n".join("".join(rng.choice("ab ") for _ in range(rng.randint(1, 12))) for _ in range(6)))
+    docs = documents(spark, rows)
+    want = removed_of_all_lines([(r["doc_id"], r["text"]) for r in docs.collect()])
+    got = as_dict(line_dedup.dedup_lines(docs, short_lines=True))
+    for r in docs.collect():
+        own, gone = got[r["doc_id"]], want.get(r["doc_id"], set())
+        assert own["text"] == (r["text"] if r["text"] is None else "\n".join(x for k, x in enumerate(r["text"].split("\n")) if k not in gone))
+
+
+def test_line_dedup_query_judges_short_lines(spark):
+    folder = "/root/testdata/sf0.001"
+    want = removed_of_all_lines([tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()])
+    got = as_dict(queries.op7_line_dedup(spark, folder))
+    assert {k: r["n_removed"] for k, r in got.items() if r["n_removed"]} == {k: len(v) for k, v in want.items()}
+
+
 # -- 8
 
 
