@@ -218,9 +218,10 @@ def _link_tasks(rows: DataFrame, percent: int, id_type: T.DataType) -> DataFrame
         key, held, out = None, [], []
 
         def close() -> None:
+            held[:] = [r for r in held if len(r[2])]  # a row without tokens that shares its id with one that has some
             # without its leader's text (a row that is gone) the members still need an anchor
             lead = next((k for k, r in enumerate(held) if r[0] == key[0]), 0)
-            if len(held) > 1 and all(len(r[2]) for r in held):
+            if len(held) > 1:
                 leads = np.arange(len(held)) == lead
                 out.extend(link_group([r[0] for r in held], np.array([r[1] for r in held]), [r[2] for r in held], leads, percent, across=key[1] != key[2]))
 

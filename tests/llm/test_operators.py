@@ -70,6 +70,16 @@ def test_ngram_join_repeated_and_null_ids(spark):
     assert got == [(0, 28, None), (2, 28, 2), (3, 28, 2), (3, 28, 2), (9, 0, 9)]
 
 
+@pytest.mark.parametrize("block", [4096, 1])
+@pytest.mark.parametrize("empty", [None, "", " "])
+def test_ngram_join_empty_row_of_a_repeated_id(spark, empty, block):
+    words = [f"w{k}" for k in range(60)]
+    near = lambda k: " ".join([*words[:k], "new", *words[k + 1 :]])
+    docs = spark.createDataFrame([(5, " ".join(words)), (5, empty), (6, near(59)), (7, near(0))], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join_components(docs, block=block).collect())
+    assert got == [(5, 0, 5), (5, 58, 5), (6, 58, 5), (7, 58, 5)]
+
+
 def test_link_group_across_blocks():
     a = np.arange(100, dtype=np.uint64)
     sets = [a, np.concatenate([a[:90], a[:9] + 1000]), np.concatenate([a[:89], a[:10] + 1000])]
