@@ -1,7 +1,7 @@
 """A corpus pipeline over `documents`: five stages, each over all that the one before it kept.
 
 The rules of each stage are those of its operator: rejected by the quality classifier, lines that
-stand earlier, all but the least id of a group of near copies (word trigrams, similarity 0.9),
+stand earlier, all but the least id of a group of near copies (five words, similarity 0.8),
 benchmark passages, and token ids of what is left.
 """
 
@@ -31,7 +31,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each component of near copies."""
-    groups = ngram_join.join_components(docs.select("doc_id", "text"))
+    groups = ngram_join.join_components(docs.select("doc_id", "text"), words=5, percent=80)
     dropped = written(groups.where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
     return docs.join(sent_if_small(dropped, 40), "doc_id", "left_anti").select(docs.columns)
 

@@ -6,7 +6,8 @@ Index lists.  By the pigeonhole principle, two sets within the similarity share
 at least one of m hash segments of the token space, where m is more than the most tokens in which
 such sets of a size class can differ.  A list holds the sets of one class with one content of one
 segment; lists of one set are dropped.  Segments rather than single tokens are the keys because
-a frequent shingle would make a list of a large part of the corpus.
+a frequent shingle would make a list of a large part of the corpus.  There are some spare segments, so
+that linked sets agree on more than one: a set leaves that many of its lists, those of the most sets.
 
 Answers.  A list's least set is its leader.  Its answers (overlaps with all sets of its lists) are
 computed in full, and those of the others are derived from them: with D(y) the difference of y and
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,15 +77,25 @@ class Classes:
         most = np.array([self.differ(2 * (b - 1)) for b in bounds[1:]])
         #: So many segments may be empty in both sets without being the only ones that agree.
         self.spare = np.where(most < 8, 1, 3)
+        # more where the least sets of a class leave more segments empty: lists of those would hold much of the class
+        few, spare = self.bounds[:-1] > 0, self.spare
+        while few.any():
+            m = most + 1 + spare
+            empty = m * np.exp(-self.bounds[:-1] / m)
+            few = (spare < empty + 2 * np.sqrt(empty)) & (spare < self.bounds[:-1])
+            spare = spare + few * np.maximum(spare // 8, 1)
+        self.spare = np.where(spare < self.bounds[:-1], spare, self.spare)
         self.segments = most + 1 + self.spare
 
     def differ(self, sizes: int) -> int:
         """The most tokens in which two linked sets of together `sizes` tokens differ."""
         return sizes * (100 - self.percent) // (100 + self.percent)
 
-    def keys(self, doc: np.ndarray, token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document, key) of the lists that each set belongs to, sorted by document."""
-        docs, keys = [], []
+    def keys(self, doc: np.ndarray, token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, key, spare) of the lists that each set belongs to, sorted by document.
+
+        spare: of so many lists of its class a set needs not be a member, doubled; plus 1 in the next class."""
+        docs, keys, spares = [], [], []
         own = np.searchsorted(self.bounds, n, side="right") - 1
         place, salt = W.mix(token, 11) >> np.uint64(32), W.mix(token, 12)
         for up in (0, 1):
@@ -104,10 +115,13 @@ class Classes:
             out = (count > 0) | (empty > self.spare[np.maximum(c, 0)])[of]
             label = W.mix((c[of] << 32 | segment).astype(np.uint64), 13)
             docs.append(of[out])
+            # segments empty in both sets agree too, but make no list
+            left = np.maximum(self.spare[np.maximum(c, 0)] - empty, 0)
+            spares.append((2 * left + up)[of[out]])
             keys.append(W.join_hash(label, content + count.astype(np.uint64))[out])
-        docs, keys = np.concatenate(docs), np.concatenate(keys)
+        docs, keys, spares = np.concatenate(docs), np.concatenate(keys), np.concatenate(spares)
         order = np.argsort(docs, kind="stable")
-        return docs[order], keys[order]
+        return docs[order], keys[order], spares[order]
 
 
 def _lists(rows: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
@@ -117,7 +131,7 @@ def _lists(rows: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) -> p
 
 
 def describe_sets(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
-    """(id, n_shingles, f1, f2, keys) of each row: set size, a 128-bit fingerprint of the set, and its lists."""
+    """(id, n_shingles, f1, f2, keys, spares) of each row: set size, a 128-bit fingerprint of the set, and its lists."""
     classes = Classes(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,14 +141,14 @@ def describe_sets(docs: DataFrame, doc_id: str, text: str, words: int, percent:
             n, f1, f2 = np.bincount(doc, minlength=rows), np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
             np.add.at(f1, doc, W.mix(token, 21))
             np.add.at(f2, doc, W.mix(token, 22))
-            of, keys = classes.keys(doc, token, n)
+            of, keys, spares = classes.keys(doc, token, n)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), _lists(of, keys.view(np.int64), rows, pa.int64())],
-                names=["id", "n_shingles", "f1", "f2", "keys"],
+                [part.column("id"), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), _lists(of, keys.view(np.int64), rows, pa.int64()), _lists(of, spares, rows, pa.int64())],
+                names=["id", "n_shingles", "f1", "f2", "keys", "spares"],
             )
 
     own = docs.select(F.col(doc_id).alias("id"), text)
-    schema = own.select("id").schema.add("n_shingles", "long").add("f1", "long").add("f2", "long").add("keys", T.ArrayType(T.LongType()))
+    schema = own.select("id").schema.add("n_shingles", "long").add("f1", "long").add("f2", "long").add("keys", T.ArrayType(T.LongType())).add("spares", T.ArrayType(T.LongType()))
     return own.mapInArrow(run, schema)
 
 
@@ -250,9 +264,15 @@ def find_links(docs: DataFrame, sets: DataFrame, *, doc_id: str, text: str, word
     firsts = written(usable.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("rep")), "firsts")
     copies = usable.join(firsts, ["f1", "f2", "n_shingles"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
-    keyed = usable.select("id", "keys").join(firsts.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("keys").alias("key"))
-    lists = written(keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("leader")).where("c > 1").select("key", "leader"), "lists")
-    members = written(keyed.join(sent_if_small(lists, 40), "key").select("leader", "id").distinct(), "members")
+    zipped = usable.select("id", F.arrays_zip("keys", "spares").alias("own")).join(firsts.select(F.col("rep").alias("id")), "id", "left_semi")
+    keyed = zipped.select("id", F.explode("own").alias("k")).select("id", "k.*").withColumnRenamed("keys", "key")
+    lists = written(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "lists")
+    shared = keyed.join(sent_if_small(lists, 40), "key")
+    # in one order for all sets, so that what either of two linked sets leaves out is less than what they share
+    rank = F.row_number().over(Window.partitionBy("id", F.col("spares") % 2).orderBy(F.desc("c"), "key"))
+    kept = written(shared.withColumn("rank", rank).where("rank > floor(spares / 2)").select("key", "id"), "kept")
+    leaders = written(kept.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("leader")).where("c > 1").select("key", "leader"), "leaders")
+    members = written(kept.join(sent_if_small(leaders, 40), "key").select("leader", "id").distinct(), "members")
     per_leader = members.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = members.join(per_leader.where("blocks > 1"), "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")

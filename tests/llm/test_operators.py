@@ -63,6 +63,24 @@ def test_ngram_join(spark, percent, block):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize(("percent", "k"), [(80, 5), (90, 3)])
+def test_ngram_join_of_spare_segments(spark, percent, k):
+    rng = random.Random(percent)
+    rows = []
+    for n in (8, 25, 60, 150, 400):
+        for _ in range(4):
+            base = [f"w{rng.randrange(3000)}" for _ in range(n)]
+            for _ in range(6):  # about as many changes as the similarity allows, in texts that share passages with others
+                v = list(base)
+                for _ in range(rng.randint(0, n // 36 + 1)):
+                    v[rng.randrange(n)] = f"e{rng.randrange(40)}"
+                rows.append(" ".join([*v, *(f"p{rng.randrange(3)}" for _ in range(n // 40))]))
+    docs = documents(spark, rows)
+    want = components_of([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()], percent, k)
+    got = ngram_join.join_components(docs, words=k, percent=percent)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
+
+
 def test_ngram_join_repeated_and_null_ids(spark):
     text = " ".join(f"w{k}" for k in range(30))
     docs = spark.createDataFrame([(3, text), (3, text), (2, text), (None, text), (9, None)], "doc_id long, text string")

@@ -74,6 +74,18 @@ def test_near_copy_stage(stages):
     assert after == {k: v for k, v in before.items() if groups[k][1] == k}
 
 
+def test_near_copy_stage_takes_five_words_at_80_percent(spark, stages):
+    text = [f"w{k}" for k in range(500)]
+    # scattered changes: word trigrams at 0.9 accept 8, five words at 0.8 accept 11
+    rows = [(n + 1, " ".join(f"x{n}" if k % 40 == 7 and k // 40 < n else w for k, w in enumerate(text)), "en", "s", 0) for n in (0, 9, 11, 12)]
+    docs = spark.createDataFrame(rows, stages[0].schema)
+    want = {k for k, (_, least) in components_of([r[:2] for r in rows], 80, 5).items() if k == least}
+    assert rows_of(corpus_pipeline.ngram_jaccard(spark, docs, SF)).keys() == want == {1, 13}
+    before, after = rows_of(stages[2]), rows_of(stages[3])
+    groups = components_of([(k, v["text"]) for k, v in before.items()], 80, 5)
+    assert after == {k: v for k, v in before.items() if groups[k][1] == k}
+
+
 def test_decontamination_stage(spark, stages):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = set()
