@@ -73,10 +73,7 @@ class Stats:
         doc = np.searchsorted(w.offsets, start, side="right") - 1
         stops = np.union1d(breaks, w.offsets[1:])
         end = stops[np.searchsorted(stops, start, side="right")]
-        up, down = W._power_table(W._BASE, len(w.data)), W._power_table(W._BASE_INV, len(w.data))
-        total = np.zeros(len(w.data) + 1, np.uint64)
-        np.cumsum((w.data.astype(np.uint64) + np.uint64(1)) * up[: len(w.data)], out=total[1:])
-        return doc, W.mix((total[end] - total[start]) * down[start]) + (end - start).astype(np.uint64)
+        return doc, W.span_hash(w.data, start, end)
 
     def _n_dup_lines(self):
         doc, h = self.lines

@@ -15,19 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power_table(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64, kept per worker and grown when a longer text comes."""
-    table = _powers.get(base)
-    if table is None or len(table) <= n:
-        steps = np.full(max(n + 1, 1 << 16), base, dtype=_U)
-        steps[0] = 1
-        table = _powers[base] = np.multiply.accumulate(steps)
-    return table
+#: 8-byte pieces that are hashed in one step, at most, or one longer span.
+_STEP = 1 << 19
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -43,6 +32,32 @@ def join_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * _U(0x2545F4914F6CDD1D) + right)
 
 
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans data[start : end], by their bytes alone.
+
+    A span is the sum of its 8-byte pieces, each mixed with its own place, and not a polynomial in one
+    base: words like those of Thue and Morse, which collide for every base modulo 2 ** 64, don't here."""
+    length = end - start
+    pieces = (length + 7) >> 3
+    out, ends = np.zeros(len(start), _U), np.cumsum(pieces)
+    eights = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _STEP, side="right")))
+        own = pieces[a:b]
+        first = np.cumsum(own) - own
+        place = np.arange(own.sum()) - np.repeat(first, own)
+        here = eights[np.repeat(start[a:b], own) + 8 * place]
+        spare = np.maximum(8 * (place + 1) - np.repeat(length[a:b], own), 0).astype(_U)
+        here &= _U(0xFFFFFFFFFFFFFFFF) >> (_U(8) * spare)
+        values = mix(here + place.astype(_U) * _U(0xA0761D6478BD642F), 5)
+        full = np.flatnonzero(own)
+        if len(full):
+            out[a + full] = np.add.reduceat(values, first[full])
+        a = b
+    return mix(mix(out, 2) + length.astype(_U), 3)
+
+
 def _class(inside) -> np.ndarray:
     return np.array([bool(inside(b)) for b in range(256)])
 
@@ -134,11 +149,7 @@ def words_of(column: pa.Array, inside: np.ndarray = SPACED, lower: bool = False)
     end[edge - 1] |= word[edge - 1]
     first, last = np.flatnonzero(start), np.flatnonzero(end) + 1
     doc = np.searchsorted(offsets, first, side="right") - 1
-    up, down = _power_table(_BASE, len(data)), _power_table(_BASE_INV, len(data))
-    total = np.zeros(len(data) + 1, _U)
-    np.cumsum(data.astype(_U) * up[: len(data)], out=total[1:])
-    h = mix((total[last] - total[first]) * down[first], 2) + (last - first).astype(_U)
-    return Words(data, offsets, first, last, doc, mix(h, 3))
+    return Words(data, offsets, first, last, doc, span_hash(data, first, last))
 
 
 def sort_within(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
