@@ -102,8 +102,28 @@ def test_link_group_across_blocks():
     a = np.arange(100, dtype=np.uint64)
     sets = [a, np.concatenate([a[:90], a[:9] + 1000]), np.concatenate([a[:89], a[:10] + 1000])]
     sets = [np.sort(s) for s in sets]
-    found = ngram_join.link_group([1, 2, 3], np.array([0, 0, 1]), sets, np.array([True, False, False]), 90, across=True)
-    assert found == [(3, 2)]
+    found, open_ = ngram_join.link_group([1, 2, 3], sets, 0, 90, np.array([False, False, True]))
+    assert found == [(3, 2)] and open_.tolist() == [1, 2]
+
+
+@pytest.mark.parametrize("block_tokens", [1 << 20, 700])
+def test_ngram_join_of_large_groups(spark, monkeypatch, block_tokens):
+    """Crowded lists, keys dealt in many parts, and links across blocks between sets that don't link to their leader."""
+    monkeypatch.setattr(ngram_join, "HELD", 500)
+    rng = random.Random(block_tokens)
+    base = [f"w{k}" for k in range(150)]
+    rows = [" ".join(base)] * 40 + ["", None]
+    for k in range(120):  # chains of texts, each a few words from the one before it
+        v = list(base)
+        for j in range(k % 30):
+            v[(7 * j + 40 * (k // 30)) % 150] = f"c{k // 30}.{j}"
+        rows.append(" ".join(v))
+    rows += [" ".join(base[:100] + [f"x{rng.randrange(10**6)}" for _ in range(50)]) for _ in range(60)]
+    docs = documents(spark, rows)
+    for words, percent in ((3, 90), (5, 80)):
+        want = components_of([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()], percent, words)
+        got = ngram_join.join_components(docs, words=words, percent=percent, block_tokens=block_tokens)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
 
 
 # -- 2
