@@ -31,6 +31,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each component of near copies."""
+    ship(spark)
     groups = ngram_join.join_components(docs.select("doc_id", "text"), words=5, percent=80)
     dropped = written(groups.where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
     return docs.join(sent_if_small(dropped, 40), "doc_id", "left_anti").select(docs.columns)
@@ -43,6 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of them and of what they decode to."""
+    ship(spark)
     coded = bpe.round_trip(docs, tokenizer_path("byte_bpe_50k.json"), ids="ids")
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
