@@ -2,10 +2,11 @@
 
 The unit of editing is a word (a field between spaces) and the edit bound is 1: two lines are the
 same if one word inserted, deleted or replaced makes them equal.  Lines of few words, among them those
-without spaces, are edited by characters, if asked for.  Every line emits the hash of each variant with
+without spaces, are edited by characters.  Every line emits the hash of each variant with
 one unit deleted, and of itself.  Equal hashes meet: two lines that give one variant by
 deleting at one place differ in that word, a line that equals the other's variant lacks one word.  The
-pair with the earliest such line is verified on its texts, and the later line goes.
+pair with the earliest such line is verified on its texts (if that one is none, the other ones
+too), and the later line goes.
 
 Before variants are made, exact copies are folded into one line, and lines are left out that can't
 have a partner: after one edit, the first or the last h words still agree (h: a power of two up to
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.js import let
 from ..session import written
-from .shared import sent_if_small
+from .shared import sent_if_small, told_apart
 
 #: Lines with fewer words are not edited by words: one word is too much of them.
 MIN_WORDS = 5
@@ -59,11 +60,10 @@ class Places:
         return place.bitwiseAND((1 << 27) - 1).cast("int") if self.packed else place["n"]
 
 
-def _lines(docs: DataFrame, text: str, min_words: int, places: Places, short_lines: bool) -> DataFrame:
-    """(p, line) of the lines that are judged."""
+def _lines(docs: DataFrame, text: str, places: Places) -> DataFrame:
+    """(p, line) of the lines that are judged: those that aren't blank."""
     lines = docs.where("_id is not null").select("_id", F.posexplode(F.split(F.col(text), "\n")).alias("n", "line"))
-    judged = F.col("line").rlike(r"[^\x20\x09-\x0D]") if short_lines else _n_words(F.col("line")) >= min_words
-    return lines.where(judged).select(places.place(F.col("_id"), F.col("n")).alias("p"), "line")
+    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select(places.place(F.col("_id"), F.col("n")).alias("p"), "line")
 
 
 def _units(line: Column, min_words: int) -> Column:
@@ -91,18 +91,19 @@ def _ends(line: Column, min_words: int) -> list[Column]:
 def _variants(lines: DataFrame, min_words: int) -> DataFrame:
     """(key, at, p) for each variant of (p, line); at: the deleted unit's place, -1 for the line itself.
 
-    The key is a polynomial hash modulo two bases, so that all variants of a line cost one pass."""
+    The key is a pair of polynomial hashes of two codes of the units, so that all variants of a line cost one pass."""
     words = lines.select("p", _units(F.col("line"), min_words).alias("w"))
-    code = F.transform("w", lambda w: F.pmod(F.xxhash64(w), F.lit(_P)))
+    codes = [F.transform("w", lambda w: F.pmod(F.xxhash64(w), F.lit(_P))), F.transform("w", lambda w: F.pmod(F.xxhash64(F.lit(1), w), F.lit(_P)))]
     last = lambda a: F.element_at(a, -1)
 
-    def sums(base: int) -> Column:
+    def sums(code: str, base: int) -> Column:
         start = F.struct(F.array(F.lit(0).cast("long")).alias("sum"), F.array(F.lit(1).cast("long")).alias("power"))
         return F.aggregate(
-            "code", start, lambda s, c: F.struct(F.array_append(s["sum"], (last(s["sum"]) * base + c) % _P).alias("sum"), F.array_append(s["power"], last(s["power"]) * base % _P).alias("power"))
+            code, start, lambda s, c: F.struct(F.array_append(s["sum"], (last(s["sum"]) * base + c) % _P).alias("sum"), F.array_append(s["power"], last(s["power"]) * base % _P).alias("power"))
         )
 
-    made = words.select("p", F.size("w").alias("m"), code.alias("code")).select("p", "m", *(sums(b).alias(f"s{k}") for k, b in enumerate(_BASES)))
+    coded = words.select("p", F.size("w").alias("m"), *(c.alias(f"code{k}") for k, c in enumerate(codes)))
+    made = coded.select("p", "m", *(sums(f"code{k}", b).alias(f"s{k}") for k, b in enumerate(_BASES)))
     each = made.select("p", "m", "s0", "s1", F.explode(F.sequence(F.lit(0), F.col("m"))).alias("i"))
 
     def key(s: str) -> Column:
@@ -127,19 +128,18 @@ def _one_edit(a: Column, b: Column) -> Column:
     return (high - low <= 1) & ((k >= low) | (tail(longer, k + 1, high) == F.when(high == low, tail(shorter, k + 1, low)).otherwise(tail(shorter, k, low))))
 
 
-def find_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
+def find_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, removed): places, from 0, of the lines that go from each document; no row for the others.
 
-    A line goes if a line within the edit bound stands earlier: in a document of smaller id, or above it
-    in the same one.  Whether the earlier line goes itself doesn't matter.  Rows that share an id have
-    the same places, so none of them is earlier; rows of null id or text are left alone.
-
-    Lines under min_words stay, unless short_lines: then exact copies of every line that isn't blank go,
-    and lines under min_words also if they are one character (of MIN_CHARS at least) from an earlier one.
+    A line that isn't blank goes if it equals a line that stands earlier (in a document of smaller id, or
+    above it in the same one), or is within one edit of one: of a word, in lines of min_words or more,
+    of a character in shorter ones of MIN_CHARS or more.  Whether the earlier line goes itself
+    doesn't matter.  Ids must tell different texts apart, as dedup_lines() sees to; equal rows have
+    the same places, so none of them is earlier.  Rows of null id or text are left alone.
     """
     own = docs.select(F.col(doc_id).alias("_id"), text)
     places = Places(own)
-    lines = _lines(own, text, min_words, places, short_lines)
+    lines = _lines(own, text, places)
     h1, h2 = _hashes(F.col("line"))
     names = [f"end{k}" for k in range(4)]
     hashed = lines.select("p", h1.alias("h1"), h2.alias("h2"), *(k.alias(c) for c, k in zip(names, _ends(F.col("line"), min_words), strict=True)))
@@ -161,10 +161,19 @@ def find_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     by_place = met.groupBy("key", "at").agg(F.min("p").alias("low"))
     best = F.when(F.col("at") == -1, F.col("any_low")).otherwise(F.least("low", "whole_low"))
     pairs = met.join(by_place, ["key", "at"]).withColumn("best", best).where("best < p")
-    earliest = pairs.groupBy("p").agg(F.min("best").alias("best"))
     words = texts.select("p", _units(F.col("line"), min_words).alias("w"))
-    checked = earliest.join(words, "p").join(words.select(F.col("p").alias("best"), F.col("w").alias("best_w")), "best")
-    later = checked.where(_one_edit(F.col("w"), F.col("best_w"))).select("p", F.lit(True).alias("later")).distinct()
+
+    def check(pairs: DataFrame) -> DataFrame:
+        beside = pairs.join(words, "p").join(words.select(F.col("p").alias("best"), F.col("w").alias("best_w")), "best")
+        return beside.select("p", _one_edit(F.col("w"), F.col("best_w")).alias("ok"))
+
+    checked = written(check(pairs.groupBy("p").agg(F.min("best").alias("best"))), "checked")
+    later, failed = checked.where("ok").select("p"), checked.where("not ok").select("p")
+    if not failed.isEmpty():  # keys that coincide: rare, and all that meet such a line are looked at
+        own_keys = met.join(failed, "p").select("key", "at", "p")
+        more = own_keys.join(met.select("key", F.col("at").alias("other"), F.col("p").alias("best")), "key").where("best < p and (at = other or at = -1 or other = -1)")
+        later = later.union(check(more.select("p", "best").distinct()).where("ok").select("p").distinct())
+    later = later.withColumn("later", F.lit(True))
 
     # of a line that goes, every copy goes; of one that stays, all but the first
     gone = folded.join(later, "p", "left").where("copied or later").select("h1", "h2", F.col("p").alias("first"), "later")
@@ -173,24 +182,28 @@ def find_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return removed.groupBy(places.document(F.col("p")).alias(doc_id)).agg(F.array_sort(F.collect_set(places.number(F.col("p")))).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the lines of find_removed() taken out of `text`, and n_lines and n_removed.
 
     Every row stays, with an empty text if all its lines went; a null text stays null, with no
-    lines.  Columns of docs named n_lines, n_removed or removed are replaced.
+    lines.  Different texts of one id are judged one after the other, in the order of their hashes;
+    equal rows are judged alike.  Columns of docs named n_lines or n_removed are replaced.
     """
-    base = docs.drop("n_lines", "n_removed", "removed")
-    found = find_removed(base, doc_id=doc_id, text=text, min_words=min_words, short_lines=short_lines)
-    joined = base.join(found, doc_id, "left")
+    base, own = docs.drop("n_lines", "n_removed"), doc_id
+    apart = told_apart(base, doc_id, text, "_loam_row")
+    if apart is not None:
+        base, own = apart, "_loam_row"
+    found = find_removed(base, doc_id=own, text=text, min_words=min_words).withColumnRenamed("removed", "_loam_removed")
+    joined = base.join(found, own, "left")
     lines = F.split(F.col(text), "\n")
 
-    def rest(own: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("removed"))
-        return F.array_join(F.transform(left, lambda k: F.get(own, k)), "\n")
+    def rest(each: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(each) - 1), F.col("_loam_removed"))
+        return F.array_join(F.transform(left, lambda k: F.get(each, k)), "\n")
 
     out = joined.withColumns({
         "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).cast("long"),
-        "n_removed": F.coalesce(F.size("removed"), F.lit(0)).cast("long"),
-        text: F.when(F.col("removed").isNull(), F.col(text)).otherwise(let(lines, rest)),
+        "n_removed": F.coalesce(F.size("_loam_removed"), F.lit(0)).cast("long"),
+        text: F.when(F.col("_loam_removed").isNull(), F.col(text)).otherwise(let(lines, rest)),
     })
-    return out.select(*base.columns, "n_lines", "n_removed")
+    return out.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")

@@ -20,6 +20,19 @@ def sent_if_small(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES
     return F.broadcast(table) if (table.count() if rows is None else rows) * row_bytes <= limit else table
 
 
+def told_apart(docs: DataFrame, doc_id: str, text: str, to: str) -> DataFrame | None:
+    """docs with `to`, an integer for each different (id, text), in the order of ids; None if ids tell texts apart themselves.
+
+    Texts of one id are in the order of their hashes; equal rows have one number, rows of null id none."""
+    hashes = [F.xxhash64(text).alias("_t"), F.xxhash64(F.lit(1), text).alias("_u")]
+    own = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_i"), *hashes)
+    if own.groupBy("_i").agg(F.min("_t").alias("a"), F.max("_t").alias("b")).where("a < b").isEmpty():
+        return None
+    in_order = own.distinct().repartitionByRange("_i", "_t", "_u").sortWithinPartitions("_i", "_t", "_u")
+    numbers = written(in_order.withColumn(to, F.monotonically_increasing_id()), "numbers")
+    return docs.withColumns({"_i": F.col(doc_id), "_t": hashes[0], "_u": hashes[1]}).join(numbers, ["_i", "_t", "_u"], "left").drop("_i", "_t", "_u")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of every node of the undirected edges (a, b); component: the least node of it.
 

@@ -277,19 +277,28 @@ def test_segment_tree_sizes_agree():
 # -- 7
 
 
-def removed_lines(rows, min_words=5):
-    """Lines that are at most one word away from a line that stands earlier."""
+def removed_of_all_lines(rows):
+    """Lines that an earlier line equals, or is one word or (under 5 words) one character away from."""
 
     def near(a, b):
-        if abs(len(a) - len(b)) > 1:
+        if min(len(a), len(b)) < 5 or abs(len(a) - len(b)) > 1:
             return False
         k = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         return a[k + (len(a) >= len(b)) :] == b[k + (len(b) >= len(a)) :]
 
-    lines = sorted((i, n, x.split(" ")) for i, t in rows if t is not None and i is not None for n, x in enumerate(t.split("\n")))
-    lines, out = [x for x in lines if len(x[2]) >= min_words], defaultdict(set)
-    for k, (i, n, w) in enumerate(lines):
-        if any(near(w, o[2]) and o[:2] < (i, n) for o in lines[:k]):
+    lines = sorted((i, n, x) for i, t in rows if t is not None and i is not None for n, x in enumerate(t.split("\n")) if WORD.search(x))
+    seen, firsts, out = {}, {True: [], False: []}, defaultdict(set)
+    for i, n, x in lines:
+        w = x.split(" ")
+        worded = len(w) >= 5
+        units = w if worded else list(x)
+        if x not in seen:
+            seen[x] = next((o[0] for o in firsts[worded] if near(units, o[1])), None)
+            firsts[worded].append(((i, n), units))
+            first = seen[x]
+        else:
+            first = (-1, -1)  # an exact copy
+        if first is not None and first != (i, n):
             out[i].add(n)
     return dict(out)
 
@@ -303,7 +312,7 @@ def test_line_dedup(spark, shift):
     docs = documents(spark, rows)
     if shift:  # ids too far apart to be packed
         docs = docs.withColumn("doc_id", F.col("doc_id") * (shift // 64))
-    want = removed_lines([(r["doc_id"], r["text"]) for r in docs.collect()])
+    want = removed_of_all_lines([(r["doc_id"], r["text"]) for r in docs.collect()])
     got = as_dict(line_dedup.dedup_lines(docs))
     assert len(got) == len(rows)
     for r in docs.collect():
@@ -322,30 +331,24 @@ def test_line_dedup_repeated_rows_and_null_ids(spark):
     assert got == [(0, line, 0), (1, line, 0), (1, line, 0), (2, "", 1)]
 
 
-def removed_of_all_lines(rows):
-    """Lines that an earlier line equals, or is one word or (under 5 words) one character away from."""
+def test_line_dedup_of_one_id_with_different_texts(spark):
+    copied = "a line that stands in the first document"
+    rows = [(1, copied), (2, f"only here, in one of two\n{copied}"), (2, "first of the other row\nnothing else has this second line"), (2, "first of the other row\nnothing else has this second line"), (None, copied)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("removed", F.lit("own"))
+    got = sorted((r["doc_id"] or 0, r["text"], r["n_removed"], r["removed"]) for r in line_dedup.dedup_lines(docs).collect())
+    other = (2, rows[2][1], 0, "own")
+    assert got == sorted([(0, copied, 0, "own"), (1, copied, 0, "own"), (2, "only here, in one of two", 1, "own"), other, other])
 
-    def near(a, b):
-        if min(len(a), len(b)) < 5 or abs(len(a) - len(b)) > 1:
-            return False
-        k = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-        return a[k + (len(a) >= len(b)) :] == b[k + (len(b) >= len(a)) :]
 
-    lines = sorted((i, n, x) for i, t in rows if t is not None and i is not None for n, x in enumerate(t.split("\n")) if WORD.search(x))
-    seen, firsts, out = {}, {True: [], False: []}, defaultdict(set)
-    for i, n, x in lines:
-        w = x.split(" ")
-        worded = len(w) >= 5
-        units = w if worded else list(x)
-        if x not in seen:
-            seen[x] = next((o[0] for o in firsts[worded] if near(units, o[1])), None)
-            firsts[worded].append(((i, n), units))
-            first = seen[x]
-        else:
-            first = (-1, -1)  # an exact copy
-        if first is not None and first != (i, n):
-            out[i].add(n)
-    return dict(out)
+def test_line_dedup_of_keys_that_coincide(spark, monkeypatch):
+    """With 11 codes for all words most candidates are none, and the true ones further on must be found."""
+    monkeypatch.setattr(line_dedup, "_P", 11)
+    monkeypatch.setattr(line_dedup, "_BASES", (3, 5))
+    rng = random.Random(8)
+    docs = documents(spark, ["\n".join(" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(5, 7))) for _ in range(8)) for _ in range(40)])
+    want = removed_of_all_lines([(r["doc_id"], r["text"]) for r in docs.collect()])
+    got = as_dict(line_dedup.dedup_lines(docs))
+    assert {k: r["n_removed"] for k, r in got.items() if r["n_removed"]} == {k: len(v) for k, v in want.items()}
 
 
 def test_line_dedup_of_all_lines(spark):
@@ -356,7 +359,7 @@ def test_line_dedup_of_all_lines(spark):
         rows.append("\n".join("".join(rng.choice("ab ") for _ in range(rng.randint(1, 12))) for _ in range(6)))
     docs = documents(spark, rows)
     want = removed_of_all_lines([(r["doc_id"], r["text"]) for r in docs.collect()])
-    got = as_dict(line_dedup.dedup_lines(docs, short_lines=True))
+    got = as_dict(line_dedup.dedup_lines(docs))
     for r in docs.collect():
         own, gone = got[r["doc_id"]], want.get(r["doc_id"], set())
         assert own["text"] == (r["text"] if r["text"] is None else "\n".join(x for k, x in enumerate(r["text"].split("\n")) if k not in gone))

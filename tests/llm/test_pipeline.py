@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from loam.llm.queries import op8_quality_classifier
 
-from .test_operators import components_of, low, removed_lines, removed_of_all_lines
+from .test_operators import components_of, low, removed_of_all_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,29 +51,12 @@ def test_quality_stage(spark, stages):
 
 
 def test_line_stage(stages):
-    before, after = rows_of(stages[1]), rows_of(stages[2])
-    gone = removed_lines([(k, v["text"]) for k, v in before.items()])
-    for k, v in before.items():
-        text = "\n".join(x for n, x in enumerate(v["text"].split("\n")) if n not in gone.get(k, ()))
-        if k in gone and not text.strip():
-            assert k not in after
-        else:
-            assert after[k] == v | {"text": text, "n_chars": len(text)}
-
-
-def test_line_stage_judges_short_lines(stages):
     before, after = rows_of(stages[1]), rows_of(stages[2])
     gone = removed_of_all_lines([(k, v["text"]) for k, v in before.items()])
     text = {k: "\n".join(x for n, x in enumerate(v["text"].split("\n")) if n not in gone.get(k, ())) for k, v in before.items()}
     assert after == {k: v | {"text": text[k], "n_chars": len(text[k])} for k, v in before.items() if k not in gone or text[k].strip()}
 
 
-def test_near_copy_stage(stages):
-    before, after = rows_of(stages[2]), rows_of(stages[3])
-    groups = components_of([(k, v["text"]) for k, v in before.items()])
-    assert after == {k: v for k, v in before.items() if groups[k][1] == k}
-
-
 def test_near_copy_stage_takes_five_words_at_80_percent(spark, stages):
     text = [f"w{k}" for k in range(500)]
     # scattered changes: word trigrams at 0.9 accept 8, five words at 0.8 accept 11
