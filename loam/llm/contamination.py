@@ -27,10 +27,10 @@ _LANE = 256
 
 
 class Table:
-    """Shift and bucket tables of all patterns of one length; words are 64-bit hashes."""
+    """Shift and bucket tables of all patterns of one length; words are 64-bit hashes, and behind them their bytes."""
 
-    def __init__(self, patterns: np.ndarray, items: list[np.ndarray]):
-        """patterns: one row of word hashes each, distinct; items: the item numbers that hold it."""
+    def __init__(self, patterns: np.ndarray, items: list[np.ndarray], words: list[tuple[bytes, ...]]):
+        """patterns: one row of word hashes each, distinct; items: the item numbers that hold it; words: its words."""
         self.m = patterns.shape[1]
         self.block = min(2, self.m)
         keys, shifts = [], []
@@ -48,10 +48,19 @@ class Table:
         self.suffix = suffix[self.order]
         self.patterns = patterns[self.order]
         self.items = [items[k] for k in self.order]
+        self.words = [words[k] for k in self.order]
 
     def _key(self, rows: np.ndarray, end: int) -> np.ndarray:
         return rows[:, end] if self.block == 1 else W.join_hash(rows[:, end - 1], rows[:, end])
 
+    def confirmed(self, w: W.Words, ends: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Which of the occurrences that find() gives have the pattern's own words, byte for byte."""
+        raw, same = w.data.tobytes() if len(ends) else b"", np.ones(len(ends), bool)
+        for k, (end, pattern) in enumerate(zip(ends.tolist(), found.tolist(), strict=True)):
+            first = end - self.m + 1
+            same[k] = all(raw[a:b] == own for a, b, own in zip(w.start[first : end + 1].tolist(), w.end[first : end + 1].tolist(), self.words[pattern], strict=True))
+        return same
+
     def find(self, h: np.ndarray, block: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(end place, pattern) of all occurrences.  h: word hashes; block: block hash ending at each
         place; first and stop: for every lane, the first window end and the place after the last."""
@@ -80,12 +89,15 @@ class Table:
 def build_tables(texts: list[str], window: int = 13) -> list[Table]:
     """Tables for the items, by pattern length; item numbers are places in texts."""
     w = W.words_of(pa.array(texts, pa.string()), W.ALNUM, lower=True)
-    first, patterns = w.first(), defaultdict(lambda: defaultdict(set))
+    raw, first, patterns = w.data.tobytes(), w.first(), defaultdict(lambda: defaultdict(set))
+    words = [raw[a:b] for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)]
     for item in range(len(texts)):
-        h = w.hash[first[item] : first[item + 1]]
-        for k in range(max(1, len(h) - window + 1) if len(h) else 0):
-            patterns[min(window, len(h))][h[k : k + window].tobytes()].add(item)
-    return [Table(np.array([np.frombuffer(p, np.uint64) for p in found]), [np.array(sorted(x)) for x in found.values()]) for _, found in sorted(patterns.items())]
+        own = words[first[item] : first[item + 1]]
+        for k in range(max(1, len(own) - window + 1) if own else 0):
+            patterns[min(window, len(own))][tuple(own[k : k + window])].add(item)
+    code = dict(zip(words, w.hash.tolist(), strict=True))
+    hashes = lambda found: np.array([[code[x] for x in p] for p in found], np.uint64)
+    return [Table(hashes(found), [np.array(sorted(x)) for x in found.values()], list(found)) for _, found in sorted(patterns.items())]
 
 
 def search(column: pa.Array, tables: list[Table]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -103,6 +115,8 @@ def search(column: pa.Array, tables: list[Table]) -> tuple[np.ndarray, list[np.n
         k = np.arange(len(doc)) - np.repeat(np.concatenate([[0], np.cumsum(lanes)[:-1]]), lanes)
         start = first[doc] + t.m - 1 + k * _LANE
         ends, found = t.find(w.hash, block, start, np.minimum(start + _LANE, first[doc + 1]))
+        sure = t.confirmed(w, ends, found)
+        ends, found = ends[sure], found[sure]
         np.add.at(step, ends - t.m + 1, 1)
         np.add.at(step, ends + 1, -1)
         for d, p in set(zip(w.doc[ends].tolist(), found.tolist(), strict=True)):
@@ -138,29 +152,29 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
     passes of the same job, each over all documents, and the hit words of the passes are united.
     """
     names = ["n_words", "n_hit", "items", "contaminated"]
-    found = docs.drop(*names, "_at").withColumns({"n_words": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "_at": F.array().cast("array<int>")})
+    found = docs.drop(*names).withColumns({"n_words": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "_loam_at": F.array().cast("array<int>")})
     passes = 0
     for ids, texts in shards_of(benchmark, item, item_text, shard_words):
         found = _pass(written(found, "contamination") if passes else found, text, ids, build_tables(texts, window))
         passes += 1
     if not passes:  # the words still count
         found = _pass(found, text, [], [])
-    return found.withColumn("n_hit", F.size("_at").cast("long")).drop("_at").withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    return found.withColumn("n_hit", F.size("_loam_at").cast("long")).drop("_loam_at").withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
 def _pass(docs: DataFrame, text: str, ids: list, tables: list[Table]) -> DataFrame:
     """One search over all documents; its hits are united with those that docs already has."""
     sent = docs.sparkSession.sparkContext.broadcast((np.array([str(x) for x in ids], dtype=object), tables))
-    keep = [c for c in docs.columns if c not in ("n_words", "items", "_at")]
+    keep = [c for c in docs.columns if c not in ("n_words", "items", "_loam_at")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, own = sent.value
         for part in W.chunks(batches, text):
             n, places, items = search(part.column(text), own)
             listed = [sorted({*old, *names[new].tolist()}) for old, new in zip(part.column("items").to_pylist(), items, strict=True)]
-            at = [np.union1d(old, new) if old else new for old, new in zip(part.column("_at").to_pylist(), places, strict=True)]
+            at = [np.union1d(old, new) if old else new for old, new in zip(part.column("_loam_at").to_pylist(), places, strict=True)]
             made = [pa.array(n, pa.int64()), pa.array(listed, pa.list_(pa.string())), pa.array(at, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=[*keep, "n_words", "items", "_at"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=[*keep, "n_words", "items", "_loam_at"])
 
-    schema = docs.select(keep).schema.add("n_words", "long").add("items", T.ArrayType(T.StringType())).add("_at", T.ArrayType(T.IntegerType()))
+    schema = docs.select(keep).schema.add("n_words", "long").add("items", T.ArrayType(T.StringType())).add("_loam_at", T.ArrayType(T.IntegerType()))
     return docs.mapInArrow(run, schema)

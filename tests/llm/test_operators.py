@@ -458,6 +458,42 @@ def test_substring_dedup(spark):
     assert got == want
 
 
+def test_substring_dedup_of_one_id_with_different_texts(spark):
+    passage = " ".join(f"p{k}" for k in range(25))
+    own = " ".join(f"u{k}" for k in range(27))
+    rows = [(1, passage), (2, f"x {passage}"), (2, own), (2, own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("places", F.lit("mine"))
+    got = sorted((r["doc_id"], r["kept"], r["n_removed"], r["places"]) for r in substring_dedup.remove_repeats(docs).collect())
+    assert got == sorted([(1, passage, 0, "mine"), (2, "x", 25, "mine"), (2, own, 0, "mine"), (2, own, 0, "mine")])
+
+
+def thue_morse(n, flip=False):
+    """Words that collide in every polynomial hash modulo 2 ** 64."""
+    return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    one, other = thue_morse(1024), thue_morse(1024, True)
+    text = lambda x: " ".join([*(f"w{k}" for k in range(15)), x, *(f"v{k}" for k in range(15))])
+    docs = spark.createDataFrame([(1, text(one)), (2, text(other)), (3, text(one))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, one)], "item_id long, text string")
+    assert {k: r["n_hit"] for k, r in as_dict(contamination.find_contamination(docs, items)).items()} == {1: 1, 2: 0, 3: 1}
+    assert {k: r["n_removed"] for k, r in as_dict(substring_dedup.remove_repeats(docs)).items()} == {1: 0, 2: 0, 3: 31}
+    assert {k: r["component_id"] for k, r in as_dict(ngram_join.join_components(docs)).items()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_contamination_confirms_words_behind_hashes(spark, monkeypatch):
+    from loam.llm import words
+
+    hashed = words.span_hash
+    monkeypatch.setattr(words, "span_hash", lambda d, a, b: hashed(d, a, b) % np.uint64(3))
+    tables = contamination.build_tables(["a b c d", "e"], 13)
+    import pyarrow as pa
+
+    n, places, items = contamination.search(pa.array(["a b c d", "d c b a", "f g h i j k l e"]), tables)
+    assert [p.tolist() for p in places] == [[0, 1, 2, 3], [], [7]] and [x.tolist() for x in items] == [[0], [], [1]]
+
+
 def test_substring_dedup_of_many_flushes(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HELD", 50)
     text = " ".join(f"w{k % 70}" for k in range(300))
