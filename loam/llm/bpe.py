@@ -22,12 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .tokens import texts_of
+from .words import byte_letters
 
 #: Pre-tokens in a worker's cache, at most; beyond it the cache starts anew.
 CACHE_SIZE = 1 << 19
 #: Tree sizes of pre-tokens that are merged side by side, and rows in one such step.
 SIZES = (8, 16, 32, 64)
 ROWS = 1 << 14
+#: Pre-tokens of more characters are not kept in the cache.
+LONG = 64
 _NONE = np.iinfo(np.int64).max
 
 _SIMPLE = re.compile(r"[\x00-\x1b\x20-\x7e\xa1-ſ‐-‧‰-⁞]*")
@@ -37,13 +40,6 @@ _CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{0}]+| ?[0-9]+| ?[^\s{0}0-9]+|\s+(?!\S)|\s+"
 _ASCII_CUT, _LATIN_CUT = re.compile(_CUT.format("A-Za-z")), re.compile(_CUT.format(_LATIN))
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in vocabulary files: printable bytes for themselves, the others from U+0100 on."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in printable]
-    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class Codec:
     """Encoder and decoder for a byte-level BPE file of the `tokenizers` library."""
 
@@ -227,6 +223,9 @@ class Codec:
             own = [b"".join(map(get, pieces)) for pieces in plain]
             ids = [np.array([self.special[s]], "<u4").tobytes() for s in specials]
             out.append(b"".join(chain.from_iterable(zip(own, [*ids, b""], strict=True))))
+        for p in missed:
+            if len(p) > LONG:
+                del self.cache[p]
         return out
 
     def decode(self, ids: bytes) -> bytes:

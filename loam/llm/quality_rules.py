@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
 Every rule reads columns of cheap per-document statistics and says which documents fail.  The cost
-of a rule (the statistics that it needs first, and its own test) and its selectivity are measured on
-a bounded sample; the cascade then runs rules by rejections per second, and each rule sees only the
-documents that all earlier ones let pass.  The order changes the time, never the verdict.
+of a rule (the statistics that aren't known yet when its turn comes, and its own test) and its
+selectivity among the documents that are left are measured on a bounded sample; the cascade then runs
+rules by rejections per second, and each rule sees only the documents that all earlier ones let
+pass.  The order changes the time, never the verdict.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-#: Texts in the sample that costs and selectivities are measured on, at most.
-SAMPLE_ROWS = 400
+#: Texts in the sample that costs and selectivities are measured on, at most, and bytes of each.
+SAMPLE_ROWS, SAMPLE_BYTES = 400, 1 << 16
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _CAPITAL = (np.arange(256) >= 0x41) & (np.arange(256) <= 0x5A)
@@ -107,7 +108,14 @@ class Stats:
     def take(self, rows: np.ndarray) -> Stats:
         """The statistics of some rows; what is known is carried over."""
         out = Stats(self.column.take(pa.array(rows)))
-        out.known = {k: v[rows] for k, v in self.known.items() if isinstance(v, np.ndarray) and len(v) == len(self.column) and k != "w"}
+        out.known = {k: v[rows] for k, v in self.known.items() if isinstance(v, np.ndarray)}
+        if "w" in self.known:
+            out.known["w"] = self.known["w"].take(rows, out.column)
+        if "lines" in self.known:
+            doc, h = self.known["lines"]
+            place = np.full(len(self.column), -1)
+            place[rows] = np.arange(len(rows))
+            out.known["lines"] = place[doc][place[doc] >= 0], h[place[doc] >= 0]
         return out
 
 
@@ -134,16 +142,26 @@ METHOD = (
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measured_order(sample: pa.Array, rules: tuple[Rule, ...]) -> list[int]:
-    """Indexes of rules by rejections per second on the sample, best first."""
-    if not len(sample):
-        return list(range(len(rules)))
-    gain = []
-    for k, rule in enumerate(rules):
-        began = time.perf_counter()
-        rejected = int(rule.fails(Stats(sample)).sum())
-        gain.append((-rejected / (time.perf_counter() - began), k))
-    return [k for _, k in sorted(gain)]
+def measured_order(sample: pa.Array, rules: tuple[Rule, ...], known: tuple[str, ...] = ()) -> list[int]:
+    """Indexes of rules, each time the one of most rejections per second among the sample's documents that are left.
+
+    known: statistics that are there anyway.  What an earlier rule has computed costs a later one nothing."""
+    left, order, rest = Stats(sample), [], list(range(len(rules)))
+    for c in known:
+        getattr(left, c)
+    while rest and len(left.column):
+        gain = []
+        for k in rest:
+            trial = Stats(left.column)
+            trial.known = dict(left.known)
+            began = time.perf_counter()
+            fails = rules[k].fails(trial)
+            gain.append((-int(fails.sum()) / (time.perf_counter() - began), k, trial, fails))
+        _, k, trial, fails = min(gain, key=lambda g: g[:2])
+        order.append(k)
+        rest.remove(k)
+        left = trial.take(np.flatnonzero(~fails))
+    return order + rest
 
 
 def cascade(stats: Stats, rules: list[Rule]) -> np.ndarray:
@@ -164,12 +182,16 @@ def apply_rules(docs: DataFrame, text: str = "text", counts: bool = True, rules:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
     A null or empty text has no words and fails; repeated rows are judged alike; an empty table gives
-    no rows.  Columns of docs with these names are replaced.  With counts=False only base_failed and
-    kept are made, and documents that fail an early rule are never given to the later ones.
+    no rows.  Columns of docs with these names are replaced.  A document that fails a rule is never given
+    to the later ones; with counts=False only base_failed and kept are made, and no statistic is
+    computed for it that no rule before asked for.
     """
-    sample = docs.select(text).where(F.col(text).isNotNull()).limit(sample_rows).toArrow().column(0).combine_chunks()
-    ordered = [rules[k] for k in measured_order(sample, rules)]
-    base = [BASE[k] for k in measured_order(sample, BASE)]
+    short = docs.select(text).where(F.octet_length(text) <= SAMPLE_BYTES)
+    sample = pa.array([r[0] for r in short.limit(sample_rows).collect()], pa.string())
+    known = COUNTS if counts else ()
+    base = [BASE[k] for k in measured_order(sample, BASE, known)]
+    passed = sample.take(pa.array(np.flatnonzero(cascade(Stats(sample), base)))) if len(sample) else sample
+    ordered = [rules[k] for k in measured_order(passed, rules, known)]
     names = [*(COUNTS if counts else ()), "base_failed", "kept"]
     keep = [c for c in docs.columns if c not in names]
 

@@ -179,16 +179,35 @@ FROM t GROUP BY conv_id
 """
 
 URL_SQL = r"""
-WITH u AS (
-  SELECT page_id, translate(coalesce(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH RECURSIVE u AS (
+  SELECT page_id, url, html, translate(coalesce(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages
 ), r(verdict, host, path) AS (
   VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
 ), f AS (
-  SELECT u.page_id, u.host, u.path, r.host || r.path AS rule, r.verdict,
+  SELECT u.page_id, u.url, u.host, u.path, r.host || r.path AS rule, r.verdict,
     row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) AS k
   FROM u LEFT JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
-)
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE k = 1
+), t AS (
+  SELECT url, host, path, regexp_extract(list_filter(regexp_extract_all(html, '(?i)<link\b[^>]*>'), lambda x: regexp_matches(x, '(?i)[\s"'']rel\s*=\s*["'']?canonical\b'))[1], '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS link FROM u
+  UNION ALL
+  SELECT url, host, path, regexp_extract(list_filter(regexp_extract_all(html, '(?i)<meta\b[^>]*>'), lambda x: regexp_matches(x, '(?i)[\s"'']http-equiv\s*=\s*["'']?refresh\b'))[1], '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM u
+), l AS ( -- links without . and .. in their paths
+  SELECT url AS a, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link END
+    WHEN starts_with(link, '//') THEN regexp_extract(url, '^([\s\S]*?:)//', 1) || link
+    WHEN starts_with(link, '/') THEN regexp_extract(url, '^([\s\S]*?://[^/?#]*)', 1) || link
+    WHEN regexp_matches(link, '^[?#]') THEN regexp_extract(url, '^([\s\S]*?://[^?#]*)', 1) || link
+    ELSE regexp_extract(url, '^([\s\S]*?://[^/?#]*)', 1) || CASE WHEN contains(path, '/') THEN regexp_extract(path, '^([\s\S]*/)', 1) ELSE '/' END || link END AS b
+  FROM t WHERE link <> ''
+), n AS (
+  SELECT DISTINCT v, translate(regexp_extract(v, '^([^#]*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(v, '^[^#]*?://[^/?#]*([^#]*)', 1) AS node
+  FROM (SELECT a AS v FROM l UNION SELECT b FROM l UNION SELECT url FROM u) x WHERE regexp_matches(v, '^[^#]*?://')
+), e AS (
+  SELECT x.node AS a, y.node AS b FROM l JOIN n x ON x.v = l.a JOIN n y ON y.v = l.b UNION SELECT y.node, x.node FROM l JOIN n x ON x.v = l.a JOIN n y ON y.v = l.b
+), c AS (SELECT a AS node, a AS other FROM e UNION SELECT c.node, e.b FROM c JOIN e ON e.a = c.other),
+h AS (SELECT DISTINCT other, regexp_extract(other, '://([^/?]*)', 1) AS host, regexp_extract(other, '://[^/?]*([^?]*)', 1) AS path FROM c),
+j AS (SELECT h.other, r.verdict, row_number() OVER (PARTITION BY h.other ORDER BY length(r.host || r.path) DESC) AS k FROM h JOIN r ON (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path)),
+s AS (SELECT c.node, min(j.verdict) AS verdict FROM c JOIN j ON j.other = c.other AND j.k = 1 GROUP BY c.node)
+SELECT f.page_id, f.host, f.path, f.rule, coalesce(f.verdict, s.verdict, 'allow') AS verdict FROM f LEFT JOIN n ON n.v = f.url LEFT JOIN s ON s.node = n.node WHERE f.k = 1
 """

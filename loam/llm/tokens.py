@@ -5,8 +5,8 @@ cuts its texts into pre-tokens, looks lengths up there and then in its worker's
 only what both miss.  Pre-tokens are never shuffled.
 
 The cutting is done with Python patterns where they agree with the tokenizer's own normaliser and
-pre-tokenizer (texts of Latin letters, ASCII and general punctuation without special strings); any
-other text goes to the tokenizer whole.
+pre-tokenizer (texts of Latin letters, ASCII and general punctuation), and by those two for any other
+text.  Special strings are cut out before.
 """
 
 from __future__ import annotations
@@ -21,11 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens in the broadcast table, and texts in the sample that they are counted on, at most.
+from .words import byte_letters
+
+#: Pre-tokens in the broadcast table, at most, and texts in the sample that they are counted on, about.
 TABLE_SIZE = 1 << 16
 SAMPLE_ROWS = 2_000
-#: Pre-tokens in a worker's cache, at most; beyond it the cache starts anew.
-CACHE_SIZE = 1 << 19
+#: Pre-tokens in a worker's cache, at most; beyond it the cache starts anew.  Those of more than LONG characters are not kept.
+CACHE_SIZE, LONG = 1 << 19, 64
 
 #: ASCII, Latin letters, general punctuation: here Python and the tokenizer agree on cases and classes.
 _SIMPLE = re.compile(r"[\x00-\x1b\x20-\x7e\xa1-ſ‐-‧‰-⁞]*")
@@ -43,36 +45,46 @@ class Counter2:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.letter = {b: c for c, b in byte_letters().items()}
+        self.byte = byte_letters()
         self.frequent, self.lengths = frequent or {}, {}  # the two tiers: sent to all, and this worker's own
 
-    def cut(self, text: str) -> list[str] | None:
-        """Pre-tokens of a text, or None for a text that the tokenizer itself has to cut."""
-        if any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return None
-        if text.isascii():
-            return _ASCII_CUT.findall(text.lower())
-        if _SIMPLE.fullmatch(text) and not _ODD.search(text):
-            return _LATIN_CUT.findall(text.lower())
-        return None
+    def cut(self, text: str) -> list[str]:
+        """Pre-tokens of a text; a special string is one."""
+        if self._split is None or not any(s in text for s in self.special):
+            return self._cut_plain(text)
+        return [p for k, x in enumerate(self._split.split(text)) for p in ([x] if k % 2 else self._cut_plain(x) if x else [])]
+
+    def _cut_plain(self, text: str) -> list[str]:
+        if not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            if text.isascii():
+                return _ASCII_CUT.findall(text.lower())
+            if _SIMPLE.fullmatch(text) and not _ODD.search(text):
+                return _LATIN_CUT.findall(text.lower())
+        t = self.tokenizer  # other scripts are cut by the library itself, for its Unicode tables
+        return [bytes(map(self.byte.__getitem__, p)).decode() for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text) if t.normalizer else text)]
 
     def length(self, piece: str) -> int:
-        return len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        if piece in self.special:
+            return 1
+        return len(self.tokenizer.model.tokenize("".join(map(self.letter.__getitem__, piece.encode()))))
 
     def counts(self, texts: list[str]) -> list[int]:
         cut = [self.cut(x) for x in texts]
-        seen = set(chain.from_iterable(x for x in cut if x is not None))
+        seen = set(chain.from_iterable(cut))
         missed = [p for p in seen if p not in self.lengths]
         if len(self.lengths) + len(missed) > CACHE_SIZE:
             self.lengths = {}
             missed = list(seen)
-        self.lengths.update((p, self.frequent[p]) for p in missed if p in self.frequent)
-        missed = [p for p in missed if p not in self.frequent]
-        self.lengths.update((p, len(e.ids)) for p, e in zip(missed, self.tokenizer.encode_batch(missed, add_special_tokens=False), strict=True))
+        self.lengths.update((p, self.frequent[p] if p in self.frequent else self.length(p)) for p in missed)
         get = self.lengths.__getitem__
-        return [self.length(x) if pieces is None else sum(map(get, pieces)) for x, pieces in zip(texts, cut, strict=True)]
+        out = [sum(map(get, pieces)) for pieces in cut]
+        for p in missed:
+            if len(p) > LONG:
+                del self.lengths[p]
+        return out
 
 
 _workers: dict[str, Counter2] = {}
@@ -99,18 +111,22 @@ def texts_of(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20
 
 
 def frequent_lengths(docs: DataFrame, path: str, text: str = "text", table_size: int = TABLE_SIZE, sample_rows: int = SAMPLE_ROWS) -> dict[str, int]:
-    """Lengths of the pre-tokens found most often in a bounded sample.  The sample only decides what is quick."""
-    sample = docs.select(text).where(F.col(text).isNotNull()).limit(sample_rows)
+    """Lengths of the pre-tokens found most often in a sample of about sample_rows texts.
+
+    Rows are drawn at random, each in its own task, and only counts leave it.  The sample decides what is quick, and no result."""
+    own = docs.select(text).where(F.col(text).isNotNull())
+    rows = own.count()
+    sample = own.sample(min(1.0, sample_rows / rows), seed=7) if rows else own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, found = _worker(path), Counter()
         for _, texts in texts_of(batches, text):
             for x in texts:
-                found.update(counter.cut(x) or ())
-        top = [p for p, n in found.most_common(table_size) if n > 1]
+                found.update(p for p in counter.cut(x) if len(p) <= LONG)
+        top = [p for p, _ in found.most_common(table_size)]
         yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array([found[p] for p in top], pa.int64()), pa.array([counter.length(p) for p in top], pa.int32())], names=["piece", "n", "size"])
 
-    found = sample.mapInArrow(run, "piece string, n long, size int").groupBy("piece", "size").agg(F.sum("n").alias("n"))
+    found = sample.mapInArrow(run, "piece string, n long, size int").groupBy("piece", "size").agg(F.sum("n").alias("n")).where("n > 1")
     return {r["piece"]: r["size"] for r in found.orderBy(F.desc("n"), "piece").limit(table_size).select("piece", "size").collect()}
 
 

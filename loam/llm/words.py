@@ -88,6 +88,16 @@ class Words:
         """Index of each document's first word; one more entry at the end."""
         return np.concatenate([[0], np.cumsum(self.counts)])
 
+    def take(self, rows: np.ndarray, column: pa.Array) -> Words:
+        """The words of some documents (ascending); column: the texts of those."""
+        data, offsets = text_bytes(column)
+        own = np.zeros(len(self.offsets) - 1, bool)
+        own[rows] = True
+        kept = own[self.doc]
+        doc = (np.cumsum(own) - 1)[self.doc[kept]]
+        shift = offsets[doc] - self.offsets[self.doc[kept]]
+        return Words(data, offsets, self.start[kept] + shift, self.end[kept] + shift, doc, self.hash[kept])
+
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of every run of k words inside one document."""
         n = len(self.hash) - k + 1
@@ -167,3 +177,10 @@ def gather_words(w: Words, keep: np.ndarray) -> list[bytes]:
         at = np.flatnonzero(keep[a:b]) + a
         out.append(b" ".join([raw[s:e] for s, e in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]))
     return out
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in vocabulary files: printable bytes for themselves, the others from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}

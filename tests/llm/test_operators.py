@@ -182,6 +182,54 @@ def test_urls(spark):
         assert got[10][2:] == (None, "allow")
 
 
+def test_links_of_pages(spark):
+    base = "http://A.org/x/y?q=1"
+    cases = {
+        "z.html": "http://A.org/x/z.html", "../w": "http://A.org/w", "./v/../u?a=/../b": "http://A.org/x/u?a=/../b", "?id=3": "http://A.org/x/y?id=3", "/go?u=http://b.org": "http://A.org/go?u=http://b.org",
+        "//c.org/d": "http://c.org/d", "https://e.org": "https://e.org", "mailto:x@y": None, "..": "http://A.org/", "../../..": "http://A.org/",
+    }
+    df = spark.createDataFrame([(k, base) for k in cases], "link string, url string")
+    assert {r["link"]: r["to"] for r in df.select("link", urls.absolute(F.col("link"), F.col("url")).alias("to")).collect()} == cases
+    pages = spark.createDataFrame([(base, f'<link rel="alternate" href="/no"><link {"x" * 2000} href=\'z\' REL=canonical>')], "url string, html string")
+    assert [tuple(r) for r in urls.page_edges(pages).collect()] == [(base, "http://A.org/x/z")]
+
+
+def test_url_query_with_aliases_equals_its_sql(spark, tmp_path):
+    """The driver's pages have no such links: here blocks and allowances spread over chains of them."""
+    import duckdb
+
+    rng, rows = random.Random(12), []
+    hosts = ["a.example.com", "example.net", "b.net", "c.org", "d.io", "D.io", "e.dev", "f.dev"]
+    any_url = lambda: f"http://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'es', 'xx'])}/{rng.randrange(9)}"
+    for k in range(300):
+        link = rng.choice([any_url(), any_url().replace("http:", ""), f"/es/{k % 9}", f"{k % 7}", f"?p={k % 3}", "mailto:a@b", "#top"])
+        html = rng.choice(["", f'<link rel="canonical" href="{link}">', f"<META HTTP-EQUIV=refresh content='0; URL={link}'>", None])
+        rows.append((k, None if k % 50 == 0 else any_url() + rng.choice(["", "?x", "#f"]), html))
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(map(str, con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.URL_SQL})").fetchall()))
+    got = queries.op3_url_filters(spark, f"file://{tmp_path}")
+    assert sorted(str(tuple(r)) for r in got.collect()) == want
+    spread = got.where("rule is null and verdict = 'block'").count()
+    assert spread > 5
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    import glob
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for f in glob.glob("/root/testdata/sf0.001/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    df = queries.queries()[name](spark, "/root/testdata/sf0.001")
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in df.collect())
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(500 + k, 501 + k) for k in range(60)] + [(700, k) for k in range(701, 760)] + [(5, None)]
@@ -238,6 +286,26 @@ def test_cascade_runs_a_rule_on_survivors_only():
     assert seen == [2]
 
 
+def test_order_of_rules_counts_what_is_known_already():
+    import time
+
+    import pyarrow as pa
+
+    def slow(s):
+        s.n_words
+        time.sleep(0.01)
+        return s.n_words > 3
+
+    rules = (quality_rules.Rule("slow", slow), quality_rules.Rule("quick", lambda s: s.n_words > 3), quality_rules.Rule("never", lambda s: s.n_words < 0))
+    assert quality_rules.measured_order(pa.array(["a b c d e", "a", None]), rules)[0] == 1
+    carried = quality_rules.Stats(pa.array(["x y", "a A\na A\nb", None, "b $ c c c"]))
+    carried.n_dup_lines
+    taken, fresh = carried.take(np.array([1, 3])), quality_rules.Stats(pa.array(["a A\na A\nb", "b $ c c c"]))
+    assert "w" in taken.known
+    for c in (*quality_rules.COUNTS, "n_capitals", "n_stutter", "n_lines"):
+        assert getattr(taken, c).tolist() == getattr(fresh, c).tolist(), c
+
+
 # -- 5 and 6
 
 
@@ -391,6 +459,35 @@ def test_classifier(spark):
     assert all(abs(other[k]["score"] - r["score"]) < 1e-9 for k, r in got.items())
 
 
+def test_classifier_equals_plain_discriminant(spark):
+    """The scores against a quadratic discriminant written out with numpy."""
+    import pyarrow as pa
+
+    rng = random.Random(14)
+    words = ["house", "Tree", "river!", "$$", "42", "über", "a", "NOW", "quietly"]
+    rows = [" ".join(rng.choices(words, weights=[1 + (k + j) % 4 for j in range(9)], k=rng.randint(1, 90))) + "\nend" * (k % 3) for k in range(160)] + [None, ""]
+    docs = documents(spark, rows)
+    own = docs.select("doc_id", "text").collect()
+    labels = [(r["doc_id"], int(len(r["text"] or "") % 3 > 0)) for r in own]
+    model = classifier.train(classifier.add_statistics(docs.select("doc_id", "text")), spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = as_dict(classifier.score_texts(docs, model))
+    import zlib
+
+    x = classifier.statistics(pa.array([r["text"] for r in own], pa.string()))
+    y = np.array([v for _, v in labels])
+    learned = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 for r in own])
+    assert 0 < learned.sum() < len(own)
+    pooled = sum(np.cov(x[learned & (y == c)].T, bias=True) * (y[learned] == c).sum() for c in (0, 1)) / learned.sum()
+    density = []
+    for c in (0, 1):
+        z = x[learned & (y == c)]
+        cov = 0.9 * np.cov(z.T, bias=True) + 0.1 * np.diag(np.maximum(np.diag(pooled), 1e-6))
+        d = x - z.mean(0)
+        density.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) - 0.5 * np.linalg.slogdet(cov)[1] + np.log(len(z) / learned.sum()))
+    want = 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
+    assert np.allclose([got[r["doc_id"]]["score"] for r in own], want, atol=1e-6)
+
+
 def test_classifier_without_labels(spark):
     docs = documents(spark, ["a b c", None])
     labels = spark.createDataFrame([], "doc_id long, quality int")
