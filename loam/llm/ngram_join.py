@@ -36,9 +36,9 @@ from .shared import components, sent_if_small
 WORDS = 3
 PERCENT = 90
 #: Members of a leader, and tokens of them, in one block.
-BLOCK, BLOCK_TOKENS = 4096, 1 << 20
+BLOCK, BLOCK_TOKENS = 4096, 1 << 19
 #: Keys that a task holds before it deals them out, and keys in one bucket.
-HELD, BUCKET = 1 << 20, 1 << 21
+HELD, BUCKET = 1 << 18, 1 << 20
 #: Lists of so many sets or more are alike: none is told to be more crowded than another.
 CROWDED = 32
 _LOW = (1 << 40) - 1
@@ -252,6 +252,8 @@ def _shared_lists(dealt: DataFrame) -> DataFrame:
                 held.append((wide.view("<i8").ravel(), i, u, np.frombuffer(hot, np.int64)))
         if held:
             yield settle(now, held)
+        held.clear()
+        W.release()
 
     return dealt.mapInArrow(run, _SHARED)
 
@@ -275,7 +277,7 @@ def shared_lists(docs: DataFrame, doc_id: str, text: str, words: int, percent: i
         yield dealer.deal()
 
     own = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), text)
-    return _shared_lists(own.mapInArrow(run, _DEALT).repartition("bucket").sortWithinPartitions("bucket"))
+    return _shared_lists(W.dealt(own.mapInArrow(run, _DEALT), buckets))
 
 
 def link_group(ids: list, sets: list[np.ndarray], lead: int, percent: int, queries: np.ndarray | None = None) -> tuple[list[tuple], np.ndarray]:
@@ -372,17 +374,20 @@ def _link_tasks(rows: DataFrame, percent: int, id_type: T.DataType) -> DataFrame
 
         for batch in batches:
             kind = batch.schema.field("id").type
-            columns = [batch.column(c).to_pylist() for c in ("leader", "block", "ask", "id", "query", "several", "tokens")]
-            for leader, block, ask, own, query, several, raw in zip(*columns, strict=True):
-                if key != (leader, block, ask):
-                    if held:
-                        close()
-                    key, held = (leader, block, ask), []
-                held.append((own, query, several, np.frombuffer(raw, "<u8")))
+            for part in (batch.slice(a, 256) for a in range(0, batch.num_rows, 256)):
+                columns = [part.column(c).to_pylist() for c in ("leader", "block", "ask", "id", "query", "several", "tokens")]
+                for leader, block, ask, own, query, several, raw in zip(*columns, strict=True):
+                    if key != (leader, block, ask):
+                        if held:
+                            close()
+                        key, held = (leader, block, ask), []
+                    held.append((own, query, several, np.frombuffer(raw, "<u8")))
             yield made()
         if held:
             close()
             yield made()
+        held.clear()
+        W.release()
 
     return rows.mapInArrow(run, T.StructType([T.StructField(c, id_type) for c in names]))
 

@@ -28,7 +28,7 @@ from .shared import told_apart
 
 WINDOW = 20
 #: Occurrences that a task holds before it deals them out.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Bytes of text whose occurrences make one bucket, which a task holds.
 BUCKET_BYTES = 32 << 20
 
@@ -141,11 +141,13 @@ def _meet(dealt: DataFrame, all_copies: bool, buckets: int) -> DataFrame:
                 held.append((np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint32), np.frombuffer(d, np.int64), np.frombuffer(p, np.int32)))
         if held:
             yield settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held.clear()
+        W.release()
 
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _PACKED)
+    return W.dealt(dealt, buckets).mapInArrow(run, _PACKED)
 
 
-def _gathered(packed: DataFrame) -> DataFrame:
+def _gathered(packed: DataFrame, buckets: int) -> DataFrame:
     """(_loam_id, _loam_places) with one row for each document."""
 
     def rows(held: list) -> pa.RecordBatch:
@@ -166,8 +168,10 @@ def _gathered(packed: DataFrame) -> DataFrame:
                 held.append((np.frombuffer(d, np.int64), np.frombuffer(p, np.int32)))
         if held:
             yield rows(held)
+        held.clear()
+        W.release()
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
+    return W.dealt(packed, buckets).mapInArrow(run, _FOUND)
 
 
 def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -206,9 +210,9 @@ def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 yield dealer.deal(all_copies=False)
         yield dealer.deal(all_copies=False)
 
-    shared = _gathered(_meet(own.mapInArrow(deal_anchors, _DEALT), True, buckets))
+    shared = _gathered(_meet(own.mapInArrow(deal_anchors, _DEALT), True, buckets), buckets)
     windows = own.join(shared, "_loam_id").select("_loam_id", text, "_loam_places").mapInArrow(deal_windows, _DEALT)
-    return _gathered(_meet(windows, False, buckets))
+    return _gathered(_meet(windows, False, buckets), buckets)
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", kept: str = "kept", window: int = WINDOW) -> DataFrame:

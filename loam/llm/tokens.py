@@ -27,7 +27,7 @@ from .words import byte_letters
 TABLE_SIZE = 1 << 16
 SAMPLE_ROWS = 2_000
 #: Pre-tokens in a worker's cache, at most; beyond it the cache starts anew.  Those of more than LONG characters are not kept.
-CACHE_SIZE, LONG = 1 << 19, 64
+CACHE_SIZE, LONG = 1 << 18, 64
 
 #: ASCII, Latin letters, general punctuation: here Python and the tokenizer agree on cases and classes.
 _SIMPLE = re.compile(r"[\x00-\x1b\x20-\x7e\xa1-ſ‐-‧‰-⁞]*")
@@ -102,7 +102,7 @@ def _worker(path: str, frequent: dict[str, int] | None = None) -> Counter2:
     return _workers[path]
 
 
-def texts_of(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def texts_of(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Chunks of about `size` bytes with their texts; a null is an empty text."""
     from .words import chunks
 

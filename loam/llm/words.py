@@ -7,12 +7,14 @@ Words and windows are compared as 64-bit hashes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 _U = np.uint64
 #: 8-byte pieces that are hashed in one step, at most, or one longer span.
@@ -132,6 +134,20 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers outlive their tasks, and share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def dealt(df: DataFrame, buckets: int) -> DataFrame:
+    """df by its `bucket`, sorted; with a partition for each bucket where there are more than Spark would make."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (df.repartition(buckets, "bucket") if buckets > usual else df.repartition("bucket")).sortWithinPartitions("bucket")
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that a chunk holds about `size` bytes of text, or one longer text."""
     for batch in batches:
@@ -143,6 +159,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
+        del batch
+        release()
 
 
 def words_of(column: pa.Array, inside: np.ndarray = SPACED, lower: bool = False) -> Words:
