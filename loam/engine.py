@@ -8,18 +8,24 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import js
 from .operators import commits as C
+from .operators import graph as G
 from .operators import history as H
+from .operators import language as L
 from .operators import scope as S
 from .operators import text as X
 from .operators.registry import Plugin, Registry
+from .operators.store import ResultStore
 from .session import ship
 from .sources import git
 
 
 @dataclass(frozen=True)
 class Options:
-    """rev and history: what is read; paths and ignore: globs; None for metrics means all of them."""
+    """rev and history: what is read; paths and ignore: globs; None for metrics or languages means all of them.
+
+    store: a folder where scans of contents are kept from run to run."""
 
     root: str
     rev: str = "HEAD"
@@ -27,6 +33,8 @@ class Options:
     paths: tuple[str, ...] = ()
     ignore: tuple[str, ...] = ()
     metrics: tuple[str, ...] | None = None
+    languages: tuple[str, ...] | None = None
+    store: str | None = None
     convention: str | None = None
     coupling: H.CouplingLimits = field(default_factory=H.CouplingLimits)
 
@@ -61,7 +69,7 @@ class Report:
 
 def _hotspots(tables: dict[str, DataFrame], options: Options) -> DataFrame:
     # paths are joined before contents are read: only changed files are
-    changed = H.churn(tables["touches"].select(F.trim("path").alias("path")))
+    changed = H.churn(tables["touches"].select(js.trim(F.col("path")).alias("path")))
     read = git.contents(tables["files"].join(changed, "path"), options.root)
     scored = read.select("path", "changes", X.indent_complexity(F.col("content")).alias("complexity"))
     return scored.withColumn("score", F.col("changes") * F.col("complexity")).orderBy(F.desc("score"), "path")
@@ -71,26 +79,56 @@ def _coupling(tables: dict[str, DataFrame], options: Options) -> DataFrame:
     return H.top_coupling(tables["touches"], options.coupling, tables["files"])
 
 
+def _typescript(tables: dict[str, DataFrame], options: Options) -> dict[str, DataFrame]:
+    """The tables of language.analyze() for the files in scope; manifests and configurations are those tracked."""
+    tracked, read = tables["tracked"], lambda df, to: git.contents(df, options.root, to)
+    store = ResultStore(tracked.sparkSession, options.store, "typescript", L.VERSION) if options.store else None
+    scans = L.scans_of(tables["files"].select("path", "blob"), lambda df: read(df, "content"), store)
+    text = lambda keep: read(tracked.where(keep).select("path", "blob"), "text").select("path", "text")
+    return L.analyze(scans, text(S.is_manifest(F.col("path"))), text(S.is_config(F.col("path"))))
+
+
 def builtin() -> Registry:
     """The plug-ins that come with the package."""
     r = Registry()
     r.add(Plugin("conventional", "commit-convention", "1", C.parse_commits))
     r.add(Plugin("hotspots", "git-metric", "1", _hotspots))
     r.add(Plugin("coupling", "git-metric", "1", _coupling))
+    r.add(Plugin("typescript", "language", L.VERSION, _typescript, extensions=L.EXTENSIONS))
     return r
 
 
 def analyze(spark: SparkSession, options: Options, registry: Registry | None = None, folder: str | None = None) -> Report:
-    """A report on a repository.  Unknown names of plug-ins are errors before anything is read."""
+    """A report on a repository.  Unknown names of plug-ins are errors before anything is read.
+
+    Each language that has files gives `<id>.dead_code`, `<id>.code_metrics` and so on; the graphs of all are
+    merged into nodes, edges, cycles and summary.  folder: where git's listings go, on a cluster one
+    that all executors can read."""
     registry = registry or builtin()
     metrics = S.allowed([p.id for p in registry.of_kind("git-metric")], list(options.metrics) if options.metrics is not None else None)
+    languages = S.allowed([p.id for p in registry.of_kind("language")], list(options.languages) if options.languages is not None else None)
     convention = S.convention([p.id for p in registry.of_kind("commit-convention")], options.convention)
     ship(spark)
     rev = git.resolve_rev(options.root, options.rev)
+    tracked = git.tracked(spark, options.root, rev, folder)
     files = git.ls_tree(spark, options.root, rev, folder).where(S.in_scope(F.col("path"), options.paths, options.ignore))
-    commits = git.log(spark, options.root, rev, options.history)
-    tables = {"files": files, "touches": git.touches(spark, options.root, rev, options.history)}
+    commits = git.log(spark, options.root, rev, options.history, folder=folder)
+    tables = {"files": files, "tracked": tracked, "touches": git.touches(spark, options.root, rev, options.history, folder)}
     out = {m: registry.plugins[m].run(tables, options) for m in metrics}
+    graphs = []
+    for name in languages:
+        plugin = registry.plugins[name]
+        own = files.where(S.has_extension(F.col("path"), plugin.extensions))
+        if own.isEmpty():  # a language without files is no part of the run
+            continue
+        made = plugin.run(tables | {"files": own}, options)
+        out |= {f"{name}.{k}": df for k, df in made.items()}
+        graphs.append([made[k].withColumn("seq", F.lit(len(graphs))) for k in ("nodes", "edges", "cycles")])
+    if graphs:
+        every = graphs[0]
+        for other in graphs[1:]:
+            every = [a.unionByName(b) for a, b in zip(every, other, strict=True)]
+        out |= G.cross_language(*every)
     if convention:
         parsed = registry.plugins[convention].run(commits)
         out |= {"commit_totals": C.totals(parsed, commits), "types": C.buckets(parsed, "type"), "scopes": C.buckets(parsed, "scope"), "weeks": C.weekly(commits)}

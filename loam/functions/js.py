@@ -53,14 +53,58 @@ def ancestors(path: Column) -> Column:
     return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).otherwise(F.array().cast("array<string>"))
 
 
+def dir_label(path: Column) -> Column:
+    """The folder of a path with its slash, as views show it; empty at the top."""
+    return F.regexp_extract(path, r"\A([\s\S]*/)[^/]*\z", 1)
+
+
+def to_fixed(x: Column, digits: int) -> Column:
+    """A number with so many decimals, rounded by its exact binary value; a tie goes away from zero."""
+    scaled = F.abs(x) * 10**digits
+    # only multiples of a power of 1/2 are ties; format_number rounds those to even, anything else exactly
+    tie = (F.abs(x) * 2 ** (digits + 1) == F.floor(F.abs(x) * 2 ** (digits + 1))) & (scaled - F.floor(scaled) == 0.5)
+    up = F.signum(x) * F.floor(scaled + 0.5) / 10**digits
+    return F.replace(F.format_number(F.when(tie, up).otherwise(x), digits), F.lit(","), F.lit(""))
+
+
+NONE = "\u2014"
+
+
+def _finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
 def compact_number(n: Column) -> Column:
-    """1234 as 1.2k, 2500000 as 2.5M."""
-    short = lambda x, unit: F.concat(F.regexp_replace(F.format_string("%.1f", round_half_up(x, 1)), r"\.0$", ""), F.lit(unit))
-    return F.when(n >= 1_000_000, short(n / 1_000_000, "M")).when(n >= 1_000, short(n / 1_000, "k")).otherwise(n.cast("string"))
+    """1240 as 1.2k, 12400 as 12k, 2000000000 as 2.0B: one decimal below 10 units.  A dash for what isn't a number."""
+    x = n.cast("double")
+    whole = F.floor(x + 0.5)
+
+    def short(limit: int, unit: str) -> Column:
+        scaled = whole / limit
+        return F.concat(F.when(F.abs(scaled) < 10, to_fixed(scaled, 1)).otherwise(to_fixed(scaled, 0)), F.lit(unit))
+
+    size = F.abs(whole)
+    out = F.when(size < 1_000, whole.cast("string")).when(size >= 10**9, short(10**9, "B")).when(size >= 10**6, short(10**6, "M")).otherwise(short(10**3, "k"))
+    return F.when(_finite(x), out).otherwise(NONE)
 
 
 def duration(ms: Column) -> Column:
-    """Milliseconds as `12 ms`, `1.5 s` or `2 m 5 s`."""
-    s = ms / 1000
-    minutes = F.concat(F.floor(s / 60).cast("string"), F.lit(" m "), F.floor(s % 60).cast("string"), F.lit(" s"))
-    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit(" ms"))).when(s < 60, F.concat(F.format_string("%.1f", round_half_up(s, 1)), F.lit(" s"))).otherwise(minutes)
+    """Milliseconds as `12 ms`, `1.5 s`, `2 m` or `2 m 5 s`; a dash for what is none."""
+    x = ms.cast("double")
+    whole = F.floor(x / 1000 + 0.5)
+    minutes, rest = F.concat(F.floor(whole / 60).cast("string"), F.lit(" m")), whole % 60
+    out = (
+        F.when(x < 1000, F.concat(F.floor(x + 0.5).cast("string"), F.lit(" ms")))
+        .when(x / 1000 < 60, F.concat(to_fixed(x / 1000, 1), F.lit(" s")))
+        .otherwise(F.when(rest == 0, minutes).otherwise(F.concat(minutes, F.lit(" "), rest.cast("string"), F.lit(" s"))))
+    )
+    return F.when(_finite(x) & (x >= 0), out).otherwise(NONE)
+
+
+def relative_age(at: Column, now: Column) -> Column:
+    """How long before `now` a time was: `just now`, `5 min ago`, up to weeks; a dash for no time."""
+    elapsed = F.unix_millis(now) - F.unix_millis(at)
+    ago = lambda unit, name: F.concat(F.floor(elapsed / unit).cast("string"), F.lit(f" {name} ago"))
+    minute = 60_000
+    out = F.when(elapsed < minute, "just now").when(elapsed < 60 * minute, ago(minute, "min")).when(elapsed < 1440 * minute, ago(60 * minute, "h"))
+    return F.when(at.isNull(), NONE).otherwise(out.when(elapsed < 7 * 1440 * minute, ago(1440 * minute, "d")).otherwise(ago(7 * 1440 * minute, "w")))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scope import matches_any
+from .scope import in_scope
 
 
 @dataclass(frozen=True)
@@ -24,7 +24,7 @@ def violations(edges: DataFrame, rules: Sequence[ArchitectureRule]) -> DataFrame
     """(rule, path, message, severity) for each edge that breaks a rule; rules are a handful, edges are read once."""
     broken = F.filter(
         F.array(*[
-            F.when(matches_any(F.col("from"), [r.source]) & matches_any(F.col("to"), [r.target]), F.struct(F.lit(f"{r.source} -> {r.target}").alias("rule"), F.lit("error" if r.enforced else "warning").alias("severity")))
+            F.when(in_scope(F.col("from"), [r.source]) & in_scope(F.col("to"), [r.target]), F.struct(F.lit(f"{r.source} -> {r.target}").alias("rule"), F.lit("error" if r.enforced else "warning").alias("severity")))
             for r in rules
         ]),
         lambda x: x.isNotNull(),

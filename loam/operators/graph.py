@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-#: Graphs of up to so many edges are walked in one task; larger ones by distributed rounds.
+#: Graphs of up to so many edges (some MB) are walked in one task, with the same result; larger ones by distributed rounds.
 SMALL_EDGES = 200_000
 
 
@@ -155,7 +155,19 @@ def _scc_rounds(edges: DataFrame) -> DataFrame:
         left = _until_stable(rest, trim, count, "scc-edges")
     if found is None:
         return edges.select(F.col("from").alias("component"), F.col("to").alias("node")).limit(0)
-    return found.withColumn("_n", F.count("*").over(Window.partitionBy("component"))).where("_n > 1").select("component", "node")
+    several = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return found.join(several, "component", "left_semi").select("component", "node")
+
+
+def cycle_sizes(cycles: DataFrame) -> DataFrame:
+    """(component, size, position): cycles by size, then first node.  One window over cycles, not over nodes."""
+    sizes = cycles.groupBy("component").agg(F.count("*").alias("size"))
+    return sizes.withColumn("position", F.row_number().over(Window.orderBy(F.desc("size"), "component")))
+
+
+def cycle_numbers(cycles: DataFrame) -> DataFrame:
+    """(node, number): the position of each node's cycle."""
+    return cycles.join(cycle_sizes(cycles), "component").select("node", F.col("position").alias("number"))
 
 
 def ordered_cycles(cycles: DataFrame, edges: DataFrame) -> DataFrame:
@@ -334,46 +346,79 @@ def collapse(edges: DataFrame, inside: DataFrame) -> DataFrame:
     return one.select("from", "to", "kind", F.when(F.col("n") > 1, F.col("all")).otherwise(F.col("own")).alias("weight"))
 
 
-def back_edges(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
-    """(from, to): edges to a node that is still open when nodes are walked in order, deepest first.
+def levels(edges: DataFrame, cycles: DataFrame) -> DataFrame:
+    """(component, node, level): within each component, how many edges the least way from its first node has.
 
-    The walk is one sequence, so it is one task; a graph of more edges than small_edges is refused."""
-    kind = edges.schema["from"].dataType.simpleString()
-    if edges.limit(small_edges + 1).count() > small_edges:
-        raise ValueError(f"the walk takes one task; this graph has more than {small_edges} edges")
+    All components take their rounds together, and a round carries new nodes only."""
+    a = cycles.select("component", F.col("node").alias("from"))
+    b = cycles.select(F.col("component").alias("_c"), F.col("node").alias("to"))
+    inside = written(edges.select("from", "to").join(a, "from").join(b, "to").where("component = _c").select("component", "from", "to").distinct(), "inside")
+    frontier, level = written(cycles.groupBy("component").agg(F.min("node").alias("node")), "levels"), 0
+    seen = frontier.withColumn("level", F.lit(0))
+    while not frontier.isEmpty():
+        level += 1
+        step = inside.join(frontier.withColumnRenamed("node", "from"), ["component", "from"]).select("component", F.col("to").alias("node")).distinct()
+        frontier = written(step.join(seen, ["component", "node"], "left_anti"), "levels")
+        seen = seen.union(frontier.withColumn("level", F.lit(level)))
+    return seen
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        after: dict = {}
-        for a, b in sorted(set(zip(rows["from"].tolist(), rows["to"].tolist(), strict=True))):
-            after.setdefault(a, []).append(b)
-        state, found = {}, []
-        for root in sorted(set(after) | {b for x in after.values() for b in x}):
-            if root in state:
-                continue
-            state[root], work = 1, [(root, iter(after.get(root, ())))]
-            while work:
-                node, rest = work[-1]
-                for other in rest:
-                    if state.get(other) == 1:
-                        found.append((node, other))
-                    elif other not in state:
-                        state[other] = 1
-                        work.append((other, iter(after.get(other, ()))))
-                        break
-                else:
-                    state[node] = 2
-                    work.pop()
-        return pd.DataFrame(found, columns=["from", "to"], dtype=object)
-
-    return _one_task(edges.select("from", "to"), walk, f"`from` {kind}, `to` {kind}")
+
+def back_edges(edges: DataFrame, cycles: DataFrame | None = None) -> DataFrame:
+    """(from, to): edges to set aside so that no cycle is left.
+
+    Only edges inside a component can close a loop.  Of those, the ones that don't lead to a greater
+    level (see levels()) are back edges: what is left rises in every component, so it has no cycle.
+    A depth-first walk would set aside other ones, but is a single sequence; this takes rounds of joins."""
+    cycles = scc(edges) if cycles is None else cycles
+    at = written(levels(edges, cycles), "levels")
+    a = at.select("component", F.col("node").alias("from"), F.col("level").alias("_a"))
+    b = at.select(F.col("component").alias("_c"), F.col("node").alias("to"), F.col("level").alias("_b"))
+    return edges.select("from", "to").distinct().join(a, "from").join(b, "to").where("component = _c and _b <= _a").select("from", "to")
 
 
 def ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, rank) of an acyclic graph: the longest way from a node without an edge to it."""
+    """(id, rank) of an acyclic graph: the longest way from a node without an edge to it.
+
+    A graph with a cycle is an error: take its back_edges() out before."""
     state = written(nodes.select("id", F.lit(0).alias("rank")), "ranks")
-    frontier = state
+    frontier, most, rounds = state, state.count(), 0
     while not frontier.isEmpty():
+        rounds += 1
+        if rounds > most:
+            raise ValueError("the graph has a cycle")
         step = edges.join(frontier.select(F.col("id").alias("from"), "rank"), "from").groupBy(F.col("to").alias("id")).agg((F.max("rank") + 1).alias("rank"))
         frontier = written(step.join(state.withColumnRenamed("rank", "old"), "id").where("rank > old").select("id", "rank"), "ranks")
         state = written(state.union(frontier).groupBy("id").agg(F.max("rank").alias("rank")), "ranks")
     return state
+
+
+def focused(nodes: DataFrame, edges: DataFrame, cycles: DataFrame, rows: int) -> dict[str, DataFrame]:
+    """What of a graph is shown: nodes (see focus()), edges between them, cycles that are kept whole, and `hidden`, one row."""
+    kept = written(focus(nodes, edges, cycles, rows), "focus")
+    cut = cycles.join(kept.select(F.col("id").alias("node")), "node", "left_anti").select("component").distinct()
+    hidden = nodes.agg(F.count("*").alias("n")).crossJoin(kept.agg(F.count("*").alias("k"))).select((F.col("n") - F.col("k")).alias("hidden"))  # one row each
+    return {"nodes": kept, "edges": known_edges(edges, kept), "cycles": cycles.join(cut, "component", "left_anti"), "hidden": hidden}
+
+
+def merge_cycles(cycles: DataFrame) -> DataFrame:
+    """(component, node) of several languages' cycles (seq, component, node): of equal node sets the first, whatever their order."""
+    whole = cycles.groupBy("seq", "component").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    once = whole.groupBy("nodes").agg(F.min_by("component", "seq").alias("component"))
+    return once.select("component", F.explode("nodes").alias("node"))
+
+
+def collapse_cycles(cycles: DataFrame, inside: DataFrame) -> DataFrame:
+    """(component, node) with nodes in folded folders replaced; a cycle of which one node is left goes."""
+    moved = cycles.join(inside, "node", "left").select("component", F.coalesce("folder", "node").alias("node")).distinct()
+    several = moved.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return moved.join(several, "component", "left_semi")
+
+
+def cross_language(nodes: DataFrame, edges: DataFrame, cycles: DataFrame) -> dict[str, DataFrame]:
+    """The graphs of all languages as one: nodes with packages, edges, ordered cycles, and a summary of what was analysed.
+
+    nodes, edges and cycles have a `seq`, the order of languages.  The summary counts no packages."""
+    own, merged = merge(nodes, edges)
+    both = merge_cycles(cycles)
+    packages = package_nodes(own, merged).select("id", "label", "kind", F.lit(None).cast("long").alias("loc"))
+    return {"nodes": own.unionByName(packages), "edges": merged, "cycles": ordered_cycles(both, merged), "summary": summary(own, merged, both)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import js
@@ -30,8 +30,11 @@ def small_commits(touches: DataFrame, max_files: int) -> DataFrame:
     """(sha, paths): the distinct paths of each commit that touches no more than max_files.
 
     One shuffle on sha gives the set, its size and, later, its pairs, so that the self-join of a
-    commit's files never leaves its row."""
-    sets = touches.groupBy("sha").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    commit's files never leaves its row.  The rank limit is applied before that shuffle too, so a
+    commit of millions of files never becomes one row."""
+    rank = F.dense_rank().over(Window.partitionBy("sha").orderBy("path"))
+    few = touches.select("sha", "path").withColumn("_rank", rank).where(F.col("_rank") <= max_files + 1)
+    sets = few.groupBy("sha").agg(F.array_sort(F.collect_set("path")).alias("paths"))
     return sets.where(F.size("paths") <= max_files)
 
 

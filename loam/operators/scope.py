@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import js
 
+# What a test file and a tool's configuration are called.
 TEST_FILE = r"(^|/)__tests__/|\.(test|spec)\.[cm]?[jt]sx?\z"
 TOOL_CONFIG = r"(^|/)[\w.-]*\.config\.[cm]?[jt]sx?\z"
 
 
 def normal_path(path: str) -> str:
-    return re.sub(r"/+$", "", re.sub(r"^(\./|/+)+", "", path.strip()))
+    """Without blanks around it, a leading `./` or `/`, and trailing slashes."""
+    return re.sub(r"/+$", "", re.sub(r"^\.?/+", "", path.strip()))
 
 
 def glob_regex(glob: str) -> str:
@@ -32,9 +34,10 @@ def glob_regex(glob: str) -> str:
 
 
 def matches_any(path: Column, globs: Iterable[str]) -> Column | None:
-    """Whether a path fits one of the globs; None, which is no constraint, for no globs."""
-    patterns = [glob_regex(g) for g in globs]
-    return path.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else None
+    """Whether a path fits one of the globs, both in one form; None, which is no constraint, for none but blank globs."""
+    patterns = [glob_regex(g) for g in globs if normal_path(g)]
+    plain = F.regexp_replace(F.regexp_replace(js.trim(path), r"\A\.?/+", ""), r"/+\z", "")
+    return plain.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else None
 
 
 def in_scope(path: Column, paths: Iterable[str] = (), ignore: Iterable[str] = ()) -> Column:

@@ -82,23 +82,64 @@ def stars(content: Column) -> Column:
     return F.regexp_extract_all(content, F.lit(rf"(?<![\w$.])export\s*\*\s*from\s*{_QUOTED}"), 1)
 
 
-def exports(content: Column) -> Column:
-    """Array of (name, line): declarations, lists (the name that is offered), `* as name` and default.
+#: A mark with the number of the line that begins behind it, and blanks with such marks among them.
+_MARK = r"\x{01}\d+\x{02}"
+_GAP = rf"(?:\s|{_MARK})"
+
+
+def _numbered(content: Column) -> Column:
+    """The text with a mark at the beginning of each line, and strings without their contents."""
+    marked = F.array_join(F.transform(js.lines(content), lambda x, k: F.concat(F.lit("\x01"), (k + 1).cast("string"), F.lit("\x02"), x)), "\n")
+    return F.regexp_replace(marked, _STRING, "''")
+
+
+def _last_mark(text: Column) -> Column:
+    """The number of the last line mark in a text; null if there is none."""
+    return F.nullif(F.regexp_extract(text, r"(?s)\A.*\x{01}(\d+)\x{02}", 1), F.lit("")).cast("int")
 
-    Only exports that begin a line count, as those inside functions aren't exports."""
-    lines = F.transform(js.lines(content), lambda x, k: F.struct(x.alias("x"), (k + 1).alias("line")))
-    declared = rf"\Aexport\s+(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:const\s+enum|const|let|var|function\s*\*?|class|interface|type|enum|namespace)\s+({_NAME})"
 
-    def found(r: Column) -> Column:
-        x = r["x"]
-        one = F.regexp_extract(x, declared, 1)
-        listed = F.split(F.regexp_extract(x, r"\Aexport\s+(?:type\s+)?\{([^}]*)\}", 1), ",")
-        offered = F.transform(listed, lambda n: F.regexp_extract(js.trim(n), rf"({_NAME})\z", 1))
-        default, space = F.when(x.rlike(r"\Aexport\s+default(?![\w$])"), F.lit("default")).otherwise(""), F.regexp_extract(x, rf"\Aexport\s*\*\s*as\s+({_NAME})", 1)
-        names = F.filter(F.concat(F.array(one, default, space), offered), lambda n: n != "")
-        return F.transform(names, lambda n: F.struct(n.alias("name"), r["line"].alias("line")))
+def _named_pieces(text: Column, line: Column, name) -> Column:
+    """(name, line) of the parts between commas; name: the column that a part's name is."""
+    start = F.struct(line.alias("line"), F.array().cast("array<struct<name:string,line:int>>").alias("found"))
 
-    return F.flatten(F.transform(lines, found))
+    def step(s: Column, part: Column) -> Column:
+        before = F.coalesce(_last_mark(F.regexp_extract(part, rf"\A{_GAP}*", 0)), s["line"])
+        own = F.array(F.struct(name(part).alias("name"), before.alias("line")))
+        return F.struct(F.coalesce(_last_mark(part), s["line"]).alias("line"), F.concat(s["found"], own).alias("found"))
+
+    return F.filter(F.aggregate(F.split(text, ","), start, step, lambda s: s["found"]), lambda r: r["name"] != "")
+
+
+def exports(content: Column) -> Column:
+    """Array of (name, line): declarations and all their bindings, lists (the name that is offered), `* as name` and default.
+
+    Only exports that begin a line count, as those inside blocks aren't the file's own.  Patterns inside
+    destructuring patterns are not looked into."""
+    chunks = F.filter(F.split(_numbered(content), rf"(?={_MARK}export(?![\w$]))"), lambda c: c.rlike(rf"\A{_MARK}export(?![\w$])"))
+
+    def found(c: Column) -> Column:
+        line, body = _last_mark(F.regexp_extract(c, rf"\A{_MARK}", 0)), F.regexp_replace(c, rf"\A{_MARK}export{_GAP}*", "")
+        listed = F.regexp_extract(body, rf"\A((?:type{_GAP}+)?\{{[^}}]*)", 1)
+        offered = _named_pieces(F.regexp_replace(listed, r"\A[^{]*\{", ""), line, lambda x: F.regexp_extract(x, rf"({_NAME}){_GAP}*\z", 1))
+        modifiers = rf"(?:declare{_GAP}+)?(?:abstract{_GAP}+)?(?:async{_GAP}+)?"
+        declared = F.regexp_extract(body, rf"\A{modifiers}(?:const{_GAP}+enum|function{_GAP}*\*?|class|interface|type|enum|namespace|module){_GAP}*(?<![\w$])({_NAME})", 1)
+        space = F.regexp_extract(body, rf"\A\*{_GAP}*as{_GAP}+({_NAME})", 1)
+        default = F.when(body.rlike(r"\Adefault(?![\w$])"), F.lit("default")).otherwise("")
+        single = F.filter(F.array(declared, space, default), lambda n: n != "")
+        one = F.transform(F.slice(single, 1, 1), lambda n: F.struct(n.alias("name"), line.alias("line")))
+        bound = F.regexp_extract(body, rf"\A(?:declare{_GAP}+)?(?:const|let|var){_GAP}+(?!enum(?![\w$]))([^;]*)", 1)
+        taken = F.regexp_extract(bound, r"\A[\[{]([^\[\]{}]*)[\]}]", 1)
+        from_pattern = _named_pieces(taken, line, lambda x: F.regexp_extract(x, rf"\A(?:[^:=]*:)?{_GAP}*(?:\.\.\.{_GAP}*)?({_NAME})", 1))
+        flat = bound  # what stands in brackets, from the inside out, holds no binding of the statement
+        for _ in range(5):
+            flat = F.regexp_replace(flat, r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}|<[^<>()=;]*>", "")
+        statement = F.regexp_extract(flat, rf"\A((?:[^\n]*[,=]{_GAP}*\n)*[^\n]*)", 1)
+        plain = _named_pieces(statement, line, lambda x: F.regexp_extract(x, rf"\A{_GAP}*({_NAME}){_GAP}*(?:[:!]|=(?![=>])|\z)", 1))
+        names = F.when(taken != "", from_pattern).when(bound != "", plain).otherwise(F.array().cast("array<struct<name:string,line:int>>"))
+        # `export {..}` and `export default {..}` begin with a brace or a word of their own
+        return F.when(listed != "", offered).when(bound != "", names).otherwise(one)
+
+    return F.flatten(F.transform(chunks, found))
 
 
 def scan(files: DataFrame, content: str = "content") -> DataFrame:
@@ -117,21 +158,27 @@ def scan(files: DataFrame, content: str = "content") -> DataFrame:
 
 def strict_json(text: Column) -> Column:
     """JSON with comments and trailing commas as plain JSON; strings are left alone."""
-    return F.regexp_replace(blank_comments(text), r",(?=\s*[}\]](?=(?:[^\"]*\"[^\"]*\")*[^\"]*\z))", "")
+    piece = r'"(?:\\.|[^"\\])*"|,(?=\s*[}\]])|[^",]+|[\s\S]'
+    # a comma that matches the pattern with its look-ahead is one piece, as any other comma, so it is told by what follows
+    pieces = F.regexp_extract_all(blank_comments(text), F.lit(rf"({piece})(\s*[}}\]])?"), 0)
+    return F.array_join(F.transform(pieces, lambda p: F.regexp_replace(p, r"\A,(\s*[}\]])\z", "$1")), "")
 
 
 def dependencies(manifests: DataFrame, text: str = "text") -> DataFrame:
-    """(path, name, line) of `dependencies` in each manifest; the line is where the name is listed after that key."""
+    """(path, name, line) of `dependencies` in each manifest; the line is the one in that block that begins with the name."""
     block = F.map_keys(F.from_json(F.get_json_object(text, "$.dependencies"), "map<string,string>"))
-    lines = F.split(text, "\n")
-    start = F.array_position(F.transform(lines, lambda x: x.rlike(r'^\s*"dependencies"\s*:')), True)
-    each = manifests.select("path", lines.alias("_l"), start.alias("_s"), F.explode(block).alias("name"))
-    at = F.array_position(F.transform("_l", lambda x, k: (k >= F.col("_s") - 1) & x.contains(F.concat(F.lit('"'), F.col("name"), F.lit('"')))), True)
-    return each.select("path", "name", F.nullif(at, F.lit(0).cast("long")).alias("line"))
+    lines = F.transform(F.split(text, "\n"), js.trim)
+    begin = F.array_position(F.transform(lines, lambda x: x.startswith('"dependencies"')), True)
+    inside = F.when(begin > 0, F.slice(lines, (begin + 1).cast("int"), F.size(lines))).otherwise(F.array().cast("array<string>"))
+    each = manifests.select("path", begin.alias("_b"), inside.alias("_l"), F.explode(block).alias("name"))
+    at = F.array_position(F.transform("_l", lambda x: x.startswith(F.concat(F.lit('"'), F.col("name"), F.lit('"')))), True)
+    close = F.array_position(F.transform("_l", lambda x: x.startswith("}")), True)
+    return each.select("path", "name", F.when((at > 0) & ((close == 0) | (at < close)), F.col("_b") + at).alias("line"))
 
 
 def entry_values(manifests: DataFrame, text: str = "text") -> DataFrame:
     """(path, value): strings anywhere in the entry fields of a manifest, and source paths in its scripts."""
+    # fixed values: the fields that name files, and the form of a path in a script
     fields = [F.get_json_object(text, f"$.{f}") for f in ("main", "module", "browser", "types", "typings", "bin", "exports")]
     token = F.lit(r'"((?:\\.|[^"\\])*)"(\s*:)?')
 

@@ -4,37 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 class ResultStore:
     """A folder of Parquet rows (producer, version, key, used_at, and the result's columns).
 
     Rows are appended, never rewritten: of several for one key the last used counts, so that jobs can
-    write side by side.  A store that can't be read is an empty one."""
+    write side by side."""
 
     def __init__(self, spark: SparkSession, path: str, producer: str, version: str):
         self.spark, self.path, self.producer, self.version = spark, path, producer, version
 
-    def rows(self) -> DataFrame | None:
+    def _stored(self) -> DataFrame | None:
         try:
             stored = self.spark.read.parquet(self.path)
-        except Exception:  # noqa: BLE001  a cache that is gone or broken must not stop a run
+        except AnalysisException:  # nothing was ever stored
+            return None
+        return stored.where((F.col("producer") == self.producer) & (F.col("version") == self.version))
+
+    def rows(self) -> DataFrame | None:
+        """(key and others) of this producer and version: for each key, the row that was used last."""
+        own = self._stored()
+        if own is None:
             return None
-        own = stored.where((F.col("producer") == self.producer) & (F.col("version") == self.version))
-        last = Window.partitionBy("key").orderBy(F.desc("used_at"))
-        return own.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k", "producer", "version", "used_at")
+        values = [c for c in own.columns if c not in ("key", "producer", "version", "used_at")]
+        return own.groupBy("key").agg(F.max_by(F.struct(*values), "used_at").alias("_v")).select("key", "_v.*")
+
+    def _append(self, results: DataFrame) -> None:
+        stamped = results.withColumns({"producer": F.lit(self.producer), "version": F.lit(self.version), "used_at": F.current_timestamp()})
+        stamped.write.mode("append").partitionBy("producer", "version").parquet(self.path)
 
-    def through(self, inputs: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    def through(self, inputs: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame], renew_days: int = 1) -> DataFrame:
         """Results (key and others) of the inputs: stored ones, and those of the rest, which are stored.
 
-        compute gets the inputs whose key isn't stored, one for each key, and must keep `key`."""
+        compute gets the inputs whose key isn't stored, one for each key, and must keep `key`.  A stored
+        result that wasn't used for renew_days is stamped anew, so that prune() keeps what is in use."""
         keys, stored = inputs.dropDuplicates([key]).withColumnRenamed(key, "key"), self.rows()
         missing = keys if stored is None else keys.join(stored.select("key"), "key", "left_anti")
-        made = compute(missing)
-        stamped = made.withColumns({"producer": F.lit(self.producer), "version": F.lit(self.version), "used_at": F.current_timestamp()})
-        stamped.write.mode("append").partitionBy("producer", "version").parquet(self.path)
+        if stored is not None:
+            late = self._stored().groupBy("key").agg(F.max("used_at").alias("t")).where(F.col("t") < F.current_timestamp() - F.expr(f"interval {renew_days} days"))
+            renewed = stored.join(late.select("key"), "key", "left_semi").join(keys.select("key"), "key", "left_semi")
+            self._append(written(renewed, "renewed"))
+        self._append(compute(missing))
         return self.rows().join(keys.select("key"), "key", "left_semi")
 
     def prune(self, days: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import js
+from ..session import written
 
 #: Lines in a window that is compared.
 WINDOW = 6
@@ -26,9 +27,13 @@ def indent_complexity(content: Column) -> Column:
 
 
 def significant_lines(content: Column) -> Column:
-    """Lines with their white space collapsed that are longer than 3 characters."""
-    collapsed = F.transform(js.lines(content), lambda s: F.regexp_replace(js.trim(s), rf"[{js.SPACE}]+", " "))
-    return F.filter(collapsed, lambda s: F.length(s) > 3)
+    """Lines with their white space collapsed that are longer than 3 characters.
+
+    Runs of white space are collapsed on the whole text, around line feeds to nothing; lines are cut then."""
+    inner = js.SPACE.replace(r"\n", "")
+    flat = F.regexp_replace(content, rf"[{inner}]+", " ")
+    bare = F.regexp_replace(F.regexp_replace(flat, " ?\n ?", "\n"), r"\A | \z", "")
+    return F.filter(F.split(bare, "\n"), lambda s: F.length(s) > 3)
 
 
 def prints(lines: Column, window: int = WINDOW) -> Column:
@@ -50,8 +55,10 @@ def fingerprints(files: DataFrame, content: str = "content", window: int = WINDO
 def duplication(scans: DataFrame, window: int = WINDOW) -> DataFrame:
     """(path, duplicated_lines, fp_lines, duplication) from (path, fp_lines, prints).
 
-    A window that occurs twice or more over all files and places marks its lines.  Counts are
-    pre-aggregated by print; only prints that occur again are joined back."""
+    A window that occurs twice or more over all files and places marks its lines.  The scans are written
+    once, since they are read for the counts, the places and the shares; counts are pre-aggregated by
+    print, and only prints that occur again are joined back."""
+    scans = written(scans.select("path", "fp_lines", "prints"), "scans")
     each = scans.select("path", F.posexplode("prints").alias("at", "print"))
     again = each.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
     hits = each.join(again, "print").groupBy("path").agg(F.collect_list("at").alias("ats"))
@@ -63,6 +70,12 @@ def duplication(scans: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def files_digest(files: DataFrame) -> DataFrame:
-    """One row: the SHA-256 of the sorted `path NUL blob LF` entries; the order of rows doesn't matter."""
+    """One row: a SHA-256 of the files (path, blob), whatever the order of rows.
+
+    `path NUL blob LF` entries are dealt to 4096 buckets by the path's hash; each bucket's sorted entries
+    have a digest, and the result is that of the buckets' digests in order.  No task holds all entries."""
     entry = F.concat("path", F.lit("\0"), "blob", F.lit("\n"))
-    return files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ""), 256).alias("digest"))
+    bucket = F.substring(F.sha2("path", 256), 1, 3)
+    each = files.groupBy(bucket.alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ""), 256).alias("d"))
+    both = F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: F.concat(x["b"], x["d"]))
+    return each.agg(F.sha2(F.array_join(both, ""), 256).alias("digest"))

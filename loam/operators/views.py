@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import js
+from ..session import written
 
 
 def ratio_to_max(rows: DataFrame, value: str, limit: int, *order) -> DataFrame:
@@ -17,12 +20,30 @@ def ratio_to_max(rows: DataFrame, value: str, limit: int, *order) -> DataFrame:
     return top.withColumn("ratio", F.when(most > 0, F.col(value) / most).otherwise(0.0))
 
 
+def quantiles(rows: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
+    """One row with q0, q1, ..: interpolated quantiles of a column without nulls; nulls for no rows.
+
+    Equal values are counted first; the counts are sorted by ranges, each range adds its own up, and
+    only the sums of ranges meet in one task."""
+    counts = rows.groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    counts = written(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "values")
+    sums = counts.groupBy("part").agg(F.sum("n").alias("s"))
+    before = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy()).alias("all"))
+    end = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    placed = counts.join(F.broadcast(before), "part").select("v", "n", "all", end.alias("end"))  # one row for each range
+    rank = lambda q: F.lit(float(q)) * (F.col("all") - 1)
+    at = lambda r: F.max(F.when((F.col("end") - F.col("n") <= r) & (r < F.col("end")), F.col("v")))
+    ends = placed.agg(*(at(f(rank(q))).alias(f"{c}{k}") for k, q in enumerate(shares) for c, f in (("lo", F.floor), ("hi", F.ceil))), *(F.max(rank(q) - F.floor(rank(q))).alias(f"f{k}") for k, q in enumerate(shares)))
+    return ends.select(*((F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * F.col(f"f{k}")).alias(f"q{k}") for k in range(len(shares))))
+
+
 def heat_scale(rows: DataFrame, value: str) -> DataFrame:
     """One row: low, high and the quintiles q20 to q80, interpolated; zeros for no rows."""
-    finite = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value).cast("double")) != float("inf")))
-    q = finite.agg(F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"), F.percentile(F.col(value), F.array(*[F.lit(x) for x in (0.2, 0.4, 0.6, 0.8)])).alias("q"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return q.select(zero(F.col("low")).alias("low"), zero(F.col("high")).alias("high"), *(zero(F.col("q")[k]).alias(f"q{20 * (k + 1)}") for k in range(4)))
+    finite = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value).cast("double")) != float("inf"))).select(value)
+    q = quantiles(finite, value, (0, 0.2, 0.4, 0.6, 0.8, 1))
+    names = ("low", "q20", "q40", "q60", "q80", "high")
+    scale = q.select(*(F.coalesce(f"q{k}", F.lit(0.0)).alias(c) for k, c in enumerate(names)))
+    return scale.select("low", "high", *names[1:-1])
 
 
 def heat_levels(rows: DataFrame, value: str, scale: DataFrame) -> DataFrame:

@@ -21,8 +21,8 @@ from ..sources import tables as T
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-#: Line items have small orders: limits at which pairs are left.
-LIMITS = H.CouplingLimits(max_files=5, min_degree=5)
+#: Line items make weak pairs: a degree at which some are left.
+LIMITS = H.CouplingLimits(min_degree=5)
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
@@ -45,7 +45,7 @@ def oracle_sql() -> dict[str, str]:
 
 # -- history
 
-_CF = "cf AS (SELECT DISTINCT l_orderkey AS sha, l_partkey AS path FROM lineitem), small AS (SELECT cf.* FROM cf JOIN (SELECT sha FROM cf GROUP BY sha HAVING count(*) <= 5) USING (sha))"
+_CF = "cf AS (SELECT DISTINCT l_orderkey AS sha, l_partkey AS path FROM lineitem), small AS (SELECT cf.* FROM cf JOIN (SELECT sha FROM cf GROUP BY sha HAVING count(*) <= 30) USING (sha))"
 _SHARED = f"{_CF}, ch AS (SELECT path, count(*) AS changes FROM small GROUP BY path), sh AS (SELECT a.path AS file_a, b.path AS file_b, count(*) AS shared_changes FROM small a JOIN small b ON a.sha = b.sha AND a.path < b.path GROUP BY 1, 2)"
 _DEGREE = "floor(200.0 * shared_changes / (a.changes + b.changes) * 10 + 0.5) / 10"
 _COUPLED = f"{_SHARED}, cp AS (SELECT file_a, file_b, shared_changes, a.changes AS changes_a, b.changes AS changes_b, CAST({_DEGREE} AS DOUBLE) AS degree FROM sh JOIN ch a ON a.path = file_a JOIN ch b ON b.path = file_b WHERE shared_changes >= 2 AND a.changes >= 3 AND b.changes >= 3)"
@@ -63,27 +63,27 @@ def set_distinct_paths(spark, sf):
 
 @query(f"WITH {_CF} SELECT sha, count(*) AS n_files FROM small GROUP BY sha")
 def flt_commit_size(spark, sf):
-    return H.small_commits(T.commit_files(spark, sf), 5).select("sha", F.size("paths").cast("long").alias("n_files"))
+    return H.small_commits(T.commit_files(spark, sf), LIMITS.max_files).select("sha", F.size("paths").cast("long").alias("n_files"))
 
 
 @query(f"WITH {_SHARED} SELECT * FROM ch")
 def agg_changes(spark, sf):
-    return H.changes(H.small_commits(T.commit_files(spark, sf), 5))
+    return H.changes(H.small_commits(T.commit_files(spark, sf), LIMITS.max_files))
 
 
 @query(f"WITH {_SHARED} SELECT * FROM sh WHERE shared_changes >= 2")
 def agg_shared(spark, sf):
-    return H.shared(H.small_commits(T.commit_files(spark, sf), 5), 2)
+    return H.shared(H.small_commits(T.commit_files(spark, sf), LIMITS.max_files), 2)
 
 
 @query(f"WITH {_CF} SELECT a.path AS file_a, b.path AS file_b, count(*) AS commits FROM small a JOIN small b ON a.sha = b.sha AND a.path < b.path GROUP BY 1, 2")
 def join_coupling_self(spark, sf):
-    return H.pairs(H.small_commits(T.commit_files(spark, sf), 5)).groupBy("file_a", "file_b").agg(F.count("*").alias("commits"))
+    return H.pairs(H.small_commits(T.commit_files(spark, sf), LIMITS.max_files)).groupBy("file_a", "file_b").agg(F.count("*").alias("commits"))
 
 
 @query(f"WITH {_SHARED} SELECT sh.*, a.changes AS changes_a, b.changes AS changes_b FROM sh JOIN ch a ON a.path = file_a JOIN ch b ON b.path = file_b WHERE shared_changes >= 2")
 def join_coupling_counts(spark, sf):
-    small = H.small_commits(T.commit_files(spark, sf), 5)
+    small = H.small_commits(T.commit_files(spark, sf), LIMITS.max_files)
     return H.with_counts(H.shared(small, 2), H.changes(small)).select("file_a", "file_b", "shared_changes", "changes_a", "changes_b")
 
 
@@ -94,7 +94,7 @@ def agg_coupling(spark, sf):
 
 @query(f"WITH {_COUPLED} SELECT * FROM cp WHERE degree >= 10")
 def flt_thresholds(spark, sf):
-    return H.coupling(T.commit_files(spark, sf), H.CouplingLimits(max_files=5, min_degree=10))
+    return H.coupling(T.commit_files(spark, sf), H.CouplingLimits(min_degree=10))
 
 
 @query(f"WITH {_COUPLED} SELECT * FROM cp WHERE degree >= 5 AND file_a IN (SELECT p_partkey FROM part WHERE p_size > 25) AND file_b IN (SELECT p_partkey FROM part WHERE p_size > 25)")
@@ -161,7 +161,8 @@ def agg_duplication(spark, sf):
     return d.select("path", F.col("duplicated_lines").cast("long").alias("duplicated_lines"), F.col("fp_lines").cast("long").alias("fp_lines"), "duplication")
 
 
-@query("SELECT sha256(string_agg(path || chr(0) || blob || chr(10), '' ORDER BY path || chr(0) || blob || chr(10))) AS digest FROM (SELECT source || '/' || lang || '/' || doc_id || '.ts' AS path, sha1(text) AS blob FROM documents)")
+@query(f"""WITH {_FILES}, b AS (SELECT substr(sha256(path), 1, 3) AS b, sha256(string_agg(path || chr(0) || blob || chr(10), '' ORDER BY path || chr(0) || blob || chr(10))) AS d FROM f GROUP BY 1)
+SELECT sha256(string_agg(b || d, '' ORDER BY b)) AS digest FROM b""")
 def agg_files_digest(spark, sf):
     return X.files_digest(T.files(spark, sf))
 
@@ -194,9 +195,9 @@ def flt_positive_score(spark, sf):
     return _hotspots(spark, sf).where("score > 0")
 
 
-@query(f"WITH {_HOT} SELECT h.*, d.loc FROM h LEFT JOIN (SELECT doc_id AS path, len(string_split(text, chr(10))) AS loc FROM documents WHERE doc_id % 3 > 0) d ON d.path = h.path WHERE score > 0")
+@query(f"WITH {_HOT} SELECT h.*, d.loc FROM h LEFT JOIN (SELECT doc_id AS path, len(string_split(text, chr(10))) AS loc FROM documents) d ON d.path = h.path WHERE score > 0")
 def join_hotspot_loc(spark, sf):
-    docs = table(spark, sf, "documents").where("doc_id % 3 > 0")
+    docs = table(spark, sf, "documents")
     metrics = docs.select(F.col("doc_id").alias("path"), F.col("doc_id").alias("seq"), X.loc(F.col("text")).cast("long").alias("loc"))
     return H.with_loc(_hotspots(spark, sf), metrics)
 
@@ -298,10 +299,9 @@ def win_share_of_total(spark, sf):
 _WEEKS = "w AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS week, count(*) AS n FROM orders WHERE {0} GROUP BY 1), s AS (SELECT CAST(unnest(generate_series(min(week), max(week), INTERVAL 7 DAY)) AS DATE) AS week FROM w)"
 
 
-@query(f"WITH {_WEEKS.format('o_orderkey % 997 = 0')} SELECT CAST(s.week AS VARCHAR) AS week, coalesce(w.n, 0) AS commits FROM s LEFT JOIN w ON w.week = s.week")
+@query(f"WITH {_WEEKS.format('o_orderkey IS NOT NULL')} SELECT CAST(s.week AS VARCHAR) AS week, coalesce(w.n, 0) AS commits FROM s LEFT JOIN w ON w.week = s.week")
 def agg_weekly(spark, sf):
-    """Only some orders are commits here, so that there are weeks without any."""
-    return C.weekly(T.commits(spark, sf).where("sha % 997 = 0")).withColumn("week", F.col("week").cast("string"))
+    return C.weekly(T.commits(spark, sf)).withColumn("week", F.col("week").cast("string"))
 
 
 @query(f"WITH {_WEEKS.format('true')} SELECT CAST(s.week AS VARCHAR) AS week, coalesce(w.n, 0) AS commits FROM s LEFT JOIN w ON w.week = s.week", name="agg_weekly_all")
@@ -350,7 +350,7 @@ def ext_code_age(spark, sf):
 
 # -- graphs
 
-_EDGES = "ev AS (SELECT user_id AS a, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS b FROM events WHERE value > 200), e AS (SELECT DISTINCT a, b FROM ev WHERE b IS NOT NULL AND a <> b), n AS (SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey < 140)"
+_EDGES = "pl AS (SELECT event_id, user_id * 50 + CAST(regexp_extract(props, '[0-9]+') AS BIGINT) % 50 AS place FROM events), e AS (SELECT DISTINCT x.place AS a, y.place AS b FROM pl x JOIN pl y ON y.event_id = x.event_id + 1 WHERE x.place <> y.place), n AS (SELECT DISTINCT c_custkey AS id FROM customer)"
 _CYCLES = f"{_EDGES}, tc AS (SELECT a, b FROM e UNION SELECT tc.a, e.b FROM tc JOIN e ON tc.b = e.a), sc AS (SELECT x.a AS node, min(x.b) AS component FROM tc x JOIN tc y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(*) > 1)"
 
 
@@ -359,8 +359,8 @@ def _edges(spark, sf):
 
 
 def _nodes(spark, sf):
-    """Some users are nodes; the others are only ends of edges."""
-    return table(spark, sf, "customer").where("c_custkey < 140").select(F.col("c_custkey").alias("id")).distinct()
+    """Customers are nodes; other places are only ends of edges."""
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).distinct()
 
 
 def _cycles(spark, sf):
@@ -377,18 +377,20 @@ def graph_scc(spark, sf):
     return _cycles(spark, sf)
 
 
+@query(f"WITH RECURSIVE {_CYCLES} SELECT component, node FROM sc")
+def graph_scc_rounds(spark, sf):
+    """The same by the distributed rounds that larger graphs take."""
+    return G.scc(_edges(spark, sf), small_edges=0)
+
+
 @query(f"WITH RECURSIVE {_CYCLES}, g AS (SELECT component, count(*) AS size FROM sc GROUP BY 1) SELECT component, size, CAST(row_number() OVER (ORDER BY size DESC, component) AS INTEGER) AS position FROM g")
 def sort_cycles(spark, sf):
-    from pyspark.sql import Window
-
-    sizes = _cycles(spark, sf).groupBy("component").agg(F.count("*").alias("size"))
-    return sizes.withColumn("position", F.row_number().over(Window.orderBy(F.desc("size"), "component")))
+    return G.cycle_sizes(_cycles(spark, sf))
 
 
 @query(f"WITH RECURSIVE {_CYCLES}, g AS (SELECT component, row_number() OVER (ORDER BY count(*) DESC, component) AS number FROM sc GROUP BY 1) SELECT node, CAST(number AS INTEGER) AS number FROM sc JOIN g USING (component)")
 def win_cycle_number(spark, sf):
-    ordered = G.ordered_cycles(_cycles(spark, sf), _edges(spark, sf))
-    return ordered.select(F.explode("nodes").alias("node"), F.col("position").alias("number"))
+    return G.cycle_numbers(_cycles(spark, sf))
 
 
 @query()
@@ -408,15 +410,21 @@ def agg_graph_summary(spark, sf):
     return G.summary(_nodes(spark, sf), _edges(spark, sf), _cycles(spark, sf))
 
 
-@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT id AS node FROM n WHERE id < 4 UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT node FROM r")
+@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT id AS node FROM n WHERE id < 40 UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT node FROM r")
 def graph_reachable(spark, sf):
-    return G.reachable(_edges(spark, sf), _nodes(spark, sf).where("id < 4").select(F.col("id").alias("node")))
+    return G.reachable(_edges(spark, sf), _nodes(spark, sf).where("id < 40").select(F.col("id").alias("node")))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT id AS node FROM n WHERE id < 40 UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT node FROM r")
+def graph_reachable_rounds(spark, sf):
+    """The same by the distributed rounds that larger graphs take."""
+    return G.reachable(_edges(spark, sf), _nodes(spark, sf).where("id < 40").select(F.col("id").alias("node")), small_edges=0)
 
 
-@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT id AS node FROM n WHERE id < 4 UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT id AS path FROM n WHERE id NOT IN (SELECT node FROM r)")
+@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT id AS node FROM n WHERE id < 40 UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT id AS path FROM n WHERE id NOT IN (SELECT node FROM r)")
 def anti_unreachable(spark, sf):
     nodes = _nodes(spark, sf)
-    return G.unreachable(nodes.select(F.col("id").alias("path")), _edges(spark, sf), nodes.where("id < 4").select(F.col("id").alias("node")))
+    return G.unreachable(nodes.select(F.col("id").alias("path")), _edges(spark, sf), nodes.where("id < 40").select(F.col("id").alias("node")))
 
 
 @query(f"WITH {_EDGES}, ends AS (SELECT a AS id FROM e UNION SELECT b FROM e) SELECT id, id AS label, 'package' AS kind FROM ends WHERE id NOT IN (SELECT id FROM n)")
@@ -479,19 +487,24 @@ def graph_longest_path_rank(spark, sf):
     return G.ranks(nodes, edges)
 
 
-@query()
+_BACK = f"{_CYCLES}, ie AS (SELECT x.component, a, b FROM e JOIN sc x ON x.node = a JOIN sc y ON y.node = b AND y.component = x.component), bf AS (SELECT DISTINCT component, component AS node, 0 AS level FROM sc UNION SELECT ie.component, ie.b, level + 1 FROM bf JOIN ie ON ie.component = bf.component AND ie.a = bf.node WHERE level < 60), lv AS (SELECT component, node, min(level) AS level FROM bf GROUP BY 1, 2)"
+
+
+@query(f'WITH RECURSIVE {_BACK} SELECT a AS "from", b AS "to" FROM ie JOIN lv x ON x.node = a JOIN lv y ON y.node = b WHERE y.level <= x.level')
 def graph_back_edges(spark, sf):
     return G.back_edges(_edges(spark, sf))
 
 
-_TWO = f"{_EDGES}, g1 AS (SELECT 0 AS seq, a, b, 'import' AS kind FROM e WHERE a % 2 = 0 UNION ALL SELECT 1, a, b, 'import' FROM e WHERE a % 3 = 0), gn AS (SELECT 0 AS seq, id, 'l' || id AS label FROM n WHERE id % 2 = 0 UNION ALL SELECT 1, id, 'r' || id FROM n WHERE id % 3 = 0)"
+_TWO = f"{_EDGES}, g1 AS (SELECT 0 AS seq, a, b, 'import' AS kind FROM e UNION ALL SELECT 1, b, a, 'import' FROM e), gn AS (SELECT 0 AS seq, id, 'l' || id AS label FROM n UNION ALL SELECT 1, s_suppkey, 'r' || s_suppkey FROM supplier UNION ALL SELECT 1, p_partkey, 'r' || p_partkey FROM part)"
 
 
 def _two(spark, sf):
-    edges, nodes = _edges(spark, sf), _nodes(spark, sf)
-    side = lambda seq, k: edges.where(F.col("from") % k == 0).select(F.lit(seq).alias("seq"), "from", "to", F.lit("import").alias("kind"), F.lit(None).cast("long").alias("weight"))
-    node = lambda seq, k, mark: nodes.where(F.col("id") % k == 0).select(F.lit(seq).alias("seq"), "id", F.concat(F.lit(mark), F.col("id").cast("string")).alias("label"), F.lit("file").alias("kind"), F.lit(None).cast("long").alias("loc"))
-    return G.merge(node(0, 2, "l").unionByName(node(1, 3, "r")), side(0, 2).unionByName(side(1, 3)))
+    """The graph of customers, and of suppliers and parts with all edges turned round, as two languages."""
+    edges, kind, none = _edges(spark, sf), F.lit("import").alias("kind"), F.lit(None).cast("long")
+    side = lambda seq, a, b: edges.select(F.lit(seq).alias("seq"), F.col(a).alias("from"), F.col(b).alias("to"), kind, none.alias("weight"))
+    node = lambda df, seq, mark: df.select(F.lit(seq).alias("seq"), "id", F.concat(F.lit(mark), F.col("id").cast("string")).alias("label"), F.lit("file").alias("kind"), none.alias("loc"))
+    others = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")).union(table(spark, sf, "part").select("p_partkey"))
+    return G.merge(node(_nodes(spark, sf), 0, "l").unionByName(node(others, 1, "r")), side(0, "from", "to").unionByName(side(1, "to", "from")))
 
 
 @query(f"WITH {_TWO} SELECT id, min_by(label, seq) AS label FROM gn GROUP BY id")
@@ -708,12 +721,16 @@ def join_alias_pattern(spark, sf):
     return M.alias_target(_specs(spark, sf), aliases)
 
 
-@query(f"WITH {_FILES} SELECT count(*) AS n, 'x' AS k FROM (SELECT path FROM f WHERE seq % 2 = 0)")
+_CANDIDATES = "unnest(generate_series(1, 16)) AS pos FROM (SELECT path, seq, regexp_replace(path, '\\.ts$', '') AS stem FROM f) x"
+
+
+@query(f"""WITH {_FILES}, k AS (SELECT path, seq, stem, {_CANDIDATES} WHERE seq % 2 = 0) SELECT path, pos, stem || CASE WHEN pos > 8 THEN '/index.' ELSE '.' END || (['ts', 'tsx', 'mts', 'cts', 'js', 'jsx', 'mjs', 'cjs'])[(pos - 1) % 8 + 1] AS candidate FROM k
+UNION ALL SELECT path, pos, stem || (['.js', '.ts', '.tsx'])[pos] FROM (SELECT path, seq, stem, {_CANDIDATES}) y WHERE seq % 2 = 1 AND pos < 4""")
 def prj_candidate_paths(spark, sf):
-    """Every path is among its own candidates with and without its extension."""
-    files = T.files(spark, sf).where("seq % 2 = 0")
-    each = files.select("path", F.explode(M.candidate_paths(F.regexp_replace("path", r"\.ts\z", ""))).alias("c"))
-    return each.where("c = path").agg(F.count("*").alias("n")).withColumn("k", F.lit("x"))
+    """Of every other path without its extension, of the rest as what it is built to."""
+    base = F.when(F.col("seq") % 2 == 0, F.regexp_replace("path", r"\.ts\z", "")).otherwise(F.regexp_replace("path", r"\.ts\z", ".js"))
+    each = T.files(spark, sf).select("path", F.posexplode(M.candidate_paths(base)).alias("pos", "candidate"))
+    return each.withColumn("pos", (F.col("pos") + 1).cast("long"))
 
 
 _DEPS = "dp AS (SELECT DISTINCT source AS folder, CASE doc_id % 3 WHEN 0 THEN '@types/' || lang WHEN 1 THEN lang ELSE source END AS name FROM documents), im AS (SELECT DISTINCT source AS folder, lang AS name FROM documents WHERE doc_id % 4 = 1)"
@@ -760,14 +777,38 @@ def prj_run_display(spark, sf):
     return docs.select(F.col("doc_id").alias("id"), V.run_display(F.when(F.col("doc_id") % 3 > 0, F.col("lang")), F.sha1("text")).alias("shown"))
 
 
-@query("SELECT doc_id AS id, CASE WHEN n_chars >= 1000 THEN regexp_replace(printf('%.1f', floor(n_chars / 1000 * 10 + 0.5) / 10), '\\.0$', '') || 'k' ELSE CAST(n_chars AS VARCHAR) END AS chars FROM documents")
+def _fixed_sql(x: str, digits: int) -> str:
+    """A tie, which only a multiple of a power of 1/2 is, goes up; else the exact value is rounded."""
+    tie = f"({x}) * {10**digits} - floor(({x}) * {10**digits}) = 0.5 AND ({x}) * {2 ** (digits + 1)} = floor(({x}) * {2 ** (digits + 1)})"
+    return f"CASE WHEN {tie} THEN printf('%.{digits}f', floor(({x}) * {10**digits} + 0.5) / {10**digits}) ELSE printf('%.{digits}f', {x}) END"
+
+
+def _compact_sql(n: str) -> str:
+    unit = lambda d, u: f"CASE WHEN {n} / {d}.0::DOUBLE < 10 THEN {_fixed_sql(f'{n} / {d}.0::DOUBLE', 1)} ELSE {_fixed_sql(f'{n} / {d}.0::DOUBLE', 0)} END || '{u}'"
+    return f"CASE WHEN {n} < 1000 THEN CAST({n} AS VARCHAR) WHEN {n} < 1000000 THEN {unit(1000, 'k')} WHEN {n} < 1000000000 THEN {unit(1000000, 'M')} ELSE {unit(1000000000, 'B')} END"
+
+
+@query(f"WITH v AS (SELECT doc_id AS id, n_chars AS n, n_chars * 997 AS m, n_chars * 1000003 AS b FROM documents) SELECT id, {_compact_sql('n')} AS chars, {_compact_sql('m')} AS more, {_compact_sql('b')} AS most FROM v")
 def prj_format_number(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), js.compact_number(F.col("n_chars")).alias("chars"))
+    n = F.col("n_chars")
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), *(js.compact_number(x).alias(c) for c, x in (("chars", n), ("more", n * 997), ("most", n * 1000003))))
 
 
-@query("SELECT doc_id AS id, CASE WHEN n_chars < 1000 THEN n_chars || ' ms' WHEN n_chars < 60000 THEN printf('%.1f', floor(n_chars / 1000 * 10 + 0.5) / 10) || ' s' ELSE CAST(n_chars // 60000 AS VARCHAR) || ' m ' || CAST((n_chars // 1000) % 60 AS VARCHAR) || ' s' END AS shown FROM documents")
+@query(f"""WITH v AS (SELECT doc_id AS id, n_chars * 13 AS ms FROM documents), s AS (SELECT *, floor(ms / 1000.0::DOUBLE + 0.5)::BIGINT AS whole FROM v)
+SELECT id, CASE WHEN ms < 1000 THEN ms || ' ms' WHEN ms < 60000 THEN {_fixed_sql('ms / 1000.0::DOUBLE', 1)} || ' s' WHEN whole % 60 = 0 THEN whole // 60 || ' m' ELSE whole // 60 || ' m ' || whole % 60 || ' s' END AS shown FROM s""")
 def prj_format_duration(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), js.duration(F.col("n_chars")).alias("shown"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), js.duration(F.col("n_chars") * 13).alias("shown"))
+
+
+@query("""WITH v AS (SELECT o_orderkey AS id, date_diff('millisecond', o_orderdate::TIMESTAMP, TIMESTAMP '1998-08-03 12:00:00') AS ms FROM orders)
+SELECT id, CASE WHEN ms < 60000 THEN 'just now' WHEN ms < 3600000 THEN ms // 60000 || ' min ago' WHEN ms < 86400000 THEN ms // 3600000 || ' h ago' WHEN ms < 604800000 THEN ms // 86400000 || ' d ago' ELSE ms // 604800000 || ' w ago' END AS age FROM v""")
+def prj_format_age(spark, sf):
+    return T.commits(spark, sf).select(F.col("sha").alias("id"), js.relative_age(F.col("ts"), F.lit("1998-08-03 12:00:00").cast("timestamp")).alias("age"))
+
+
+@query(f"WITH {_FILES} SELECT path, regexp_extract(path, '^(.*/)[^/]*$', 1) AS folder FROM f")
+def prj_dir_label(spark, sf):
+    return T.files(spark, sf).select("path", js.dir_label(F.col("path")).alias("folder"))
 
 
 @query(f"WITH RECURSIVE {_CYCLES} SELECT (SELECT count(*) FROM orders) AS commits, (SELECT count(*) FROM documents) AS files, (SELECT count(DISTINCT component) FROM sc) AS cycles, (SELECT count(*) FROM e) AS edges")
@@ -811,29 +852,92 @@ def prj_stars(spark, sf):
     return _code(spark, sf).select("doc_id", F.explode(Z.stars(Z.blank_comments(F.col("content")))).alias("spec"))
 
 
-@query("SELECT doc_id, source AS name, 1 AS line FROM documents")
+@query("""SELECT doc_id, source || k AS name, CAST(line AS INTEGER) AS line FROM documents, (VALUES ('', 4), ('_b', 5), ('_x', 6), ('_z', 6), ('_l', 9), ('_shown', 10), ('_f', 12)) v(k, line)
+UNION ALL SELECT doc_id, 'default', 13 FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT doc_id, lang, 13 FROM documents WHERE doc_id % 2 = 0""")
 def prj_exports(spark, sf):
-    """The comment before the export is taken out first, so that it begins its line."""
+    """A module of several lines made from each document's columns: lists, patterns and declarations over line ends."""
     from ..operators import source as Z
 
-    code = F.regexp_replace(_plain_code(), r"\A\s+", "")
-    return _code(spark, sf).select("doc_id", F.explode(Z.exports(code)).alias("e")).select("doc_id", "e.name", "e.line")
+    name = lambda k: F.concat("source", F.lit(k))
+    code = F.concat(
+        F.lit("import x from 'y'\n/* export const no = 1\n*/\nexport const "), name(""), F.lit(" = f(1, { a, b }),\n  "), name("_b"), F.lit(" = 2;\nexport const { "), name("_x"), F.lit(", y: "), name("_z"), F.lit(" = `\n` } = o\nexport {\n  "),
+        name("_l"), F.lit(",\n  hidden as "), name("_shown"), F.lit(",\n} from './p'\nexport async function "), name("_f"), F.lit("() {}\n"), F.when(F.col("doc_id") % 2 == 1, F.lit("export default class K {}")).otherwise(F.concat(F.lit("export * as "), "lang", F.lit(" from './q'"))),
+    )
+    each = table(spark, sf, "documents").select("doc_id", F.explode(Z.exports(Z.blank_comments(code))).alias("e"))
+    return each.select("doc_id", "e.name", "e.line")
 
 
-def _plain_code():
+@query("SELECT doc_id, coalesce(text, '') || ' ' || chr(10) AS left_over FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\"''`/]')")
+def prj_blank_comments(spark, sf):
+    """Whole texts without quotes and slashes, between comments that go."""
     from ..operators import source as Z
 
-    return F.regexp_extract(Z.blank_comments(F.col("content")), r"\n\s*\n\s*(export const[^\n]*)", 1)
+    plain = table(spark, sf, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike("[\"'`/]"))
+    blanked = Z.blank_comments(F.concat(F.lit("/* x 'y\n*/"), "text", F.lit(" // z\"\n")))
+    return plain.select("doc_id", F.regexp_replace(F.regexp_replace(blanked, r"\A +\n  ", ""), r" +\n\z", " \n").alias("left_over"))
 
 
-@query("SELECT doc_id, length('import d, { ' || lang || ', type T as U } from ./' || source || 'export const ' || source || ' = a && b ? 1 : 2 if (x?.y) { f(|| && ?) }') AS n FROM documents WHERE doc_id % 2 = 0")
-def prj_blank_comments(spark, sf):
-    """What is left of the first lines without comments, quotes and the last statement, its blanks collapsed."""
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang || ' ' || source WHEN 1 THEN NULL ELSE source END AS value FROM documents")
+def prj_static_string(spark, sf):
     from ..operators import source as Z
 
-    left = F.regexp_replace(F.regexp_replace(Z.blank_comments(F.col("content")), r"export \* from '[^']*'", ""), "'", "")
-    squeezed = js.trim(F.regexp_replace(left, r"\s+", " "))
-    return _code(spark, sf).where("doc_id % 2 = 0").select("doc_id", (F.length(squeezed) - 1).cast("long").alias("n"))
+    literal = F.expr("CASE doc_id % 3 WHEN 0 THEN '\"' || lang || ' ' || source || '\"' WHEN 1 THEN '`' || lang || '$' || '{x}`' ELSE '`' || source || '`' END")
+    return table(spark, sf, "documents").select("doc_id", Z.static_string(literal).alias("value"))
+
+
+def _repository(spark, sf):
+    """A repository made from documents: each folder `source/lang` is a package, and each document a module of it.
+
+    A module imports the next one of its folder (so chains end), every fifth its own package's index, and offers two
+    names of which the module before takes one.  The index takes the first module."""
+    from pyspark.sql import Window
+
+    docs = table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "source", "lang").alias("folder"))
+    n = docs.withColumn("k", F.row_number().over(Window.partitionBy("folder").orderBy("doc_id")))
+    k = lambda d=0: (F.col("k") + d).cast("string")
+    code = F.concat(
+        F.lit("import { a"), k(1), F.lit(" } from './m"), k(1), F.lit(".js'\n"), F.when(F.col("k") % 5 == 0, F.lit("import * as all from './index'\n")).otherwise(""),
+        F.lit("export const a"), k(), F.lit(" = 1,\n  b"), k(), F.lit(" = 2\n"),
+    )
+    modules = n.select(F.concat("folder", F.lit("/m"), k(), F.lit(".ts")).alias("path"), code.alias("content"))
+    folders = docs.select("folder").distinct()
+    index = folders.select(F.concat("folder", F.lit("/index.ts")).alias("path"), F.lit("export { a1 } from './m1'\nimport 'used/deep'\n").alias("content"))
+    lost = folders.select(F.concat("folder", F.lit("/lost.ts")).alias("path"), F.lit("export const nobody = 1").alias("content"))
+    manifests = folders.select(F.concat("folder", F.lit("/package.json")).alias("path"), F.lit('{\n  "main": "./index.js",\n  "dependencies": {\n    "used": "1",\n    "idle": "1"\n  }\n}').alias("text"))
+    return modules.union(index).union(lost), manifests
+
+
+def _language(spark, sf):
+    from ..operators import language as L
+
+    files, manifests = _repository(spark, sf)
+    return L.analyze(L.scan_files(files), manifests, manifests.limit(0))
+
+
+_REPOSITORY = "m AS (SELECT source || '/' || lang AS folder, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS k FROM documents), z AS (SELECT folder, max(k) AS top FROM m GROUP BY 1)"
+
+
+@query(f"""WITH {_REPOSITORY} SELECT folder || '/m' || k || '.ts' AS path, 'b' || k AS symbol, CAST(CASE WHEN k % 5 = 0 THEN 4 ELSE 3 END AS INTEGER) AS line, 'unreferenced-export' AS reason FROM m
+UNION ALL SELECT folder || '/lost.ts', NULL, NULL, 'unreachable-file' FROM z UNION ALL SELECT folder || '/package.json', 'idle', 5, 'unused-dependency' FROM z""")
+def lang_dead_code(spark, sf):
+    return _language(spark, sf)["dead_code"]
+
+
+@query(f"""WITH {_REPOSITORY} SELECT folder || '/m' || k || '.ts' AS "from", folder || '/m' || (k + 1) || '.ts' AS "to", 'import' AS kind FROM m JOIN z USING (folder) WHERE k < top
+UNION ALL SELECT folder || '/m' || k || '.ts', folder || '/index.ts', 'import' FROM m WHERE k % 5 = 0 UNION ALL SELECT folder || '/index.ts', folder || '/m1.ts', 'import' FROM z""")
+def lang_import_graph(spark, sf):
+    return _language(spark, sf)["edges"].select("from", "to", "kind")
+
+
+@query(f"""WITH {_REPOSITORY}, c AS (SELECT count(*) AS cycles, coalesce(sum(top // 5 * 5 + 1), 0) AS cycle_nodes FROM z WHERE top >= 5)
+SELECT (SELECT count(*) FROM m) + 2 * (SELECT count(*) FROM z) AS nodes, (SELECT sum(top - 1 + top // 5 + 1) FROM z)::BIGINT AS edges, cycles, cycle_nodes::BIGINT AS cycle_nodes FROM c""")
+def lang_graph_summary(spark, sf):
+    return _language(spark, sf)["summary"].select("nodes", "edges", "cycles", "cycle_nodes")
+
+
+@query(f"""WITH {_REPOSITORY} SELECT folder || '/m' || k || '.ts' AS path, CASE WHEN k % 5 = 0 THEN 5 ELSE 4 END AS loc, 1 AS complexity FROM m UNION ALL SELECT folder || '/index.ts', 3, 1 FROM z UNION ALL SELECT folder || '/lost.ts', 1, 1 FROM z""")
+def lang_code_metrics(spark, sf):
+    return _language(spark, sf)["code_metrics"].select("path", "loc", "complexity")
 
 
 @query("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'src/' || lang || '.ts' ELSE 'src/' || lang || '/index.ts' END AS path FROM documents")
@@ -865,14 +969,15 @@ def ext_architecture_rules(spark, sf):
     return violations(edges, [ArchitectureRule("src1*", "**/de"), ArchitectureRule("**/fr", "lib", enforced=False)])
 
 
-_COMPARED = "b AS (SELECT l_partkey AS path, count(*) AS n FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1), a AS (SELECT l_partkey AS path, count(*) AS n FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1), c AS (SELECT coalesce(a.path, b.path) AS path, coalesce(b.n, 0) AS before, coalesce(a.n, 0) AS after, coalesce(a.n, 0) - coalesce(b.n, 0) AS change FROM a FULL OUTER JOIN b ON a.path = b.path)"
+_COMPARED = f"{_TOUCH}, b AS (SELECT path, count(*) AS n FROM t WHERE ts < TIMESTAMP '1995-04-01' GROUP BY 1), a AS (SELECT path, count(*) AS n FROM t WHERE ts >= TIMESTAMP '1995-04-01' GROUP BY 1), c AS (SELECT coalesce(a.path, b.path) AS path, coalesce(b.n, 0) AS before, coalesce(a.n, 0) AS after, coalesce(a.n, 0) - coalesce(b.n, 0) AS change FROM a FULL OUTER JOIN b ON a.path = b.path)"
 
 
 def _compared(spark, sf):
+    """The history before and from a day on, as two runs."""
     from ..operators.gates import compare
 
-    touches = T.commit_files(spark, sf)
-    return compare(H.churn(touches.where("sha % 2 = 0")), H.churn(touches.where("sha % 3 = 0")), "path", "changes")
+    touches, day = _touches(spark, sf), F.lit("1995-04-01").cast("timestamp")
+    return compare(H.churn(touches.where(F.col("ts") < day)), H.churn(touches.where(F.col("ts") >= day)), "path", "changes")
 
 
 @query(f"WITH {_COMPARED} SELECT * FROM c")
@@ -891,3 +996,14 @@ def ext_hotspot_gate(spark, sf):
 def flt_tsconfig_path(spark, sf):
     path = F.when(F.col("doc_id") % 4 == 0, F.regexp_replace("path", r"package\.json\z", "tsconfig.app.json")).otherwise(F.concat(F.lit("node_modules/"), F.regexp_replace("path", r"package\.json\z", "tsconfig.json")))
     return _odd_paths(spark, sf).where(S.is_config(path)).select("doc_id")
+
+
+@query(f"WITH {_FILES} SELECT DISTINCT source || '/' || lang AS component, CAST(count(*) AS BIGINT) AS size FROM documents GROUP BY 1 HAVING count(*) > 1")
+def ext_new_cycles(spark, sf):
+    """Each folder's files are a cycle; in the run before, folders of one file were cycles too, and other ones weren't."""
+    from ..operators.gates import new_cycles
+
+    cycles = T.files(spark, sf).select(js.dir_name(F.col("path")).alias("component"), F.col("path").alias("node"))
+    sizes = cycles.groupBy("component").agg(F.count("*").alias("n"))
+    before = cycles.join(sizes.where("n = 1"), "component").select("component", "node")
+    return new_cycles(before, cycles).select("component", F.size("nodes").cast("long").alias("size"))

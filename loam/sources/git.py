@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import subprocess
 import tempfile
+import threading
+import uuid
+import warnings
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -54,8 +57,12 @@ def toplevel(folder: str) -> str | None:
 
 
 def _listed(spark: SparkSession, root: str, args: tuple[str, ...], separator: str, folder: str | None) -> DataFrame:
-    """git's output as one row for each record; the file lies where all executors can read it."""
-    target = Path(folder or tempfile.mkdtemp(prefix="loam-git-")) / "listing.txt"
+    """git's output as one row for each record, in a file of its own in a folder that all executors can read."""
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("give a folder that all executors can read for git's listings")
+        folder = tempfile.mkdtemp(prefix="loam-git-")
+    target = Path(folder) / f"{args[0] if args[0] != '-c' else 'log'}-{uuid.uuid4().hex}.txt"
     _git(root, *args, into=str(target))
     return spark.read.text(f"file://{target}", lineSep=separator)
 
@@ -68,8 +75,22 @@ def ls_tree(spark: SparkSession, root: str, rev: str = "HEAD", folder: str | Non
 
 
 def tracked(spark: SparkSession, root: str, rev: str = "HEAD", folder: str | None = None) -> DataFrame:
-    """(path) of the tracked files, unquoted."""
-    return _listed(spark, root, ("ls-tree", "-r", "--name-only", "-z", rev), "\0", folder).where("value <> ''").select(F.col("value").alias("path"))
+    """(blob, path) of the tracked files, unquoted; none, with a warning, where git can't list them."""
+    try:
+        rows = _listed(spark, root, ("ls-tree", "-r", "-z", rev), "\0", folder)
+    except GitError as e:
+        warnings.warn(f"no tracked files: {e}", stacklevel=2)
+        return spark.createDataFrame([], "blob string, path string")
+    head, path = F.split(F.substring_index("value", "\t", 1), r"\s+"), F.regexp_extract("value", r"^[^\t]*\t([\s\S]*)$", 1)
+    return rows.where("value <> ''").where(head[1] == "blob").select(head[2].alias("blob"), path.alias("path"))
+
+
+def show(root: str, rev: str, path: str) -> str | None:
+    """The content of one path at a revision; None if it isn't there."""
+    try:
+        return _git(root, "show", f"{rev}:{path}")
+    except GitError:
+        return None
 
 
 def log(spark: SparkSession, root: str, rev: str = "HEAD", newest: int = 0, paths: tuple[str, ...] = (), folder: str | None = None) -> DataFrame:
@@ -89,23 +110,25 @@ def touches(spark: SparkSession, root: str, rev: str = "HEAD", newest: int = 0,
     return rows.select(lines[0].alias("sha"), F.explode(F.slice(lines, 2, F.size(lines))).alias("path")).where("path <> ''")
 
 
-def contents(files: DataFrame, root: str) -> DataFrame:
+def contents(files: DataFrame, root: str, content: str = "content") -> DataFrame:
     """files with `content`, read by blob; root must be the same path on every executor."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with subprocess.Popen(["git", "-C", root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as git:
             for batch in batches:
+                # a batch is asked for at once, while its answers are read
+                ask = threading.Thread(target=lambda wanted: (git.stdin.write(wanted), git.stdin.flush()), args=("".join(f"{b}\n" for b in batch["blob"]).encode(),))
+                ask.start()
                 out = []
-                for blob in batch["blob"]:
-                    git.stdin.write(f"{blob}\n".encode())
-                    git.stdin.flush()
+                for _ in range(len(batch)):
                     head = git.stdout.readline().split()
                     if len(head) < 3:
                         out.append(None)
                         continue
                     out.append(git.stdout.read(int(head[2])).decode(errors="replace"))
                     git.stdout.read(1)
-                yield batch.assign(content=out)
+                ask.join()
+                yield batch.assign(**{content: out})
             git.stdin.close()
 
-    return files.mapInPandas(run, T.StructType([*files.schema.fields, T.StructField("content", T.StringType())]))
+    return files.mapInPandas(run, T.StructType([*files.schema.fields, T.StructField(content, T.StringType())]))

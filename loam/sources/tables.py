@@ -1,6 +1,6 @@
 """The driver's tables as inputs: a commit log, changed files, source files and a graph.
 
-Every adapter is one projection, so that filters and column pruning reach the Parquet scan.
+Adapters are projections and at most an equi-join, so that column pruning reaches the Parquet scan.
 """
 
 from __future__ import annotations
@@ -40,10 +40,9 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("seq"), path.alias("path"), F.sha1("text").alias("blob"), F.col("text").alias("content"))
 
 
-def edges(spark: SparkSession, sf_dir: str, above: float = 200) -> DataFrame:
-    """(from, to): a user's event, then the next user's of the same type; large values only."""
-    from pyspark.sql import Window
-
-    events = table(spark, sf_dir, "events").where(F.col("value") > above)
-    following = F.lead("user_id").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    return events.select(F.col("user_id").alias("from"), following.alias("to")).where("to is not null and from <> to").distinct()
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(from, to): each event's place and that of the next event; a place is a user and one of 50 keys in the event's props."""
+    place = F.col("user_id") * 50 + F.regexp_extract("props", "[0-9]+", 0).cast("long") % 50
+    events = table(spark, sf_dir, "events").select("event_id", place.alias("place"))
+    following = events.select((F.col("event_id") - 1).alias("event_id"), F.col("place").alias("to"))
+    return events.withColumnRenamed("place", "from").join(following, "event_id").where("from <> to").select("from", "to").distinct()
