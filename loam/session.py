@@ -6,12 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_places: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -53,4 +55,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The table survives lost executors, unlike cached or locally checkpointed blocks."""
     path = f"{shared_dir(df.sparkSession)}/loam-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _places[id(table)] = (weakref.ref(table), path)
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, such as those of a loop's earlier rounds."""
+    for df in tables:
+        found, path = _places.pop(id(df), (None, None))
+        if found is not None and found() is df:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
