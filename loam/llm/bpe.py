@@ -25,10 +25,10 @@ from .tokens import texts_of
 from .words import byte_letters
 
 #: Pre-tokens in a worker's cache, at most; beyond it the cache starts anew.
-CACHE_SIZE = 1 << 17
+CACHE_SIZE = 1 << 18
 #: Tree sizes of pre-tokens that are merged side by side, and rows in one such step.
 SIZES = (8, 16, 32, 64)
-ROWS = 1 << 12
+ROWS = 1 << 13
 #: Pre-tokens of more characters are not kept in the cache.
 LONG = 64
 _NONE = np.iinfo(np.int64).max

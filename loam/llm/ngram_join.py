@@ -36,7 +36,7 @@ from .shared import components, sent_if_small
 WORDS = 3
 PERCENT = 90
 #: Members of a leader, and tokens of them, in one block.
-BLOCK, BLOCK_TOKENS = 4096, 1 << 19
+BLOCK, BLOCK_TOKENS = 512, 1 << 19
 #: Keys that a task holds before it deals them out, and keys in one bucket.
 HELD, BUCKET = 1 << 18, 1 << 20
 #: Lists of so many sets or more are alike: none is told to be more crowded than another.

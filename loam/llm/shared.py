@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import discard, written
 
 
 #: Bytes of rows that are sent to all tasks, at most.
@@ -53,10 +53,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         own = F.struct(F.xxhash64("a", F.lit(salt)), F.col("a"))
         point = written(least.select("a", F.when(own <= F.struct(rank, F.col("b")), F.col("a")).otherwise(F.col("b")).alias("to")), f"{name}-point")
         hop = lambda df, col: df.join(point.selectExpr(f"a as {col}", "to"), col).drop(col).withColumnRenamed("to", col)
-        left = hop(hop(left, "a"), "b").where("a <> b").selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
-        left = written(left, f"{name}-left")
-        labels = labels.join(point.selectExpr("a as label", "to"), "label", "left").selectExpr("node", "coalesce(to, label) as label")
-        labels = written(labels, f"{name}-labels")
+        rest = hop(hop(left, "a"), "b").where("a <> b").selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
+        rest = written(rest, f"{name}-left")
+        moved = labels.join(point.selectExpr("a as label", "to"), "label", "left").selectExpr("node", "coalesce(to, label) as label")
+        moved = written(moved, f"{name}-labels")
+        discard(left, labels, point)
+        left, labels = rest, moved
         salt += 1
     least = labels.groupBy("label").agg(F.min("node").alias("component"))
     return labels.join(least, "label").select("node", "component")

@@ -102,7 +102,7 @@ def _worker(path: str, frequent: dict[str, int] | None = None) -> Counter2:
     return _workers[path]
 
 
-def texts_of(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def texts_of(batches: Iterator[pa.RecordBatch], column: str, size: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Chunks of about `size` bytes with their texts; a null is an empty text."""
     from .words import chunks
 
