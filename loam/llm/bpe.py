@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from .tokens import texts_of
 from .words import byte_letters
 
-#: Pre-tokens in a worker's cache, at most; beyond it the cache starts anew.
-CACHE_SIZE = 1 << 18
+#: Pre-tokens in a worker's cache, at most.  When its younger half is full it becomes the older one, and the older one goes.
+CACHE_SIZE = 1 << 19
 #: Tree sizes of pre-tokens that are merged side by side, and rows in one such step.
 SIZES = (8, 16, 32, 64)
 ROWS = 1 << 13
@@ -66,6 +66,7 @@ class Codec:
         self.sizes, self.starts = sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]])
         self.blob = np.frombuffer(b"".join(content[i] for i in sorted(content)), np.uint8)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.path, self.tokenizer = path, None
 
     # -- cutting
@@ -214,10 +215,11 @@ class Codec:
             parts.append(([self.cut(p) if p else [] for p in plain], specials))
         seen = set(chain.from_iterable(chain.from_iterable(p for p, _ in parts)))
         missed = [p for p in seen if p not in self.cache]
-        if len(self.cache) + len(missed) > CACHE_SIZE:
-            self.cache.clear()
+        if len(self.cache) + len(missed) > CACHE_SIZE // 2:
+            self.older, self.cache = self.cache, {}
             missed = list(seen)
-        self._learn(missed)
+        self.cache.update((p, self.older[p]) for p in missed if p in self.older)
+        self._learn([p for p in missed if p not in self.cache])
         get, out = self.cache.__getitem__, []
         for plain, specials in parts:
             own = [b"".join(map(get, pieces)) for pieces in plain]

@@ -36,7 +36,7 @@ from .shared import components, sent_if_small
 WORDS = 3
 PERCENT = 90
 #: Members of a leader, and tokens of them, in one block.
-BLOCK, BLOCK_TOKENS = 512, 1 << 19
+BLOCK, BLOCK_TOKENS = 4096, 1 << 19
 #: Keys that a task holds before it deals them out, and keys in one bucket.
 HELD, BUCKET = 1 << 18, 1 << 20
 #: Lists of so many sets or more are alike: none is told to be more crowded than another.
@@ -392,22 +392,30 @@ def _link_tasks(rows: DataFrame, percent: int, id_type: T.DataType) -> DataFrame
     return rows.mapInArrow(run, T.StructType([T.StructField(c, id_type) for c in names]))
 
 
-def _link(docs: DataFrame, tasks: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
-    """_link_tasks() of tasks (id, leader, block, ask, query, several), for which texts are cut into tokens once for each document."""
-    one = F.struct("leader", "block", "ask", "query", "several")
-    by_doc = written(tasks.groupBy("id").agg(F.collect_list(one).alias("tasks")), "tasks")
-    texts = docs.select(F.col(doc_id).alias("id"), text).join(by_doc, "id").select("id", text, "tasks")
+def _tokens(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+    """The rows of ids with the `tokens` of the documents of that id."""
+    names = ids.columns
+    texts = docs.select(F.col(doc_id).alias("id"), text).join(ids, "id").select(text, *names)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.chunks(batches, text):
             doc, token = shingles(part.column(text), words)
             raw, ends = token.astype("<u8").tobytes(), (np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=part.num_rows))]) * 8).tolist()
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tasks"), pa.array([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=["id", "tasks", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=[*names, "tokens"])
 
-    packed = texts.mapInArrow(pack, texts.select("id", "tasks").schema.add("tokens", "binary"))
+    return texts.mapInArrow(pack, texts.select(names).schema.add("tokens", "binary"))
+
+
+def _by_document(tasks: DataFrame) -> DataFrame:
+    """(id, tasks) of tasks (id, leader, block, ask, query, several)."""
+    return written(tasks.groupBy("id").agg(F.collect_list(F.struct("leader", "block", "ask", "query", "several")).alias("tasks")), "tasks")
+
+
+def _link(packed: DataFrame, percent: int) -> DataFrame:
+    """_link_tasks() of (id, tasks, tokens)."""
     rows = packed.select("id", "tokens", F.explode("tasks").alias("t")).select("t.*", "id", "tokens")
     grouped = rows.repartition("leader", "block", "ask").sortWithinPartitions("leader", "block", "ask", "id")
-    return _link_tasks(grouped, percent, docs.select(doc_id).schema[0].dataType)
+    return _link_tasks(grouped, percent, packed.schema["id"].dataType)
 
 
 def find_links(docs: DataFrame, sets: DataFrame, *, doc_id: str, text: str, words: int, percent: int, block: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -439,7 +447,10 @@ def find_links(docs: DataFrame, sets: DataFrame, *, doc_id: str, text: str, word
     # a leader is in all of its blocks
     at = F.when(F.col("id") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own_block))
     tasks = dealt.select("id", "leader", F.explode(at).alias("block"), F.lit(0).alias("ask"), F.lit(False).alias("query"), (F.col("blocks") > 1).alias("several"))
-    found = written(_link(docs, tasks, doc_id, text, words, percent), "links")
+    packed = _tokens(docs, _by_document(tasks), doc_id, text, words)
+    if not large.isEmpty():  # tokens may be asked for again
+        packed = written(packed, "tokens")
+    found = written(_link(packed, percent), "links")
     links = copies.unionByName(found.where("b is not null").select("a", "b"))
     open_ = found.where("b is null").select("leader", F.col("a").alias("id")).distinct()
     if open_.isEmpty():
@@ -455,7 +466,8 @@ def find_links(docs: DataFrame, sets: DataFrame, *, doc_id: str, text: str, word
     query = F.when(F.col("open"), F.transform(F.filter(every, lambda b: b != own_block), lambda b: struct(b, own_ask, True)))
     each = asked.select("id", "leader", F.explode(F.concat(target, F.coalesce(query, F.expr("cast(array() as array<struct<block:int,ask:int,query:boolean>>)")))).alias("t"))
     across = each.select("id", "leader", "t.block", "t.ask", "t.query", F.lit(False).alias("several"))
-    return links.unionByName(_link(docs, across, doc_id, text, words, percent).where("b is not null").select("a", "b"))
+    again = packed.select("id", "tokens").join(_by_document(across), "id")
+    return links.unionByName(_link(again, percent).where("b is not null").select("a", "b"))
 
 
 def join_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, block_tokens: int = BLOCK_TOKENS) -> DataFrame:

@@ -26,7 +26,8 @@ from .words import byte_letters
 #: Pre-tokens in the broadcast table, at most, and texts in the sample that they are counted on, about.
 TABLE_SIZE = 1 << 16
 SAMPLE_ROWS = 2_000
-#: Pre-tokens in a worker's cache, at most; beyond it the cache starts anew.  Those of more than LONG characters are not kept.
+#: Pre-tokens in a worker's cache, at most: when its younger half is full it becomes the older one, and the older one goes.
+#: Those of more than LONG characters are not kept.
 CACHE_SIZE, LONG = 1 << 18, 64
 
 #: ASCII, Latin letters, general punctuation: here Python and the tokenizer agree on cases and classes.
@@ -49,7 +50,7 @@ class Counter2:
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letter = {b: c for c, b in byte_letters().items()}
         self.byte = byte_letters()
-        self.frequent, self.lengths = frequent or {}, {}  # the two tiers: sent to all, and this worker's own
+        self.frequent, self.lengths, self.older = frequent or {}, {}, {}  # the two tiers: sent to all, and this worker's own
 
     def cut(self, text: str) -> list[str]:
         """Pre-tokens of a text; a special string is one."""
@@ -75,10 +76,11 @@ class Counter2:
         cut = [self.cut(x) for x in texts]
         seen = set(chain.from_iterable(cut))
         missed = [p for p in seen if p not in self.lengths]
-        if len(self.lengths) + len(missed) > CACHE_SIZE:
-            self.lengths = {}
+        if len(self.lengths) + len(missed) > CACHE_SIZE // 2:
+            self.lengths, self.older = {}, self.lengths
             missed = list(seen)
-        self.lengths.update((p, self.frequent[p] if p in self.frequent else self.length(p)) for p in missed)
+        known = (self.older, self.frequent)
+        self.lengths.update((p, next((t[p] for t in known if p in t), None) or self.length(p)) for p in missed)
         get = self.lengths.__getitem__
         out = [sum(map(get, pieces)) for pieces in cut]
         for p in missed:
