@@ -100,7 +100,7 @@ def _scc_small(edges: DataFrame) -> DataFrame:
         after: dict = {}
         for a, b in zip(rows["from"].tolist(), rows["to"].tolist(), strict=True):
             after.setdefault(a, []).append(b)
-        found = [(min(g), n) for g in _tarjan(after) for n in g]
+        found = [(least, n) for g in _tarjan(after) for least in (min(g),) for n in g]
         return pd.DataFrame(found, columns=["component", "node"], dtype=object)
 
     return _one_task(edges, walk, f"component {kind}, node {kind}")
