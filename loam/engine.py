@@ -122,6 +122,8 @@ def analyze(spark: SparkSession, options: Options, registry: Registry | None = N
         if own.isEmpty():  # a language without files is no part of the run
             continue
         made = plugin.run(tables | {"files": own}, options)
+        if "summary" not in made:
+            made = made | {"summary": G.summary(made["nodes"], made["edges"], made["cycles"])}
         out |= {f"{name}.{k}": df for k, df in made.items()}
         graphs.append([made[k].withColumn("seq", F.lit(len(graphs))) for k in ("nodes", "edges", "cycles")])
     if graphs:

@@ -3,14 +3,82 @@
 from __future__ import annotations
 
 import importlib
+import json
 import pkgutil
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 
-KINDS = ("commit-convention", "git-metric", "language")
 SDK_MAJOR = 1
+# Names that manifests use.
+KINDS = ("commit-convention", "git-metric", "language")
+RETIRED_KINDS = ("ai-provider",)
+OUTPUTS = ("graph", "metrics", "findings", "commits", "aggregate")
+NEEDED = ("id", "name", "kind", "version", "sdk", "main")
+
+
+def _filled(value: object) -> bool:
+    return isinstance(value, str) and bool(value.strip())
+
+
+def _names(value: object) -> bool:
+    return isinstance(value, list) and all(map(_filled, value))
+
+
+def _stage_fault(manifest: dict) -> str | None:
+    """What is wrong with what a manifest says about its stage; all four fields can be left out."""
+    asked = manifest.get("consumes", [])
+    if not isinstance(asked, list):
+        return "consumes isn't a list"
+    for output in asked + ([manifest["produces"]] if "produces" in manifest else []):
+        if output not in OUTPUTS:
+            return f"unknown output {output!r}"
+    if "exclusive" in manifest and not _filled(manifest["exclusive"]):
+        return "exclusive isn't the name of a group"
+    if "filter" not in manifest:
+        return None
+    chosen = manifest["filter"]
+    if not isinstance(chosen, dict) or not all(_names(chosen.get(f, [])) for f in ("extensions", "globs")):
+        return "filter needs lists of extensions or globs"
+    if not chosen.get("extensions") and not chosen.get("globs"):
+        return "filter lets no file through"
+    dotted = [e for e in chosen.get("extensions", []) if e.startswith(".")]
+    return f"extension {dotted[0]} has a dot" if dotted else None
+
+
+def manifest_fault(manifest: object) -> str | None:
+    """Why a manifest (parsed JSON) can't be used; None if it can.  Its module is not imported for that."""
+    if not isinstance(manifest, dict):
+        return "a manifest is a JSON object"
+    empty = [f for f in NEEDED if not _filled(manifest.get(f))]
+    if empty:
+        return f"{empty[0]} is missing"
+    kind, sdk = manifest["kind"], manifest["sdk"]
+    if kind not in KINDS:
+        return f"kind {kind} is no longer used" if kind in RETIRED_KINDS else f"unknown kind {kind}"
+    if sdk.split(".")[0] != str(SDK_MAJOR):
+        return f"made for SDK {sdk}, this is {SDK_MAJOR}"
+    return _stage_fault(manifest)
+
+
+def read_manifest(path: str) -> tuple[dict, str]:
+    """A manifest and the file that it names as `main`, which must lie in the manifest's own folder.
+
+    Whatever is wrong is a ValueError."""
+    try:
+        manifest = json.loads(Path(path).read_text(encoding="utf-8"))
+    except (OSError, ValueError) as e:
+        raise ValueError(f"{path}: {e}") from e
+    fault = manifest_fault(manifest)
+    folder = Path(path).resolve().parent
+    main = folder if fault else (folder / manifest["main"]).resolve()
+    if not fault and (main == folder or not main.is_relative_to(folder)):
+        fault = "main is outside the plug-in's folder"
+    if fault:
+        raise ValueError(f"{path}: {fault}")
+    return manifest, str(main)
 
 
 @dataclass(frozen=True)

@@ -239,6 +239,32 @@ def test_registry():
     r.discover("no.such.package")
 
 
+def test_manifests(tmp_path):
+    good = {"id": "x", "name": "X", "kind": "language", "version": "1", "sdk": "1.4.0", "main": "src/main.py"}
+    stage = {"consumes": ["graph"], "produces": "findings", "exclusive": "g", "filter": {"extensions": ["ts"], "globs": ["src/**"]}}
+    assert R.manifest_fault(good) is None and R.manifest_fault(good | stage) is None and R.manifest_fault(good | {"filter": {"globs": ["a"]}}) is None
+    for wrong in (
+        [], {}, good | {"id": " "}, good | {"name": 1}, good | {"kind": "ai-provider"}, good | {"kind": "toString"}, good | {"sdk": "2.0"},
+        good | {"consumes": "graph"}, good | {"consumes": ["graphs"]}, good | {"produces": None}, good | {"produces": ["graph"]}, good | {"exclusive": ""},
+        good | {"filter": []}, good | {"filter": {}}, good | {"filter": {"extensions": []}}, good | {"filter": {"globs": [""]}}, good | {"filter": {"extensions": [".ts"]}},
+    ):
+        assert R.manifest_fault(wrong), wrong
+    assert "no longer" in R.manifest_fault(good | {"kind": "ai-provider"})
+    file = tmp_path / "p" / "plugin.json"
+    file.parent.mkdir()
+    for main, fine in (("src/main.py", True), ("..lib/main.py", True), ("../main.py", False), (".", False), ("/etc/main.py", False), ("a/../../main.py", False)):
+        file.write_text(json.dumps(good | {"main": main}))
+        if fine:
+            assert R.read_manifest(str(file)) == (good | {"main": main}, str(file.parent.resolve() / main))
+        else:
+            with pytest.raises(ValueError, match="outside"):
+                R.read_manifest(str(file))
+    file.write_text("{")
+    for path in (file, tmp_path / "none.json"):
+        with pytest.raises(ValueError):
+            R.read_manifest(str(path))
+
+
 def test_store(spark, tmp_path):
     seen = []
 
