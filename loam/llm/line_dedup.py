@@ -11,6 +11,9 @@ too), and the later line goes.
 Before variants are made, exact copies are folded into one line, and lines are left out that can't
 have a partner: after one edit, the first or the last h words still agree (h: a power of two up to
 half the line), so a line whose first h words and last h words no other line has is alone.
+
+All joins are sort-merge joins at every size, since each side grows with the corpus; a hot key's rows
+are split by AQE.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions.js import let
 from ..session import written
-from .shared import sent_if_small, told_apart
+from .shared import told_apart
 
 #: Lines with fewer words are not edited by words: one word is too much of them.
 MIN_WORDS = 5
@@ -148,23 +151,23 @@ def find_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     ends = folded.select("h1", F.explode(F.array(*names)).alias("end")).where("end is not null")
     shared = written(ends.groupBy("end").agg(F.count("*").alias("c")).where("c > 1").select("end"), "ends")
-    near = written(ends.join(sent_if_small(shared, 40), "end").select("h1").distinct(), "near")
+    near = written(ends.join(shared.hint("merge"), "end").select("h1").distinct(), "near")
     # one copy of each line is enough, but its text is only found beside its copies
-    alike = lines.withColumn("h1", h1).join(sent_if_small(near, 40), "h1").groupBy("line").agg(F.min("p").alias("p"))
+    alike = lines.withColumn("h1", h1).join(near.hint("merge"), "h1").groupBy("line").agg(F.min("p").alias("p"))
     texts = written(alike, "near-lines")
 
     variants = written(_variants(texts, min_words), "variants")  # read twice, made once
     whole = F.when(F.col("at") == -1, F.col("p"))
     by_key = variants.groupBy("key").agg(F.min("p").alias("any_low"), F.max("p").alias("any_high"), F.min(whole).alias("whole_low")).where("any_low < any_high")
     by_key = written(by_key.select("key", "any_low", "whole_low"), "shared-variants")
-    met = written(variants.join(sent_if_small(by_key, 60), "key"), "met")
+    met = written(variants.join(by_key.hint("merge"), "key"), "met")
     by_place = met.groupBy("key", "at").agg(F.min("p").alias("low"))
     best = F.when(F.col("at") == -1, F.col("any_low")).otherwise(F.least("low", "whole_low"))
-    pairs = met.join(by_place, ["key", "at"]).withColumn("best", best).where("best < p")
+    pairs = met.join(by_place.hint("merge"), ["key", "at"]).withColumn("best", best).where("best < p")
     words = texts.select("p", _units(F.col("line"), min_words).alias("w"))
 
     def check(pairs: DataFrame) -> DataFrame:
-        beside = pairs.join(words, "p").join(words.select(F.col("p").alias("best"), F.col("w").alias("best_w")), "best")
+        beside = pairs.join(words.hint("merge"), "p").join(words.select(F.col("p").alias("best"), F.col("w").alias("best_w")).hint("merge"), "best")
         return beside.select("p", _one_edit(F.col("w"), F.col("best_w")).alias("ok"))
 
     checked = written(check(pairs.groupBy("p").agg(F.min("best").alias("best"))), "checked")
@@ -176,9 +179,9 @@ def find_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     later = later.withColumn("later", F.lit(True))
 
     # of a line that goes, every copy goes; of one that stays, all but the first
-    gone = folded.join(later, "p", "left").where("copied or later").select("h1", "h2", F.col("p").alias("first"), "later")
+    gone = folded.join(later.hint("merge"), "p", "left").where("copied or later").select("h1", "h2", F.col("p").alias("first"), "later")
     every = lines.select("p", h1.alias("h1"), h2.alias("h2"))
-    removed = every.join(gone, ["h1", "h2"]).where("later or p > first")
+    removed = every.join(gone.hint("merge"), ["h1", "h2"]).where("later or p > first")
     return removed.groupBy(places.document(F.col("p")).alias(doc_id)).agg(F.array_sort(F.collect_set(places.number(F.col("p")))).alias("removed"))
 
 
@@ -194,7 +197,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     if apart is not None:
         base, own = apart, "_loam_row"
     found = find_removed(base, doc_id=own, text=text, min_words=min_words).withColumnRenamed("removed", "_loam_removed")
-    joined = base.join(found, own, "left")
+    joined = base.join(found.hint("merge"), own, "left")
     lines = F.split(F.col(text), "\n")
 
     def rest(each: Column) -> Column:
