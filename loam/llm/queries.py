@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, written
-from . import bpe, chat, classifier, contamination, line_dedup, ngram_join, quality_rules, substring_dedup, tokens, urls
+from . import bpe, chat, classifier, contamination, fill_middle, filter_audit, line_dedup, ngram_join, quality_rules, substring_dedup, tokens, urls
 
 
 def tokenizer_path(name: str) -> str:
@@ -90,6 +90,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in own}
@@ -98,7 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard": JACCARD_SQL, "op2_chat_formatting": CHAT_SQL, "op3_url_filters": URL_SQL, "op4_quality_rules": RULES_SQL,
-        "op9_decontamination": CONTAMINATION_SQL, "op10_substring_dedup": PASSAGES_SQL,
+        "op9_decontamination": CONTAMINATION_SQL, "op10_substring_dedup": PASSAGES_SQL, "op11_filter_audit": AUDIT_SQL, "op13_fill_middle": MIDDLE_SQL,
     }
 
 
@@ -211,3 +222,47 @@ j AS (SELECT h.other, r.verdict, row_number() OVER (PARTITION BY h.other ORDER B
 s AS (SELECT c.node, min(j.verdict) AS verdict FROM c JOIN j ON j.other = c.other AND j.k = 1 GROUP BY c.node)
 SELECT f.page_id, f.host, f.path, f.rule, coalesce(f.verdict, s.verdict, 'allow') AS verdict FROM f LEFT JOIN n ON n.v = f.url LEFT JOIN s ON s.node = n.node WHERE f.k = 1
 """
+
+AUDIT_SQL = f"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_SPACED.format("text")} AS ws FROM documents),
+u AS (SELECT text AS same, min(doc_id) AS least FROM t GROUP BY text),
+m AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+d AS (
+  SELECT t.part, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic,
+    CASE WHEN len(ws) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN t.doc_id > u.least THEN 16 ELSE 0 END AS fails
+  FROM t JOIN u ON u.same = t.text LEFT JOIN m ON m.doc_id = t.doc_id
+),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY part, fails),
+f(c, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || c FROM o, f WHERE NOT contains(filter_order, c)),
+s AS (
+  SELECT o.filter_order, k.step, f.bit, (SELECT coalesce(sum(x.bit), 0) FROM f x WHERE contains(substr(o.filter_order, 1, k.step - 1), x.c)) AS before
+  FROM o, (SELECT CAST(unnest(generate_series(1, 5)) AS INTEGER) AS step) k JOIN f ON true WHERE length(o.filter_order) = 5 AND f.c = substr(o.filter_order, k.step, 1)
+),
+r AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN fails & CAST(before AS INTEGER) = 0 AND fails & bit = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN fails & CAST(before AS INTEGER) = 0 AND fails & bit > 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails & CAST(before AS INTEGER) > 0 AND fails & bit > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails & CAST(before AS INTEGER) = 0 AND fails & bit > 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN fails & CAST(before AS INTEGER) = 0 AND fails & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM g, s GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r
+"""
+
+MIDDLE_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+h AS (SELECT doc_id, text, u, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM t),
+p AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR h1 IS NULL OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+c AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM c
+"""
