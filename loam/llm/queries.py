@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, written
-from . import bpe, chat, classifier, contamination, fill_middle, filter_audit, line_dedup, ngram_join, quality_rules, substring_dedup, tokens, urls
+from . import bpe, chat, classifier, contamination, fill_middle, filter_audit, line_dedup, lm_scoring, ngram_join, quality_rules, substring_dedup, tokens, urls
 
 
 def tokenizer_path(name: str) -> str:
@@ -95,6 +95,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(docs, table(spark, sf_dir, "labels"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    training = F.crc32(F.col("doc_id").cast("string")) % 10 != 0
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"), training)
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     back = fill_middle.restored(F.col("output"), F.col("form"))
