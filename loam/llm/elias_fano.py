@@ -90,16 +90,40 @@ class EliasFano:
         word = np.searchsorted(self._zeros, rank, side="right") - 1
         return (word << 6) + self._in_word(~self.high[word], rank - self._zeros[word])
 
+    def _window(self, place: np.ndarray) -> np.ndarray:
+        """The 64 bits of the high part from a place on."""
+        word, shift = place >> 6, (place & 63).astype(_U)
+        inside = np.minimum(word, len(self.high) - 1)
+        after = self.high[np.minimum(inside + 1, len(self.high) - 1)] << ((_U(64) - shift) & _U(63))
+        both = (self.high[inside] >> shift) | np.where((shift > 0) & (word + 1 < len(self.high)), after, _U(0))
+        return np.where(word < len(self.high), both, _U(0))
+
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at places i."""
         return (self._select_one(i) - i << self.width) | self._lows(i)
 
-    def successor(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """For each x, the first place of begin <= place < end whose value is x or more; end if there is none."""
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at places i and i + 1."""
+        here = self._select_one(i)
+        window = self._window(here + 1)
+        there = here + 1 + np.bitwise_count(~window & (window - _U(1))).astype(np.int64)
+        far = np.flatnonzero(window == 0)
+        if len(far):
+            there[far] = self._select_one(i[far] + 1)
+        return (here - i << self.width) | self._lows(i), (there - i - 1 << self.width) | self._lows(i + 1)
+
+    def _search(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the first place of begin <= place < end whose value is x or more, else end; whether that value is x)."""
         top = np.minimum(x, self.most) >> self.width
-        to = np.clip(self._select_zero(top) - top, begin, end)
-        at = np.clip(np.where(top > 0, self._select_zero(np.maximum(top - 1, 0)) - top + 1, 0), begin, end)
-        low = x & ((1 << self.width) - 1)
+        zero = np.where(top > 0, self._select_zero(np.maximum(top - 1, 0)), -1)
+        window = self._window(zero + 1)
+        run = np.bitwise_count(window & ~(window + _U(1))).astype(np.int64)  # ones in a row: values with these high bits
+        first = zero + 1 - top
+        long = np.flatnonzero(run == 64)
+        if len(long):
+            run[long] = self._select_zero(top[long]) - top[long] - first[long]
+        at, to = np.clip(first, begin, end), np.clip(first + run, begin, end)
+        low, stop = x & ((1 << self.width) - 1), to.copy()
         open_ = np.flatnonzero(at < to)
         while len(open_):
             middle = (at[open_] + to[open_]) >> 1
@@ -107,7 +131,20 @@ class EliasFano:
             at[open_] = np.where(less, middle + 1, at[open_])
             to[open_] = np.where(less, to[open_], middle)
             open_ = open_[at[open_] < to[open_]]
-        return np.where(x > self.most, end, at)
+        at = np.where(x > self.most, end, at)
+        same = (at < stop) & (x <= self.most)
+        some = np.flatnonzero(same)
+        same[some] = self._lows(at[some]) == low[some]
+        return at, same
+
+    def successor(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each x, the first place of begin <= place < end whose value is x or more; end if there is none."""
+        return self._search(x, begin, end)[0]
+
+    def place(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each x, a place of begin <= place < end that has it; -1 if there is none."""
+        at, same = self._search(x, begin, end)
+        return np.where(same, at, -1)
 
 
 _PARTS = ("low", "high", "ones")
@@ -115,26 +152,21 @@ _PARTS = ("low", "high", "ones")
 
 @dataclass
 class Level:
-    """Successors of contexts with quantised probabilities, and the counts that the next level divides by."""
+    """Successors of contexts with quantised probabilities."""
 
     contexts: EliasFano
     pointers: EliasFano
     successors: EliasFano
     codes: np.ndarray
-    counts: np.ndarray
 
     @classmethod
-    def of(cls, context: np.ndarray, successor: np.ndarray, count: np.ndarray, total: np.ndarray, discount: float, with_counts: bool = True) -> Level:
+    def of(cls, context: np.ndarray, successor: np.ndarray, count: np.ndarray, total: np.ndarray, discount: float) -> Level:
         """Of entries sorted by context and successor; total: the context's count at each entry."""
         n = len(context)
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if n else np.empty(0, np.int64)
         last = np.append(first[1:], n) - 1 if n else first
         base = np.concatenate([[0], np.cumsum(successor[last] + 1)])[:-1] if n else np.empty(0, np.int64)
-        sizes = last - first + 1
-        share = -np.log10((count - discount) / np.maximum(total, count)) if n else np.empty(0)
-        codes = np.minimum(1 + np.rint(share * UNITS), 65535).astype(np.uint16)
-        counts = count.astype(np.min_scalar_type(int(count.max()) if n else 0)) if with_counts else np.empty(0, np.uint8)
-        return cls(EliasFano.of(context[first]), EliasFano.of(np.append(first, n)), EliasFano.of(successor + np.repeat(base, sizes)), codes, counts)
+        return cls(EliasFano.of(context[first]), EliasFano.of(np.append(first, n)), EliasFano.of(successor + np.repeat(base, last - first + 1)), code_of(count, total, discount).astype(np.uint16))
 
     def save(self, file: BinaryIO) -> list:
         """Writes all arrays, and returns what `load` needs to map them."""
@@ -143,7 +175,7 @@ class Level:
             index.append((s.size, s.width, s.most))
             arrays = [getattr(s, p) for p in _PARTS]
             index += [_put(file, a) for a in arrays]
-        return [*index, _put(file, self.codes), _put(file, self.counts)]
+        return [*index, _put(file, self.codes)]
 
     @classmethod
     def load(cls, file: BinaryIO, index: list) -> Level:
@@ -152,27 +184,27 @@ class Level:
         for k in range(0, 12, 4):
             size, width, most = index[k]
             sequences.append(EliasFano(*(_map(file, x) for x in index[k + 1 : k + 4]), size, width, most))
-        return cls(*sequences, _map(file, index[12]), _map(file, index[13]))
-
-    def ranges(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each context's successors begin and end; nowhere for one that has none."""
-        n = self.contexts.size
-        if not n:
-            return np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
-        at = self.contexts.successor(context, np.zeros(len(context), np.int64), np.full(len(context), n))
-        inside = np.minimum(at, n - 1)
-        found = (at < n) & (self.contexts.get(inside) == context)
-        begin, end = self.pointers.get(inside), self.pointers.get(inside + 1)
-        return np.where(found, begin, 0), np.where(found, end, 0)
-
-    def find(self, begin: np.ndarray, end: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        return cls(*sequences, _map(file, index[12]))
+
+    def ranges(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each context's successors begin and end, nowhere for one that has none; and on top of what they are stored."""
+        begin, end, base = (np.zeros(len(context), np.int64) for _ in range(3))
+        if self.contexts.size and len(context):
+            at = self.contexts.place(context, begin, np.full(len(context), self.contexts.size))
+            found = np.flatnonzero(at >= 0)
+            begin[found], end[found] = self.pointers.pair(at[found])
+            later = found[begin[found] > 0]
+            base[later] = self.successors.get(begin[later] - 1) + 1
+        return begin, end, base
+
+    def find(self, begin: np.ndarray, end: np.ndarray, base: np.ndarray, successor: np.ndarray) -> np.ndarray:
         """The place of a successor in its context's range, -1 if it isn't there."""
-        if not self.successors.size:
-            return np.full(len(begin), -1)
-        base = np.where(begin > 0, self.successors.get(np.maximum(begin - 1, 0)) + 1, 0)
-        at = self.successors.successor(base + successor, begin, end)
-        inside = np.minimum(at, self.successors.size - 1)
-        return np.where((at < end) & (self.successors.get(inside) == base + successor), at, -1)
+        return self.successors.place(base + successor, begin, end) if self.successors.size else np.full(len(begin), -1)
+
+
+def code_of(count: np.ndarray, total: np.ndarray, discount: float) -> np.ndarray:
+    """The quantised discounted probability of a count (1 or more) out of a total."""
+    return np.minimum(1 + np.rint(-np.log10((count - discount) / np.maximum(total, count)) * UNITS), 65535).astype(np.int64)
 
 
 def probability(codes: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from ..session import discard, ship, written
 from . import words as W
-from .elias_fano import Level, probability
+from .elias_fano import Level, code_of, probability
 
 #: Highest n, the discount, bytes of text in a chunk, and tokens of the corpus for each part of a level.
 ORDER, DISCOUNT, CHUNK_BYTES, PART_TOKENS = 3, 0.75, 8 << 20, 2 << 20
@@ -40,6 +40,17 @@ _PARTS = "part int, chunk long, blob binary, names binary"
 _ANSWERS = "chunk long, level int, part int, blob binary, tokens long, different long"
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table, whose shuffle files go as soon as it is there: each level has shuffles of its own."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of non-negative integers, by the planes of their bytes, compressed."""
     head, body = [], []
@@ -133,6 +144,17 @@ def _ask_words(chunks: DataFrame, parts: int) -> DataFrame:
     return chunks.select("chunk", "names", "names_size", "counts").mapInArrow(run, _PARTS)
 
 
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """The order by keys of non-negative integers, the first one first; by one number for all where that fits into 63 bits."""
+    widths = [int(k.max()).bit_length() if len(k) else 0 for k in keys]
+    if sum(widths) > 63:
+        return np.lexsort(keys[::-1])
+    one = keys[0].astype(np.int64)
+    for k, w in zip(keys[1:], widths[1:], strict=True):
+        one = (one << w) | k
+    return np.argsort(one)
+
+
 def _slices(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
     """(key, slice) of the runs of sorted keys."""
     cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist() if len(keys) else []
@@ -198,7 +220,8 @@ class Chunk:
     """A chunk's documents and the n-grams in them, and what has been answered about those.
 
     The different n-grams of a level are numbered; `gram[k]` has the number of the k-gram that ends at each
-    place, `node`, `relative` and `count` its node, its number among its context's successors (-1: not in the trie) and its training count."""
+    place, `node`, `relative` and `count` its node, its number among its context's successors (-1: not in the trie) and its training count,
+    from level 2 on as its quantised probability gives it, which is exact below some 3,000."""
 
     def __init__(self, blob: bytes, parts: int):
         code, counts, held = unpack(blob)
@@ -234,11 +257,12 @@ class Chunk:
         at = np.flatnonzero(self.offset >= level - 1)
         width = len(self.node[1])
         key = above[at - 1] * width + self.gram[1][at]
-        different, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        different, inverse = np.unique(key, return_inverse=True)
         self.gram[level] = np.full(len(above), -1)
         self.gram[level][at] = inverse
-        count = np.bincount(inverse, weights=self.trained[at], minlength=len(different)).astype(np.int64)
-        context, suffix = different // width, above[at[first]]
+        count = np.bincount(inverse[self.trained[at]], minlength=len(different))
+        context, suffix = different // width, np.empty(len(different), np.int64)
+        suffix[inverse] = above[at]
         self.context, self.copies = context, 1 + self.count[level - 1] // spread
         contexts = np.flatnonzero(np.bincount(context, minlength=len(self.copies)) > 0)
         contexts = contexts[self.node[level - 1][contexts] >= 0]
@@ -247,13 +271,13 @@ class Chunk:
         contexts = np.repeat(contexts, times)
         nodes = self.node[level - 1][contexts]
         c_part = self._part(nodes, salt)
-        order = np.lexsort((nodes, c_part))  # copies of a context can meet in a part
+        order = _order(c_part, nodes)  # copies of a context can meet in a part
         again = (c_part[order][1:] == c_part[order][:-1]) & (nodes[order][1:] == nodes[order][:-1])
         order = order[np.concatenate([[True], ~again])[: len(order)]]
         grams = np.flatnonzero((self.node[level - 1][context] >= 0) & (self.relative[level - 1][suffix] >= 0))
         node, successor = self.node[level - 1][context[grams]], self.relative[level - 1][suffix[grams]]
         g_part = self._part(node, successor % self.copies[context[grams]])
-        by = np.lexsort((successor, node, g_part))
+        by = _order(g_part, node, successor)
         contexts = contexts[order]
         return c_part[order], contexts, nodes[order], self.count[level - 1][contexts], g_part[by], grams[by], node[by], successor[by], count[grams[by]]
 
@@ -267,20 +291,23 @@ class Chunk:
         self.node[level], self.relative[level], self.count[level] = np.full(n, -1), np.full(n, -1), np.zeros(n, np.int64)
         totals[contexts] = total
         of_context, of_gram = dict(_slices(c_part)), dict(_slices(g_part))
+        one = code_of(np.ones(1), np.maximum(totals, 1), discount)
         for part, blob in answers:
-            begin, different, code, *more = unpack(blob)
+            different, below, *more = unpack(blob)
             own, mine = of_context[part], of_gram.get(part, slice(0, 0))
             np.add.at(successors, contexts[own], different)
-            self.share[level][grams[mine]] = probability(code)
+            found = np.flatnonzero(below > 0)
+            number = grams[mine][found]
+            context = self.context[number]
+            code = one[context] + 1 - below[found]
+            self.share[level][number] = probability(code)
             if more:
-                rank, count = more[0] - 1, more[1]
-                starts = np.zeros(m, np.int64)
-                starts[contexts[own]] = begin
-                number, context = grams[mine][rank >= 0], self.context[grams[mine]][rank >= 0]
+                begin = np.zeros(m, np.int64)
+                begin[contexts[own][different > 0]] = np.cumsum(more[0])
                 copies = self.copies[context]
-                self.node[level][number] = (starts[context] + rank[rank >= 0]) * self.parts + part
-                self.relative[level][number] = rank[rank >= 0] * copies + successor[mine][rank >= 0] % copies
-                self.count[level][number] = count[rank >= 0]
+                self.node[level][number] = (begin[context] + more[1]) * self.parts + part
+                self.relative[level][number] = more[1] * copies + successor[mine][found] % copies
+                self.count[level][number] = np.maximum(np.rint(probability(code) * totals[context] + discount), 1).astype(np.int64)
         self.rest[level] = np.where(totals > 0, discount * successors / np.maximum(totals, 1), 1.0)
 
     def scores(self, order: int, tokens: int, different: int) -> tuple[np.ndarray, ...]:
@@ -337,14 +364,16 @@ def _ask(gathered: DataFrame, level: int, parts: int, spread: int, discount: flo
 def _merge(pending: list[tuple]) -> list[tuple]:
     """Entries (node, successor, count, total), sorted, with the counts of equal ones added up."""
     node, successor, count, total = (np.concatenate(c) for c in zip(*pending, strict=True))
-    order = np.lexsort((successor, node))
+    order = _order(node, successor)
     node, successor = node[order], successor[order]
     new = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (successor[1:] != successor[:-1])])[: len(node)])
     return [(node[new], successor[new], np.add.reduceat(count[order], new) if len(new) else count, total[order][new])]
 
 
 def _answer(asked: DataFrame, level: int, parts: int, discount: float, last: bool) -> DataFrame:
-    """For each part and chunk: of its contexts where successors begin and how many there are, of its n-grams the quantised probability, and unless it is the last level the place among the successors plus one and the count."""
+    """For each part and chunk: how many successors its contexts have, and its n-grams' quantised probabilities, unless it is the last level also where successors begin and the places of n-grams among them.
+
+    A probability goes as its distance, plus one, from that of a count of 1, which is small and means the same to both sides; 0 is for none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = np.empty(0, np.int64)
@@ -361,22 +390,19 @@ def _answer(asked: DataFrame, level: int, parts: int, discount: float, last: boo
             (entries,) = _merge(pending)
             del pending
             with tempfile.TemporaryFile() as file:
-                trie = Level.load(file, Level.of(*entries, discount, not last).save(file))
+                trie = Level.load(file, Level.of(*entries, discount).save(file))
                 del entries
                 W.release()
                 for chunk, blob in held:
-                    steps, _, sizes, successor, _ = unpack(blob)
-                    begin, end = trie.ranges(np.cumsum(steps))
-                    from_, to = np.repeat(begin, sizes), np.repeat(end, sizes)
-                    at = trie.find(from_, to, successor)
-                    code = np.zeros(len(at), np.int64)
-                    code[at >= 0] = trie.codes[at[at >= 0]]
-                    more = []
-                    if not last:
-                        count = np.zeros(len(at), np.int64)
-                        count[at >= 0] = trie.counts[at[at >= 0]]
-                        more = [np.where(at >= 0, at - from_ + 1, 0), count]
-                    yield _batch(_ANSWERS, [(struct.unpack("<q", chunk)[0], level, part, pack(begin, end - begin, code, *more), 0, 0)])
+                    steps, total, sizes, successor, _ = unpack(blob)
+                    begin, end, base = trie.ranges(np.cumsum(steps))
+                    from_ = np.repeat(begin, sizes)
+                    at = trie.find(from_, np.repeat(end, sizes), np.repeat(base, sizes), successor)
+                    found = np.flatnonzero(at >= 0)
+                    below = np.zeros(len(at), np.int64)
+                    below[found] = np.repeat(code_of(np.ones(1), total, discount), sizes)[found] + 1 - trie.codes[at[found]]
+                    more = [] if last else [np.diff(begin[end > begin], prepend=0), (at - from_)[found]]
+                    yield _batch(_ANSWERS, [(struct.unpack("<q", chunk)[0], level, part, pack(end - begin, below, *more), 0, 0)])
                 del trie, held
             W.release()
 
@@ -399,16 +425,16 @@ def score_texts(
         raise ValueError("order is 2 or more, discount between 0 and 1")
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (~F.coalesce(training, F.lit(False))).alias("held"))
-    chunks = written(_read(rows, chunk_bytes), "lm-chunks")
+    chunks = _kept(_read(rows, chunk_bytes), "lm-chunks")
     number, size = chunks.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(usual, size // part_tokens + 1)
-    answers = [written(_answer_words(_ask_words(chunks, parts), parts), "lm-words")]
+    answers = [_kept(_answer_words(_ask_words(chunks, parts), parts), "lm-words")]
     tokens, different = answers[0].where("chunk is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("different"), F.lit(0))).first()
     spread = tokens // SPREAD + 1
     for level in range(2, order + 1):
         asked = _ask(_gathered(chunks, answers, number), level, parts, spread, discount)
-        answers.append(written(_answer(asked, level, parts, discount, level == order), f"lm-level-{level}"))
+        answers.append(_kept(_answer(asked, level, parts, discount, level == order), f"lm-level-{level}"))
     kind = chunks.schema["ids"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,7 +448,7 @@ def score_texts(
     for c in ("n_tokens", "n_known", "train_tokens"):
         schema = schema.add(c, "long")
     scored = _gathered(chunks, answers, number, ids=True).mapInArrow(run, schema.add("base_score", "double").add("score", "double"))
-    found = written(scored, "lm-scores")
+    found = _kept(scored, "lm-scores")
     discard(chunks, *answers)
     return found
 

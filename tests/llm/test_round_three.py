@@ -106,6 +106,13 @@ def test_elias_fano_successors():
         end = np.array([rng.integers(b, n + 1) for b in begin])
         want = [next((i for i in range(b, e) if values[i] >= y), e) for y, b, e in zip(x, begin, end, strict=True)]
         assert s.successor(x, begin, end).tolist() == want
+        held = [set(values[b:e].tolist()) for b, e in zip(begin, end, strict=True)]
+        at = s.place(x, begin, end)
+        assert [i >= 0 for i in at.tolist()] == [y in h for y, h in zip(x.tolist(), held, strict=True)]
+        assert (values[at[at >= 0]] == x[at >= 0]).all()
+        if n > 1:
+            i = np.arange(n - 1)
+            assert all((a == b).all() for a, b in zip(s.pair(i), (values[:-1], values[1:]), strict=True))
 
 
 def test_trie_level_is_mapped_and_found():
@@ -119,10 +126,9 @@ def test_trie_level_is_mapped_and_found():
     with tempfile.TemporaryFile() as file:
         level = elias_fano.Level.load(file, elias_fano.Level.of(context, successor, count, total, 0.75).save(file))
         asked = np.array([(c, s) for c in range(45) for s in range(0, 1005, 7)])
-        begin, end = level.ranges(asked[:, 0])
-        at = level.find(begin, end, asked[:, 1])
+        begin, end, base = level.ranges(asked[:, 0])
+        at = level.find(begin, end, base, asked[:, 1])
         assert [keys[i] if i >= 0 else None for i in at.tolist()] == [k if k in counts else None for k in map(tuple, asked.tolist())]
-        assert (level.counts[at[at >= 0]] == [counts[tuple(k)] for k in asked[at >= 0].tolist()]).all()
         p = elias_fano.probability(level.codes[np.arange(len(keys))].astype(int))
         assert np.allclose(p, (count - 0.75) / total, rtol=4e-4)
 
