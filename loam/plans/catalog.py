@@ -830,18 +830,44 @@ def _code(spark, sf):
     return docs.select("doc_id", text.alias("content"))
 
 
-@query("SELECT doc_id, 4 AS complexity FROM documents")
+def _module(spark, sf, kinds):
+    """(doc_id, content): a line of code for every four words of a document's whole text; kinds: SQL of the line of each kind in turn, over the words w1 to w4."""
+    words = table(spark, sf, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("[a-z]+"), 0).alias("w"))
+    at = lambda k: f"'w_' || get(w, 4 * i + {k})"
+    cases = " ".join(f"WHEN {k} THEN {line}" for k, line in enumerate(kinds))
+    for k in range(4):
+        cases = cases.replace(f"w{k + 1}", at(k))
+    lines = f"transform(sequence(0, greatest(size(w) div 4 - 1, 0)), i -> CASE WHEN size(w) < 4 THEN '' ELSE CASE i % {len(kinds)} {cases} END END)"
+    return words.select("doc_id", F.expr(f"array_join({lines}, '\\n')").alias("content"))
+
+
+_MODULE = "g AS (SELECT doc_id, i, 'w_' || w[4 * i + 1] AS w1, 'w_' || w[4 * i + 2] AS w2, 'w_' || w[4 * i + 3] AS w3 FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) // 4 - 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[a-z]+') AS w FROM documents) x WHERE len(w) >= 4) y)"
+
+
+@query(f"""WITH {_MODULE} SELECT d.doc_id, CAST(1 + coalesce(sum(CASE i % 6 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 1 ELSE 0 END), 0) AS BIGINT) AS complexity
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY d.doc_id""")
 def prj_cyclomatic(spark, sf):
+    """Branch points among words that comments, strings and regular expressions only seem to have."""
     from ..operators import source as Z
 
-    return _code(spark, sf).select("doc_id", Z.cyclomatic(F.col("content")).alias("complexity"))
+    kinds = [
+        "'if (' || w1 || ' && ' || w2 || ') {'", "'x = /' || w1 || '||[/?:&]*\"/.test(' || w2 || ') ? 1 : 2'", "'// if (' || w1 || ') /* ' || w2", "'s = \"if (' || w1 || ') && //\" + `a || ${' || w2 || '}`'",
+        "w1 || '?.' || w2 || ' ?? ' || w3", "'} while (' || w1 || ' / 2 / ' || w2 || ')'",
+    ]
+    return _module(spark, sf, kinds).where("content is not null").select("doc_id", Z.cyclomatic(F.col("content")).alias("complexity"))
 
 
-@query("SELECT doc_id, './' || source AS spec, 'default,' || lang || ',T' AS names, false AS namespace FROM documents UNION ALL SELECT doc_id, 'z', '', true FROM documents WHERE doc_id % 2 = 1")
+@query(f"""WITH {_MODULE} SELECT doc_id, CASE i % 5 WHEN 0 THEN './' || w3 WHEN 1 THEN './' || w2 WHEN 2 THEN './' || w1 ELSE './' || w3 END AS spec,
+  CASE i % 5 WHEN 0 THEN w1 || ',' || w2 WHEN 1 THEN w1 WHEN 2 THEN '' ELSE 'default' END AS names, i % 5 IN (2, 4) AS namespace FROM g WHERE i % 5 <> 3""")
 def prj_imports(spark, sf):
+    """Imports of every form among ones that comments, strings and regular expressions only seem to have."""
     from ..operators import source as Z
 
-    each = _code(spark, sf).select("doc_id", F.explode(Z.imports(Z.blank_comments(F.col("content")))).alias("i"))
+    kinds = [
+        "'import { ' || w1 || ', ' || w2 || \" as x } from './\" || w3 || \"'\"", "'export { ' || w1 || ' as y } from \"./' || w2 || \"\\\" // import no from 'no'\"", "'const q = require(`./' || w1 || \"`) /* import z from 'z' */\"",
+        "'const r = s.replace(/\\\\/*' || w1 || \"['/]/, 'import a from ')\"", "'import ' || w1 || ', * as ' || w2 || \" from './\" || w3 || \"'\"",
+    ]
+    each = _module(spark, sf, kinds).select("doc_id", F.explode(Z.imports(F.col("content"))).alias("i"))
     return each.select("doc_id", "i.spec", F.array_join("i.names", ",").alias("names"), "i.namespace")
 
 
@@ -867,14 +893,25 @@ def prj_exports(spark, sf):
     return each.select("doc_id", "e.name", "e.line")
 
 
-@query("SELECT doc_id, coalesce(text, '') || ' ' || chr(10) AS left_over FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\"''`/]')")
+#: The same pieces in a pattern language without look-behind: an operator goes with the regular expression behind it.
+_BODY = r"(?:{0}|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])"
+_LITERAL = rf"[ \t\n\x0B\f\r]*/{_BODY.format(r'[^*/\\\[\n]')}{_BODY.format(r'[^/\\\[\n]')}*/[a-z]*"
+_PIECES = "|".join((
+    rf"(?:return|typeof|case|in|of|do|else|void|delete|throw|new|instanceof|yield|await){_LITERAL}", r"[\w$)\]]!", r"[<>]=|\+\+|--", rf"(?:=>|[(\[{{,;:?&|^~*%=!+\-]){_LITERAL}", rf"\}}[ \t\x0B\f\r]*\n{_LITERAL}",
+    r'"(?:[^"\\\n]|\\(?s:.))*"', r"'(?:[^'\\\n]|\\(?s:.))*'", r"`(?:[^`\\]|\\(?s:.))*`", r"//[^\n]*", r"/\*(?s:.*?)(?:\*/|\z)", r"[\w$.]+", r"(?s:.)",
+)).replace("'", "''")
+
+
+@query(rf"""WITH c AS (SELECT doc_id, 'const r = s.replace(/\/*$/, "")' || chr(10) || coalesce(text, '') AS content FROM documents),
+p AS (SELECT doc_id, content, array_to_string(list_transform(regexp_extract_all(content, '{_PIECES}'), lambda x: CASE WHEN starts_with(x, '//') OR starts_with(x, '/*') THEN regexp_replace(x, '[^\n]', ' ', 'g') ELSE x END), '') AS code FROM c)
+SELECT doc_id, sha256(code) AS code_sha256, code <> content AS commented FROM p""")
 def prj_blank_comments(spark, sf):
-    """Whole texts without quotes and slashes, between comments that go."""
+    """Whole texts behind a line of code with a regular expression that would begin a comment."""
     from ..operators import source as Z
 
-    plain = table(spark, sf, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike("[\"'`/]"))
-    blanked = Z.blank_comments(F.concat(F.lit("/* x 'y\n*/"), "text", F.lit(" // z\"\n")))
-    return plain.select("doc_id", F.regexp_replace(F.regexp_replace(blanked, r"\A +\n  ", ""), r" +\n\z", " \n").alias("left_over"))
+    content = F.concat(F.lit("const r = s.replace(/\\/*$/, \"\")\n"), F.coalesce("text", F.lit("")))
+    code = table(spark, sf, "documents").select("doc_id", content.alias("content")).withColumn("code", Z.blank_comments(F.col("content")))
+    return code.select("doc_id", F.sha2("code", 256).alias("code_sha256"), (F.col("code") != F.col("content")).alias("commented"))
 
 
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang || ' ' || source WHEN 1 THEN NULL ELSE source END AS value FROM documents")
@@ -896,7 +933,7 @@ def _repository(spark, sf):
     n = docs.withColumn("k", F.row_number().over(Window.partitionBy("folder").orderBy("doc_id")))
     k = lambda d=0: (F.col("k") + d).cast("string")
     code = F.concat(
-        F.lit("import { a"), k(1), F.lit(" } from './m"), k(1), F.lit(".js'\n"), F.when(F.col("k") % 5 == 0, F.lit("import * as all from './index'\n")).otherwise(""),
+        F.lit("const bare = text.replace(/\\/*['\"`]$/, ''); import { a"), k(1), F.lit(" } from './m"), k(1), F.lit(".js'\n"), F.when(F.col("k") % 5 == 0, F.lit("import * as all from './index'\n")).otherwise(""),
         F.lit("export const a"), k(), F.lit(" = 1,\n  b"), k(), F.lit(" = 2\n"),
     )
     modules = n.select(F.concat("folder", F.lit("/m"), k(), F.lit(".ts")).alias("path"), code.alias("content"))
