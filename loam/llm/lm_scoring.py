@@ -255,34 +255,40 @@ class Chunk:
         (part, number of the context, node, total; part, number of the n-gram, node, successor, training count)"""
         above = self.gram[level - 1]
         at = np.flatnonzero(self.offset >= level - 1)
-        width = len(self.node[1])
-        key = above[at - 1] * width + self.gram[1][at]
-        different, inverse = np.unique(key, return_inverse=True)
+        bits = len(self.node[1]).bit_length()
+        different, inverse = np.unique(above[at - 1] << bits | self.gram[1][at], return_inverse=True)
         self.gram[level] = np.full(len(above), -1)
         self.gram[level][at] = inverse
         count = np.bincount(inverse[self.trained[at]], minlength=len(different))
-        context, suffix = different // width, np.empty(len(different), np.int64)
+        context, suffix = different >> bits, np.empty(len(different), np.int64)
         suffix[inverse] = above[at]
+        node_of = self.node[level - 1]
         self.context, self.copies = context, 1 + self.count[level - 1] // spread
-        contexts = np.flatnonzero(np.bincount(context, minlength=len(self.copies)) > 0)
-        contexts = contexts[self.node[level - 1][contexts] >= 0]
-        times = self.copies[contexts]
-        salt = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        contexts = np.repeat(contexts, times)
-        nodes = self.node[level - 1][contexts]
-        c_part = self._part(nodes, salt)
-        order = _order(c_part, nodes)  # copies of a context can meet in a part
+        # n-grams are sorted by context, so each context's own stand together
+        contexts = context[np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))] if len(context) else context
+        contexts = contexts[node_of[contexts] >= 0]
+        node, successor = node_of[context], self.relative[level - 1][suffix]
+        grams = np.flatnonzero((node >= 0) & (successor >= 0))
+        node, successor = node[grams], successor[grams]
+        if len(contexts) and self.copies[contexts].max() > 1:
+            times = self.copies[contexts]
+            salt = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            contexts = np.repeat(contexts, times)
+            nodes = node_of[contexts]
+            c_part, g_part = self._part(nodes, salt), self._part(node, successor % self.copies[context[grams]])
+        else:
+            nodes = node_of[contexts]
+            c_part, g_part = self._part(nodes), self._part(node)
+        order = _order(c_part, nodes)
         again = (c_part[order][1:] == c_part[order][:-1]) & (nodes[order][1:] == nodes[order][:-1])
-        order = order[np.concatenate([[True], ~again])[: len(order)]]
-        grams = np.flatnonzero((self.node[level - 1][context] >= 0) & (self.relative[level - 1][suffix] >= 0))
-        node, successor = self.node[level - 1][context[grams]], self.relative[level - 1][suffix[grams]]
-        g_part = self._part(node, successor % self.copies[context[grams]])
+        if again.any():  # copies of a context can meet in a part
+            order = order[np.concatenate([[True], ~again])]
         by = _order(g_part, node, successor)
         contexts = contexts[order]
         return c_part[order], contexts, nodes[order], self.count[level - 1][contexts], g_part[by], grams[by], node[by], successor[by], count[grams[by]]
 
-    def _part(self, node: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        return (W.mix(W.join_hash(node.astype(np.uint64), salt.astype(np.uint64)), 11) % np.uint64(self.parts)).astype(np.int64)
+    def _part(self, node: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
+        return (W.mix(node.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.asarray(salt, np.uint64), 11) % np.uint64(self.parts)).astype(np.int64)
 
     def answered(self, level: int, spread: int, answers: list[tuple[int, bytes]], discount: float) -> None:
         c_part, contexts, _, total, g_part, grams, _, successor, _ = self.asked(level, spread)
@@ -295,7 +301,7 @@ class Chunk:
         for part, blob in answers:
             different, below, *more = unpack(blob)
             own, mine = of_context[part], of_gram.get(part, slice(0, 0))
-            np.add.at(successors, contexts[own], different)
+            successors[contexts[own]] += different  # no context stands twice in a part
             found = np.flatnonzero(below > 0)
             number = grams[mine][found]
             context = self.context[number]
