@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The characters that `\\s` and trim() treat as white space.
 SPACE = r"\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -18,6 +19,21 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def locale_key(c: Column) -> Column:
+    """A string that sorts in the root locale's order: a, A, b, not A, a, b."""
+    return F.collate(c, "UNICODE")
+
+
+def in_locale_order(df: DataFrame, *columns: str, between: str | None = None) -> list[Column]:
+    """What to sort by: strings in the root locale's order, other columns as they are; equal keys by the bytes.
+
+    between: the columns are compared as one string with that between them."""
+    strings = [isinstance(df.schema[c].dataType, T.StringType) for c in columns]
+    if between is not None and all(strings):
+        return [locale_key(F.concat_ws(between, *columns)), *map(F.col, columns)]
+    return [*(locale_key(F.col(c)) if s else F.col(c) for c, s in zip(columns, strings, strict=True)), *(F.col(c) for c, s in zip(columns, strings, strict=True) if s)]
+
+
 def trim(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
 

@@ -55,10 +55,10 @@ def totals(parsed: DataFrame, total: DataFrame | None = None) -> DataFrame:
 def buckets(parsed: DataFrame, field: str) -> DataFrame:
     """(name, count, share, breaking, position) of each value of a field; null is a value.
 
-    Ordered by count, then name, null last among equal counts.  The window runs over the groups, not
+    Ordered by count, then name in the root locale's order, null last among equal counts.  The window runs over the groups, not
     over the commits."""
     groups = parsed.groupBy(F.col(field).alias("name")).agg(F.count("*").alias("count"), F.count_if("breaking").alias("breaking"))
-    order = Window.orderBy(F.desc("count"), F.col("name").isNull(), "name")
+    order = Window.orderBy(F.desc("count"), F.col("name").isNull(), *js.in_locale_order(groups, "name"))
     return groups.select("name", "count", (F.col("count") / F.sum("count").over(Window.partitionBy())).alias("share"), "breaking", F.row_number().over(order).alias("position"))
 
 
@@ -105,6 +105,22 @@ def bus_factor(touches: DataFrame, cover: float = 0.5) -> DataFrame:
     return ranked.where(F.col("run") >= F.col("all") * cover).groupBy("path").agg(F.min("k").alias("bus_factor"))
 
 
+def knowledge_map(touches: DataFrame) -> DataFrame:
+    """(place, commits, authors, owner, share, concentration) of each file and each folder above, from (path, author).
+
+    concentration: the sum of the authors' squared shares, 1 where one author made every change and 1 / n where n made as many each.  A
+    folder's figures are those of all changes below it.  All levels come from one pass over counts for each file and author."""
+    each = touches.groupBy("path", "author").agg(F.count("*").alias("n"))
+    placed = each.select(F.explode(F.concat(F.array("path"), js.ancestors(F.col("path")))).alias("place"), "author", "n")
+    sums = placed.groupBy("place", "author").agg(F.sum("n").alias("n"))
+    one = sums.groupBy("place").agg(
+        F.sum("n").alias("commits"), F.count("*").alias("authors"), F.min_by("author", F.struct(-F.col("n"), F.col("author"))).alias("owner"),
+        F.max("n").alias("_most"), F.sum(F.col("n").cast("double") * F.col("n")).alias("_squares"),
+    )
+    total = F.col("commits").cast("double")
+    return one.select("place", "commits", "authors", "owner", (F.col("_most") / total).alias("share"), (F.col("_squares") / (total * total)).alias("concentration"))
+
+
 def code_age(touches: DataFrame, now: Column) -> DataFrame:
     """(path, last_change, age_days) from (path, ts)."""
     last = touches.groupBy("path").agg(F.max("ts").alias("last_change"))

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import js
 from ..session import written
 
 #: Graphs of up to so many edges (some MB) are walked in one task, with the same result; larger ones by distributed rounds.
@@ -160,9 +161,9 @@ def _scc_rounds(edges: DataFrame) -> DataFrame:
 
 
 def cycle_sizes(cycles: DataFrame) -> DataFrame:
-    """(component, size, position): cycles by size, then first node.  One window over cycles, not over nodes."""
+    """(component, size, position): cycles by size, then first node in the root locale's order.  One window over cycles, not over nodes."""
     sizes = cycles.groupBy("component").agg(F.count("*").alias("size"))
-    return sizes.withColumn("position", F.row_number().over(Window.orderBy(F.desc("size"), "component")))
+    return sizes.withColumn("position", F.row_number().over(Window.orderBy(F.desc("size"), *js.in_locale_order(sizes, "component"))))
 
 
 def cycle_numbers(cycles: DataFrame) -> DataFrame:
@@ -206,7 +207,7 @@ def ordered_cycles(cycles: DataFrame, edges: DataFrame) -> DataFrame:
         return pd.DataFrame([(rows["component"].iloc[0], nodes, path + back[::-1])], columns=["component", "nodes", "path"])
 
     found = inside.select("component", "from", "to").groupBy("component").applyInPandas(way, f"component {kind}, nodes array<{kind}>, path array<{kind}>")
-    return found.withColumn("position", F.row_number().over(Window.orderBy(F.desc(F.size("nodes")), "component"))).select("position", "nodes", "path")
+    return found.withColumn("position", F.row_number().over(Window.orderBy(F.desc(F.size("nodes")), *js.in_locale_order(found, "component")))).select("position", "nodes", "path")
 
 
 # -- reachability

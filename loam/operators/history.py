@@ -76,19 +76,30 @@ def degree():
     return js.round_half_up(F.lit(200.0) * F.col("shared_changes") / (F.col("changes_a") + F.col("changes_b")), 1)
 
 
-def coupling(touches: DataFrame, limits: CouplingLimits = CouplingLimits(), files: DataFrame | None = None) -> DataFrame:
-    """(file_a, file_b, shared_changes, changes_a, changes_b, degree) within the limits, unordered."""
-    commits = small_commits(touches, limits.max_files)
-    counts = shared(commits, limits.min_shared)
+def coupled(pair_counts: DataFrame, change_counts: DataFrame, limits: CouplingLimits = CouplingLimits(), files: DataFrame | None = None) -> DataFrame:
+    """(file_a, file_b, shared_changes, changes_a, changes_b, degree) within the limits, from shared() and changes()."""
+    counts = pair_counts.where(F.col("shared_changes") >= limits.min_shared)
     if files is not None:
         counts = present(counts, files)
-    out = with_counts(counts, changes(commits), limits.min_changes).withColumn("degree", degree())
+    out = with_counts(counts, change_counts, limits.min_changes).withColumn("degree", degree())
     return out.where(F.col("degree") >= limits.min_degree).select("file_a", "file_b", "shared_changes", "changes_a", "changes_b", "degree")
 
 
+def coupling(touches: DataFrame, limits: CouplingLimits = CouplingLimits(), files: DataFrame | None = None) -> DataFrame:
+    """(file_a, file_b, shared_changes, changes_a, changes_b, degree) within the limits, unordered."""
+    commits = small_commits(touches, limits.max_files)
+    return coupled(shared(commits), changes(commits), limits, files)
+
+
+#: Fixed value: what stands between the two paths of a pair in its name.
+BETWEEN = " ↔ "
+
+
 def top_coupling(touches: DataFrame, limits: CouplingLimits = CouplingLimits(), files: DataFrame | None = None) -> DataFrame:
-    """The strongest pairs: by degree, then shared changes, then names."""
-    return coupling(touches, limits, files).orderBy(F.desc("degree"), F.desc("shared_changes"), "file_a", "file_b").limit(limits.rows)
+    """The strongest pairs: by degree, then shared changes, then names in the root locale's order."""
+    found = coupling(touches, limits, files)
+    names = js.in_locale_order(found, "file_a", "file_b", between=BETWEEN)
+    return found.orderBy(F.desc("degree"), F.desc("shared_changes"), *names).limit(limits.rows)
 
 
 def hotspots(complexity: DataFrame, change_counts: DataFrame) -> DataFrame:

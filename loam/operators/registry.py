@@ -83,7 +83,9 @@ def read_manifest(path: str) -> tuple[dict, str]:
 
 @dataclass(frozen=True)
 class Plugin:
-    """run: for a convention commits to parsed commits, for a metric tables to a series, for a language files to tables."""
+    """run: for a convention commits to parsed commits, for a metric tables to rows, for a language files to tables.
+
+    series: a metric's rows as (series, subject, value, meta); none is needed if they have that form, or are to have none."""
 
     id: str
     kind: str
@@ -91,6 +93,7 @@ class Plugin:
     run: Callable[..., DataFrame | dict[str, DataFrame]]
     sdk: int = SDK_MAJOR
     extensions: tuple[str, ...] = ()
+    series: Callable[[DataFrame], DataFrame] | None = None
 
 
 @dataclass

@@ -53,11 +53,6 @@ _QUOTED = r"""["'`]([^"'`\\$]*)["'`]"""
 _BRACKETS = _balanced(20)
 
 
-def _once(value: Column, use) -> Column:
-    """use(value), which may name the value often, with the value computed once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _pieces(content: Column) -> Column:
     return F.regexp_extract_all(content, F.lit(_PIECE), 0)
 
@@ -107,7 +102,7 @@ def cyclomatic(content: Column) -> Column:
         ternary = count(F.regexp_replace(code, r"\?\?=?", "  "), r"\?(?!\.(?!\d)|\s*[:,)\]=;}])")
         return (1 + words - loops + logic + ternary).cast("long")
 
-    return _once(code_only(content), points)
+    return js.let(code_only(content), points)
 
 
 def _with_numbers(pieces: Column) -> Column:
@@ -143,14 +138,14 @@ def imports(content: Column) -> Column:
         whole = r["clause"].contains("*") | (r["call"] != "") | (r["equals"] != "")
         return F.struct(_spec(pieces, r["spec"]).alias("spec"), F.concat(default, named).alias("names"), whole.alias("namespace"))
 
-    found = _once(_pieces(content), lambda pieces: F.transform(_once(_with_numbers(pieces), rows), lambda r: site(r, pieces)))
+    found = js.let(_pieces(content), lambda pieces: F.transform(js.let(_with_numbers(pieces), rows), lambda r: site(r, pieces)))
     return F.filter(found, lambda i: i["spec"].isNotNull())
 
 
 def stars(content: Column) -> Column:
     """Specifiers of `export * from`."""
     found = lambda pieces: F.regexp_extract_all(_with_numbers(pieces), F.lit(r'(?<![\w$.])export\s*\*\s*from\s*"(\d+)"'), 1)
-    return F.filter(_once(_pieces(content), lambda pieces: F.transform(found(pieces), lambda n: _spec(pieces, n))), lambda x: x.isNotNull())
+    return F.filter(js.let(_pieces(content), lambda pieces: F.transform(found(pieces), lambda n: _spec(pieces, n))), lambda x: x.isNotNull())
 
 
 def _numbered(content: Column) -> Column:
@@ -228,7 +223,7 @@ def exports(content: Column) -> Column:
 
     def found(c: Column) -> Column:
         rest = F.regexp_replace(c["text"], r"\Aexport", "")
-        return _once(F.struct(F.regexp_replace(rest, before, "").alias("body"), F.coalesce(_last_mark(F.regexp_extract(rest, before, 0)), c["line"]).alias("line")), names)
+        return js.let(F.struct(F.regexp_replace(rest, before, "").alias("body"), F.coalesce(_last_mark(F.regexp_extract(rest, before, 0)), c["line"]).alias("line")), names)
 
     def names(c: Column) -> Column:
         body, line = c["body"], c["line"]

@@ -86,8 +86,10 @@ def dead_code_by_reason(findings: DataFrame) -> DataFrame:
 
 
 def sorted_findings(findings: DataFrame) -> DataFrame:
-    """By path, then line and symbol, absent ones first."""
-    return findings.orderBy("path", F.coalesce("line", F.lit(0)), F.coalesce("symbol", F.lit("")))
+    """By path, then line and symbol, absent ones first; strings in the root locale's order."""
+    key = lambda c: js.locale_key(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    path = js.in_locale_order(findings, "path")
+    return findings.orderBy(path[0], F.coalesce("line", F.lit(0)), key("symbol"), *path[1:], "symbol")
 
 
 def recent_runs(runs: DataFrame, rows: int = 8) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,6 +93,19 @@ def agg_coupling(spark, sf):
     return H.coupling(T.commit_files(spark, sf), LIMITS)
 
 
+@query(f"WITH {_COUPLED} SELECT * FROM cp WHERE degree >= 5")
+def agg_coupling_incremental(spark, sf):
+    """As agg_coupling, from a history that came in three batches by date, folded after the second."""
+    from ..session import shared_dir
+    from ..streaming.history import HistoryTables
+
+    dated = T.commit_files(spark, sf).join(T.commits(spark, sf).select("sha", "ts"), "sha")
+    tables = HistoryTables(spark, f"{shared_dir(spark)}/loam-history-{uuid.uuid4().hex}", LIMITS, fold_every=2)
+    for batch, when in enumerate(("ts < '1994-06-01'", "ts >= '1994-06-01' AND ts < '1996-10-01'", "ts >= '1996-10-01'")):
+        tables.update(dated.where(when), batch)
+    return tables.coupling()
+
+
 @query(f"WITH {_COUPLED} SELECT * FROM cp WHERE degree >= 10")
 def flt_thresholds(spark, sf):
     return H.coupling(T.commit_files(spark, sf), H.CouplingLimits(min_degree=10))
@@ -291,6 +305,25 @@ def sort_buckets(spark, sf):
     return C.buckets(_parsed(spark, sf), "scope").select("name", "position")
 
 
+_FIRST_WORD = r"regexp_extract(text, '[^\x20\x09-\x0D]+')"
+
+
+@query(f"""SELECT name, count, share, breaking, CAST(row_number() OVER (ORDER BY count DESC, name IS NULL, icu_sort_key(name, 'root'), name) AS INTEGER) AS position
+FROM (SELECT nullif({_FIRST_WORD}, '') AS name, count(*) AS count, count(*) / sum(count(*)) OVER () AS share, count(*) FILTER (lang = 'en') AS breaking FROM documents GROUP BY 1) g""")
+def sort_buckets_locale(spark, sf):
+    """Buckets whose names, the texts' first words, differ in case and accents."""
+    word = F.regexp_extract("text", r"[^\x20\x09-\x0D]+", 0)
+    return C.buckets(table(spark, sf, "documents").select(F.nullif(word, F.lit("")).alias("scope"), (F.col("lang") == "en").alias("breaking")), "scope")
+
+
+@query(f"""SELECT w AS component, 2 AS size, CAST(row_number() OVER (ORDER BY icu_sort_key(w, 'root'), w) AS INTEGER) AS position FROM (SELECT DISTINCT {_FIRST_WORD} AS w FROM documents WHERE {_FIRST_WORD} <> '') x""")
+def sort_cycles_locale(spark, sf):
+    """Cycles of two nodes, named by the texts' first words."""
+    word = F.regexp_extract("text", r"[^\x20\x09-\x0D]+", 0)
+    there = table(spark, sf, "documents").select(word.alias("from")).where("`from` <> ''").distinct().withColumn("to", F.concat("from", F.lit(" >")))
+    return G.cycle_sizes(G.scc(there.union(there.select("to", "from"))))
+
+
 @query(f"WITH {_PARSED}, g AS (SELECT type AS name, count(*) AS n FROM pc GROUP BY 1) SELECT name, n / sum(n) OVER () AS share FROM g")
 def win_share_of_total(spark, sf):
     return C.buckets(_parsed(spark, sf), "type").select("name", "share")
@@ -1044,3 +1077,61 @@ def ext_new_cycles(spark, sf):
     sizes = cycles.groupBy("component").agg(F.count("*").alias("n"))
     before = cycles.join(sizes.where("n = 1"), "component").select("component", "node")
     return new_cycles(before, cycles).select("component", F.size("nodes").cast("long").alias("size"))
+
+
+_PLACED = f"{_TOUCH}, p AS (SELECT p_partkey AS path, replace(p_brand, '/', '-') || '/' || p_size AS folder, replace(p_brand, '/', '-') AS top FROM part), z AS (SELECT unnest([top, folder, folder || '/' || t.path]) AS place, author FROM t JOIN p ON p.path = t.path)"
+
+
+@query(f"""WITH {_PLACED}, n AS (SELECT place, author, count(*) AS n FROM z GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY n DESC, author) AS k FROM n)
+SELECT place, CAST(sum(n) AS BIGINT) AS commits, count(*) AS authors, max(CASE WHEN k = 1 THEN author END) AS owner, max(n) / sum(n) AS share, sum(n * n) / (sum(n) * sum(n)) AS concentration FROM r GROUP BY place""")
+def ext_knowledge_map(spark, sf):
+    """Files are parts in folders of brand and size."""
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("part"), F.concat_ws("/", F.replace("p_brand", F.lit("/"), F.lit("-")), F.col("p_size").cast("string"), F.col("p_partkey").cast("string")).alias("path"))
+    return C.knowledge_map(_touches(spark, sf).withColumnRenamed("path", "part").join(parts, "part").select("path", "author"))
+
+
+@query(f"""WITH {_HOT}, {_COUPLED} SELECT 'hotspots' AS series, CAST(path AS VARCHAR) AS subject, CAST(score AS DOUBLE) AS value, CAST(changes AS BIGINT) AS changes, NULL AS file_b, NULL AS shared_changes FROM h
+UNION ALL SELECT 'change-coupling', file_a || ' ↔ ' || file_b, degree, NULL, file_b, shared_changes FROM cp WHERE degree >= 5""")
+def agg_metric_series(spark, sf):
+    """Two metrics in one form, written as that, and fields of their metas read back."""
+    from ..operators import series as E
+
+    rows = E.united([E.of_hotspots(_hotspots(spark, sf)), E.of_coupling(H.coupling(T.commit_files(spark, sf), LIMITS))])
+    return written(rows, "series").select("series", "subject", "value", E.field("changes", "long").alias("changes"), E.field("fileB", "long").alias("file_b"), E.field("sharedChanges", "long").alias("shared_changes"))
+
+
+def _two_reports(spark, sf):
+    """Reports of the history before and after a day: change counts as hotspots, and who hands over to whom as cycles."""
+    touched = _touches(spark, sf)
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("a"), F.col("c_nationkey").alias("n"))
+    out = []
+    for when, size in (("ts < '1995-04-01'", F.lit(5)), ("ts >= '1995-04-01'", F.lit(6))):
+        hot = H.churn(touched.where(when)).select("path", F.col("changes").alias("score"))
+        group = F.floor(F.col("a") / size)
+        out.append({"hotspots": hot, "cycles": customers.select(group.alias("component"), F.col("a").alias("node")), "only": hot})
+    return out
+
+
+@query(f"""WITH {_COMPARED}, x AS (SELECT path, before, after FROM c),
+cy AS (SELECT 0 AS side, c_custkey // 5 AS g, c_custkey AS node FROM customer UNION ALL SELECT 1, c_custkey // 6, c_custkey FROM customer),
+cd AS (SELECT g, node, count(*) FILTER (side = 0) AS b, count(*) FILTER (side = 1) AS a FROM cy GROUP BY 1, 2)
+SELECT 'hotspots' AS "table", CASE WHEN before = 0 THEN 'added' WHEN after = 0 THEN 'removed' ELSE 'changed' END AS change, count(*) AS rows, CAST(sum(after - before) AS BIGINT) AS growth FROM x WHERE before <> after GROUP BY 1, 2
+UNION ALL SELECT 'cycles', CASE WHEN b = 0 THEN 'added' ELSE 'removed' END, count(*), NULL FROM cd WHERE (a = 0) <> (b = 0) GROUP BY 1, 2""")
+def ext_report_differences(spark, sf):
+    """All tables of two reports compared, counted by table and change."""
+    from ..operators import gates
+
+    found = gates.differences(*_two_reports(spark, sf), gates.KEYS | {"cycles": ("component", "node")})
+    score = lambda c: F.coalesce(F.get_json_object(c, "$.score").cast("long"), F.lit(0))
+    growth = F.sum(F.when(F.col("table") == "hotspots", score("after") - score("before")))
+    return found.groupBy("table", "change").agg(F.count("*").alias("rows"), growth.alias("growth"))
+
+
+@query(f"""WITH {_COMPARED}, cy AS (SELECT g, string_agg(CAST(node AS VARCHAR), ', ' ORDER BY node) AS nodes, count(*) AS n FROM (SELECT c_custkey // 6 AS g, c_custkey AS node FROM customer) y GROUP BY 1),
+old AS (SELECT string_agg(CAST(node AS VARCHAR), ', ' ORDER BY node) AS nodes FROM (SELECT c_custkey // 5 AS g, c_custkey AS node FROM customer) y GROUP BY g)
+SELECT 'new-cycle' AS gate, nodes AS subject, 'cycle of ' || n || ' files' AS message, 'error' AS severity FROM cy WHERE nodes NOT IN (SELECT nodes FROM old)
+UNION ALL SELECT 'hotspot-regression', CAST(path AS VARCHAR), 'score ' || before || ' -> ' || after, 'warning' FROM c WHERE change > 0 AND (before = 0 OR 100 * change > 10 * before)""")
+def ext_report_findings(spark, sf):
+    from ..operators import gates
+
+    return gates.findings(*_two_reports(spark, sf))

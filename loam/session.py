@@ -60,11 +60,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark can reach it; nothing happens if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more, such as those of a loop's earlier rounds."""
     for df in tables:
         found, path = _places.pop(id(df), (None, None))
         if found is not None and found() is df:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            remove(df.sparkSession, path)

@@ -1,16 +1,15 @@
 """A git repository as tables.
 
-Small facts (a revision, a branch) are asked for on the driver.  The log and the tree are listed by git
-into a text file that Spark reads in parts; contents are read on the executors, one `git cat-file
+Small facts (a revision, a branch) are asked for on the driver.  The log and the tree are data sources
+(`git_source`), read in ranges of the history and folders of the tree; contents are read on the executors, one `git cat-file
 --batch` for each partition, and only for the files that a query still needs.
 """
 
 from __future__ import annotations
 
+import json
 import subprocess
-import tempfile
 import threading
-import uuid
 import warnings
 from collections.abc import Iterator
 from pathlib import Path
@@ -20,22 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RECORD = "\x1e"
-
-
-class GitError(RuntimeError):
-    pass
-
-
-def _git(root: str, *args: str, into: str | None = None) -> str:
-    if into:
-        with open(into, "wb") as f:
-            done = subprocess.run(["git", "-C", root, *args], stdout=f, stderr=subprocess.PIPE)
-    else:
-        done = subprocess.run(["git", "-C", root, *args], capture_output=True)
-    if done.returncode:
-        raise GitError(done.stderr.decode(errors="replace").strip())
-    return "" if into else done.stdout.decode(errors="replace")
+from .git_source import GitError, register
+from .git_source import answer as _git
 
 
 def resolve_rev(root: str, rev: str = "HEAD") -> str:
@@ -56,33 +41,29 @@ def toplevel(folder: str) -> str | None:
         return None
 
 
-def _listed(spark: SparkSession, root: str, args: tuple[str, ...], separator: str, folder: str | None) -> DataFrame:
-    """git's output as one row for each record, in a file of its own in a folder that all executors can read."""
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("give a folder that all executors can read for git's listings")
-        folder = tempfile.mkdtemp(prefix="loam-git-")
-    target = Path(folder) / f"{args[0] if args[0] != '-c' else 'log'}-{uuid.uuid4().hex}.txt"
-    _git(root, *args, into=str(target))
-    return spark.read.text(f"file://{target}", lineSep=separator)
+def _read(spark: SparkSession, source: str, root: str, **options: object) -> DataFrame:
+    register(spark)
+    given = {k: json.dumps(v) if isinstance(v, list) else str(v) for k, v in options.items()}
+    return spark.read.format(source).options(root=str(Path(root).resolve()), **given).load()
 
 
-def ls_tree(spark: SparkSession, root: str, rev: str = "HEAD", folder: str | None = None) -> DataFrame:
+def ls_tree(spark: SparkSession, root: str, rev: str = "HEAD") -> DataFrame:
     """(mode, blob, path) of the files at a revision; names that git quotes stay quoted."""
-    rows = _listed(spark, root, ("ls-tree", "-r", rev), "\n", folder)
-    head, path = F.split(F.substring_index("value", "\t", 1), r"\s+"), F.regexp_extract("value", r"^[^\t]*\t([\s\S]*)$", 1)
-    return rows.where("value <> ''").select(head[0].alias("mode"), head[1].alias("kind"), head[2].alias("blob"), path.alias("path")).where("kind = 'blob'").drop("kind")
+    return _read(spark, "git_tree", root, rev=resolve_tree(root, rev), quoted="true")
 
 
-def tracked(spark: SparkSession, root: str, rev: str = "HEAD", folder: str | None = None) -> DataFrame:
+def resolve_tree(root: str, rev: str = "HEAD") -> str:
+    return _git(root, "rev-parse", "--verify", f"{rev}^{{tree}}").strip()
+
+
+def tracked(spark: SparkSession, root: str, rev: str = "HEAD") -> DataFrame:
     """(blob, path) of the tracked files, unquoted; none, with a warning, where git can't list them."""
     try:
-        rows = _listed(spark, root, ("ls-tree", "-r", "-z", rev), "\0", folder)
+        tree = resolve_tree(root, rev)
     except GitError as e:
         warnings.warn(f"no tracked files: {e}", stacklevel=2)
         return spark.createDataFrame([], "blob string, path string")
-    head, path = F.split(F.substring_index("value", "\t", 1), r"\s+"), F.regexp_extract("value", r"^[^\t]*\t([\s\S]*)$", 1)
-    return rows.where("value <> ''").where(head[1] == "blob").select(head[2].alias("blob"), path.alias("path"))
+    return _read(spark, "git_tree", root, rev=tree).select("blob", "path")
 
 
 def show(root: str, rev: str, path: str) -> str | None:
@@ -93,21 +74,22 @@ def show(root: str, rev: str, path: str) -> str | None:
         return None
 
 
-def log(spark: SparkSession, root: str, rev: str = "HEAD", newest: int = 0, paths: tuple[str, ...] = (), folder: str | None = None) -> DataFrame:
+def log(spark: SparkSession, root: str, rev: str = "HEAD", newest: int = 0, paths: tuple[str, ...] = ()) -> DataFrame:
     """(sha, author, author_email, date, ts, message) of the history, the newest commits only if asked; 0 is all."""
-    limit = (f"--max-count={newest}",) if newest else ()
-    rows = _listed(spark, root, ("log", f"--pretty=format:%H{RECORD}%an{RECORD}%ae{RECORD}%aI{RECORD}%B{RECORD}{RECORD}", *limit, rev, "--", *paths), RECORD + RECORD, folder)
-    part = F.split("value", RECORD)
+    rows = _read(spark, "git_log", root, rev=resolve_rev(root, rev), newest=newest, paths=list(paths))
     clean = lambda c: F.regexp_replace(c, r"\A\s+|\s+\z", "")
-    return rows.where(F.size(part) >= 5).select(clean(part[0]).alias("sha"), part[1].alias("author"), part[2].alias("author_email"), part[3].alias("date"), F.try_to_timestamp(part[3]).alias("ts"), clean(part[4]).alias("message"))
+    return rows.select(clean("sha").alias("sha"), "author", "author_email", "date", F.try_to_timestamp("date").alias("ts"), clean("message").alias("message"))
 
 
-def touches(spark: SparkSession, root: str, rev: str = "HEAD", newest: int = 0, folder: str | None = None) -> DataFrame:
+def touches(spark: SparkSession, root: str, rev: str = "HEAD", newest: int = 0) -> DataFrame:
     """(sha, path) of the changed paths; a commit that lists nothing has no row."""
-    limit = (f"--max-count={newest}",) if newest else ()
-    rows = _listed(spark, root, ("-c", "core.quotePath=false", "log", "--name-only", f"--pretty=format:{RECORD}%H", *limit, rev), RECORD, folder)
-    lines = F.split("value", "\n")
-    return rows.select(lines[0].alias("sha"), F.explode(F.slice(lines, 2, F.size(lines))).alias("path")).where("path <> ''")
+    return _read(spark, "git_touches", root, rev=resolve_rev(root, rev), newest=newest)
+
+
+def touches_stream(spark: SparkSession, root: str, rev: str = "HEAD") -> DataFrame:
+    """(sha, path) as a stream: first the whole history of a revision (a branch, say), then what comes to it."""
+    register(spark)
+    return spark.readStream.format("git_touches").options(root=str(Path(root).resolve()), rev=rev).load()
 
 
 def contents(files: DataFrame, root: str, content: str = "content") -> DataFrame:
