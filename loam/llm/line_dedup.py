@@ -30,8 +30,8 @@ from .shared import told_apart
 MIN_WORDS = 5
 #: Lines with fewer characters are not edited by characters; only their exact copies go.
 MIN_CHARS = 5
-_P = 2147483647
-_BASES = (1000003, 998244353 % _P)
+#: Bits of a variant's key that count.
+_MASK = -1
 
 
 def _hashes(line: Column) -> tuple[Column, Column]:
@@ -45,22 +45,22 @@ def _n_words(line: Column) -> Column:
 class Places:
     """Lines as places that can be compared: a document's id, then the line's number from 0.
 
-    Where all ids lie within 2 ** 36 of each other a place is packed into one long, which Spark
-    aggregates in hash maps; else it is a struct."""
+    Where all ids lie within 2 ** 32 of each other a place is packed into one long, which Spark
+    aggregates in hash maps; else it is a struct.  No text has 2 ** 31 lines."""
 
     def __init__(self, ids: DataFrame):
         low, high = ids.agg(F.min("_id"), F.max("_id")).first()
         whole = isinstance(ids.schema["_id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-        self.low, self.packed = low, whole and low is not None and high - low < 1 << 36
+        self.low, self.packed = low, whole and low is not None and high - low < 1 << 32
 
     def place(self, d: Column, n: Column) -> Column:
-        return F.shiftleft(d.cast("long") - self.low, 27) + n if self.packed else F.struct(d.alias("d"), n.alias("n"))
+        return F.shiftleft(d.cast("long") - self.low, 31) + n if self.packed else F.struct(d.alias("d"), n.alias("n"))
 
     def document(self, place: Column) -> Column:
-        return F.shiftright(place, 27) + self.low if self.packed else place["d"]
+        return F.shiftright(place, 31) + self.low if self.packed else place["d"]
 
     def number(self, place: Column) -> Column:
-        return place.bitwiseAND((1 << 27) - 1).cast("int") if self.packed else place["n"]
+        return place.bitwiseAND((1 << 31) - 1).cast("int") if self.packed else place["n"]
 
 
 def _lines(docs: DataFrame, text: str, places: Places) -> DataFrame:
@@ -91,33 +91,41 @@ def _ends(line: Column, min_words: int) -> list[Column]:
     return keys
 
 
+def _running(values: Column) -> Column:
+    """Running XORs of an array: in blocks of its length's square root, so that appending copies little."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+    last = lambda a: F.element_at(a, -1)
+    none = F.lit(0).cast("long")
+
+    def running(part: Column, start: Column) -> Column:
+        """start, then start and the running XORs behind it."""
+        return F.aggregate(part, F.array(start), lambda a, x: F.array_append(a, xor(last(a), x)))
+
+    def joined(blocks: Column) -> Column:
+        before = running(F.transform(blocks, lambda b: F.aggregate(b, none, xor)), none)
+        whole = F.zip_with(blocks, F.slice(before, 1, F.size(blocks)), lambda b, start: F.slice(running(b, start), 2, F.size(b)))
+        return F.flatten(whole)
+
+    def cut(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda b: F.slice(v, b * size + 1, size))
+
+    return let(values, lambda v: let(cut(v), joined))
+
+
 def _variants(lines: DataFrame, min_words: int) -> DataFrame:
     """(key, at, p) for each variant of (p, line); at: the deleted unit's place, -1 for the line itself.
 
-    The key is a pair of polynomial hashes of two codes of the units, so that all variants of a line cost one pass."""
+    A key is the XOR of the hashes of its units with their places.  Without unit i, the units before it keep their places
+    and those after it move up by one, so that all variants' keys are running XORs over the line."""
     words = lines.select("p", _units(F.col("line"), min_words).alias("w"))
-    codes = [F.transform("w", lambda w: F.pmod(F.xxhash64(w), F.lit(_P))), F.transform("w", lambda w: F.pmod(F.xxhash64(F.lit(1), w), F.lit(_P)))]
-    last = lambda a: F.element_at(a, -1)
-
-    def sums(code: str, base: int) -> Column:
-        start = F.struct(F.array(F.lit(0).cast("long")).alias("sum"), F.array(F.lit(1).cast("long")).alias("power"))
-        return F.aggregate(
-            code, start, lambda s, c: F.struct(F.array_append(s["sum"], (last(s["sum"]) * base + c) % _P).alias("sum"), F.array_append(s["power"], last(s["power"]) * base % _P).alias("power"))
-        )
-
-    coded = words.select("p", F.size("w").alias("m"), *(c.alias(f"code{k}") for k, c in enumerate(codes)))
-    made = coded.select("p", "m", *(sums(f"code{k}", b).alias(f"s{k}") for k, b in enumerate(_BASES)))
-    each = made.select("p", "m", "s0", "s1", F.explode(F.sequence(F.lit(0), F.col("m"))).alias("i"))
-
-    def key(s: str) -> Column:
-        total = F.element_at(F.col(s)["sum"], F.col("m") + 1)
-        power = F.element_at(F.col(s)["power"], F.col("m") - F.col("i"))
-        # without word i: the words before it moved up by those after it, and those after it
-        rest = F.element_at(F.col(s)["sum"], F.col("i") + 1) * power % _P - F.element_at(F.col(s)["sum"], F.col("i") + 2) * power % _P
-        return F.when(F.col("i") == F.col("m"), total).otherwise(F.pmod(rest + total, F.lit(_P)))
-
-    whole = F.col("i") == F.col("m")
-    return each.select((key("s0") * F.lit(1 << 31) + key("s1")).alias("key"), F.when(whole, -1).otherwise(F.col("i")).alias("at"), "p")
+    placed = words.select("p", F.transform("w", lambda w, j: F.xxhash64(j, w)).alias("own"), F.transform("w", lambda w, j: F.xxhash64(j - 1, w)).alias("moved"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+    steps = F.zip_with("moved", F.concat(F.array(F.lit(0).cast("long")), F.slice("own", 1, F.size("own") - 1)), lambda x, y: x.bitwiseXOR(y))
+    made = placed.select("p", total("own").alias("whole"), total("moved").alias("all"), steps.alias("steps"))
+    keys = let(F.col("all"), lambda t: F.transform(_running(F.col("steps")), lambda k: k.bitwiseXOR(t)))
+    each = made.select("p", F.posexplode(F.concat(F.array("whole"), keys)).alias("at", "key"))
+    return each.select(F.col("key").bitwiseAND(F.lit(_MASK).cast("long")).alias("key"), (F.col("at") - 1).alias("at"), "p")
 
 
 def _one_edit(a: Column, b: Column) -> Column:

@@ -409,9 +409,8 @@ def test_line_dedup_of_one_id_with_different_texts(spark):
 
 
 def test_line_dedup_of_keys_that_coincide(spark, monkeypatch):
-    """With 11 codes for all words most candidates are none, and the true ones further on must be found."""
-    monkeypatch.setattr(line_dedup, "_P", 11)
-    monkeypatch.setattr(line_dedup, "_BASES", (3, 5))
+    """With 128 keys for all variants most candidates are none, and the true ones further on must be found."""
+    monkeypatch.setattr(line_dedup, "_MASK", 127)
     rng = random.Random(8)
     docs = documents(spark, ["\n".join(" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(5, 7))) for _ in range(8)) for _ in range(40)])
     want = removed_of_all_lines([(r["doc_id"], r["text"]) for r in docs.collect()])
@@ -419,6 +418,22 @@ def test_line_dedup_of_keys_that_coincide(spark, monkeypatch):
     assert {k: r["n_removed"] for k, r in got.items() if r["n_removed"]} == {k: len(v) for k, v in want.items()}
 
 
+def test_line_dedup_of_very_long_lines(spark):
+    """Lines of a hundred thousand characters without a space, and of as many words, with one edit at each end and in the middle."""
+    n = 100_000
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefgh") for _ in range(n))
+    many = [rng.choice(["one", "two", "three", "four"]) for _ in range(n)]
+    edits = [long, "x" + long, long[: n // 2] + long[n // 2 + 1 :], long[:-1] + "y", long[::-1], long[: n // 2] + "zz" + long[n // 2 + 2 :]]
+    edits += [" ".join(many), " ".join(many[:-1]), " ".join([*many[: n // 2], "five", *many[n // 2 + 1 :]]), " ".join([*many[:9], "six", "six", *many[11:]])]
+    got = as_dict(line_dedup.dedup_lines(documents(spark, edits)))
+    ids = {r["text"]: r["doc_id"] for r in documents(spark, edits).collect()}
+    for group in (edits[:4], edits[6:9]):  # each is one edit from the first; from one another they are two
+        first = ids[group[0]]
+        assert all(got[ids[t]]["n_removed"] == 1 for t in group if ids[t] > first)
+    assert all(got[ids[edits[k]]]["n_removed"] == 0 for k in (4, 5, 9))
+
+
 def test_line_dedup_of_all_lines(spark):
     rng = random.Random(5)
     url = "https://example.org/" + "abcdefghij" * 30
