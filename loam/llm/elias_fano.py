@@ -19,6 +19,11 @@ _U = np.uint64
 UNITS = 4096
 
 
+_EIGHT, _TOP = _U(0x0101010101010101), _U(0x8080808080808080)
+#: For each byte and rank, the place of the set bit of that rank.
+_IN_BYTE = np.array([[([i for i in range(8) if b >> i & 1] + [0] * 8)[r] for r in range(8)] for b in range(256)], np.int64).ravel()
+
+
 def _or_at(words: np.ndarray, at: np.ndarray, value: np.ndarray) -> None:
     """words[at] |= value, for ascending places that may repeat."""
     if len(at):
@@ -68,15 +73,15 @@ class EliasFano:
 
     @staticmethod
     def _in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        place = np.zeros(len(words), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            below = words & _U((1 << half) - 1)
-            count = np.bitwise_count(below)
-            above = rank >= count
-            rank = np.where(above, rank - count, rank)
-            words = np.where(above, words >> _U(half), below)
-            place += half * above
-        return place
+        """The place of the set bit with so many set ones below it, in each of some words."""
+        x = words - ((words >> _U(1)) & _U(0x5555555555555555))
+        x = (x & _U(0x3333333333333333)) + ((x >> _U(2)) & _U(0x3333333333333333))
+        x = ((x + (x >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _EIGHT  # byte k: set bits in the bytes up to k
+        wanted = rank.astype(_U)
+        byte = np.bitwise_count((((wanted * _EIGHT) | _TOP) - x) & _TOP)  # bytes at whose end there are not more than that
+        below = np.where(byte > 0, (x >> (byte.astype(_U) * _U(8) - _U(8) & _U(63))) & _U(255), _U(0))
+        own = (words >> (byte.astype(_U) * _U(8))) & _U(255)
+        return byte.astype(np.int64) * 8 + _IN_BYTE[(own << _U(3)) | ((wanted - below) & _U(7))]
 
     def _select_one(self, rank: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ones, rank, side="right") - 1

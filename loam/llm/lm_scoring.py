@@ -144,15 +144,46 @@ def _ask_words(chunks: DataFrame, parts: int) -> DataFrame:
     return chunks.select("chunk", "names", "names_size", "counts").mapInArrow(run, _PARTS)
 
 
-def _order(*keys: np.ndarray) -> np.ndarray:
-    """The order by keys of non-negative integers, the first one first; by one number for all where that fits into 63 bits."""
-    widths = [int(k.max()).bit_length() if len(k) else 0 for k in keys]
+def _ordered(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(keys of non-negative integers in order, by the first one first; the order).
+
+    Where they fit into 63 bits they make one number, and together with the place, numbers are sorted as such."""
+    n = len(keys[0])
+    widths = [int(k.max()).bit_length() if n else 0 for k in keys]
+    place = n.bit_length()
     if sum(widths) > 63:
-        return np.lexsort(keys[::-1])
+        order = np.lexsort(keys[::-1])
+        return [k[order] for k in keys], order
     one = keys[0].astype(np.int64)
     for k, w in zip(keys[1:], widths[1:], strict=True):
         one = (one << w) | k
-    return np.argsort(one)
+    if sum(widths) + place > 63:
+        order = np.argsort(one)
+        one = one[order]
+    else:
+        one = np.sort((one << place) | np.arange(n))
+        order = one & ((1 << place) - 1)
+        one >>= place
+    out = []
+    for w in widths[:0:-1]:
+        out.append(one & ((1 << w) - 1))
+        one = one >> w
+    return [one, *out[::-1]], order
+
+
+def _order(*keys: np.ndarray) -> np.ndarray:
+    return _ordered(*keys)[1]
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the different keys, ascending; each key's number among them)."""
+    if not len(keys):
+        return keys, keys
+    (ordered,), order = _ordered(keys)
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], number
 
 
 def _slices(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -256,7 +287,7 @@ class Chunk:
         above = self.gram[level - 1]
         at = np.flatnonzero(self.offset >= level - 1)
         bits = len(self.node[1]).bit_length()
-        different, inverse = np.unique(above[at - 1] << bits | self.gram[1][at], return_inverse=True)
+        different, inverse = _numbered(above[at - 1] << bits | self.gram[1][at])
         self.gram[level] = np.full(len(above), -1)
         self.gram[level][at] = inverse
         count = np.bincount(inverse[self.trained[at]], minlength=len(different))
@@ -270,7 +301,8 @@ class Chunk:
         node, successor = node_of[context], self.relative[level - 1][suffix]
         grams = np.flatnonzero((node >= 0) & (successor >= 0))
         node, successor = node[grams], successor[grams]
-        if len(contexts) and self.copies[contexts].max() > 1:
+        spreads = len(contexts) and self.copies[contexts].max() > 1
+        if spreads:
             times = self.copies[contexts]
             salt = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             contexts = np.repeat(contexts, times)
@@ -278,14 +310,22 @@ class Chunk:
             c_part, g_part = self._part(nodes, salt), self._part(node, successor % self.copies[context[grams]])
         else:
             nodes = node_of[contexts]
-            c_part, g_part = self._part(nodes), self._part(node)
+            c_part = self._part(nodes)
         order = _order(c_part, nodes)
         again = (c_part[order][1:] == c_part[order][:-1]) & (nodes[order][1:] == nodes[order][:-1])
         if again.any():  # copies of a context can meet in a part
             order = order[np.concatenate([[True], ~again])]
-        by = _order(g_part, node, successor)
-        contexts = contexts[order]
-        return c_part[order], contexts, nodes[order], self.count[level - 1][contexts], g_part[by], grams[by], node[by], successor[by], count[grams[by]]
+        contexts, nodes, c_part = contexts[order], nodes[order], c_part[order]
+        if spreads:
+            by = _order(g_part, node, successor)
+            g_part, node, successor = g_part[by], node[by], successor[by]
+        else:  # each context is in one part: n-grams go by its place among the contexts
+            place = np.zeros(len(node_of), np.int64)
+            place[contexts] = np.arange(len(contexts))
+            (place, successor), by = _ordered(place[context[grams]], successor)
+            g_part, node = c_part[place], nodes[place]
+        grams = grams[by]
+        return c_part, contexts, nodes, self.count[level - 1][contexts], g_part, grams, node, successor, count[grams]
 
     def _part(self, node: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
         return (W.mix(node.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.asarray(salt, np.uint64), 11) % np.uint64(self.parts)).astype(np.int64)
@@ -370,8 +410,7 @@ def _ask(gathered: DataFrame, level: int, parts: int, spread: int, discount: flo
 def _merge(pending: list[tuple]) -> list[tuple]:
     """Entries (node, successor, count, total), sorted, with the counts of equal ones added up."""
     node, successor, count, total = (np.concatenate(c) for c in zip(*pending, strict=True))
-    order = _order(node, successor)
-    node, successor = node[order], successor[order]
+    (node, successor), order = _ordered(node, successor)
     new = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (successor[1:] != successor[:-1])])[: len(node)])
     return [(node[new], successor[new], np.add.reduceat(count[order], new) if len(new) else count, total[order][new])]
 
