@@ -92,6 +92,34 @@ def sorted_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy(path[0], F.coalesce("line", F.lit(0)), key("symbol"), *path[1:], "symbol")
 
 
+def overview(
+    files: DataFrame, languages: list[str], hotspots: DataFrame, summary: DataFrame, totals: DataFrame, findings: DataFrame, loaded: int | None, failures: int = 0
+) -> DataFrame:
+    """(position, key, value, hint, tone, title): the six cards that lead an overview.
+
+    hotspots: (path, score); the top one is that of the highest score, then of the least path, and without scores above zero there is none.  summary and totals: one row each,
+    of graph.summary() and commits.totals().  loaded: plug-ins that were loaded, None while that isn't known."""
+    top = hotspots.where("score > 0").select("score", F.col("path").cast("string").alias("path")).orderBy(F.desc("score"), "path").limit(1)
+    top = top.agg(F.first("path").alias("path"), F.first("score").alias("score"))
+    one = files.agg(F.count("*").alias("files")).crossJoin(top).crossJoin(summary.select("cycles", "cycle_nodes")).crossJoin(totals.select("total", "valid", "breaking"))
+    one = one.crossJoin(dead_code_count(findings).select("findings", F.col("files").alias("dead_files")))  # one row each
+    said = "no language analysed" if not languages else languages[0] if len(languages) == 1 else f"{len(languages)} languages"
+    plugins = "loading…" if loaded is None else f"{failures} skipped" if failures else "all loaded"
+    n, text, plain, none = js.compact_number, lambda c: F.col(c).cast("string"), F.lit("plain"), F.lit(None).cast("string")
+    tone = lambda c, name: F.when(F.col(c) > 0, name).otherwise("plain")
+    name = F.regexp_extract("path", r"([^/]*)\z", 1)
+    cards = [
+        ("files", n(F.col("files")), F.lit(said), plain, none),
+        ("hotspot", F.coalesce(name, F.lit(js.NONE)), F.when(F.col("path").isNull(), "no scores").otherwise(F.concat(F.lit("score "), n(F.col("score")))), plain, F.col("path")),
+        ("cycles", n(F.col("cycles")), F.when(F.col("cycles") > 0, F.concat(text("cycle_nodes"), F.lit(" files"))).otherwise("none"), tone("cycles", "danger"), none),
+        ("commits", n(F.col("total")), F.when(F.col("breaking") > 0, F.concat(text("breaking"), F.lit(" breaking"))).otherwise(F.concat(text("valid"), F.lit(" conventional"))), tone("breaking", "warn"), none),
+        ("dead-code", n(F.col("findings")), F.when(F.col("findings") > 0, F.concat(text("dead_files"), F.lit(" files"))).otherwise("none"), tone("findings", "warn"), none),
+        ("plugins", F.lit(js.NONE) if loaded is None else n(F.lit(loaded)), F.lit(plugins), F.lit("warn" if failures else "plain"), none),
+    ]
+    rows = F.array(*[F.struct(F.lit(k).alias("position"), F.lit(c[0]).alias("key"), *(v.alias(a) for v, a in zip(c[1:], ("value", "hint", "tone", "title"), strict=True))) for k, c in enumerate(cards, 1)])
+    return one.select(F.explode(rows).alias("c")).select("c.*")
+
+
 def recent_runs(runs: DataFrame, rows: int = 8) -> DataFrame:
     """The latest runs, one for each finishing time."""
     return runs.groupBy("finished_at").agg(F.min("id").alias("id")).orderBy(F.desc("finished_at")).limit(rows)

@@ -844,10 +844,21 @@ def prj_dir_label(spark, sf):
     return T.files(spark, sf).select("path", js.dir_label(F.col("path")).alias("folder"))
 
 
-@query(f"WITH RECURSIVE {_CYCLES} SELECT (SELECT count(*) FROM orders) AS commits, (SELECT count(*) FROM documents) AS files, (SELECT count(DISTINCT component) FROM sc) AS cycles, (SELECT count(*) FROM e) AS edges")
+_CARDS = f"""dc AS (SELECT count(*) AS findings, count(DISTINCT path) AS files FROM dead), top AS (SELECT path, score FROM h WHERE score > 0 ORDER BY score DESC, CAST(path AS VARCHAR) LIMIT 1),
+cy AS (SELECT count(DISTINCT component) AS cycles, count(DISTINCT node) AS nodes FROM sc), ct AS (SELECT count(*) AS total, count(*) FILTER (valid) AS valid, count(*) FILTER (breaking) AS breaking FROM pc), fi AS (SELECT count(*) AS n FROM documents)"""
+
+
+@query(f"""WITH RECURSIVE {_DEAD.replace(_EDGES, _CYCLES) if _EDGES in _DEAD else f"{_CYCLES}, {_DEAD}"}, {_HOT}, {_PARSED}, {_CARDS}
+SELECT 1 AS position, 'files' AS key, {_compact_sql('n')} AS value, '2 languages' AS hint, 'plain' AS tone, NULL AS title FROM fi
+UNION ALL SELECT 2, 'hotspot', CAST(path AS VARCHAR), 'score ' || {_compact_sql('score')}, 'plain', CAST(path AS VARCHAR) FROM top
+UNION ALL SELECT 3, 'cycles', {_compact_sql('cycles')}, CASE WHEN cycles > 0 THEN nodes || ' files' ELSE 'none' END, CASE WHEN cycles > 0 THEN 'danger' ELSE 'plain' END, NULL FROM cy
+UNION ALL SELECT 4, 'commits', {_compact_sql('total')}, CASE WHEN breaking > 0 THEN breaking || ' breaking' ELSE valid || ' conventional' END, CASE WHEN breaking > 0 THEN 'warn' ELSE 'plain' END, NULL FROM ct
+UNION ALL SELECT 5, 'dead-code', {_compact_sql('findings')}, CASE WHEN findings > 0 THEN files || ' files' ELSE 'none' END, CASE WHEN findings > 0 THEN 'warn' ELSE 'plain' END, NULL FROM dc
+UNION ALL SELECT 6, 'plugins', '4', '1 skipped', 'warn', NULL""")
 def agg_overview_cards(spark, sf):
-    one = T.commits(spark, sf).agg(F.count("*").alias("commits")).crossJoin(T.files(spark, sf).agg(F.count("*").alias("files")))
-    return one.crossJoin(_cycles(spark, sf).agg(F.count_distinct("component").alias("cycles"))).crossJoin(_edges(spark, sf).agg(F.count("*").alias("edges")))
+    """All six cards, from the whole tables."""
+    graph = G.summary(_nodes(spark, sf), _edges(spark, sf), _cycles(spark, sf))
+    return V.overview(T.files(spark, sf), ["ts", "py"], _hotspots(spark, sf), graph, C.totals(_parsed(spark, sf)), _dead(spark, sf), 4, 1)
 
 
 # -- sources, trees and gates

@@ -210,17 +210,17 @@ def repository(tmp_path_factory):
 
 def test_analysis_of_a_repository_with_a_store(spark, repository, tmp_path):
     options = engine.Options(repository, store=f"file://{tmp_path}/store")
-    report = engine.analyze(spark, options, folder=str(tmp_path))
+    report = engine.analyze(spark, options)
     assert dead({"dead_code": report["typescript.dead_code"]}) == [("package.json", "used", 5, "unused-dependency"), ("package.json", "unused", 6, "unused-dependency"), ("src/a.ts", "b", 2, "unreferenced-export"), ("src/c.ts", None, None, "unreachable-file")]
     assert [(r["nodes"], r["path"]) for r in report["cycles"].collect()] == [(["src/a.ts", "src/index.ts"], ["src/a.ts", "src/index.ts", "src/a.ts"])]
     assert tuple(report["summary"].first())[:4] == (3, 2, 1, 2)
-    stored = spark.read.parquet(options.store).count()
+    stored = spark.read.parquet(f"{options.store}/scans").count()
     with open(f"{repository}/src/c.ts", "w") as f:
         f.write("export const c = 2\n")
     subprocess.run(["git", "-C", repository, "-c", "user.name=Ann", "-c", "user.email=a@b", "commit", "-am", "fix: c"], check=True, capture_output=True)
-    again = engine.analyze(spark, options, folder=str(tmp_path))
+    again = engine.analyze(spark, options)
     assert again["typescript.code_metrics"].count() == 3
-    assert (stored, spark.read.parquet(options.store).count()) == (3, 4)  # one changed file, one new scan
+    assert (stored, spark.read.parquet(f"{options.store}/scans").count()) == (3, 4)  # one changed file, one new scan
     from loam.sources import git
 
     assert git.show(repository, "HEAD", "src/c.ts") == "export const c = 2\n" and git.show(repository, "HEAD", "no") is None
