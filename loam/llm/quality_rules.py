@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-#: Texts in the sample that costs and selectivities are measured on, at most, and bytes of each.
-SAMPLE_ROWS, SAMPLE_BYTES = 400, 1 << 16
+#: Texts in the sample that costs and selectivities are measured on, about, and bytes of them all together: texts are added up to there.
+SAMPLE_ROWS, SAMPLE_BYTES = 400, 1 << 25
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _CAPITAL = (np.arange(256) >= 0x41) & (np.arange(256) <= 0x5A)
@@ -178,6 +178,18 @@ def cascade(stats: Stats, rules: list[Rule]) -> np.ndarray:
     return kept
 
 
+def _sampled(texts: DataFrame, rows: int) -> pa.Array:
+    """About so many texts from all over the table, whole ones and long ones among them; fewer if they are large."""
+    some = texts.sample(min(1.0, rows / max(texts.count(), 1)), seed=1)
+    kept, size = [], 0
+    for r in some.limit(2 * rows).toLocalIterator():
+        size += len(r[0] or "")
+        if kept and size > SAMPLE_BYTES:
+            break
+        kept.append(r[0])
+    return pa.array(kept, pa.string())
+
+
 def apply_rules(docs: DataFrame, text: str = "text", counts: bool = True, rules: tuple[Rule, ...] = METHOD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
@@ -186,8 +198,7 @@ def apply_rules(docs: DataFrame, text: str = "text", counts: bool = True, rules:
     to the later ones; with counts=False only base_failed and kept are made, and no statistic is
     computed for it that no rule before asked for.
     """
-    short = docs.select(text).where(F.octet_length(text) <= SAMPLE_BYTES)
-    sample = pa.array([r[0] for r in short.limit(sample_rows).collect()], pa.string())
+    sample = _sampled(docs.select(text), sample_rows)
     known = COUNTS if counts else ()
     base = [BASE[k] for k in measured_order(sample, BASE, known)]
     passed = sample.take(pa.array(np.flatnonzero(cascade(Stats(sample), base)))) if len(sample) else sample

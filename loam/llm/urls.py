@@ -138,9 +138,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", htm
     judged = with_rule(base.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}), rules)
     links = [page_edges(pages, url, html)] if html else []
     links += [edges.select("source", "target")] if edges is not None else []
+    ends = None
     if links:
         all_links = links[0] if len(links) == 1 else links[0].unionByName(links[1])
         ends = written(all_links.select(node_of(F.col("source")).alias("a"), node_of(F.col("target")).alias("b")).where("a <> b").distinct(), "url-edges")
+    if ends is not None and not ends.isEmpty():  # else each url stands for itself
         groups = components(ends, "url")
         # rules speak for the ends of edges too, whether they are pages or not
         member = with_rule(groups.withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))}), rules)
