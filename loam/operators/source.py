@@ -27,7 +27,7 @@ _OPERAND = (
     rf"(?<=(?:\A|[(\[{{,;:?&|^~*%]|=>|(?<![=!<>])[=!]|(?<![\w$)\]])!|[=!]==?|(?<!\+)\+|(?<!-)-|\}}{_BLANKS}\n"
     rf"|(?<![\w$.])(?:return|typeof|case|in|of|do|else|void|delete|throw|new|instanceof|yield|await)){_BLANKS})"
 )
-_REGEX = rf"{_OPERAND}/(?![*/])[^/\\\[\n]*+(?:(?:\\[^\n]|\[[^\]\\\n]*+(?:\\[^\n][^\]\\\n]*+)*+\])[^/\\\[\n]*+)*+/[a-z]*"
+_REGEX = rf"(?=/[^*/]){_OPERAND}/[^/\\\[\n]*+(?:(?:\\[^\n]|\[[^\]\\\n]*+(?:\\[^\n][^\]\\\n]*+)*+\])[^/\\\[\n]*+)*+/[a-z]*"
 
 
 def _template(depth: int) -> str:

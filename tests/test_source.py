@@ -44,7 +44,7 @@ const s = `import ${no} from`
 def test_exports(spark):
     code = "export const a = 1\nexport default function f() {}\nexport { x, y as z }\nexport * as ns from './n'\nexport * from './s'\nexport type T = 1\n  export const inner = 2\n/*\nexport const no = 1 */\nexport async function g() {}"
     got = [(r["name"], r["line"]) for r in one(spark, code, lambda c: Z.exports(Z.blank_comments(c)))]
-    assert got == [("a", 1), ("default", 2), ("x", 3), ("z", 3), ("ns", 4), ("T", 6), ("g", 10)]
+    assert got == [("a", 1), ("default", 2), ("x", 3), ("z", 3), ("ns", 4), ("T", 6), ("inner", 7), ("g", 10)]
     assert one(spark, code, Z.stars) == ["./s"]
 
 
