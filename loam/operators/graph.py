@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import js
@@ -37,14 +37,18 @@ def summary(nodes: DataFrame, edges: DataFrame, cycles: DataFrame) -> DataFrame:
 
     Edges are counted as rows.  Ids that occur in edges only can be the busiest; of equal ones the
     least wins, and none if there is no edge."""
-    def busiest(end: str, name: str) -> DataFrame:
-        n = edges.groupBy(F.col(end).alias("id")).agg(F.count("*").alias("n"))
-        top = n.agg(F.min_by("id", F.struct(-F.col("n"), "id")).alias(name), F.max("n").alias(f"{name}_count"))
-        return top
+    ends = edges.select(F.col("to").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(edges.select(F.col("from").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))
+    counts = ends.groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+
+    def busiest(n: str, name: str) -> list[Column]:
+        some = F.col(n) > 0
+        return [F.min_by("id", F.when(some, F.struct(-F.col(n), F.col("id")))).alias(name), F.max(F.when(some, F.col(n))).alias(f"{name}_count")]
 
-    one = nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))
-    one = one.crossJoin(cycles.agg(F.count_distinct("component").alias("cycles"), F.count_distinct("node").alias("cycle_nodes")))
-    return one.crossJoin(busiest("to", "max_fan_in")).crossJoin(busiest("from", "max_fan_out"))  # one row each
+    one = nodes.agg(F.count("*").alias("nodes"))
+    of_cycles = cycles.agg(F.count_distinct("component").alias("cycles"), F.count_distinct("node").alias("cycle_nodes"))
+    of_edges = counts.agg(F.coalesce(F.sum("i"), F.lit(0)).alias("edges"), *busiest("i", "max_fan_in"), *busiest("o", "max_fan_out"))
+    columns = ["nodes", "edges", "cycles", "cycle_nodes", "max_fan_in", "max_fan_in_count", "max_fan_out", "max_fan_out_count"]
+    return one.crossJoin(of_cycles).crossJoin(of_edges).select(columns)  # one row each
 
 
 # -- components
@@ -52,8 +56,8 @@ def summary(nodes: DataFrame, edges: DataFrame, cycles: DataFrame) -> DataFrame:
 
 def scc(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
     """(component, node) of strongly connected components of two nodes or more; component: the least node."""
-    plain = edges.select("from", "to").where(F.col("from") != F.col("to")).distinct()
-    return _scc_small(plain) if plain.limit(small_edges + 1).count() <= small_edges else _scc_rounds(plain)
+    plain = written(edges.select("from", "to").where(F.col("from") != F.col("to")).distinct(), "scc-edges")
+    return _scc_small(plain) if plain.count() <= small_edges else _scc_rounds(plain, small_edges)
 
 
 def _tarjan(after: dict) -> list[list]:
@@ -107,57 +111,122 @@ def _scc_small(edges: DataFrame) -> DataFrame:
     return _one_task(edges, walk, f"component {kind}, node {kind}")
 
 
-def _until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], measure: Callable[[DataFrame], tuple], name: str) -> DataFrame:
-    """state after as many steps as change its measure."""
-    state = written(state, name)
-    before = measure(state)
-    while True:
-        state = written(step(state), name)
-        now = measure(state)
-        if now == before:
-            return state
-        before = now
-
-
-def _scc_rounds(edges: DataFrame) -> DataFrame:
-    """Trimming of nodes without way in or out; then the least ancestor as a colour, and in each colour
-    what reaches its root backwards; then the same with the rest."""
-    found = None
-    count = lambda df: (df.count(),)
-
-    def trim(e: DataFrame) -> DataFrame:
-        return e.join(e.select(F.col("to").alias("from")).distinct(), "from", "left_semi").join(e.select(F.col("from").alias("to")).distinct(), "to", "left_semi").select("from", "to")
-
-    left = _until_stable(edges, trim, count, "scc-edges")
-    while not left.isEmpty():
-        own = left
-        nodes = own.select(F.col("from").alias("node")).union(own.select("to")).distinct()
-
-        def colour(c: DataFrame, own: DataFrame = own) -> DataFrame:
-            reached = own.join(c.select(F.col("node").alias("from"), "colour"), "from").select(F.col("to").alias("node"), "colour")
-            return c.union(reached).groupBy("node").agg(F.min("colour").alias("colour"))
-
-        total = lambda c: tuple(c.agg(F.sum(F.xxhash64("node", "colour").cast("decimal(38,0)"))).first())
-        colours = _until_stable(nodes.select("node", F.col("node").alias("colour")), colour, total, "scc-colours")
-        inside = written(
-            own.join(colours.select(F.col("node").alias("from"), F.col("colour").alias("ca")), "from").join(colours.select(F.col("node").alias("to"), F.col("colour").alias("cb")), "to").where("ca = cb").select("from", "to", F.col("ca").alias("component")),
-            "scc-inside",
-        )
-
-        def back(r: DataFrame, inside: DataFrame = inside) -> DataFrame:
-            more = inside.join(r.select("component", F.col("node").alias("to")), ["component", "to"]).select("component", F.col("from").alias("node"))
-            return r.union(more).distinct()
-
-        roots = colours.where("node = colour").select(F.col("colour").alias("component"), "node")
-        group = _until_stable(roots, back, count, "scc-group")
+def _by(edges: DataFrame, *keys: str) -> DataFrame:
+    """Edges that stay dealt and sorted by keys, so that the rounds of a loop move their small side only."""
+    return edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys).persist()
+
+
+def _coin(node: str, salt: int) -> Column:
+    return F.xxhash64(F.col(node), F.lit(salt)) % 2 == 0
+
+
+def _contract(edges: DataFrame, salt: int, backward: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Edges without a part of the nodes that have one way in or (backward) one way out, and (node, anchor, other) of those nodes.
+
+    A node with the one way in (anchor, node) goes, and its edges (node, other) become (anchor, other); a node with the
+    one way out (node, anchor) goes, and (other, node) becomes (other, anchor).  Only nodes whose coin falls on one side go, to
+    anchors whose coin fell on the other, so that no anchor goes; of a long chain a quarter (backward: three eighths) goes in a
+    round.  `other` is null in a row of its own for each node with one way in.  Backward, nodes without way in or out go too."""
+    only = lambda key, end: edges.groupBy(F.col(key).alias("node")).agg(F.count("*").alias("n"), F.min(end).alias("at"))
+    way_in = only("to", "from").withColumnRenamed("n", "n_in").withColumnRenamed("at", "before")
+    way_out = only("from", "to").withColumnRenamed("n", "n_out").withColumnRenamed("at", "after")
+    goes, one_in, one_out = _coin("node", salt), (F.col("n_in") == 1) & ~_coin("before", salt), (F.col("n_out") == 1) & ~_coin("after", salt)
+    kind = F.when(goes & one_in, "in")
+    if backward:
+        kind = F.when(F.col("n_in").isNull() | F.col("n_out").isNull(), "end").when(goes & one_in, "in").when(goes & one_out, "out")
+    gone = way_in.join(way_out, "node", "full").select("node", kind.alias("kind"), F.when(F.col("kind") == "in", F.col("before")).when(F.col("kind") == "out", F.col("after")).alias("anchor")).where("kind is not null")
+    gone = written(gone, "contracted")
+    a = gone.select(F.col("node").alias("from"), F.col("kind").alias("_ka"), F.col("anchor").alias("_fa"))
+    b = gone.select(F.col("node").alias("to"), F.col("kind").alias("_kb"), F.col("anchor").alias("_fb"))
+    # what leads into a node with one way in, or out of one with one way out, is the edge that is left out
+    stay = edges.join(a, "from", "left").join(b, "to", "left").where("coalesce(_ka, '') not in ('end', 'out') and coalesce(_kb, '') not in ('end', 'in')")
+    moved = written(stay.select("from", "to", "_ka", "_kb", F.coalesce("_fa", "from").alias("a"), F.coalesce("_fb", "to").alias("b")), "moved")
+    records = moved.where("_ka = 'in'").select(F.col("from").alias("node"), F.col("a").alias("anchor"), F.col("b").alias("other")).union(moved.where("_kb = 'out'").select("to", "b", "a"))
+    records = records.union(gone.where("kind = 'in'").select("node", "anchor", F.lit(None).cast(moved.schema["a"].dataType)))
+    return written(moved.where("a <> b").select(F.col("a").alias("from"), F.col("b").alias("to")).distinct(), "scc-edges"), records
+
+
+#: Rounds that a loop takes before what is left is contracted, and the edges that a contraction must take off to be followed by another one at once.
+PATIENCE, REACH_PATIENCE, WORTH = 64, 24, 0.15
+
+
+def _scc_rounds(edges: DataFrame, small_edges: int = 0) -> DataFrame:
+    """Contraction of chains (see _contract()) as long as that takes off much; then, unless what is left is small, components by
+    colours; and the same with the rest.  Then contracted nodes join their anchors' components, last round first."""
+    found, records, left, size, patience, forced = None, [], edges, edges.count(), PATIENCE, 0
+    while size > small_edges:
+        before = size
+        left, record = _contract(left, len(records))
+        records.append(record)
+        size, forced = left.count(), forced - 1
+        if size <= small_edges or forced > 0 or size < (1 - WORTH) * before:
+            continue
+        group, rest = _by_colours(left, patience)
+        if group is None:  # some way is longer: it is made shorter
+            patience, forced = patience * 2, 8
+            continue
+        found = group if found is None else found.union(group)
+        left, size = rest, rest.count()
+    if size:
+        group = _scc_small(left)
         found = group if found is None else found.union(group)
-        done = group.select("node")
-        rest = own.join(done.select(F.col("node").alias("from")), "from", "left_anti").join(done.select(F.col("node").alias("to")), "to", "left_anti").select("from", "to")
-        left = _until_stable(rest, trim, count, "scc-edges")
     if found is None:
-        return edges.select(F.col("from").alias("component"), F.col("to").alias("node")).limit(0)
-    several = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    return found.join(several, "component", "left_semi").select("component", "node")
+        found = edges.select(F.col("from").alias("component"), F.col("to").alias("node")).limit(0)
+    found = written(found, "scc")
+    for record in reversed(records):
+        found = _expanded(found, record)
+    least = found.groupBy("component").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
+    return found.join(least, "component").select(F.col("least").alias("component"), "node")
+
+
+def _expanded(found: DataFrame, record: DataFrame) -> DataFrame:
+    """found with the contracted nodes of one round: a node is in its anchor's component if another one it leads to, or that leads to it, is.
+
+    A node that is in no component yet is one by itself."""
+    at = lambda name, c: found.select(F.col("node").alias(name), F.col("component").alias(c))
+    own = record.where("other is not null").join(at("anchor", "_c"), "anchor", "left").join(at("other", "_d"), "other", "left")
+    more = own.select("node", "anchor", F.coalesce("_c", "anchor").alias("component"), F.coalesce("_d", "other").alias("_o"), F.col("_c").isNull().alias("new")).where("component = _o")
+    more = written(more.select("node", "anchor", "component", "new"), "expanded")
+    return written(found.union(more.select("component", "node").union(more.where("new").select("component", "anchor")).distinct()), "scc")
+
+
+def _by_colours(edges: DataFrame, patience: int) -> tuple[DataFrame | None, DataFrame]:
+    """(component, node) of the components of those nodes whose colour, the least node that leads to them, is their own, and the edges of the rest.
+
+    A round carries on new colours only.  No components if a loop takes over patience rounds."""
+    out = _by(edges, "from")
+    nodes = edges.select(F.col("from").alias("node")).union(edges.select("to")).distinct()
+    colours, rounds = written(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("new")), "scc-colours"), 0
+    while not colours.where("new").isEmpty():
+        rounds += 1
+        if rounds > patience:
+            out.unpersist()
+            return None, edges
+        told = out.join(colours.where("new").select(F.col("node").alias("from"), "colour"), "from").groupBy(F.col("to").alias("node")).agg(F.min("colour").alias("_told"))
+        better = F.coalesce(F.col("_told") < F.col("colour"), F.lit(False))
+        colours = written(colours.join(told, "node", "left").select("node", F.when(better, F.col("_told")).otherwise(F.col("colour")).alias("colour"), better.alias("new")), "scc-colours")
+    out.unpersist()
+    a, b = colours.select(F.col("node").alias("from"), F.col("colour").alias("component")), colours.select(F.col("node").alias("to"), F.col("colour").alias("_c"))
+    inside = edges.join(a, "from").join(b, "to").where("component = _c").select("component", "from", "to")
+    inside = written(inside, "scc-inside")
+    back = _by(inside, "to")
+    frontier, rounds = written(colours.where("node = colour").select(F.col("colour").alias("component"), "node"), "scc-group"), 0
+    group = frontier
+    while not frontier.isEmpty():
+        rounds += 1
+        if rounds > patience:
+            back.unpersist()
+            return None, edges
+        step = back.join(frontier.select(F.col("node").alias("to")), "to").select("component", F.col("from").alias("node")).distinct()
+        frontier = written(step.join(group, "node", "left_anti").select("component", "node"), "scc-group")
+        group = group.union(frontier)
+        group = written(group, "scc-group") if rounds % 16 == 0 else group
+    back.unpersist()
+    group = written(group, "scc-group")
+    done = group.select("node")
+    # what crosses colours is in no component
+    rest = inside.join(done.select(F.col("node").alias("from")), "from", "left_anti").join(done.select(F.col("node").alias("to")), "to", "left_anti").select("from", "to")
+    return group, written(rest, "scc-edges")
 
 
 def cycle_sizes(cycles: DataFrame) -> DataFrame:
@@ -242,17 +311,53 @@ def _reach_small(edges: DataFrame, entries: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, entries: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
     """(node): what can be reached from the entries, themselves included.
 
-    Beyond small_edges, in rounds that carry only new nodes on."""
-    edges, entries = edges.select("from", "to").distinct(), entries.select("node").distinct()
-    if _is_small(edges, entries, limit=small_edges):
-        return _reach_small(edges, entries)
-    frontier = written(entries, "reach")
-    seen = frontier
-    while not frontier.isEmpty():
-        step = edges.join(frontier.select(F.col("node").alias("from")), "from").select(F.col("to").alias("node")).distinct()
+    Beyond small_edges, in rounds that carry only new nodes on; where these are many, chains are contracted first."""
+    edges, found = written(edges.select("from", "to").where(~F.col("from").eqNullSafe(F.col("to"))).distinct(), "reach-edges"), written(entries.select("node").distinct(), "reach")
+    if edges.count() <= small_edges and found.count() <= small_edges:
+        return _reach_small(edges, found)
+    records, patience, most = [], REACH_PATIENCE, 1
+    while True:
+        found, whole = _reach_rounds(edges, found, patience)
+        if whole:
+            break
+        size = edges.count()
+        for _ in range(most):
+            before = size
+            found = written(found.union(edges.join(found.withColumnRenamed("node", "from"), "from", "left_semi").select("to")).distinct(), "reach")
+            edges = edges.join(found.withColumnRenamed("node", "to"), "to", "left_anti").select("from", "to")
+            entered = edges.select(F.col("to").alias("from")).union(found).distinct()
+            edges, record = _contract(written(edges.join(entered, "from", "left_semi"), "reach-edges"), len(records), backward=False)
+            records.append(record)
+            size = edges.count()
+            if size <= small_edges:
+                break
+        if size <= small_edges:
+            on = found.join(edges.select(F.col("from").alias("node")), "node", "left_semi")  # no more than there are edges
+            found = written(found.union(_reach_small(edges, on)).distinct(), "reach")
+            break
+        if size > (1 - WORTH) * before:
+            patience *= 2
+        most = 8
+    for record in reversed(records):
+        more = record.where("other is null").join(found.withColumnRenamed("node", "anchor"), "anchor", "left_semi").select("node")
+        found = written(found.union(more).distinct(), "reach")
+    return found
+
+
+def _reach_rounds(edges: DataFrame, entries: DataFrame, patience: int) -> tuple[DataFrame, bool]:
+    """What up to patience rounds reach, and whether that is all."""
+    out, seen, frontier = _by(edges, "from"), entries, entries
+    for k in range(1, patience + 1):
+        step = out.join(frontier.withColumnRenamed("node", "from"), "from").select(F.col("to").alias("node")).distinct()
         frontier = written(step.join(seen, "node", "left_anti"), "reach")
+        if frontier.isEmpty():
+            out.unpersist()
+            return seen, True
         seen = seen.union(frontier)
-    return seen
+        if k % 16 == 0:
+            seen = written(seen, "reach")
+    out.unpersist()
+    return written(seen, "reach"), False
 
 
 def unreachable(files: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
@@ -268,16 +373,22 @@ def used_names(exports: DataFrame, uses: DataFrame, stars: DataFrame, consumed:
     uses: (to, name) demands.  consumed: (path) files all of whose names are taken, and with them all
     names of the files that they pass on.  stars: (path, to), a file that passes on another's names.  A
     demand for a name that a file doesn't declare goes on to what it passes on."""
-    star_edges = stars.select(F.col("path").alias("from"), "to").distinct()
+    star_edges = written(stars.select(F.col("path").alias("from"), "to").distinct(), "stars")
     whole = reachable(star_edges, consumed.select(F.col("path").alias("node")).distinct())
     declared = written(exports.select("path", "name").distinct(), "declared")
     all_of = declared.join(whole.withColumnRenamed("node", "path"), "path", "left_semi")
-    frontier = written(uses.select(F.col("to").alias("path"), "name").distinct(), "demand")
+    # a round moves what is new; the stars and, of what files with stars declare, the names stay dealt
+    passing = _by(star_edges, "from")
+    own = _by(declared.join(star_edges.select(F.col("from").alias("path")).distinct(), "path", "left_semi"), "path", "name")
+    frontier, rounds = written(uses.select(F.col("to").alias("path"), "name").distinct(), "demand"), 0
     seen = frontier
     while not frontier.isEmpty():
-        passed = frontier.join(declared, ["path", "name"], "left_anti").join(star_edges.withColumnRenamed("from", "path"), "path").select(F.col("to").alias("path"), "name").distinct()
+        rounds += 1
+        passed = frontier.join(own, ["path", "name"], "left_anti").withColumnRenamed("path", "from").join(passing, "from").select(F.col("to").alias("path"), "name").distinct()
         frontier = written(passed.join(seen, ["path", "name"], "left_anti"), "demand")
         seen = seen.union(frontier)
+        seen = written(seen, "demand") if rounds % 16 == 0 else seen
+    passing.unpersist(), own.unpersist()
     return declared.join(seen, ["path", "name"], "left_semi").union(all_of).distinct()
 
 
@@ -354,13 +465,16 @@ def levels(edges: DataFrame, cycles: DataFrame) -> DataFrame:
     a = cycles.select("component", F.col("node").alias("from"))
     b = cycles.select(F.col("component").alias("_c"), F.col("node").alias("to"))
     inside = written(edges.select("from", "to").join(a, "from").join(b, "to").where("component = _c").select("component", "from", "to").distinct(), "inside")
+    out = _by(inside, "from")
     frontier, level = written(cycles.groupBy("component").agg(F.min("node").alias("node")), "levels"), 0
     seen = frontier.withColumn("level", F.lit(0))
     while not frontier.isEmpty():
         level += 1
-        step = inside.join(frontier.withColumnRenamed("node", "from"), ["component", "from"]).select("component", F.col("to").alias("node")).distinct()
-        frontier = written(step.join(seen, ["component", "node"], "left_anti"), "levels")
+        step = out.join(frontier.select(F.col("node").alias("from")), "from").select("component", F.col("to").alias("node")).distinct()
+        frontier = written(step.join(seen, "node", "left_anti").select("component", "node"), "levels")
         seen = seen.union(frontier.withColumn("level", F.lit(level)))
+        seen = written(seen, "levels") if level % 16 == 0 else seen
+    out.unpersist()
     return seen
 
 

@@ -65,12 +65,8 @@ def findings(scans: DataFrame, sites: DataFrame, edges: DataFrame, manifests: Da
     return whole.unionByName(unused.withColumn("line", F.col("line").cast("int"))).unionByName(idle)
 
 
-def analyze(scans: DataFrame, manifests: DataFrame, configs: DataFrame) -> dict[str, DataFrame]:
-    """nodes, edges, cycles, summary, dead_code and code_metrics of scanned files.
-
-    scans: see scan_files(), with a `path`.  manifests and configs: (path, text) of the tracked package.json files and
-    of configurations that can hold aliases."""
-    scans = written(scans, "scans")
+def import_graph(scans: DataFrame, manifests: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(path, spec, names, namespace, star, to) of all import sites, the edges between files, and the manifests as plain JSON; see analyze()."""
     manifests = written(manifests.select("path", Z.strict_json(F.col("text")).alias("text")).where(F.get_json_object("text", "$").startswith("{")), "manifests")
     imported = scans.select("path", F.explode("imports").alias("i")).select("path", "i.spec", "i.names", "i.namespace", F.lit(False).alias("star"))
     starred = scans.select("path", F.explode("stars").alias("spec")).select("path", "spec", F.array().cast("array<string>").alias("names"), F.lit(False).alias("namespace"), F.lit(True).alias("star"))
@@ -81,11 +77,24 @@ def analyze(scans: DataFrame, manifests: DataFrame, configs: DataFrame) -> dict[
     resolved = M.resolve(sites.select("path", "spec"), scans.select("path"), aliases, packages, scopes)
     sites = written(sites.join(resolved, ["path", "spec"], "left"), "resolved")
     edges = written(G.import_edges(sites.where("to is not null").select(F.col("path").alias("from"), "to")).withColumn("weight", F.lit(None).cast("long")), "edges")
+    return sites, edges, manifests
+
+
+def code_metrics(scans: DataFrame) -> DataFrame:
+    """(path, loc, complexity, duplication) of scanned files."""
+    return scans.select("path", "loc", "complexity").join(X.duplication(scans).select("path", "duplication"), "path")
+
+
+def analyze(scans: DataFrame, manifests: DataFrame, configs: DataFrame) -> dict[str, DataFrame]:
+    """nodes, edges, cycles, summary, dead_code and code_metrics of scanned files.
+
+    scans: see scan_files(), with a `path`.  manifests and configs: (path, text) of the tracked package.json files and
+    of configurations that can hold aliases."""
+    scans = written(scans, "scans")
+    sites, edges, manifests = import_graph(scans, manifests, configs)
     nodes = scans.select(F.col("path").alias("id"), F.col("path").alias("label"), F.lit("file").alias("kind"), "loc")
     cycles = written(G.scc(edges), "cycles")
-    copies = X.duplication(scans).select("path", "duplication")
     return {
         "nodes": nodes, "edges": edges, "cycles": cycles, "summary": G.summary(nodes, edges, cycles),
-        "dead_code": findings(scans, sites, edges, manifests), "code_metrics": scans.select("path", "loc", "complexity").join(copies, "path"),
+        "dead_code": findings(scans, sites, edges, manifests), "code_metrics": code_metrics(scans),
     }
-
