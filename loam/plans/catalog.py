@@ -388,7 +388,8 @@ _CYCLES = f"{_EDGES}, tc AS (SELECT a, b FROM e UNION SELECT tc.a, e.b FROM tc J
 
 
 def _edges(spark, sf):
-    return T.edges(spark, sf)
+    """The edges, written once: several steps of a query read them."""
+    return written(T.edges(spark, sf), "edges")
 
 
 def _nodes(spark, sf):
@@ -396,13 +397,14 @@ def _nodes(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).distinct()
 
 
-def _cycles(spark, sf):
-    return G.scc(_edges(spark, sf))
+def _cycles(spark, sf, edges=None):
+    """The components, written once, of edges that were made before or are made here."""
+    return written(G.scc(T.edges(spark, sf) if edges is None else edges), "cycles")
 
 
 @query(f'WITH {_EDGES} SELECT a AS "from", b AS "to", \'import\' AS kind FROM e')
 def graph_edges(spark, sf):
-    return G.import_edges(_edges(spark, sf))
+    return G.import_edges(T.edges(spark, sf))
 
 
 @query(f"WITH RECURSIVE {_CYCLES} SELECT component, node FROM sc")
@@ -413,7 +415,7 @@ def graph_scc(spark, sf):
 @query(f"WITH RECURSIVE {_CYCLES} SELECT component, node FROM sc")
 def graph_scc_rounds(spark, sf):
     """The same by the distributed rounds that larger graphs take."""
-    return G.scc(_edges(spark, sf), small_edges=0)
+    return G.scc(T.edges(spark, sf), small_edges=0)
 
 
 @query(f"WITH RECURSIVE {_CYCLES}, g AS (SELECT component, count(*) AS size FROM sc GROUP BY 1) SELECT component, size, CAST(row_number() OVER (ORDER BY size DESC, component) AS INTEGER) AS position FROM g")
@@ -428,7 +430,8 @@ def win_cycle_number(spark, sf):
 
 @query()
 def graph_cycle_path(spark, sf):
-    return G.ordered_cycles(_cycles(spark, sf), _edges(spark, sf))
+    edges = _edges(spark, sf)
+    return G.ordered_cycles(_cycles(spark, sf, edges), edges)
 
 
 @query(f"WITH {_EDGES} SELECT n.id, (SELECT count(*) FROM e WHERE b = n.id) AS fan_in, (SELECT count(*) FROM e WHERE a = n.id) AS fan_out FROM n")
@@ -440,24 +443,25 @@ def agg_degrees(spark, sf):
 SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(DISTINCT component) FROM sc) AS cycles, (SELECT count(DISTINCT node) FROM sc) AS cycle_nodes,
  (SELECT id FROM i) AS max_fan_in, (SELECT c FROM i) AS max_fan_in_count, (SELECT id FROM o) AS max_fan_out, (SELECT c FROM o) AS max_fan_out_count""")
 def agg_graph_summary(spark, sf):
-    return G.summary(_nodes(spark, sf), _edges(spark, sf), _cycles(spark, sf))
+    edges = _edges(spark, sf)
+    return G.summary(_nodes(spark, sf), edges, _cycles(spark, sf, edges))
 
 
 @query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT id AS node FROM n WHERE id < 40 UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT node FROM r")
 def graph_reachable(spark, sf):
-    return G.reachable(_edges(spark, sf), _nodes(spark, sf).where("id < 40").select(F.col("id").alias("node")))
+    return G.reachable(T.edges(spark, sf), _nodes(spark, sf).where("id < 40").select(F.col("id").alias("node")))
 
 
 @query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT id AS node FROM n WHERE id < 40 UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT node FROM r")
 def graph_reachable_rounds(spark, sf):
     """The same by the distributed rounds that larger graphs take."""
-    return G.reachable(_edges(spark, sf), _nodes(spark, sf).where("id < 40").select(F.col("id").alias("node")), small_edges=0)
+    return G.reachable(T.edges(spark, sf), _nodes(spark, sf).where("id < 40").select(F.col("id").alias("node")), small_edges=0)
 
 
 @query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT id AS node FROM n WHERE id < 40 UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT id AS path FROM n WHERE id NOT IN (SELECT node FROM r)")
 def anti_unreachable(spark, sf):
     nodes = _nodes(spark, sf)
-    return G.unreachable(nodes.select(F.col("id").alias("path")), _edges(spark, sf), nodes.where("id < 40").select(F.col("id").alias("node")))
+    return G.unreachable(nodes.select(F.col("id").alias("path")), T.edges(spark, sf), nodes.where("id < 40").select(F.col("id").alias("node")))
 
 
 @query(f"WITH {_EDGES}, ends AS (SELECT a AS id FROM e UNION SELECT b FROM e) SELECT id, id AS label, 'package' AS kind FROM ends WHERE id NOT IN (SELECT id FROM n)")
@@ -467,7 +471,7 @@ def anti_package_nodes(spark, sf):
 
 @query(f"WITH {_EDGES} SELECT DISTINCT x AS node FROM (SELECT a AS x FROM e WHERE a = 7 OR b = 7 UNION SELECT b FROM e WHERE a = 7 OR b = 7)")
 def graph_neighbourhood(spark, sf):
-    return G.neighbourhood(_edges(spark, sf), 7)
+    return G.neighbourhood(T.edges(spark, sf), 7)
 
 
 _FOCUS = f"{_CYCLES}, d AS (SELECT n.id, (SELECT count(*) FROM e WHERE b = n.id OR a = n.id) AS degree, n.id IN (SELECT node FROM sc) AS in_cycle FROM n), fo AS (SELECT * FROM d ORDER BY in_cycle DESC, degree DESC, id LIMIT 40)"
@@ -475,20 +479,21 @@ _FOCUS = f"{_CYCLES}, d AS (SELECT n.id, (SELECT count(*) FROM e WHERE b = n.id
 
 @query(f"WITH RECURSIVE {_FOCUS} SELECT id, in_cycle, degree FROM fo")
 def topk_focus(spark, sf):
-    return G.focus(_nodes(spark, sf), _edges(spark, sf), _cycles(spark, sf), 40)
+    edges = _edges(spark, sf)
+    return G.focus(_nodes(spark, sf), edges, _cycles(spark, sf, edges), 40)
 
 
 @query(f'WITH RECURSIVE {_FOCUS} SELECT a AS "from", b AS "to" FROM e WHERE a IN (SELECT id FROM fo) AND b IN (SELECT id FROM fo)')
 def semi_known_edges(spark, sf):
     edges = _edges(spark, sf)
-    return G.known_edges(edges, G.focus(_nodes(spark, sf), edges, _cycles(spark, sf), 40))
+    return G.known_edges(edges, G.focus(_nodes(spark, sf), edges, _cycles(spark, sf, edges), 40))
 
 
 @query(f"""WITH RECURSIVE {_CYCLES} SELECT a AS "from", b AS "to", CASE WHEN x.component = y.component THEN 'cycle' WHEN a NOT IN (SELECT id FROM n) OR b NOT IN (SELECT id FROM n) THEN 'package' ELSE 'local' END AS class
 FROM e LEFT JOIN sc x ON x.node = a LEFT JOIN sc y ON y.node = b""")
 def join_cycle_membership(spark, sf):
     edges, nodes = _edges(spark, sf), _nodes(spark, sf)
-    return G.edge_classes(edges, G.package_nodes(nodes, edges), _cycles(spark, sf))
+    return G.edge_classes(edges, G.package_nodes(nodes, edges), _cycles(spark, sf, edges))
 
 
 _COLLAPSED = f"{_EDGES}, m AS (SELECT CASE WHEN a % 10 < 3 THEN -1 - a // 50 ELSE a END AS x, CASE WHEN b % 10 < 3 THEN -1 - b // 50 ELSE b END AS y, CASE WHEN a % 2 = 0 THEN 1 ELSE a % 5 END AS w, a % 2 = 0 AS bare FROM e)"
@@ -525,7 +530,8 @@ _BACK = f"{_CYCLES}, ie AS (SELECT x.component, a, b FROM e JOIN sc x ON x.node
 
 @query(f'WITH RECURSIVE {_BACK} SELECT a AS "from", b AS "to" FROM ie JOIN lv x ON x.node = a JOIN lv y ON y.node = b WHERE y.level <= x.level')
 def graph_back_edges(spark, sf):
-    return G.back_edges(_edges(spark, sf))
+    edges = _edges(spark, sf)
+    return G.back_edges(edges, _cycles(spark, sf, edges))
 
 
 _TWO = f"{_EDGES}, g1 AS (SELECT 0 AS seq, a, b, 'import' AS kind FROM e UNION ALL SELECT 1, b, a, 'import' FROM e), gn AS (SELECT 0 AS seq, id, 'l' || id AS label FROM n UNION ALL SELECT 1, s_suppkey, 'r' || s_suppkey FROM supplier UNION ALL SELECT 1, p_partkey, 'r' || p_partkey FROM part)"
@@ -556,13 +562,18 @@ _NAMES = f"{_EDGES}, ex AS (SELECT DISTINCT b AS path, 'n' || (a % 6) AS name, a
 _USED = f"{_NAMES}, wh AS (SELECT path FROM co UNION SELECT st.t FROM wh JOIN st ON st.path = wh.path), dm AS (SELECT path, name FROM us UNION SELECT st.t, dm.name FROM dm JOIN st ON st.path = dm.path WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.path = dm.path AND ex.name = dm.name)), used AS (SELECT DISTINCT path, name FROM ex WHERE (path, name) IN (SELECT path, name FROM dm) OR path IN (SELECT path FROM wh))"
 
 
-def _names(spark, sf):
-    e = _edges(spark, sf)
+def _exports(e):
+    """A name for each edge, offered by the file that it leads to."""
+    return e.select(F.col("to").alias("path"), F.concat(F.lit("n"), (F.col("from") % 6).cast("string")).alias("name"), F.col("from").alias("line"), F.col("from").alias("pos")).distinct()
+
+
+def _names(spark, sf, edges=None):
+    e = _edges(spark, sf) if edges is None else edges
     name = lambda k: F.concat(F.lit("n"), (F.col("from") % k).cast("string")).alias("name")
-    exports = e.select(F.col("to").alias("path"), name(6), F.col("from").alias("line"), F.col("from").alias("pos")).distinct()
     stars = e.where(F.col("from") % 4 == 0).select(F.col("from").alias("path"), "to")
     uses = e.where(F.col("from") % 3 == 0).select("to", name(4))
     consumed = e.where(F.col("from") % 17 == 0).select(F.col("from").alias("path")).distinct()
+    exports = _exports(e)
     return exports, G.used_names(exports, uses, stars, consumed)
 
 
@@ -580,15 +591,14 @@ def anti_unreferenced(spark, sf):
 
 @query(f"WITH {_NAMES} SELECT path, name, min(line) AS line FROM ex GROUP BY 1, 2")
 def win_first_per_name(spark, sf):
-    exports, _ = _names(spark, sf)
-    return exports.groupBy("path", "name").agg(F.min_by("line", "pos").alias("line"))
+    return _exports(T.edges(spark, sf)).groupBy("path", "name").agg(F.min_by("line", "pos").alias("line"))
 
 
 _DEAD = f"{_USED}, dead AS (SELECT path, name AS symbol, min(line) AS line, 'unreferenced-export' AS reason FROM ex WHERE (path, name) NOT IN (SELECT path, name FROM used) GROUP BY 1, 2 UNION ALL SELECT id, NULL, NULL, 'unreachable-file' FROM n WHERE id > 130)"
 
 
-def _dead(spark, sf):
-    exports, used = _names(spark, sf)
+def _dead(spark, sf, edges=None):
+    exports, used = _names(spark, sf, edges)
     names = G.unreferenced(exports, used, exports.select("path").limit(0)).select("path", F.col("name").alias("symbol"), "line", F.lit("unreferenced-export").alias("reason"))
     gone = _nodes(spark, sf).where("id > 130").select(F.col("id").alias("path"), F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("long").alias("line"), F.lit("unreachable-file").alias("reason"))
     return names.unionByName(gone)
@@ -857,8 +867,9 @@ UNION ALL SELECT 5, 'dead-code', {_compact_sql('findings')}, CASE WHEN findings
 UNION ALL SELECT 6, 'plugins', '4', '1 skipped', 'warn', NULL""")
 def agg_overview_cards(spark, sf):
     """All six cards, from the whole tables."""
-    graph = G.summary(_nodes(spark, sf), _edges(spark, sf), _cycles(spark, sf))
-    return V.overview(T.files(spark, sf), ["ts", "py"], _hotspots(spark, sf), graph, C.totals(_parsed(spark, sf)), _dead(spark, sf), 4, 1)
+    edges = _edges(spark, sf)
+    graph = G.summary(_nodes(spark, sf), edges, _cycles(spark, sf, edges))
+    return V.overview(T.files(spark, sf), ["ts", "py"], _hotspots(spark, sf), graph, C.totals(_parsed(spark, sf)), _dead(spark, sf, edges), 4, 1)
 
 
 # -- sources, trees and gates
@@ -988,11 +999,18 @@ def _repository(spark, sf):
     return modules.union(index).union(lost), manifests
 
 
-def _language(spark, sf):
+def _scanned(spark, sf):
+    """Scans of the repository's files, written once, and its manifests."""
     from ..operators import language as L
 
     files, manifests = _repository(spark, sf)
-    return L.analyze(L.scan_files(files), manifests, manifests.limit(0))
+    return written(L.scan_files(files), "scans"), manifests
+
+
+def _imports(scans, manifests):
+    from ..operators import language as L
+
+    return L.import_graph(scans, manifests, manifests.limit(0))
 
 
 _REPOSITORY = "m AS (SELECT source || '/' || lang AS folder, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS k FROM documents), z AS (SELECT folder, max(k) AS top FROM m GROUP BY 1)"
@@ -1001,24 +1019,31 @@ _REPOSITORY = "m AS (SELECT source || '/' || lang AS folder, row_number() OVER (
 @query(f"""WITH {_REPOSITORY} SELECT folder || '/m' || k || '.ts' AS path, 'b' || k AS symbol, CAST(CASE WHEN k % 5 = 0 THEN 4 ELSE 3 END AS INTEGER) AS line, 'unreferenced-export' AS reason FROM m
 UNION ALL SELECT folder || '/lost.ts', NULL, NULL, 'unreachable-file' FROM z UNION ALL SELECT folder || '/package.json', 'idle', 5, 'unused-dependency' FROM z""")
 def lang_dead_code(spark, sf):
-    return _language(spark, sf)["dead_code"]
+    from ..operators import language as L
+
+    scans, manifests = _scanned(spark, sf)
+    return L.findings(scans, *_imports(scans, manifests))
 
 
 @query(f"""WITH {_REPOSITORY} SELECT folder || '/m' || k || '.ts' AS "from", folder || '/m' || (k + 1) || '.ts' AS "to", 'import' AS kind FROM m JOIN z USING (folder) WHERE k < top
 UNION ALL SELECT folder || '/m' || k || '.ts', folder || '/index.ts', 'import' FROM m WHERE k % 5 = 0 UNION ALL SELECT folder || '/index.ts', folder || '/m1.ts', 'import' FROM z""")
 def lang_import_graph(spark, sf):
-    return _language(spark, sf)["edges"].select("from", "to", "kind")
+    return _imports(*_scanned(spark, sf))[1].select("from", "to", "kind")
 
 
 @query(f"""WITH {_REPOSITORY}, c AS (SELECT count(*) AS cycles, coalesce(sum(top // 5 * 5 + 1), 0) AS cycle_nodes FROM z WHERE top >= 5)
 SELECT (SELECT count(*) FROM m) + 2 * (SELECT count(*) FROM z) AS nodes, (SELECT sum(top - 1 + top // 5 + 1) FROM z)::BIGINT AS edges, cycles, cycle_nodes::BIGINT AS cycle_nodes FROM c""")
 def lang_graph_summary(spark, sf):
-    return _language(spark, sf)["summary"].select("nodes", "edges", "cycles", "cycle_nodes")
+    scans, manifests = _scanned(spark, sf)
+    edges = _imports(scans, manifests)[1]
+    return G.summary(scans.select(F.col("path").alias("id")), edges, written(G.scc(edges), "cycles")).select("nodes", "edges", "cycles", "cycle_nodes")
 
 
 @query(f"""WITH {_REPOSITORY} SELECT folder || '/m' || k || '.ts' AS path, CASE WHEN k % 5 = 0 THEN 5 ELSE 4 END AS loc, 1 AS complexity FROM m UNION ALL SELECT folder || '/index.ts', 3, 1 FROM z UNION ALL SELECT folder || '/lost.ts', 1, 1 FROM z""")
 def lang_code_metrics(spark, sf):
-    return _language(spark, sf)["code_metrics"].select("path", "loc", "complexity")
+    from ..operators import language as L
+
+    return L.code_metrics(_scanned(spark, sf)[0]).select("path", "loc", "complexity")
 
 
 @query("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'src/' || lang || '.ts' ELSE 'src/' || lang || '/index.ts' END AS path FROM documents")
