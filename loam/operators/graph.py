@@ -120,21 +120,26 @@ def _coin(node: str, salt: int) -> Column:
     return F.xxhash64(F.col(node), F.lit(salt)) % 2 == 0
 
 
-def _contract(edges: DataFrame, salt: int, backward: bool = True) -> tuple[DataFrame, DataFrame]:
+def _ends(edges: DataFrame) -> DataFrame:
+    """(node, n_in, before, n_out, after): how many edges lead to and from each node, and the least ends of those."""
+    only = lambda key, end: edges.groupBy(F.col(key).alias("node")).agg(F.count("*").alias("n"), F.min(end).alias("at"))
+    way_in = only("to", "from").withColumnRenamed("n", "n_in").withColumnRenamed("at", "before")
+    way_out = only("from", "to").withColumnRenamed("n", "n_out").withColumnRenamed("at", "after")
+    return way_in.join(way_out, "node", "full")
+
+
+def _contract(edges: DataFrame, salt: int, backward: bool = True, ends: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Edges without a part of the nodes that have one way in or (backward) one way out, and (node, anchor, other) of those nodes.
 
     A node with the one way in (anchor, node) goes, and its edges (node, other) become (anchor, other); a node with the
     one way out (node, anchor) goes, and (other, node) becomes (other, anchor).  Only nodes whose coin falls on one side go, to
     anchors whose coin fell on the other, so that no anchor goes; of a long chain a quarter (backward: three eighths) goes in a
     round.  `other` is null in a row of its own for each node with one way in.  Backward, nodes without way in or out go too."""
-    only = lambda key, end: edges.groupBy(F.col(key).alias("node")).agg(F.count("*").alias("n"), F.min(end).alias("at"))
-    way_in = only("to", "from").withColumnRenamed("n", "n_in").withColumnRenamed("at", "before")
-    way_out = only("from", "to").withColumnRenamed("n", "n_out").withColumnRenamed("at", "after")
     goes, one_in, one_out = _coin("node", salt), (F.col("n_in") == 1) & ~_coin("before", salt), (F.col("n_out") == 1) & ~_coin("after", salt)
     kind = F.when(goes & one_in, "in")
     if backward:
         kind = F.when(F.col("n_in").isNull() | F.col("n_out").isNull(), "end").when(goes & one_in, "in").when(goes & one_out, "out")
-    gone = way_in.join(way_out, "node", "full").select("node", kind.alias("kind"), F.when(F.col("kind") == "in", F.col("before")).when(F.col("kind") == "out", F.col("after")).alias("anchor")).where("kind is not null")
+    gone = (_ends(edges) if ends is None else ends).select("node", kind.alias("kind"), F.when(F.col("kind") == "in", F.col("before")).when(F.col("kind") == "out", F.col("after")).alias("anchor")).where("kind is not null")
     gone = written(gone, "contracted")
     a = gone.select(F.col("node").alias("from"), F.col("kind").alias("_ka"), F.col("anchor").alias("_fa"))
     b = gone.select(F.col("node").alias("to"), F.col("kind").alias("_kb"), F.col("anchor").alias("_fb"))
@@ -146,35 +151,44 @@ def _contract(edges: DataFrame, salt: int, backward: bool = True) -> tuple[DataF
     return written(moved.where("a <> b").select(F.col("a").alias("from"), F.col("b").alias("to")).distinct(), "scc-edges"), records
 
 
-#: Rounds that a loop takes before what is left is contracted, and the edges that a contraction must take off to be followed by another one at once.
-PATIENCE, REACH_PATIENCE, WORTH = 64, 24, 0.15
+#: Rounds that a loop takes before what is left is contracted, and the part of the edges that a step must take off to be followed by another one at once.
+PATIENCE, REACH_PATIENCE, WORTH = 24, 24, 0.15
 
 
 def _scc_rounds(edges: DataFrame, small_edges: int = 0) -> DataFrame:
-    """Contraction of chains (see _contract()) as long as that takes off much; then, unless what is left is small, components by
-    colours; and the same with the rest.  Then contracted nodes join their anchors' components, last round first."""
-    found, records, left, size, patience, forced = None, [], edges, edges.count(), PATIENCE, 0
+    """Steps that take nodes out of the graph until what is left is small, each by what is worth it: contraction of chains (see
+    _contract()), the component of one pivot, or components by colours.  Then the nodes taken out come back, last step first.
+
+    No step takes more than `patience` rounds.  What a search that is cut short has found in both directions is part of one
+    component all the same: it becomes one node (merge), and the rest is left to later steps.  A search that came to its end
+    has whole components (done)."""
+    found, steps, left, size, patience, forced, by_pivot = None, [], edges, edges.count(), PATIENCE, 0, True
     while size > small_edges:
-        before = size
-        left, record = _contract(left, len(records))
-        records.append(record)
-        size, forced = left.count(), forced - 1
-        if size <= small_edges or forced > 0 or size < (1 - WORTH) * before:
+        before, ends = size, written(_ends(left), "ends")
+        none, one_in, one_out = F.col("n_in").isNull() | F.col("n_out").isNull(), F.col("n_in") == 1, F.col("n_out") == 1
+        worth = ends.agg(F.sum(F.when(none, 1.0).when(one_in & one_out, 0.375).when(one_in | one_out, 0.25).otherwise(0.0))).first()[0]
+        if forced > 0 or worth >= WORTH * size:
+            left, record = _contract(left, len(steps), ends=ends)
+            steps.append(("chain", record))
+            size, forced = left.count(), forced - 1
             continue
-        group, rest = _by_colours(left, patience)
-        if group is None:  # some way is longer: it is made shorter
+        if by_pivot:
+            left, taken = _by_pivot(left, ends, patience)
+        else:
+            left, taken = _by_colours(left, ends, patience, len(steps))
+        steps += taken
+        size = left.count()
+        if not by_pivot and size > (1 - WORTH) * before:  # some way is longer: it is made shorter
             patience, forced = patience * 2, 8
-            continue
-        found = group if found is None else found.union(group)
-        left, size = rest, rest.count()
+        by_pivot = not by_pivot or size <= 0.75 * before
     if size:
-        group = _scc_small(left)
-        found = group if found is None else found.union(group)
+        found = _scc_small(left)
     if found is None:
         found = edges.select(F.col("from").alias("component"), F.col("to").alias("node")).limit(0)
     found = written(found, "scc")
-    for record in reversed(records):
-        found = _expanded(found, record)
+    for kind, step in reversed(steps):
+        found = _expanded(found, step) if kind == "chain" else _unmerged(found, step) if kind == "merge" else found.union(step)
+    found = written(found, "scc")
     least = found.groupBy("component").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
     return found.join(least, "component").select(F.col("least").alias("component"), "node")
 
@@ -190,43 +204,69 @@ def _expanded(found: DataFrame, record: DataFrame) -> DataFrame:
     return written(found.union(more.select("component", "node").union(more.where("new").select("component", "anchor")).distinct()), "scc")
 
 
-def _by_colours(edges: DataFrame, patience: int) -> tuple[DataFrame | None, DataFrame]:
-    """(component, node) of the components of those nodes whose colour, the least node that leads to them, is their own, and the edges of the rest.
+def _unmerged(found: DataFrame, group: DataFrame) -> DataFrame:
+    """found with the nodes (component, node) that had become one node, `component`; that one is in no component yet or in one."""
+    ones = group.select("component").distinct().join(found.select(F.col("node").alias("component"), F.col("component").alias("_c")), "component", "left")
+    ones = written(ones, "merged")
+    more = group.join(ones, "component").select(F.coalesce("_c", "component").alias("component"), "node")
+    return found.union(more).union(ones.where("_c is null").select("component", F.col("component").alias("node")))
+
 
-    A round carries on new colours only.  No components if a loop takes over patience rounds."""
-    out = _by(edges, "from")
-    nodes = edges.select(F.col("from").alias("node")).union(edges.select("to")).distinct()
-    colours, rounds = written(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("new")), "scc-colours"), 0
-    while not colours.where("new").isEmpty():
+def _merged(edges: DataFrame, group: DataFrame) -> DataFrame:
+    """edges with nodes replaced by their `component` in group."""
+    a, b = group.select(F.col("node").alias("from"), F.col("component").alias("_a")), group.select(F.col("node").alias("to"), F.col("component").alias("_b"))
+    moved = edges.join(a, "from", "left").join(b, "to", "left").select(F.coalesce("_a", "from").alias("from"), F.coalesce("_b", "to").alias("to"))
+    return written(moved.where("`from` <> `to`").distinct(), "scc-edges")
+
+
+def _without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges of which no end is one of the nodes."""
+    return written(edges.join(nodes.select(F.col("node").alias("from")), "from", "left_anti").join(nodes.select(F.col("node").alias("to")), "to", "left_anti"), "scc-edges")
+
+
+def _by_pivot(edges: DataFrame, ends: DataFrame, patience: int) -> tuple[DataFrame, list]:
+    """What both is reached from the busiest node and reaches it: the edges that are left, and the steps taken."""
+    busy = ends.where("n_in > 0 and n_out > 0").orderBy(F.desc(F.col("n_in") * F.col("n_out")), "node").limit(1)
+    pivot = written(busy.select("node"), "pivot")
+    ahead, whole_ahead = _reach_rounds(edges, pivot, patience)
+    behind, whole_behind = _reach_rounds(edges.select(F.col("to").alias("from"), F.col("from").alias("to")), pivot, patience)
+    both = written(ahead.join(behind, "node").crossJoin(pivot.select(F.col("node").alias("component"))).select("component", "node"), "scc-group")
+    if whole_ahead and whole_behind:
+        return _without(edges, both), [("done", both)]
+    return _merged(edges, both.where("node <> component")), [("merge", both.where("node <> component"))]
+
+
+def _by_colours(edges: DataFrame, ends: DataFrame, patience: int, salt: int) -> tuple[DataFrame, list]:
+    """Components by colours: the edges that are left, and the steps taken.
+
+    Each node has a number by chance; its colour is the least number of those nodes that lead to it within patience rounds.  The
+    component of a node with its own number are those of its colour that lead to it.  Numbers by chance, and not the nodes' order,
+    lest one component's colours flood all those after it.  A round carries on new colours only."""
+    while True:
+        number = F.xxhash64("node", F.lit(salt))
+        colours = written(ends.select("node", number.alias("colour"), F.lit(True).alias("new")), "scc-colours")
+        if colours.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # no two nodes have one number
+            break
+        salt += 1 << 32
+    out, rounds = _by(edges, "from"), 0
+    while (going := not colours.where("new").isEmpty()) and rounds < patience:
         rounds += 1
-        if rounds > patience:
-            out.unpersist()
-            return None, edges
         told = out.join(colours.where("new").select(F.col("node").alias("from"), "colour"), "from").groupBy(F.col("to").alias("node")).agg(F.min("colour").alias("_told"))
         better = F.coalesce(F.col("_told") < F.col("colour"), F.lit(False))
         colours = written(colours.join(told, "node", "left").select("node", F.when(better, F.col("_told")).otherwise(F.col("colour")).alias("colour"), better.alias("new")), "scc-colours")
+    whole = not going
     out.unpersist()
-    a, b = colours.select(F.col("node").alias("from"), F.col("colour").alias("component")), colours.select(F.col("node").alias("to"), F.col("colour").alias("_c"))
-    inside = edges.join(a, "from").join(b, "to").where("component = _c").select("component", "from", "to")
-    inside = written(inside, "scc-inside")
-    back = _by(inside, "to")
-    frontier, rounds = written(colours.where("node = colour").select(F.col("colour").alias("component"), "node"), "scc-group"), 0
-    group = frontier
-    while not frontier.isEmpty():
-        rounds += 1
-        if rounds > patience:
-            back.unpersist()
-            return None, edges
-        step = back.join(frontier.select(F.col("node").alias("to")), "to").select("component", F.col("from").alias("node")).distinct()
-        frontier = written(step.join(group, "node", "left_anti").select("component", "node"), "scc-group")
-        group = group.union(frontier)
-        group = written(group, "scc-group") if rounds % 16 == 0 else group
-    back.unpersist()
-    group = written(group, "scc-group")
-    done = group.select("node")
-    # what crosses colours is in no component
-    rest = inside.join(done.select(F.col("node").alias("from")), "from", "left_anti").join(done.select(F.col("node").alias("to")), "to", "left_anti").select("from", "to")
-    return group, written(rest, "scc-edges")
+    a, b = colours.select(F.col("node").alias("from"), F.col("colour")), colours.select(F.col("node").alias("to"), F.col("colour").alias("_c"))
+    inside = written(edges.join(a, "from").join(b, "to").where("colour = _c").select("from", "to"), "scc-inside")
+    own = written(colours.where(F.col("colour") == number).select("node", "colour"), "scc-own")
+    group, whole_back = _reach_rounds(inside.select(F.col("to").alias("from"), F.col("from").alias("to")), own.select("node"), patience)
+    both = group.join(colours.select("node", "colour"), "node").join(own.select("colour", F.col("node").alias("component")), "colour").select("component", "node")
+    both = written(both, "scc-group")
+    # what crosses colours is in no component, if all colours are known
+    left = inside if whole else edges
+    if whole and whole_back:
+        return _without(left, both), [("done", both)]
+    return _merged(left, both.where("node <> component")), [("merge", both.where("node <> component"))]
 
 
 def cycle_sizes(cycles: DataFrame) -> DataFrame:
