@@ -7,9 +7,12 @@ stays short and survives lost executors.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -280,43 +283,111 @@ def cycle_numbers(cycles: DataFrame) -> DataFrame:
     return cycles.join(cycle_sizes(cycles), "component").select("node", F.col("position").alias("number"))
 
 
+def _way_round(first: np.ndarray, counts: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, path) of one component: the nodes with edges in order, how many each has, and where these lead to, in order, in parts that are used up.
+
+    Nodes are numbers of four bytes here, whatever they are, so that a component of tens of millions of edges takes some hundred MB."""
+    nodes, most = first, np.iinfo(np.int32).max
+    for part in parts:
+        at = np.minimum(np.searchsorted(first, part), len(first) - 1)
+        if (other := part[first[at] != part]).size:  # only led to
+            nodes = np.union1d(nodes, other)
+    n_out = np.zeros(len(nodes) + 1, np.int64)
+    n_out[np.searchsorted(nodes, first) + 1] = counts
+    begin = np.cumsum(n_out)
+    after, filled = np.empty(begin[-1], np.int32 if len(nodes) <= most else np.int64), 0
+    while parts:
+        part = parts.pop()  # the last one, so that its memory is free at once
+        after[len(after) - filled - len(part) : len(after) - filled] = np.searchsorted(nodes, part)
+        filled += len(part)
+    start = int(np.searchsorted(nodes, first[0]))
+    begins, afters, seen, path, last = memoryview(begin), memoryview(after), bytearray(len(nodes)), array(after.dtype.char, [start]), start
+    seen[start] = 1
+    while True:
+        for k in range(begins[last], begins[last + 1]):
+            if not seen[afters[k]]:
+                break
+        else:
+            break
+        last = afters[k]
+        path.append(last)
+        seen[last] = 1
+    # breadth first: a node's origin is the first one in the queue that leads to it
+    origin = np.full(len(nodes), -1, after.dtype)
+    origin[last] = last
+    queue = np.array([last])
+    while len(queue) and origin[start] < 0:
+        found = []
+        for piece in (queue[k : k + (1 << 16)] for k in range(0, len(queue), 1 << 16)):
+            if len(piece) < 16:  # long ways have short queues
+                fresh = []
+                for node in piece.tolist():
+                    for k in range(begins[node], begins[node + 1]):
+                        if origin[afters[k]] < 0:
+                            origin[afters[k]] = node
+                            fresh.append(afters[k])
+                found.append(np.array(fresh, np.int64))
+                continue
+            n = begin[piece + 1] - begin[piece]
+            other, by = after[np.repeat(begin[piece] - (np.cumsum(n) - n), n) + np.arange(n.sum())], np.repeat(piece, n)
+            new = origin[other] < 0
+            other, by = other[new], by[new]
+            once = np.sort(np.unique(other, return_index=True)[1])
+            origin[other[once]] = by[once]
+            found.append(other[once].astype(np.int64))
+        queue = np.concatenate(found)
+    back, node = [], start
+    while node >= 0 and node != last:
+        back.append(node)
+        node = int(origin[node])
+    return nodes, nodes[np.concatenate([np.frombuffer(path, after.dtype), np.array(back[::-1], after.dtype)])]
+
+
 def ordered_cycles(cycles: DataFrame, edges: DataFrame) -> DataFrame:
     """(position, nodes, path): cycles by size, then first node, each with a way round it.
 
     The way goes from the least node, each time to the least neighbour not seen yet, and when stuck
-    takes the shortest way back; one component is one group."""
+    takes the shortest way back.  It is one sequence, so a component is walked in one task, which holds it as
+    packed numbers; its edges come sorted, in batches."""
     kind = cycles.schema["node"].dataType.simpleString()
     inside = edges.select("from", "to").join(cycles.select("component", F.col("node").alias("from")), "from").join(cycles.select(F.col("component").alias("c2"), F.col("node").alias("to")), "to").where("component = c2")
 
-    def way(rows: pd.DataFrame) -> pd.DataFrame:
-        after: dict = {}
-        for a, b in sorted(set(zip(rows["from"].tolist(), rows["to"].tolist(), strict=True))):
-            after.setdefault(a, []).append(b)
-        start = min(after)
-        path, seen = [start], {start}
-        while True:
-            step = next((b for b in after.get(path[-1], ()) if b not in seen), None)
-            if step is None:
-                break
-            path.append(step)
-            seen.add(step)
-        origin, queue = {path[-1]: None}, [path[-1]]
-        for node in queue:
-            if node == start and node != path[-1]:
-                break
-            for b in after.get(node, ()):
-                if b not in origin:
-                    origin[b] = node
-                    queue.append(b)
-        back, node = [], start
-        while node is not None and node != path[-1]:
-            back.append(node)
-            node = origin.get(node)
-        nodes = sorted(set(rows["from"]) | set(rows["to"]))
-        return pd.DataFrame([(rows["component"].iloc[0], nodes, path + back[::-1])], columns=["component", "nodes", "path"])
-
-    found = inside.select("component", "from", "to").groupBy("component").applyInPandas(way, f"component {kind}, nodes array<{kind}>, path array<{kind}>")
-    return found.withColumn("position", F.row_number().over(Window.orderBy(F.desc(F.size("nodes")), *js.in_locale_order(found, "component")))).select("position", "nodes", "path")
+    def ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, names, first, counts, parts, types = None, ("component", "size", "nodes", "path"), [], [], [], None
+
+        def close() -> pa.RecordBatch:
+            nodes, path = _way_round(np.concatenate(first), np.concatenate(counts), parts)
+            first.clear(), counts.clear(), parts.clear()
+            as_list = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, types[1]))
+            return pa.RecordBatch.from_arrays([pa.array([key], types[0]), pa.array([len(nodes)], pa.int32()), as_list(nodes), as_list(path)], names=names)
+
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in ("component", "from")]
+            of, a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("component", "from", "to"))
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if low == high:
+                    continue
+                if key is not None and key != of[low]:
+                    yield close()
+                key, own = of[low], a[low:high]
+                at = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
+                node, n = own[at], np.diff(np.append(at, len(own)))
+                if first and first[-1][-1] == node[0]:
+                    counts[-1][-1] += n[0]
+                    node, n = node[1:], n[1:]
+                if len(node):
+                    first.append(node.copy())
+                    counts.append(n.astype(np.int32))
+                parts.append(b[low:high].copy())
+        if key is not None:
+            yield close()
+
+    dealt = inside.select("component", "from", "to").repartition("component").sortWithinPartitions("component", "from", "to")
+    found = written(dealt.mapInArrow(ways, f"component {kind}, size int, nodes array<{kind}>, path array<{kind}>"), "ways")
+    sizes = found.select("component", "size")  # one window over cycles, without their nodes
+    position = sizes.select("component", F.row_number().over(Window.orderBy(F.desc("size"), *js.in_locale_order(sizes, "component"))).alias("position"))
+    return found.join(position, "component").select("position", "nodes", "path")
 
 
 # -- reachability
