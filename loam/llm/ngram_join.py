@@ -393,9 +393,12 @@ def _link_tasks(rows: DataFrame, percent: int, id_type: T.DataType) -> DataFrame
 
 
 def _tokens(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """The rows of ids with the `tokens` of the documents of that id."""
+    """The rows of ids with the `tokens` of the documents of that id.
+
+    A sort-merge join at every size: ids grow with the documents, and sent to all tasks on small tables only they
+    would hide the shuffle of the texts that large ones take."""
     names = ids.columns
-    texts = docs.select(F.col(doc_id).alias("id"), text).join(ids, "id").select(text, *names)
+    texts = docs.select(F.col(doc_id).alias("id"), text).join(ids.hint("merge"), "id").select(text, *names)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.chunks(batches, text):
@@ -466,7 +469,7 @@ def find_links(docs: DataFrame, sets: DataFrame, *, doc_id: str, text: str, word
     query = F.when(F.col("open"), F.transform(F.filter(every, lambda b: b != own_block), lambda b: struct(b, own_ask, True)))
     each = asked.select("id", "leader", F.explode(F.concat(target, F.coalesce(query, F.expr("cast(array() as array<struct<block:int,ask:int,query:boolean>>)")))).alias("t"))
     across = each.select("id", "leader", "t.block", "t.ask", "t.query", F.lit(False).alias("several"))
-    again = packed.select("id", "tokens").join(_by_document(across), "id")
+    again = packed.select("id", "tokens").join(_by_document(across).hint("merge"), "id")
     return links.unionByName(_link(again, percent).where("b is not null").select("a", "b"))
 
 

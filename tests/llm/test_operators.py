@@ -651,3 +651,13 @@ def test_empty_tables(spark):
     assert substring_dedup.remove_repeats(docs).count() == 0
     full = documents(spark, ["a b c", None])
     assert sorted((r["n_words"], r["n_hit"]) for r in contamination.find_contamination(full, benchmark).collect()) == [(0, 0), (3, 0)]
+
+
+def test_ngram_join_takes_one_plan_at_every_size(spark):
+    """op1_ngram_jaccard: the texts were shuffled on large tables only, so that growth was told from two plans."""
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "b c d e")], "doc_id long, text string")
+    ids = spark.createDataFrame([(2, "x")], "id long, tasks string")
+    got = ngram_join._tokens(docs, ids, "doc_id", "text", 3)
+    assert [(r["id"], r["tasks"], len(r["tokens"])) for r in got.collect()] == [(2, "x", 16)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
