@@ -487,20 +487,23 @@ def used_names(exports: DataFrame, uses: DataFrame, stars: DataFrame, consumed:
     star_edges = written(stars.select(F.col("path").alias("from"), "to").distinct(), "stars")
     whole = reachable(star_edges, consumed.select(F.col("path").alias("node")).distinct())
     declared = written(exports.select("path", "name").distinct(), "declared")
-    all_of = declared.join(whole.withColumnRenamed("node", "path"), "path", "left_semi")
-    # a round moves what is new; the stars and, of what files with stars declare, the names stay dealt
-    passing = _by(star_edges, "from")
-    own = _by(declared.join(star_edges.select(F.col("from").alias("path")).distinct(), "path", "left_semi"), "path", "name")
-    frontier, rounds = written(uses.select(F.col("to").alias("path"), "name").distinct(), "demand"), 0
-    seen = frontier
+    demands, keys = written(uses.select(F.col("to").alias("path"), "name").distinct(), "demand"), ["path", "name"]
+    # only a file with stars hands on, and only names that it doesn't declare: rounds move and remember nothing else
+    handing = star_edges.select(F.col("from").alias("path")).distinct()
+    onward = _by(star_edges.join(handing.withColumnRenamed("path", "to"), "to", "left_semi").select("from", "to"), "from")
+    own = _by(declared.join(handing, "path", "left_semi"), *keys)
+    frontier, rounds = written(demands.join(handing, "path", "left_semi").join(own, keys, "left_anti"), "handed"), 0
+    handed = frontier
     while not frontier.isEmpty():
         rounds += 1
-        passed = frontier.join(own, ["path", "name"], "left_anti").withColumnRenamed("path", "from").join(passing, "from").select(F.col("to").alias("path"), "name").distinct()
-        frontier = written(passed.join(seen, ["path", "name"], "left_anti"), "demand")
-        seen = seen.union(frontier)
-        seen = written(seen, "demand") if rounds % 16 == 0 else seen
-    passing.unpersist(), own.unpersist()
-    return declared.join(seen, ["path", "name"], "left_semi").union(all_of).distinct()
+        step = onward.join(frontier.withColumnRenamed("path", "from"), "from").select(F.col("to").alias("path"), "name").distinct()
+        frontier = written(step.join(own, keys, "left_anti").join(handed, keys, "left_anti"), "handed")
+        handed = handed.union(frontier)
+        handed = written(handed, "handed") if rounds % 16 == 0 else handed
+    onward.unpersist(), own.unpersist()
+    asked = demands.union(handed.withColumnRenamed("path", "from").join(star_edges, "from").select("to", "name"))
+    all_of = declared.join(whole.withColumnRenamed("node", "path"), "path", "left_semi")
+    return declared.join(asked.union(all_of), keys, "left_semi")
 
 
 def unreferenced(exports: DataFrame, used: DataFrame, skipped: DataFrame) -> DataFrame:
