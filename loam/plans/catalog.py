@@ -564,7 +564,7 @@ _USED = f"{_NAMES}, wh AS (SELECT path FROM co UNION SELECT st.t FROM wh JOIN st
 
 def _exports(e):
     """A name for each edge, offered by the file that it leads to."""
-    return e.select(F.col("to").alias("path"), F.concat(F.lit("n"), (F.col("from") % 6).cast("string")).alias("name"), F.col("from").alias("line"), F.col("from").alias("pos")).distinct()
+    return e.select(F.col("to").alias("path"), F.concat(F.lit("n"), (F.col("from") % 6).cast("string")).alias("name"), F.col("from").alias("line"), F.col("from").alias("pos"))
 
 
 def _names(spark, sf, edges=None):
@@ -591,7 +591,8 @@ def anti_unreferenced(spark, sf):
 
 @query(f"WITH {_NAMES} SELECT path, name, min(line) AS line FROM ex GROUP BY 1, 2")
 def win_first_per_name(spark, sf):
-    return _exports(T.edges(spark, sf)).groupBy("path", "name").agg(F.min_by("line", "pos").alias("line"))
+    # an edge that comes twice has the same least line: edges aren't made distinct before
+    return _exports(T.moves(spark, sf)).groupBy("path", "name").agg(F.min_by("line", "pos").alias("line"))
 
 
 _DEAD = f"{_USED}, dead AS (SELECT path, name AS symbol, min(line) AS line, 'unreferenced-export' AS reason FROM ex WHERE (path, name) NOT IN (SELECT path, name FROM used) GROUP BY 1, 2 UNION ALL SELECT id, NULL, NULL, 'unreachable-file' FROM n WHERE id > 130)"

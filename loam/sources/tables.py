@@ -40,9 +40,14 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("seq"), path.alias("path"), F.sha1("text").alias("blob"), F.col("text").alias("content"))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(from, to): each event's place and that of the next event; a place is a user and one of 50 keys in the event's props."""
+def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(from, to), a row for each event: its place and that of the next event, if it is another one; a place is a user and one of 50 keys in the event's props."""
     place = F.col("user_id") * 50 + F.regexp_extract("props", "[0-9]+", 0).cast("long") % 50
     events = table(spark, sf_dir, "events").select("event_id", place.alias("place"))
     following = events.select((F.col("event_id") - 1).alias("event_id"), F.col("place").alias("to"))
-    return events.withColumnRenamed("place", "from").join(following, "event_id").where("from <> to").select("from", "to").distinct()
+    return events.withColumnRenamed("place", "from").join(following, "event_id").where("from <> to").select("from", "to")
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(from, to): the different moves()."""
+    return moves(spark, sf_dir).distinct()
