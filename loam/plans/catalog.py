@@ -563,7 +563,7 @@ _USED = f"{_NAMES}, wh AS (SELECT path FROM co UNION SELECT st.t FROM wh JOIN st
 
 
 def _exports(e):
-    """A name for each edge, offered by the file that it leads to."""
+    """A name for each edge, offered by the file that it leads to: different edges give different rows."""
     return e.select(F.col("to").alias("path"), F.concat(F.lit("n"), (F.col("from") % 6).cast("string")).alias("name"), F.col("from").alias("line"), F.col("from").alias("pos"))
 
 
