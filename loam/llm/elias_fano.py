@@ -207,6 +207,10 @@ class Level:
         return self.successors.place(base + successor, begin, end) if self.successors.size else np.full(len(begin), -1)
 
 
+#: What each code of 16 bits stands for.
+_PROBABILITIES = np.append(0.0, 10.0 ** (-np.arange(65535.0) / UNITS))
+
+
 def code_of(count: np.ndarray, total: np.ndarray, discount: float) -> np.ndarray:
     """The quantised discounted probability of a count (1 or more) out of a total."""
     return np.minimum(1 + np.rint(-np.log10((count - discount) / np.maximum(total, count)) * UNITS), 65535).astype(np.int64)
@@ -214,7 +218,7 @@ def code_of(count: np.ndarray, total: np.ndarray, discount: float) -> np.ndarray
 
 def probability(codes: np.ndarray) -> np.ndarray:
     """What codes stand for."""
-    return np.where(codes > 0, 10.0 ** (-(codes.astype(float) - 1) / UNITS), 0.0)
+    return _PROBABILITIES[codes]
 
 
 def _put(file: BinaryIO, array: np.ndarray) -> tuple[int, str, int]:

@@ -58,20 +58,22 @@ def pack(*arrays: np.ndarray) -> bytes:
         a = np.ascontiguousarray(a, np.int64)
         width = (int(a.max()).bit_length() + 7) // 8 if len(a) else 0
         head.append(struct.pack("<qB", len(a), width))
-        body.append(a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+        body += [(a >> 8 * k).astype(np.uint8).tobytes() for k in range(width)]
     raw = b"".join(body)
     return struct.pack("<Bq", len(arrays), len(raw)) + b"".join(head) + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
-def unpack(blob: bytes) -> list[np.ndarray]:
+def unpack(blob: bytes, wanted: int | None = None) -> list[np.ndarray]:
+    """The arrays of pack(), or the first ones of them."""
     count, size = struct.unpack_from("<Bq", blob)
     heads = [struct.unpack_from("<qB", blob, 9 + 9 * k) for k in range(count)]
     raw = np.frombuffer(pa.decompress(memoryview(blob)[9 + 9 * count :], size, codec="zstd", asbytes=True) if size else b"", np.uint8)
     out, at = [], 0
-    for n, width in heads:
-        a = np.zeros((n, 8), np.uint8)
-        a[:, :width] = raw[at : at + n * width].reshape(width, n).T
-        out.append(a.reshape(-1).view(np.int64) if n else np.empty(0, np.int64))
+    for n, width in heads[:wanted]:
+        a = raw[at : at + n].astype(np.int64) if width else np.zeros(n, np.int64)
+        for k in range(1, width):
+            a |= raw[at + n * k : at + n * k + n].astype(np.int64) << 8 * k
+        out.append(a)
         at += n * width
     return out
 
@@ -91,6 +93,33 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
+def _different(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place of each different hash, by hash; each place's number among them; how often each occurs).
+
+    The leading bits of a hash and its place make one number, and numbers are sorted as such; hashes that differ in the other bits only are told apart as a whole."""
+    n = len(hashes)
+    low = np.uint64((1 << n.bit_length()) - 1)
+    one = np.sort((hashes & ~low) | np.arange(n, dtype=np.uint64))
+    order = (one & low).astype(np.int64)
+    ordered = hashes[order]
+    new = ordered[1:] != ordered[:-1]
+    if (new & ((one[1:] & ~low) == (one[:-1] & ~low))).any():
+        return np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)[1:]
+    new = np.concatenate([[True], new])[:n]
+    number = np.empty(n, np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return order[first], number, np.diff(np.append(first, n))
+
+
+def _spaced(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> bytes:
+    """Byte spans of data, a space before each."""
+    out, ends = np.full(int(length.sum()) + len(length), 0x20, np.uint8), np.cumsum(length)
+    place = np.arange(len(out) - len(length))
+    out[place + np.repeat(np.arange(1, len(length) + 1), length)] = data[place + np.repeat(start - (ends - length), length)]
+    return out.tobytes()
+
+
 def _read(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     """(chunk, ids, blob, names, counts, size) of docs (doc_id, text, held): word numbers, the words and their training counts.
 
@@ -102,15 +131,15 @@ def _read(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         for part in W.chunks(batches, "text", chunk_bytes):
             w = W.words_of(part.column("text"), lower=True)
             held = part.column("held").to_numpy(zero_copy_only=False)
-            _, at, code, total = np.unique(w.hash, return_index=True, return_inverse=True, return_counts=True)
+            at, code, total = _different(w.hash)
             order = np.argsort(-total, kind="stable")
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(1, len(order) + 1)
             code = rank[code]
             trained = np.bincount(code, weights=~held[w.doc], minlength=len(order) + 1).astype(np.int64)
             trained[0] = len(held) - held.sum()
-            raw, at = w.data.tobytes(), at[order]
-            names = b" ".join([b"", *(raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True))])
+            at = at[order]
+            names = _spaced(w.data, w.start[at], w.end[at] - w.start[at])
             ids = part.column("doc_id")
             ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
             rest = [[number], [pack(code, w.counts, held)], [pa.compress(struct.pack("<q", 0) + names, codec="zstd", asbytes=True)], [pack(trained)], [len(code) + len(held)], [len(names) + 8]]
@@ -239,7 +268,7 @@ def _answer_words(asked: DataFrame, parts: int) -> DataFrame:
                 seen = at >= 0
                 identity, count = np.where(seen, at * parts + part + 1, 0), np.zeros(len(at), np.int64)
                 count[seen] = counts[at[seen]]
-                yield _batch(_ANSWERS, [(struct.unpack("<q", chunk)[0], 1, part, pack(unpack(blob)[0], identity, count), 0, 0)])
+                yield _batch(_ANSWERS, [(struct.unpack("<q", chunk)[0], 1, part, pack(*unpack(blob, 1), identity, count), 0, 0)])
             yield _batch(_ANSWERS, [(None, 1, part, b"", int(counts.sum()), len(counts))])
             del held, known, words, counts
             W.release()
@@ -280,17 +309,16 @@ class Chunk:
         self.node[1][local], self.count[1][local] = identity - 1, count
         self.relative[1] = self.node[1]
 
-    def asked(self, level: int, spread: int) -> tuple[np.ndarray, ...]:
+    def asked(self, level: int, spread: int, counted: bool = True) -> tuple[np.ndarray, ...]:
         """The contexts and n-grams to ask for, in the order of parts, nodes and successors.
 
-        (part, number of the context, node, total; part, number of the n-gram, node, successor, training count)"""
+        (part, number of the context, node, total; part, number of the n-gram, node, successor, training count or, if not counted, none)"""
         above = self.gram[level - 1]
         at = np.flatnonzero(self.offset >= level - 1)
         bits = len(self.node[1]).bit_length()
         different, inverse = _numbered(above[at - 1] << bits | self.gram[1][at])
         self.gram[level] = np.full(len(above), -1)
         self.gram[level][at] = inverse
-        count = np.bincount(inverse[self.trained[at]], minlength=len(different))
         context, suffix = different >> bits, np.empty(len(different), np.int64)
         suffix[inverse] = above[at]
         node_of = self.node[level - 1]
@@ -325,13 +353,14 @@ class Chunk:
             (place, successor), by = _ordered(place[context[grams]], successor)
             g_part, node = c_part[place], nodes[place]
         grams = grams[by]
-        return c_part, contexts, nodes, self.count[level - 1][contexts], g_part, grams, node, successor, count[grams]
+        count = np.bincount(inverse[self.trained[at]], minlength=len(different))[grams] if counted else None
+        return c_part, contexts, nodes, self.count[level - 1][contexts], g_part, grams, node, successor, count
 
     def _part(self, node: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
         return (W.mix(node.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.asarray(salt, np.uint64), 11) % np.uint64(self.parts)).astype(np.int64)
 
     def answered(self, level: int, spread: int, answers: list[tuple[int, bytes]], discount: float) -> None:
-        c_part, contexts, _, total, g_part, grams, _, successor, _ = self.asked(level, spread)
+        c_part, contexts, _, total, g_part, grams, _, successor, _ = self.asked(level, spread, counted=False)
         n, m = len(self.context), len(self.copies)
         self.share[level], successors, totals = np.zeros(n), np.zeros(m), np.zeros(m)
         self.node[level], self.relative[level], self.count[level] = np.full(n, -1), np.full(n, -1), np.zeros(n, np.int64)
@@ -359,15 +388,15 @@ class Chunk:
     def scores(self, order: int, tokens: int, different: int) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, score) of each document."""
         at = np.flatnonzero(self.offset > 0)
-        count = self.count[1][self.gram[1]]
-        base = (count + 0.1) / (tokens + 0.1 * (different + 1))
-        p = base.copy()
+        word = self.gram[1][at]
+        of_word = (self.count[1] + 0.1) / (tokens + 0.1 * (different + 1))
+        p = of_word[self.gram[1]]
         for level in range(2, order + 1):
             here = np.flatnonzero(self.offset >= level - 1)
             p[here] = self.share[level][self.gram[level][here]] + self.rest[level][self.gram[level - 1][here - 1]] * p[here]
         doc, n = self.doc[at], len(self.lengths)
         total = lambda v: np.bincount(doc, weights=v, minlength=n)
-        return self.lengths - 1, total(count[at] > 0).astype(np.int64), total(np.log10(base[at])), total(np.log10(p[at]))
+        return self.lengths - 1, total((self.count[1] > 0)[word]).astype(np.int64), total(np.log10(of_word)[word]), total(np.log10(p[at]))
 
 
 def _gathered(chunks: DataFrame, answers: list[DataFrame], number: int, ids: bool = False) -> DataFrame:
@@ -401,7 +430,7 @@ def _ask(gathered: DataFrame, level: int, parts: int, spread: int, discount: flo
             of_gram = dict(_slices(g_part))
             for p, own in _slices(c_part):
                 mine = of_gram.get(p, slice(0, 0))
-                sizes = np.searchsorted(node[mine], nodes[own], "right") - np.searchsorted(node[mine], nodes[own], "left")
+                sizes = np.diff(np.searchsorted(node[mine], nodes[own]), append=mine.stop - mine.start)  # each node is one of the contexts
                 yield _batch(_PARTS, [(p, number, pack(np.diff(nodes[own], prepend=0), total[own], sizes, successor[mine], count[mine]), None)])
 
     return gathered.mapInArrow(run, _PARTS)
@@ -439,7 +468,7 @@ def _answer(asked: DataFrame, level: int, parts: int, discount: float, last: boo
                 del entries
                 W.release()
                 for chunk, blob in held:
-                    steps, total, sizes, successor, _ = unpack(blob)
+                    steps, total, sizes, successor = unpack(blob, 4)
                     begin, end, base = trie.ranges(np.cumsum(steps))
                     from_ = np.repeat(begin, sizes)
                     at = trie.find(from_, np.repeat(end, sizes), np.repeat(base, sizes), successor)

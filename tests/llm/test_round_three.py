@@ -239,3 +239,19 @@ def test_ranked_bits():
 def test_fixture_documents_keep_clashing_columns(spark):
     docs = documents(spark)
     assert fill_middle.fill_in_middle(docs).columns[: len(docs.columns)] == docs.columns
+
+
+def test_numbers_of_words_and_packed_arrays():
+    """op12: hashes that differ in their last bits only, and arrays of every width."""
+    from loam.llm import lm_scoring as L
+
+    rng = np.random.default_rng(3)
+    near = np.array([8, 9, 8, 1 << 63, 10, (1 << 63) + 1, 9], np.uint64)
+    for hashes in (near, rng.integers(0, 1 << 63, 500, np.uint64)[rng.integers(0, 500, 4000)], near[:1], near[:0]):
+        want = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)[1:]
+        assert [x.tolist() for x in L._different(hashes)] == [x.tolist() for x in want]
+    arrays = [np.array(x, np.int64) for x in ([], [0, 0], [255, 1], [256, 0, 3], [1 << 40, 7], [(1 << 63) - 1, 5], [1 << 56])]
+    assert [x.tolist() for x in L.unpack(L.pack(*arrays))] == [x.tolist() for x in arrays]
+    assert [x.tolist() for x in L.unpack(L.pack(*arrays), 3)] == [x.tolist() for x in arrays[:3]]
+    data = np.frombuffer(b"one three  two", np.uint8)
+    assert L._spaced(data, np.array([4, 0]), np.array([5, 3])) == b" three one" and L._spaced(data, np.array([], int), np.array([], int)) == b""
